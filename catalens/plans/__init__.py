@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "vectors")
+MODULES = ("scalars", "vectors", "catalogue")
 
 
 def load_all():
