@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "vectors", "catalogue")
+MODULES = ("scalars", "vectors", "catalogue", "relational")
 
 
 def load_all():
