@@ -142,10 +142,11 @@ def similar_pairs(
     Both inputs must hold distinct strings (plus columns used by `condition`). Equal blocking keys
     find the candidates, bounds on length and shared letters thin them, Arrow scores the rest.
     """
-    left = with_candidate_keys(words, word, threshold).select("*", F.explode("_keys").alias("_key"))
+    # explode_outer: plain explode would add a `size(_keys) > 0` filter that recomputes the nested arrays
+    left = with_candidate_keys(words, word, threshold).select("*", F.explode_outer("_keys").alias("_key"))
     right = with_candidate_keys(known, other, threshold)
     right = right.select(*[F.col(c) for c in known.columns], F.col("_set").alias("_oset"), F.col("_keys").alias("_okeys"),
-                         F.col("_len").alias("_olen"), F.explode("_keys").alias("_key"))
+                         F.col("_len").alias("_olen"), F.explode_outer("_keys").alias("_key"))
     total = F.col("_len") + F.col("_olen")
     pairs = left.join(right, "_key").filter(2.0 * F.least("_len", "_olen") / total >= threshold)
     if condition is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "vectors", "catalogue", "relational")
+MODULES = ("scalars", "vectors", "catalogue", "relational", "faceted")
 
 
 def load_all():
