@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -89,42 +91,44 @@ def ratcliff_ratio_udf(known: pd.Series, word: pd.Series) -> pd.Series:
 LETTER_ORDER = "0123456789щэъфцюшжхчйыьгбязупдклмвртснаеиоqxzjkvwyfbgphmcudlrtnsoiae"
 
 
+RARITY = {letter: place for place, letter in enumerate(LETTER_ORDER, start=1)}
+
+
+def blocking_keys(word: str, share: float) -> tuple[list[str], list[str]]:
+    """(letter set, keys) of one word, see `with_candidate_keys`."""
+    seen: dict[str, int] = {}
+    letters = []
+    for ch in sorted(word, key=lambda c: (RARITY.get(c, 0), c)):
+        seen[ch] = seen.get(ch, 0) + 1
+        letters.append(f"{ch}{seen[ch]}")
+    if len(letters) <= 1:
+        return letters, [word]
+    need = math.ceil(len(letters) * share - 1e-9)
+    prefix = letters[: len(letters) - need + 2]
+    return letters, [f"{a} {b}" for a, b in itertools.combinations(prefix, 2)]
+
+
 def with_candidate_keys(df: DataFrame, word: str, threshold: float) -> DataFrame:
     """Adds `_set`, `_keys`, `_len`: two words with 2·common/(m+n) ≥ threshold share at least one key.
 
     Letters are numbered by occurrence (`anna` → n1 n2 a1 a2), rare letters first. If two such sets
     overlap in `need` or more elements, their first `size - need + 2` elements share two, so pairs of
     prefix elements are the keys. The common count bounds both LCS and matching blocks from above, so
-    no similar pair is lost. A one-letter word can only equal its partner. Each step is a column of
-    its own: arrays used inside a lambda are then computed once per row.
+    no similar pair is lost. A one-letter word can only equal its partner.
     """
     if threshold <= 2 / 3:
         raise ValueError("candidate keys are exact only above 2/3")
     share = threshold / (2.0 - threshold)
-    ranked = F.array_sort(
-        F.transform(F.split(F.col(word), ""), lambda ch: F.struct(F.instr(F.lit(LETTER_ORDER), ch).alias("r"), ch.alias("c")))
-    )
-    numbered = F.transform(
-        F.col("_ranked"),
-        lambda e, i: F.concat(
-            e["c"], F.size(F.filter(F.slice("_ranked", 1, i + 1), lambda o: o["c"] == e["c"])).cast("string")
-        ),
-    )
-    need = F.ceil(F.size("_set") * share - 1e-9).cast("int")
-    prefix = F.slice("_set", 1, F.least(F.size("_set"), F.size("_set") - need + 2))
-    pairs = F.flatten(
-        F.transform(
-            F.col("_prefix"),
-            lambda a, i: F.transform(F.slice("_prefix", i + 2, F.size("_prefix")), lambda b: F.concat(a, F.lit(" "), b)),
-        )
-    )
+
+    def batch(words: pd.Series) -> pd.DataFrame:
+        pairs = [blocking_keys(w, share) for w in words]
+        return pd.DataFrame({"set": [p[0] for p in pairs], "keys": [p[1] for p in pairs]})
+
+    # not deterministic for the optimizer: filters on the keys must not re-run the function below
+    keys = F.pandas_udf(batch, "set array<string>, keys array<string>").asNondeterministic()
     return (
-        df.withColumn("_ranked", ranked)
-        .withColumn("_set", numbered)
-        .withColumn("_prefix", prefix)
-        .withColumn("_keys", F.when(F.size("_set") <= 1, F.array(F.col(word))).otherwise(pairs))
-        .withColumn("_len", F.length(word))
-        .drop("_ranked", "_prefix")
+        df.withColumn("_k", keys(F.col(word)))
+        .select(*df.columns, F.col("_k.set").alias("_set"), F.col("_k.keys").alias("_keys"), F.length(word).alias("_len"))
     )
 
 
@@ -142,11 +146,10 @@ def similar_pairs(
     Both inputs must hold distinct strings (plus columns used by `condition`). Equal blocking keys
     find the candidates, bounds on length and shared letters thin them, Arrow scores the rest.
     """
-    # explode_outer: plain explode would add a `size(_keys) > 0` filter that recomputes the nested arrays
-    left = with_candidate_keys(words, word, threshold).select("*", F.explode_outer("_keys").alias("_key"))
+    left = with_candidate_keys(words, word, threshold).select("*", F.explode("_keys").alias("_key"))
     right = with_candidate_keys(known, other, threshold)
     right = right.select(*[F.col(c) for c in known.columns], F.col("_set").alias("_oset"), F.col("_keys").alias("_okeys"),
-                         F.col("_len").alias("_olen"), F.explode_outer("_keys").alias("_key"))
+                         F.col("_len").alias("_olen"), F.explode("_keys").alias("_key"))
     total = F.col("_len") + F.col("_olen")
     pairs = left.join(right, "_key").filter(2.0 * F.least("_len", "_olen") / total >= threshold)
     if condition is not None:

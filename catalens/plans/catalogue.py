@@ -146,9 +146,6 @@ def _(spark, d):
     return cards.evidence_slice(ids, t.part.filter("p_size <> 7"), "p_partkey", ["p_name", "p_brand", "p_type"], "p_brand", "Brand#1").withColumnRenamed("p_partkey", "l_partkey")
 
 
-FACET_WORDS = F.split("p_name", " ")
-
-
 @query(
     "filtered_items", "P4",
     """SELECT p_partkey, p_name, skip FROM part, (SELECT unnest(['none', 'p_type', 'words']) AS skip)

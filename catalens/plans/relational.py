@@ -192,17 +192,18 @@ def _(spark, d):
     return a.busiest_day(Tables(spark, d).events.withColumn("day", F.to_date("ts")), "user_id", "day", "props")
 
 
-RANK_ORDER = [C("c_acctbal").desc(), C("c_custkey")]
+def rank_order():
+    return [C("c_acctbal").desc(), C("c_custkey")]
 
 
 @query("customer_ranks", "W4", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
 def _(spark, d):
-    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), RANK_ORDER).select("c_custkey", "rank")
+    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), rank_order()).select("c_custkey", "rank")
 
 
 @query("customer_ranks_ranged", "W4 partitioned path", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
 def _(spark, d):
-    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), RANK_ORDER, small_bytes=0).select("c_custkey", "rank")
+    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), rank_order(), small_bytes=0).select("c_custkey", "rank")
 
 
 @query("first_seen_items", "W9", "SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props")
