@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "vectors", "catalogue", "relational", "faceted", "texts")
+MODULES = ("scalars", "vectors", "catalogue", "relational", "faceted", "texts", "users")
 
 
 def load_all():
