@@ -54,7 +54,8 @@ def plausible(text: Column, bounds: tuple[float, float]) -> Column:
 def format_number(number: Column) -> Column:
     """Shortest decimal form of moderate numbers (12.0 → 12, 12.50 → 12.5)."""
     text = F.format_string("%.4f", number.cast("double"))
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    short = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    return F.when(number.isNotNull(), short)  # format_string prints NULL as a word
 
 
 def format_percent_range(low: Column, high: Column) -> Column:
