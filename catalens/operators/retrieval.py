@@ -93,9 +93,9 @@ def knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: b
 
 
 def pick_centers(corpus: DataFrame, count: int | None = None) -> dict[str, np.ndarray]:
-    """A fixed pseudo-random choice of vectors per view as cell centres: about √n, at most 1024."""
+    """A fixed pseudo-random choice of vectors per view as cell centres: about √n, at most 1000 (Spark limits such ranks before the shuffle)."""
     if count is None:
-        count = min(1024, max(1, int(np.sqrt(corpus.count()))))
+        count = min(1000, max(1, int(np.sqrt(corpus.count()))))
     chosen = top_k(corpus.select("view", "id", "embedding"), ["view"], [F.xxhash64("id"), F.col("id")], count)
     table = chosen.select("view", "embedding").toArrow()  # at most count × views rows
     return {
@@ -141,7 +141,7 @@ def place_in_cells(df: DataFrame, centers: dict[str, np.ndarray]) -> tuple[DataF
     """Stored corpus with its nearest cell, and per view the row count and radius of every cell."""
     placed = materialize(_route(df, centers, _nearest()), "cells")
     sizes = {view: (np.zeros(len(c), dtype=np.int64), np.zeros(len(c))) for view, c in centers.items()}
-    # one row per centre, at most 1024 per view
+    # one row per centre, at most 1000 per view
     for row in placed.groupBy("view", "cell").agg(one("n"), F.max("angle").alias("radius")).collect():
         sizes[row["view"]][0][row["cell"]] = row["n"]
         sizes[row["view"]][1][row["cell"]] = row["radius"]

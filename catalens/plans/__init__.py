@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "vectors", "catalogue", "relational", "faceted", "texts", "users", "achievements", "enriching")
+MODULES = ("scalars", "vectors", "catalogue", "relational", "faceted", "texts", "users", "achievements", "enriching", "exchange", "streams")
 
 
 def load_all():

@@ -43,15 +43,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
 
 
-def read_catalog(spark: SparkSession, directory: str, tables: dict[str, str] = CATALOG_SCHEMAS, optional: tuple[str, ...] = OPTIONAL_TABLES) -> dict[str, DataFrame]:
-    """One DataFrame per `<table>.json` (JSON arrays or lines, file or folder); a missing optional table is empty."""
+def read_catalog(spark: SparkSession, directory: str, tables: dict[str, str] = CATALOG_SCHEMAS, optional: tuple[str, ...] = OPTIONAL_TABLES, arrays: bool = True) -> dict[str, DataFrame]:
+    """One DataFrame per `<table>.json`, file or folder; a missing optional table is empty.
+
+    `arrays` reads JSON-array files, each by one task; large tables should be JSON lines (`arrays=False`), which split.
+    """
     out = {}
     for name, schema in tables.items():
         path = f"{directory}/{name}.json"
         if name in optional and not _exists(spark, path):
             out[name] = spark.createDataFrame([], schema)
         else:
-            out[name] = spark.read.schema(schema).option("multiLine", True).json(path)
+            out[name] = spark.read.schema(schema).option("multiLine", arrays).json(path)
     return out
 
 
@@ -176,9 +179,8 @@ def verify_checksums(files: DataFrame, listed: DataFrame, key: str, content: str
     return joined.select(key, state.alias("state"))
 
 
-def read_site_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Cached payloads per slug; a null payload means the item is not on the site."""
-    raw = spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", True).json(path)
+def site_payloads(raw: DataFrame) -> DataFrame:
+    """Flat columns of cached payloads; a null payload means the item is not on the site."""
     p = F.col("payload")
     return raw.select(
         "slug", p.isNotNull().alias("found"), p["color"].alias("color"), p["temperature"].alias("temperature"), p["alcohol"].alias("alcohol"), p["alcoholMax"].alias("alcohol_max"),
@@ -186,6 +188,11 @@ def read_site_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_site_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """One cached JSON document per slug."""
+    return site_payloads(spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", True).json(path))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

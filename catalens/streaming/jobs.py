@@ -35,52 +35,65 @@ REMINDER_SCHEMA = "user_id long, item long, viewed_at timestamp, search_id long,
 
 
 class ReminderProcessor(StatefulProcessor):
-    """Keeps the latest view per item and fires once after a quiet period.
+    """Keeps the latest view per item and fires once a user has been quiet long enough.
 
-    Items older than the window at firing time are dropped; every search is processed once.
+    A later view that comes after the quiet period first closes the running session, so the outcome
+    does not depend on how the stream is cut into batches. Items older than the window at firing time
+    are dropped; every search is processed once.
     """
 
     def __init__(self, quiet_minutes: int = 60, window_hours: int = 24) -> None:
-        self.quiet_ms = quiet_minutes * 60_000
-        self.window_ms = window_hours * 3_600_000
+        self.quiet = quiet_minutes * 60_000_000
+        self.window = window_hours * 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.views = handle.getMapState("views", "item long", "ts long, search_id long")
         self.last = handle.getValueState("last", "ts long")
 
+    def _fire(self, user: int, last: int) -> list[tuple]:
+        fired = last + self.quiet
+        due = [(user, key[0], value[0], value[1], fired) for key, value in self.views.iterator() if value[0] >= fired - self.window]
+        self.views.clear()
+        return due
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.last.get()[0] if self.last.exists() else None
-        for batch in rows:
-            micros = batch["created_at"].astype("datetime64[us]").astype("int64")
-            for item, ts, search in zip(batch["item"], micros, batch["search_id"]):
-                ts, search = int(ts), int(search)
-                held = self.views.getValue((int(item),)) if self.views.containsKey((int(item),)) else None
-                if held is None or (ts, -search) > (held[0], -held[1]):
-                    self.views.updateValue((int(item),), (ts, search))
-                newest = ts if newest is None else max(newest, ts)
+        batch = pd.concat([r[["created_at", "search_id", "item"]] for r in rows], ignore_index=True)
+        batch["created_at"] = batch["created_at"].astype("datetime64[us]").astype("int64")
+        batch = batch.sort_values(["created_at", "search_id"])
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for ts, search, item in batch.itertuples(index=False):
+            ts, search, item = int(ts), int(search), int(item)
+            if last is not None and ts - last >= self.quiet:
+                out += self._fire(int(key[0]), last)
+                last = None
+            held = self.views.getValue((item,)) if self.views.containsKey((item,)) else None
+            if held is None or ts > held[0]:
+                self.views.updateValue((item,), (ts, search))
+            last = ts if last is None else max(last, ts)
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.last.update((newest,))
-        self.handle.registerTimer(max(newest // 1000 + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield from ()
+        self.last.update((last,))
+        self.handle.registerTimer(max((last + self.quiet) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield _reminder_rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [
-            (int(key[0]), int(item[0]), pd.Timestamp(value[0], unit="us"), int(value[1]), pd.Timestamp(fired, unit="ms"))
-            for item, value in self.views.iterator()
-            if value[0] // 1000 >= fired - self.window_ms
-        ]
-        self.views.clear()
+        out = self._fire(int(key[0]), self.last.get()[0])
         self.last.clear()
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "item", "viewed_at", "search_id", "fired_at"])
+        if out:
+            yield _reminder_rows(out)
 
     def close(self) -> None:
         pass
 
 
+def _reminder_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["user_id", "item", "viewed_at", "search_id", "fired_at"])
+    return out.assign(viewed_at=pd.to_datetime(out["viewed_at"], unit="us"), fired_at=pd.to_datetime(out["fired_at"], unit="us"))
+
+
 def reminder_stream(history: DataFrame, handled: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """History stream (search_id, user_id, item, created_at) → reminder items; favourites and reviews suppress items."""
     use_rocksdb(history.sparkSession)
@@ -96,41 +109,36 @@ DIGEST_SCHEMA = "user_id long, period_start timestamp, period_end timestamp, rea
 
 
 class DigestProcessor(StatefulProcessor):
-    """Distinct reactors per author since the last digest; the marker advances even without reactions."""
+    """Distinct reactors per author and period; a period is reported once the watermark has passed its end."""
 
     def __init__(self, period_minutes: int) -> None:
-        self.period_ms = period_minutes * 60_000
+        self.period = period_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.reactors = handle.getMapState("reactors", "reactor long", "ts long")
-        self.start = handle.getValueState("start", "ms long")
+        self.seen = handle.getMapState("seen", "period long, reactor long", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
+        timers = {int(t) for t in self.handle.listTimers()}
         for batch in rows:
             millis = batch["updated_at"].astype("datetime64[ms]").astype("int64")
             for reactor, ts in zip(batch["reactor"], millis):
-                reactor, ts = int(reactor), int(ts)
-                self.reactors.updateValue((reactor,), (max(ts, self.reactors.getValue((reactor,))[0]) if self.reactors.containsKey((reactor,)) else ts,))
-                first = ts if first is None else min(first, ts)
-        if not self.start.exists() and first is not None:
-            begin = first // self.period_ms * self.period_ms
-            self.start.update((begin,))
-            self.handle.registerTimer(max(begin + self.period_ms, timerValues.getCurrentWatermarkInMs() + 1))
+                begin = int(ts) // self.period * self.period
+                self.seen.updateValue((begin, int(reactor)), (1,))
+                if begin + self.period not in timers:
+                    timers.add(begin + self.period)
+                    self.handle.registerTimer(begin + self.period)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        begin = self.start.get()[0]
-        end = begin + self.period_ms
-        due = [k[0] for k, v in self.reactors.iterator() if v[0] < end]
-        for reactor in due:
-            self.reactors.removeKey((reactor,))
-        self.start.update((end,))
-        self.handle.registerTimer(max(end + self.period_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        end = int(expiredTimerInfo.getExpiryTimeInMs())
+        begin = end - self.period
+        due = [k for k in self.seen.keys() if k[0] == begin]
+        for k in due:
+            self.seen.removeKey(k)
         if due:
-            stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-            yield pd.DataFrame([(int(key[0]), stamp(begin), stamp(end), len(due))], columns=["user_id", "period_start", "period_end", "reactors"])
+            row = (int(key[0]), pd.Timestamp(begin, unit="ms"), pd.Timestamp(end, unit="ms"), len(due))
+            yield pd.DataFrame([row], columns=["user_id", "period_start", "period_end", "reactors"])
 
     def close(self) -> None:
         pass
