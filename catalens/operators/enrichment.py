@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from catalens.functions.text import blank_to_null, collapse_spaces, normalize_match_text, ru_to_lat
 from catalens.functions.values import CATALOG_ALCOHOL, TEMPERATURE, format_percent_range, format_temperature, plausible, uuid5
 from catalens.operators.aggregates import broadcast_if_small, first_per_key, one
+from catalens.session import spread
 
 # --- fixed values ----------------------------------------------------------------------------------
 KNOWN_SUGARS = ("экстра брют", "брют", "полусухое", "полусладкое", "сухое", "сладкое")
@@ -135,7 +136,7 @@ def tag_phrases(texts: DataFrame, dictionary: DataFrame, key: str, text: str, li
     if excluded:
         names = names.filter(~F.col("_n").isin(*excluded))
     phrases = names.select(F.xxhash64("entity", "_n").alias("phrase_id"), "entity", F.split("_n", " ").alias("phrase")).dropDuplicates(["phrase_id"])
-    tokened = texts.select(key, words.alias("tokens"))
+    tokened = spread(texts.select(key, text)).select(key, words.alias("tokens"))
     found = pick_spans(phrase_hits(tokened, phrases, key), phrases, key)
     return found if links is None else found.join(links, [key, "entity"], "left_anti")
 

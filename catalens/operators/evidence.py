@@ -11,7 +11,7 @@ from catalens.functions.similarity import similar_pairs
 from catalens.functions.text import bigram_glue, normalize_match_text, text_variants, word_windows
 from catalens.functions.values import alcohol_numbers, clip_bonus, idf_pool, idf_smooth
 from catalens.operators.aggregates import broadcast_if_small, one, top_k
-from catalens.session import materialize
+from catalens.session import materialize, spread
 
 # --- fixed values of the formula -------------------------------------------------------------------
 ENTITY_WEIGHT = 0.10
@@ -90,7 +90,7 @@ def text_views(queries: DataFrame) -> DataFrame:
 
     Stored, because words, windows and token counts all start from it.
     """
-    variants = queries.select("query_id", F.posexplode(text_variants(F.col("text"))).alias("view", "variant"))
+    variants = spread(queries).select("query_id", F.posexplode(text_variants(F.col("text"))).alias("view", "variant"))
     return materialize(variants.select("query_id", "view", F.split("variant", " ").alias("tokens")), "views")
 
 

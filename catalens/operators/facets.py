@@ -11,6 +11,7 @@ from catalens.functions.similarity import ratcliff_ratio_udf, similar_pairs
 from catalens.functions.text import normalize_query, to_search_latin
 from catalens.functions.values import parse_alcohol_avg, stable_shuffle
 from catalens.operators.aggregates import one, top_k
+from catalens.session import spread
 from catalens.operators.rulebook import WINE_RULES, Dishes, Likes, Rule, RuleBook
 
 # --- fixed values ----------------------------------------------------------------------------------
@@ -45,7 +46,7 @@ def prepare_entries(cards: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame
     """Cards (item_id, name, producer, grapes, region, color, sugar, alcohol, description, foods, rating) → search entries."""
     groups = F.create_map(*[F.lit(x) for key, (_, foods) in rules.dishes.items() for food in foods for x in (food, key)])
     description = F.replace(F.lower(F.coalesce("description", F.lit(""))), F.lit("ё"), F.lit("е"))
-    entries = cards.withColumn("description", description).withColumn("alcohol", parse_alcohol_avg(F.col("alcohol").cast("string")))
+    entries = spread(cards).withColumn("description", description).withColumn("alcohol", parse_alcohol_avg(F.col("alcohol").cast("string")))
     sparkling = F.coalesce(F.col("sugar").isin(*rules.sparkling_sugars), F.lit(False)) | F.concat_ws(" ", F.lower("name"), "description").rlike(rules.sparkling_pattern)
     hay = F.concat_ws(" ", "name", "producer", F.array_join("grapes", " "), "region", "color", "sugar", F.when(F.col("sparkling"), rules.sparkling_word))
     tastes = []

@@ -7,11 +7,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalens.functions.text import ENDINGS, EXACT_ONLY_TERMS, WORD_PATTERN, glossary_form, term_stems
 from catalens.operators.aggregates import broadcast_if_small
+from catalens.session import spread
 
-SPANS = "array<struct<word:string,start:int,end:int,near:boolean>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("near", T.BooleanType())]))
 
 
 @F.pandas_udf(SPANS)
@@ -71,7 +73,7 @@ def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endi
 
     Candidates are gathered per text; their number is bounded by the text, which is one row anyway.
     """
-    spans = texts.select(key, word_spans(glossary_form(F.col(text))).alias("spans"))
+    spans = spread(texts.select(key, text)).select(key, word_spans(glossary_form(F.col(text))).alias("spans"))
     hits = term_hits(spans, terms, key, endings)
     order = terms.select("term_id", (-F.size("stems")).alias("_len"), "term")
     ranked = hits.join(broadcast_if_small(order), "term_id")

@@ -12,6 +12,7 @@ from catalens.operators import enrichment as n
 from catalens.operators import glossary as g
 from catalens.plans import sqltext as q
 from catalens.plans.registry import Tables, query
+from catalens.session import spread
 
 C = F.col
 DIM, LINK = uuid.uuid5(uuid.NAMESPACE_URL, "catalens/dim"), uuid.uuid5(uuid.NAMESPACE_URL, "catalens/link")
@@ -112,7 +113,7 @@ PHRASE = f"""tk AS MATERIALIZED (SELECT doc_id, list_filter(string_split({q.matc
 @query("phrase_hits", "N9", f"WITH {PHRASE} SELECT doc_id, phrase, (pos - 1)::INTEGER AS start, (pos - 1 + len(p))::INTEGER AS end_pos FROM ex JOIN pt ON p[1] = tok WHERE w[pos:pos + len(p) - 1] = p")
 def _(spark, d):
     words = F.filter(F.split(t.normalize_match_text(C("text")), " "), lambda x: x != "")
-    texts = Tables(spark, d).documents.select("doc_id", words.alias("tokens"))
+    texts = spread(Tables(spark, d).documents.select("doc_id", "text")).select("doc_id", words.alias("tokens"))
     ph = sentence_phrases(spark, d).select(t.normalize_match_text(C("spelling")).alias("phrase_id")).filter("phrase_id <> ''").distinct().withColumn("phrase", F.split("phrase_id", " "))
     return n.phrase_hits(texts, ph, "doc_id").select("doc_id", C("phrase_id").alias("phrase"), "start", C("end").alias("end_pos"))
 
@@ -223,7 +224,7 @@ def _(spark, d):
         SELECT doc_id, term AS term_id, count(*) AS n FROM f JOIN terms ON ends_with(word, ending) AND term = substr(word, 1, length(word) - length(ending)) GROUP BY ALL""",
 )
 def _(spark, d):
-    spans = Tables(spark, d).documents.select("doc_id", g.word_spans(t.glossary_form(C("text"))).alias("spans"))
+    spans = spread(Tables(spark, d).documents.select("doc_id", "text")).select("doc_id", g.word_spans(t.glossary_form(C("text"))).alias("spans"))
     hits = g.term_hits(spans, g.term_index(single_terms(spark, d)), "doc_id", EN_ENDINGS)
     return hits.groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("n"))
 

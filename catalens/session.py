@@ -55,3 +55,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of a DataFrame, used to guard broadcasts."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a small input.
+
+    A table smaller than one scan split per core would otherwise be processed by a few tasks. Larger
+    inputs already come in enough splits and pass through without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    return df.repartition(cores) if estimated_bytes(df) < cores * split else df
