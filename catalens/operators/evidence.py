@@ -44,10 +44,14 @@ class TextDictionary:
 
 
 def token_idf(spellings: DataFrame, spelling: str) -> DataFrame:
-    """Smoothed idf of every token over all variants of the spellings: (word, idf). Each row is one document."""
-    docs = spellings.select(F.array_distinct(F.flatten(F.transform(text_variants(F.col(spelling)), lambda v: F.split(v, " ")))).alias("_t"))
-    rows = docs.agg(one("n"))
-    freq = docs.select(F.explode("_t").alias("word")).groupBy("word").agg(one("df"))
+    """Smoothed idf of every token over all variants of the spellings: (word, idf). Each row is one document.
+
+    Equal spellings are counted first and analysed once.
+    """
+    docs = spellings.groupBy(spelling).agg(one("_docs"))
+    docs = docs.select("_docs", F.array_distinct(F.flatten(F.transform(text_variants(F.col(spelling)), lambda v: F.split(v, " ")))).alias("_t"))
+    rows = spellings.agg(one("n"))
+    freq = docs.select("_docs", F.explode("_t").alias("word")).groupBy("word").agg(F.sum("_docs").alias("df"))
     return freq.join(F.broadcast(rows)).select("word", idf_smooth(F.col("n"), F.col("df")).alias("idf"))  # single row
 
 
@@ -150,8 +154,8 @@ def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], thre
 
 def unique_evidence(pool: DataFrame, hits: DataFrame) -> DataFrame:
     """Per candidate the pool-rare words of its name and producer that the text shows: (unique, unique_share)."""
-    raw = F.regexp_extract_all(F.concat_ws(" ", "name", "producer"), F.lit("((?U)\\w+)"), 1)
-    words = pool_words(pool.select("query_id", "item_id", F.explode(raw).alias("raw")))
+    spoken = item_words(pool.select("item_id", "name", "producer").distinct())
+    words = pool.select("query_id", "item_id").join(broadcast_if_small(spoken), "item_id")
     scored = words.join(hits.groupBy("query_id", "word").agg(F.max("score").alias("score")), ["query_id", "word"], "left")
     doc = scored.groupBy("query_id", "item_id", "key").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("value"))
     df = doc.groupBy("query_id", "key").agg(one("df"))
@@ -164,17 +168,24 @@ def unique_evidence(pool: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, key, word) of the item's name and producer; each distinct raw word is spelled out once."""
+    raw = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "name", "producer"), F.lit("((?U)\\w+)"), 1))
+    parts = items.select("item_id", F.explode(raw).alias("raw"))
+    return parts.join(broadcast_if_small(materialize(pool_words(parts.select("raw").distinct()), "spoken")), "raw").select("item_id", "key", "word")
+
+
 def pool_words(raw: DataFrame) -> DataFrame:
     """Raw words with their normal form `key` and each comparable spelling `word`."""
     keyed = raw.withColumn("key", normalize_match_text(F.col("raw"))).filter("key <> ''")
     return keyed.withColumn("word", F.explode(F.transform(text_variants(F.col("raw")), lambda v: F.replace(v, F.lit(" "), F.lit("")))))
 
 
-def _category(kind: str, value: Column) -> list[Column]:
+def _category(kind: str) -> list[Column]:
     """own, other and the two verdicts for one category; -1 = no value or an unknown one."""
     scores, known = F.col(f"{kind}_scores"), F.col(f"{kind}_keys")
-    key = normalize_match_text(value)
-    own = F.when(value.isNull() | (key == "") | ~F.array_contains(known, key), -1.0).otherwise(F.coalesce(F.element_at(scores, key), F.lit(0.0)))
+    key = F.coalesce(F.col(f"{kind}_key"), F.lit(""))
+    own = F.when((key == "") | ~F.array_contains(known, key), -1.0).otherwise(F.coalesce(F.element_at(scores, key), F.lit(0.0)))
     other = F.coalesce(F.array_max(F.transform(F.filter(F.map_entries(scores), lambda e: e["key"] != key), lambda e: e["value"])), F.lit(0.0))
     return [own, other, own >= CATEGORY_THRESHOLD, (own >= 0) & (own < CATEGORY_THRESHOLD) & (other >= CATEGORY_THRESHOLD)]
 
@@ -184,12 +195,14 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
 
     Lists per text are bounded by the text's own length, maps by the category dictionary.
     """
-    found = phrase_matches(views, dictionary.phrases, ["kind", "entity"], DETECTION_THRESHOLD)
+    both = dictionary.phrases.unionByName(dictionary.categories.select("kind", F.col("key").alias("entity"), "spelling"))
+    matched = materialize(phrase_matches(views, both, ["kind", "entity"], CATEGORY_THRESHOLD), "phrase-matches")
+    found = matched.filter(F.col("kind").isin("producer", "grape") & (F.col("score") >= DETECTION_THRESHOLD))
     pick = lambda k, c: F.collect_set(F.when(F.col("kind") == k, c))
     lists = found.groupBy("query_id").agg(
         pick("producer", normalize_match_text(F.col("entity"))).alias("producers_found"), pick("grape", F.col("entity")).alias("grapes_found")
     )
-    scores = phrase_matches(views, dictionary.categories, ["kind", "key"], CATEGORY_THRESHOLD)
+    scores = matched.filter(F.col("kind").isin("color", "sugar")).select("query_id", "kind", F.col("entity").alias("key"), "score")
     entry = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "score"))))
     maps = scores.groupBy("query_id").agg(entry("color").alias("color_scores"), entry("sugar").alias("sugar_scores"))
     keys = dictionary.categories.groupBy().agg(
@@ -206,6 +219,12 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
     })
 
 
+def prepare_items(catalog: DataFrame) -> DataFrame:
+    """Catalogue with its comparable forms, computed once per item instead of once per candidate."""
+    norm = {f"{c}_key": F.when(F.col(c).isNotNull(), normalize_match_text(F.col(c))) for c in ("name", "producer", "color", "sugar")}
+    return materialize(catalog.withColumns({**norm, "item_alcohol": alcohol_numbers(F.col("alcohol").cast("string"))}), "items")
+
+
 def score_pool(queries: DataFrame, pool: DataFrame, catalog: DataFrame, dictionary: TextDictionary) -> DataFrame:
     """Text features and bonus of every candidate.
 
@@ -213,11 +232,11 @@ def score_pool(queries: DataFrame, pool: DataFrame, catalog: DataFrame, dictiona
     `catalog`: (item_id, name, producer, grapes, color, sugar, alcohol).
     """
     pool = pool.filter(F.col("rank") <= RERANK_LIMIT)
+    catalog = prepare_items(catalog)
     cand = pool.join(catalog, "item_id", "left")
     views = text_views(queries)
     pieces = text_pieces(views)
-    raw = F.regexp_extract_all(F.concat_ws(" ", "name", "producer"), F.lit("((?U)\\w+)"), 1)
-    spoken = pool_words(catalog.select(F.explode(raw).alias("raw")).distinct()).select("word")
+    spoken = item_words(catalog).select("word")
     words = dictionary.names.select("word").unionByName(dictionary.producers.select("word")).unionByName(dictionary.grapes.select("word")).unionByName(spoken)
     hits = materialize(word_hits(pieces, words), "hits")
 
@@ -247,12 +266,12 @@ def add_bonus(rows: DataFrame) -> DataFrame:
         "producer_coverage": F.when(present("producer"), F.coalesce("producer_coverage", F.lit(0.0))).otherwise(-1.0),
         "grape_mean": F.coalesce("grape_mean", F.lit(-1.0)), "grape_max": F.coalesce("grape_max", F.lit(-1.0)),
         "unique": F.coalesce("unique", F.lit(0.0)), "unique_share": F.coalesce("unique_share", F.lit(0.0)),
-        "_own": keys, "_producer": F.when(present("producer"), normalize_match_text(F.col("producer"))).otherwise(""),
-        "_name": F.concat(F.lit(" "), normalize_match_text(F.col("name")), F.lit(" ")), "_alcohol": alcohol_numbers(F.col("alcohol").cast("string")),
+        "_own": keys, "_producer": F.coalesce("producer_key", F.lit("")), "_name": F.concat(F.lit(" "), F.coalesce("name_key", F.lit("")), F.lit(" ")),
+        "_alcohol": F.coalesce("item_alcohol", F.array().cast("array<double>")),
     })
     parts = {}
     for kind in ("color", "sugar"):
-        own, other, match, contra = _category(kind, F.col(kind))
+        own, other, match, contra = _category(kind)
         parts |= {f"{kind}_own": own, f"{kind}_other": other, f"{kind}_match": match, f"{kind}_contradiction": contra}
     rows = rows.withColumns(parts)
     in_name = F.exists("producers_found", lambda p: F.contains(F.col("_name"), F.concat(F.lit(" "), p, F.lit(" "))))

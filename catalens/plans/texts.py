@@ -122,8 +122,7 @@ SCORE_SQL = f"""{TEXT_SQL}, {WINDOW_SQL},
 def hits(spark, d):
     views = m.text_views(recognised(spark, d))
     words = dictionary(spark, d)
-    raw = F.regexp_extract_all(F.concat_ws(" ", "name", "producer"), F.lit("((?U)\\w+)"), 1)
-    spoken = m.pool_words(catalog(spark, d).select(F.explode(raw).alias("raw")).distinct()).select("word")
+    spoken = m.item_words(catalog(spark, d)).select("word")
     known = words.names.select("word").unionByName(words.producers.select("word")).unionByName(words.grapes.select("word")).unionByName(spoken)
     return words, m.word_hits(m.text_pieces(views), known)
 

@@ -121,7 +121,11 @@ def split_events(spark, tmp_path_factory):
     """Events in several files, so a stream needs several batches."""
     base = f"{tmp_path_factory.mktemp('events')}/parts"
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(base)
+    days = events.select(F.min("ts"), F.max("ts")).first()
+    cuts = [days[0] + (days[1] - days[0]) / 4 * i for i in range(1, 4)]
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one file after another: streams read files by age
+        part = events.filter(F.lit(True) if low is None else F.col("ts") >= low).filter(F.lit(True) if high is None else F.col("ts") < high)
+        part.coalesce(1).write.mode("append").parquet(base)
     return events, base
 
 
