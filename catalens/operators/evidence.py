@@ -43,50 +43,45 @@ class TextDictionary:
     categories: DataFrame
 
 
-def token_idf(spellings: DataFrame, spelling: str) -> DataFrame:
-    """Smoothed idf of every token over all variants of the spellings: (word, idf). Each row is one document.
+def token_idf(spelled: DataFrame) -> DataFrame:
+    """Smoothed idf of every token over the spellings of its kind: (kind, word, idf).
 
-    Equal spellings are counted first and analysed once.
+    `spelled`: (kind, variants, docs); a spelling counts as `docs` documents.
     """
-    docs = spellings.groupBy(spelling).agg(one("_docs"))
-    docs = docs.select("_docs", F.array_distinct(F.flatten(F.transform(text_variants(F.col(spelling)), lambda v: F.split(v, " ")))).alias("_t"))
-    rows = spellings.agg(one("n"))
-    freq = docs.select("_docs", F.explode("_t").alias("word")).groupBy("word").agg(F.sum("_docs").alias("df"))
-    return freq.join(F.broadcast(rows)).select("word", idf_smooth(F.col("n"), F.col("df")).alias("idf"))  # single row
+    rows = spelled.groupBy("kind").agg(F.sum("docs").alias("n"))
+    toks = F.array_distinct(F.flatten(F.transform("variants", lambda v: F.split(v, " "))))
+    freq = spelled.select("kind", "docs", F.explode(toks).alias("word")).groupBy("kind", "word").agg(F.sum("docs").alias("df"))
+    return freq.join(F.broadcast(rows), "kind").select("kind", "word", idf_smooth(F.col("n"), F.col("df")).alias("idf"))  # one row per kind
 
 
-def entity_words(spellings: DataFrame, idf: DataFrame) -> DataFrame:
-    """(entity, spelling) → words of two or more letters per variant with weight idf·length and the variant's total."""
-    variants = spellings.select("entity", F.explode(text_variants(F.col("spelling"))).alias("variant")).distinct()
+def entity_words(spelled: DataFrame, idf: DataFrame) -> DataFrame:
+    """Words of two or more letters per entity variant with weight idf·length and the variant's total."""
+    variants = spelled.select("kind", "entity", F.explode("variants").alias("variant")).distinct()
     words = variants.withColumn("word", F.explode(F.split("variant", " "))).filter(F.length("word") >= 2)
-    weighed = words.join(broadcast_if_small(idf), "word").withColumn("weight", F.col("idf") * F.length("word"))
-    totals = weighed.groupBy("entity", "variant").agg(F.sum("weight").alias("total"))
+    weighed = words.join(broadcast_if_small(idf), ["kind", "word"]).withColumn("weight", F.col("idf") * F.length("word"))
+    keys = ["kind", "entity", "variant"]
+    totals = weighed.groupBy(*keys).agg(F.sum("weight").alias("total"))
     # a word repeated inside a variant keeps its repetitions as weight
-    merged = weighed.groupBy("entity", "variant", "word").agg(F.sum("weight").alias("weight"))
-    return merged.join(totals, ["entity", "variant"])
+    return weighed.groupBy(*keys, "word").agg(F.sum("weight").alias("weight")).join(totals, keys)
 
 
 def build_dictionary(catalog: DataFrame, categories: DataFrame) -> TextDictionary:
     """Dictionary of a catalogue (item_id, name, producer, producer_aliases, grapes array<struct<key, names>>).
 
-    Item names count with repetitions, producer spellings and grape spellings once.
+    Item names count with repetitions, producer spellings and grape spellings once. Each distinct
+    spelling is analysed once.
     """
-    names = catalog.filter(F.col("name") != "").select("name")
-    producers = (
-        catalog.filter(F.col("producer") != "")
-        .select(F.col("producer").alias("entity"), F.explode(F.array_distinct(F.concat(F.array("producer"), F.coalesce("producer_aliases", F.array().cast("array<string>"))))).alias("spelling"))
-        .distinct()
-    )
+    aliases = F.coalesce("producer_aliases", F.array().cast("array<string>"))
+    names = catalog.filter(F.col("name") != "").groupBy(F.col("name").alias("entity")).agg(one("docs")).withColumn("spelling", F.col("entity"))
+    producers = catalog.filter(F.col("producer") != "").select(F.col("producer").alias("entity"), F.explode(F.concat(F.array("producer"), aliases)).alias("spelling")).distinct()
     grapes = catalog.select(F.explode("grapes").alias("g")).select(F.col("g.key").alias("entity"), F.explode("g.names").alias("spelling")).distinct()
-    name_spellings = names.distinct().select(F.col("name").alias("entity"), F.col("name").alias("spelling"))
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "entity", "spelling")
-    return TextDictionary(
-        names=materialize(entity_words(name_spellings, token_idf(names, "name")), "names"),
-        producers=materialize(entity_words(producers, token_idf(producers, "spelling")), "producers"),
-        grapes=materialize(entity_words(grapes, token_idf(grapes, "spelling")), "grapes"),
-        phrases=kind(producers, "producer").unionByName(kind(grapes, "grape")),
-        categories=categories,
-    )
+    kind = lambda df, k, docs: df.select(F.lit(k).alias("kind"), "entity", "spelling", docs.alias("docs"))
+    once = F.lit(1).cast("long")
+    spellings = kind(names, "name", F.col("docs")).unionByName(kind(producers, "producer", once)).unionByName(kind(grapes, "grape", once))
+    spelled = materialize(spellings.withColumn("variants", text_variants(F.col("spelling"))), "spellings")
+    words = materialize(entity_words(spelled, token_idf(spelled)), "dictionary")
+    of = lambda k: words.filter(F.col("kind") == k).drop("kind")
+    return TextDictionary(of("name"), of("producer"), of("grape"), spelled.filter("kind <> 'name'").select("kind", "entity", "spelling"), categories)
 
 
 def text_views(queries: DataFrame) -> DataFrame:
