@@ -43,12 +43,11 @@ def test_numbers(spark):
 
 
 def test_ids(spark):
-    namespace = uuid.uuid5(uuid.NAMESPACE_URL, "wine-hakaton/food")
+    namespace = uuid.uuid5(uuid.NAMESPACE_URL, "catalens/food")
     names = ["сыры", "abc", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r[0] for r in df.select(values.uuid5(namespace, F.col("n"))).collect()]
     assert got == [str(uuid.uuid5(namespace, n)) for n in names]
-    assert got[0] == "96d89ab3-2eb3-5e94-9374-21a3f9b83524"
     assert one(spark, values.stable_shuffle(F.col("n")), n="сыры") == zlib.crc32("сыры".encode())
 
 
