@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,15 @@ def build_session(master: str | None = None, app_name: str = "catalens", **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, local runs) a
-    temporary folder is taken and remembered in the session.
+    A cluster names it in spark.checkpoint.dir. Where that is unset, a temporary folder is taken and
+    remembered in the session, but only if driver and executors are one machine: elsewhere each
+    executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.catalens.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = tempfile.mkdtemp(prefix="spark-catalens-")
         spark.conf.set("spark.catalens.shared.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
