@@ -38,26 +38,27 @@ STOP_WORDS = (
 )
 
 
-def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of `window` words that occur at least twice in the array; 64-bit hashes stand for windows.
+def repeated_words(windows: Column, window: int = WINDOW) -> Column:
+    """Number of words inside the windows that occur at least twice, from the array of window hashes by start.
 
-    Windows are only sorted where some hash repeats. A window starting at p covers what the previous repeated one left.
+    Hashes are only sorted where some hash repeats. A window starting at p covers what the previous repeated one left.
     """
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    last = F.size(tokens) - window
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))).otherwise(F.array().cast("array<bigint>"))
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda x, other: F.coalesce(other["h"] == x["h"], F.lit(False))
+    twice = let(ordered, lambda o: F.filter(o, lambda x, k: same(x, F.get(o, k - 1)) | same(x, F.get(o, k + 1))))
+    starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("p"))
+    covered = F.aggregate(starts, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"])
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered)
 
-    def covered(found: Column) -> Column:
-        ordered = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = let(ordered, lambda o: F.filter(o, lambda x, k: (F.coalesce(F.get(o, k - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(o, k + 1)["h"] == x["h"], F.lit(False)))))
-        starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("p"))
-        return F.aggregate(starts, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["p"])).alias("n"), p.alias("p")), lambda a: a["n"])
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+def doubled(hashes: str, step: int) -> Column:
+    """Hashes of runs twice as long, from the hashes of runs of `step` words by start; the last ones run over the end."""
+    return F.zip_with(hashes, F.slice(hashes, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -66,6 +67,10 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.select(*kept, body.alias("_text"), words(body).alias("_words"), lines.alias("_lines"))
+    split = split.withColumn("_runs", F.transform("_words", lambda w: F.xxhash64(w)))
+    for step in (1, 2, 4):  # to the 8 words of a window
+        split = split.withColumn("_runs", doubled("_runs", step))
+    split = split.withColumn("_windows", F.slice("_runs", 1, F.greatest(F.size("_words") - WINDOW + 1, F.lit(0))))
 
     def count(of: str) -> Column:
         return F.length("_text") - F.length(F.replace("_text", F.lit(of), F.lit("")))
@@ -76,7 +81,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")),
         "n_symbols": F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", "")),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_repeat_words": repeated_words(F.col("_windows")),
         "n_lines": F.size("_lines"),
         "n_stop_kinds": F.size(F.array_intersect("_words", stop_words)),
         "n_shouts": count("!"),
