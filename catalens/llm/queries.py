@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import quality
+from catalens.llm import decontaminate, quality, shards, substring, token_counts
 from catalens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str) -> str:
+    """A file of the installed public tokenizers; CATALENS_TOKENIZERS names another folder."""
+    if folder := os.environ.get("CATALENS_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,3 +43,55 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = materialize(quality.features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
     judged = quality.judge(featured, quality.fit(featured))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+@query(
+    "op5_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    wins AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)),
+    again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM wins) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 20)) AS p FROM again),
+    left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) a
+        WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.p = a.q) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_counts.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), scores)
+    return out.select("doc_id", "n_pretokens", "n_tokens", F.round("token_score", 4).alias("token_score"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_distinct(F.sort_array(F.transform("leaks", lambda x: x["item"])))
+    return out.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        items.alias("item_ids"),
+        F.round(F.coalesce(F.array_max(F.transform("leaks", lambda x: x["coverage"])), F.lit(0.0)), 6).alias("coverage"),
+        F.coalesce(F.array_max(F.transform("leaks", lambda x: F.size(x["tiles"]))), F.lit(0)).cast("long").alias("n_tiles"),
+    )
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = shards.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return written.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        shards.shard_of(F.col("doc_id"), F.col("text"), 9).alias("grown_shard"),
+    )
