@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontaminate, quality, shards, substring, token_counts
+from catalens.llm import decontaminate, licenses, quality, shards, substring, token_counts
 from catalens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         shards.shard_of(F.col("doc_id"), F.col("text"), 9).alias("grown_shard"),
     )
+
+
+@query("op6_license_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts, base = F.transform("base", lambda b: b["start"]), F.transform("base", lambda b: b["label"])
+    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.transform("detections", lambda d: d["label"]))).alias("labels"),
+        licenses.score().alias("score"),
+    )
