@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalens.session import materialize
+
 #: Runs of space, tab, line feed, vertical tab, form feed and carriage return separate words; bytes.split() splits at the same six.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -107,3 +109,18 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Total UTF-8 bytes of a column; sizes partitions in proportion to the data."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def running_totals(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over all earlier rows in a total order, without one task for all rows.
+
+    Rows are range-partitioned by the order and stored with their range; sums inside each range are shifted by the
+    total of the ranges before it (as many rows as there are partitions).
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.withColumn("_value", value.cast("long")).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum("_value").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(name, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return summed.join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_offset")).drop("_range", "_offset", "_value")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import decontaminate, licenses, quality, shards, substring, token_counts
+from catalens.llm import chat, decontaminate, licenses, quality, shards, substring, token_counts
 from catalens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """How the byte-level tokenizers cut a text before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,3 +119,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(base, F.transform("detections", lambda d: d["label"]))).alias("labels"),
         licenses.score().alias("score"),
     )
+
+
+@query("op8_chat_formatting")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    vocabulary, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern()
+    convs = chat.conversations(rows)
+    read = chat.read_back(chat.branches(convs, vocabulary, pattern), vocabulary, pattern)
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    digests = read.select(
+        "leaf",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return convs.select("conv_id", "leaf").join(digests, "leaf").drop("leaf")
