@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from catalens.llm import chat, decontaminate, html_text, licenses, neardup, packing, quality, shards, substring, token_counts
+from catalens.llm.tokenizers import tokenizer_path, tokenizer_pattern
 from catalens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,22 +26,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path(name: str) -> str:
-    """A file of the installed public tokenizers; CATALENS_TOKENIZERS names another folder."""
-    if folder := os.environ.get("CATALENS_TOKENIZERS"):
-        return os.path.join(folder, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def tokenizer_pattern() -> str:
-    """How the byte-level tokenizers cut a text before merging."""
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -157,3 +142,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
