@@ -221,7 +221,8 @@ def crossing(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: i
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but one of each group of near duplicates."""
-    gone = materialize(near_duplicates(docs, id_col, text).filter("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).distinct(), "near-duplicates")
+    """The documents without all but one of each group of near duplicates. An id goes if none of its rows is kept."""
+    judged = near_duplicates(docs, id_col, text).groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).agg(F.max("kept").alias("kept"))
+    gone = materialize(judged.filter("not kept").select("doc_id"), "near-duplicates")
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
     return only(keyed, gone, "left_anti", "_id").select(*docs.columns)

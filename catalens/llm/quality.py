@@ -181,9 +181,10 @@ def judge(featured: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
 
 def kept_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Documents that are kept, with the columns of the input. The counts are stored beside the input's columns, so texts are split once."""
-    featured = materialize(features(docs, text), "quality")
-    return judge(featured, fit(featured), threshold).filter("kept").select(*docs.columns)
+    """Documents that are kept, with the columns of the input. The counts are stored beside the whole rows, so texts are split once."""
+    whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body"))
+    featured = materialize(features(whole, "_body").drop("_body"), "quality")
+    return judge(featured, fit(featured), threshold).filter("kept").select("_row.*")
 
 
 __all__ = ["COUNTS", "WHITE_SPACE", "Model", "base_failed", "features", "fit", "judge", "kept_documents", "repeated_words", "rules"]
