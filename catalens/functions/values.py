@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zoneinfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values --------------------------------------------------------------------------------
 DEFAULT_ZONE = "Europe/Moscow"
+ZONES = zoneinfo.available_timezones() - {"Factory", "localtime", "posixrules"}
 LABEL_ALCOHOL = (5.0, 25.0)
 CATALOG_ALCOHOL = (3.0, 25.0)
 TEMPERATURE = (0.0, 25.0)
@@ -101,8 +103,8 @@ def clip_bonus(score: Column) -> Column:
 
 
 def local_time(ts: Column, zone: Column) -> Column:
-    """UTC timestamp in the user's zone; a missing zone means the default one."""
-    return F.from_utc_timestamp(ts, F.coalesce(zone, F.lit(DEFAULT_ZONE)))
+    """UTC timestamp in the user's zone; a missing or unknown zone means the default one."""
+    return F.from_utc_timestamp(ts, F.when(zone.isin(*sorted(ZONES)), zone).otherwise(DEFAULT_ZONE))
 
 
 def pseudonymise(identifier: Column) -> Column:

@@ -160,13 +160,12 @@ def my_reviews(reviews: DataFrame, reactions: DataFrame, items: DataFrame) -> Da
 
 
 def review_photos(photos: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Photos of existing reviews in upload order; reviews beyond the cap are marked, their photos stay unnumbered."""
+    """Photos of existing reviews, numbered in upload order. The first MAX_REVIEW_PHOTOS stay; later ones are over the cap, as a refused upload is."""
     kept = photos.join(reviews.select("user_id", "item"), ["user_id", "item"], "left_semi")
     counts = kept.groupBy("user_id", "item").agg(one("photos"))
-    rows = kept.join(counts, ["user_id", "item"]).withColumn("over_cap", F.col("photos") > MAX_REVIEW_PHOTOS)
     place = F.row_number().over(Window.partitionBy("user_id", "item").orderBy("created_at", "photo"))
-    fine = rows.filter(~F.col("over_cap")).withColumn("position", place.cast("long"))  # at most five rows a group
-    return fine.unionByName(rows.filter(F.col("over_cap")).withColumn("position", F.lit(None).cast("long")))
+    rows = kept.withColumn("position", place.cast("long")).join(counts, ["user_id", "item"])
+    return rows.withColumn("over_cap", F.col("position") > MAX_REVIEW_PHOTOS)
 
 
 def check_reviews(reviews: DataFrame, notifications: DataFrame) -> DataFrame:
@@ -209,11 +208,11 @@ def reminders(history: DataFrame, favorites: DataFrame, reviews: DataFrame, now:
     return notes, items, open_.select("search_id", "user_id")
 
 
-def reaction_digest(users: DataFrame, reactions: DataFrame, now: Column, batch: int | None = BATCH) -> DataFrame:
+def reaction_digest(users: DataFrame, reactions: DataFrame, now: Column, batch: int | None = None) -> DataFrame:
     """Due authors with the number of distinct reactors since their last digest; the marker moves even for zero.
 
-    `users`: (user_id, period_minutes, notified_at). Never-notified users come first; the batch size is
-    the worker's own limit per run, None takes all.
+    `users`: (user_id, period_minutes, notified_at). Never-notified users come first; a worker that runs
+    often may take a `batch` of authors at a time.
     """
     span = F.make_dt_interval(F.lit(0), F.lit(0), F.col("period_minutes"))
     due = users.filter((F.col("period_minutes") > 0) & (F.col("notified_at").isNull() | (F.col("notified_at") <= now - span)))

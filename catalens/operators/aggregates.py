@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.session import estimated_bytes, materialize
-
-SMALL_BYTES = 32 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """Broadcast hint only when the size estimate stays below `limit`; otherwise Spark shuffles."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+from catalens.session import materialize
 
 
 def one(name: str = "n") -> Column:
@@ -81,14 +74,12 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def enumerate_rows(df: DataFrame, order: list[Column], rank: str = "rank", small_bytes: int = SMALL_BYTES) -> DataFrame:
+def enumerate_rows(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """Sequential rank 1..n over the whole table in a total order.
 
-    Small inputs (by size estimate) take one window. Otherwise rows are range-partitioned by the order,
-    stored with their partition number, numbered inside each range and shifted by the rows before it.
+    Rows are range-partitioned by the order, stored with their partition number, numbered inside each
+    range and shifted by the rows before it.
     """
-    if estimated_bytes(df) <= small_bytes:
-        return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
@@ -137,13 +128,13 @@ def exact_quantiles(
                                (pos - F.floor(pos)).cast("double").alias("f"), lo.alias("lo"), hi.alias("hi")))
     ranks = sketch.select(*groups, F.explode(F.array(*wanted)).alias("_w")).select(*groups, "_w.*")
     brackets = ranks.groupBy(*groups).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("_b"))
-    joined = data.join(broadcast_if_small(brackets), groups) if groups else data.join(F.broadcast(brackets))
+    joined = data.join(brackets, groups) if groups else data.join(F.broadcast(brackets))
     # one row per wanted quantile: below the bracket the value is dropped and only counted
     hits = joined.select(*groups, "_v", F.explode("_b").alias("_b")).select(*groups, "_b.q", F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"), F.col("_b.hi").alias("_hi"))
     counted = hits.filter(F.col("_v").isNull() | (F.col("_v") <= F.col("_hi"))).groupBy(*groups, "q", "_v").agg(one("_c"))
     w = Window.partitionBy(*groups, "q").orderBy(F.col("_v").asc_nulls_first())
     cumulative = counted.withColumn("_upto", F.sum("_c").over(w))
-    picked = cumulative.join(broadcast_if_small(ranks), [*groups, "q"]).filter(F.col("_v").isNotNull())
+    picked = cumulative.join(ranks, [*groups, "q"]).filter(F.col("_v").isNotNull())
 
     def at(rank: str) -> Column:
         return F.min(F.when(F.col("_upto") >= F.col(rank), F.col("_v")))

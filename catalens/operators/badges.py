@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions.text import to_search_latin
-from catalens.operators.aggregates import broadcast_if_small, busiest_day, enumerate_rows, longest_streak, one
+from catalens.operators.aggregates import busiest_day, enumerate_rows, longest_streak, one
 
 # --- fixed values ----------------------------------------------------------------------------------
 SCAN_CONFIDENCE, HIGH_CONFIDENCE = 0.7, 0.9
@@ -74,7 +74,7 @@ BADGE_SCHEMA = "pos long, code string, category string, target long, metric stri
 def counted_scans(history: DataFrame, items: DataFrame) -> DataFrame:
     """Scans that count: an account, a known item, camera, confidence ≥ .7; with item attributes."""
     good = history.filter(F.col("user_id").isNotNull() & F.col("item").isNotNull() & (F.col("confidence") >= SCAN_CONFIDENCE) & F.col("from_camera"))
-    return good.join(broadcast_if_small(items), "item")
+    return good.join(items, "item")
 
 
 def scan_metrics(scans: DataFrame, items: DataFrame, rules: BadgeRules = BadgeRules()) -> DataFrame:
@@ -87,7 +87,7 @@ def scan_metrics(scans: DataFrame, items: DataFrame, rules: BadgeRules = BadgeRu
         any_(F.weekday(at) >= 5).alias("weekend"), any_(F.month(at).isin(12, 1) & F.col("sparkling")).alias("new_year_sparkling"),
         any_(F.month(at).isin(6, 7, 8) & (F.col("color") == rules.white)).alias("summer_white"), any_(F.month(at).isin(9, 10, 11) & (F.col("color") == rules.red)).alias("autumn_red"),
     )
-    unique = scans.select("user_id", "item").distinct().join(broadcast_if_small(items), "item")
+    unique = scans.select("user_id", "item").distinct().join(items, "item")
     spread = lambda c: F.count_distinct(F.when(F.col(c) != "", F.col(c)))
     counts = unique.groupBy("user_id").agg(
         one("items"), spread("region").alias("regions"), spread("color").alias("colors"), spread("sugar").alias("sugars"), spread("producer").alias("producers"),
@@ -98,7 +98,7 @@ def scan_metrics(scans: DataFrame, items: DataFrame, rules: BadgeRules = BadgeRu
     each = each.filter(F.col("metric").isNotNull()).groupBy("user_id", "metric").agg(one("value"))
     grapes = unique.select("user_id", F.explode("grapes").alias("grape"))
     rare = items.select(F.explode("grapes").alias("grape")).groupBy("grape").agg(one("n")).filter(F.col("n") <= RARE_ITEMS).select("grape", F.lit(1).cast("long").alias("is_rare"))
-    vines = grapes.join(broadcast_if_small(rare), "grape", "left").groupBy("user_id").agg(F.count_distinct("grape").alias("grapes"), F.coalesce(F.max("is_rare"), F.lit(0)).alias("rare_grape"))
+    vines = grapes.join(rare, "grape", "left").groupBy("user_id").agg(F.count_distinct("grape").alias("grapes"), F.coalesce(F.max("is_rare"), F.lit(0)).alias("rare_grape"))
     brand = unique.groupBy("user_id", "producer").agg(one("n")).groupBy("user_id").agg(F.max("n").alias("same_producer"))
     days = scans.withColumn("_day", F.to_date("local_ts"))
     wide = [times, counts, vines, brand, longest_streak(days, "user_id", "_day"), busiest_day(days, "user_id", "_day", "item")]
@@ -248,7 +248,7 @@ def badge_list(badges: DataFrame, users: DataFrame, states: DataFrame, earned: D
     shown = with_visibility(rows).filter("visible")
     holders = earned.groupBy("code").agg(one("_holders"))
     players = earned.agg(F.count_distinct("user_id").alias("_players"))
-    shown = shown.join(broadcast_if_small(holders), "code", "left").join(F.broadcast(players))  # single row
+    shown = shown.join(holders, "code", "left").join(F.broadcast(players))  # single row
     percent = F.when(F.col("_players") > 0, F.round(F.coalesce("_holders", F.lit(0)) / F.col("_players") * 100, 2)).otherwise(0.0)
     return shown.withColumn("earned_by_percent", percent).withColumn("secret", F.col("hidden") & F.col("series").isNull()).select(
         "user_id", "pos", "code", "progress", "target", "earned", "earned_at", "secret", "earned_by_percent"

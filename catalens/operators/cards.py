@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.operators.aggregates import broadcast_if_small, one
+from catalens.operators.aggregates import one
 
 # --- fixed values ----------------------------------------------------------------------------------
 MIN_CONFIDENCE = 0.25
@@ -24,7 +24,7 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 def name_lists(links: DataFrame, names: DataFrame, item: str, key: str, name: str, out: str) -> DataFrame:
     """Sorted distinct linked names per item; duplicates vanish before the lists form."""
-    pairs = links.select(item, key).distinct().join(broadcast_if_small(names), key)
+    pairs = links.select(item, key).distinct().join(names, key)
     return pairs.groupBy(item).agg(F.array_sort(F.collect_set(name)).alias(out))
 
 
@@ -40,7 +40,7 @@ def photo_facts(photos: DataFrame, item: str) -> DataFrame:
 def item_cards(items: DataFrame, item: str, dimensions: list[tuple[DataFrame, str]], lists: list[DataFrame]) -> DataFrame:
     """Items left-joined with nullable dimensions (frame, key) and per-item list or fact frames."""
     for frame, key in dimensions:
-        items = items.join(broadcast_if_small(frame), key, "left")
+        items = items.join(frame, key, "left")
     for frame in lists:
         items = items.join(frame, item, "left")
     return items
@@ -51,7 +51,7 @@ def by_ids(cards: DataFrame, ids: DataFrame, key: str, uuid_only: bool = True) -
     wanted = ids.select(F.col(key).cast("string").alias(key)).distinct()
     if uuid_only:
         wanted = wanted.filter(F.col(key).rlike(UUID_PATTERN))
-    return cards.join(broadcast_if_small(wanted), key, "left_semi")
+    return cards.join(wanted, key, "left_semi")
 
 
 def evidence_slice(ids: DataFrame, cards: DataFrame, key: str, columns: list[str], producer: str, placeholder: str) -> DataFrame:
@@ -89,7 +89,7 @@ def passes(spec: Filters, skip: str | None = None, rating: str = "rating") -> Co
 
 def map_groups(df: DataFrame, column: str, groups: DataFrame, out: str) -> DataFrame:
     """Raw value → its group; values without a group pass through. `groups`: (raw, grp)."""
-    mapped = df.join(broadcast_if_small(groups), F.col(column) == F.col("raw"), "left")
+    mapped = df.join(groups, F.col(column) == F.col("raw"), "left")
     return mapped.withColumn(out, F.coalesce("grp", column)).drop("raw", "grp")
 
 

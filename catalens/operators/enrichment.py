@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from catalens.functions.text import blank_to_null, collapse_spaces, normalize_match_text, ru_to_lat
 from catalens.functions.values import CATALOG_ALCOHOL, TEMPERATURE, format_percent_range, format_temperature, plausible, uuid5
-from catalens.operators.aggregates import broadcast_if_small, first_per_key, one
+from catalens.operators.aggregates import first_per_key, one
 from catalens.session import spread
 
 # --- fixed values ----------------------------------------------------------------------------------
@@ -104,7 +104,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, toks: str = "tok
     spread = phrases.select("phrase_id", "phrase", F.posexplode("phrase").alias("offset", "token"))
     rated = spread.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchors = first_per_key(rated, ["phrase_id"], ["df", "offset"]).select("phrase_id", "phrase", "offset", "token")
-    near = words.join(broadcast_if_small(anchors), "token").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+    near = words.join(anchors, "token").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
     checked = near.select(key, "phrase_id", "phrase", "start").join(texts.select(key, F.col(toks).alias("_toks")), key)
     same = F.slice("_toks", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
     return checked.filter(same).select(key, "phrase_id", "start", (F.col("start") + F.size("phrase")).alias("end"))
@@ -117,7 +117,7 @@ def pick_spans(hits: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """
     chars = F.length(F.array_join("phrase", " "))
     info = phrases.select("phrase_id", "entity", (-F.size("phrase")).alias("l"), (-chars).alias("c"))
-    spans = hits.join(broadcast_if_small(info), "phrase_id")
+    spans = hits.join(info, "phrase_id")
     listed = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("l", "c", "phrase_id", "start", "end", "entity"))).alias("_s"))
     none = F.filter("_s", lambda s: F.lit(False))
 
@@ -158,7 +158,7 @@ def word_dictionary(pairs: DataFrame, manual: dict[str, str] = MANUAL_WORDS) ->
 
 def derive_aliases(names: DataFrame, words: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """New aliases (key, alias) for names with at least one dictionary word; other words are transliterated; existing ones kept apart."""
-    parts = names.select(key, F.posexplode(latin_words(F.col("name"))).alias("pos", "word")).join(broadcast_if_small(words), "word", "left")
+    parts = names.select(key, F.posexplode(latin_words(F.col("name"))).alias("pos", "word")).join(words, "word", "left")
     put = F.coalesce("spelling", ru_to_lat(F.col("word")))
     built = parts.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", put.alias("w")))), lambda x: x["w"]), " ").alias("alias"), F.count("spelling").alias("_known")
@@ -179,7 +179,7 @@ def replace_placeholder(rows: DataFrame, dims: DataFrame, resolved: DataFrame, i
     name = F.trim("resolved")
     mapping = F.create_map(*[F.lit(x) for pair in (aliases or {"": ""}).items() for x in pair])
     wanted = resolved.select(item, F.coalesce(F.element_at(mapping, F.lower(name)), name).alias("_name")).filter("_name <> ''").withColumn("_key", F.lower("_name"))
-    target = rows.join(broadcast_if_small(unknown), dim, "left_semi").join(wanted, item).join(broadcast_if_small(known), "_key", "left")
+    target = rows.join(unknown, dim, "left_semi").join(wanted, item).join(known, "_key", "left")
     target = target.withColumn("_to", F.coalesce("_id", uuid5(ns, F.col("_key"))))
     created = first_per_key(target.filter("_id IS NULL").select("_to", "_name", item), ["_to"], [item]).select(F.col("_to").alias("id"), F.col("_name").alias("name"))
     out = rows.join(target.select(item, "_to"), item, "left").withColumn(dim, F.coalesce("_to", dim)).drop("_to")

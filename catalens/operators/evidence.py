@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalens.functions.similarity import similar_pairs
 from catalens.functions.text import bigram_glue, normalize_match_text, text_variants, word_windows
 from catalens.functions.values import alcohol_numbers, clip_bonus, idf_pool, idf_smooth
-from catalens.operators.aggregates import broadcast_if_small, one, top_k
+from catalens.operators.aggregates import one, top_k
 from catalens.session import materialize, spread
 
 # --- fixed values of the formula -------------------------------------------------------------------
@@ -58,7 +58,7 @@ def entity_words(spelled: DataFrame, idf: DataFrame) -> DataFrame:
     """Words of two or more letters per entity variant with weight idf·length and the variant's total."""
     variants = spelled.select("kind", "entity", F.explode("variants").alias("variant")).distinct()
     words = variants.withColumn("word", F.explode(F.split("variant", " "))).filter(F.length("word") >= 2)
-    weighed = words.join(broadcast_if_small(idf), ["kind", "word"]).withColumn("weight", F.col("idf") * F.length("word"))
+    weighed = words.join(idf, ["kind", "word"]).withColumn("weight", F.col("idf") * F.length("word"))
     keys = ["kind", "entity", "variant"]
     totals = weighed.groupBy(*keys).agg(F.sum("weight").alias("total"))
     # a word repeated inside a variant keeps its repetitions as weight
@@ -104,14 +104,14 @@ def word_hits(pieces: DataFrame, words: DataFrame, threshold: float = TOKEN_THRE
     Similarity is computed once per distinct (word, piece) pair, whatever the number of texts.
     """
     pairs = similar_pairs(pieces.select("piece").distinct(), words.select("word").distinct(), threshold, "piece", "word")
-    return pieces.join(broadcast_if_small(pairs), "piece").groupBy("query_id", "view", "word").agg(F.max("ratio").alias("score"))
+    return pieces.join(pairs, "piece").groupBy("query_id", "view", "word").agg(F.max("ratio").alias("score"))
 
 
 def entity_coverage(asked: DataFrame, words: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, entity) → share of the entity found in the text, best over text views and spellings."""
     per = (
         asked.select("query_id", "entity").distinct()
-        .join(broadcast_if_small(words), "entity")
+        .join(words, "entity")
         .join(hits, ["query_id", "word"])
         .groupBy("query_id", "entity", "variant", "view", "total")
         .agg(F.sum(F.col("weight") * F.col("score")).alias("num"))
@@ -143,14 +143,14 @@ def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], thre
     fits = (F.col("glue") == F.col("joined")) & F.col("size").between(F.col("lo"), F.col("hi"))
     known = phrases.select("known", "lo", "hi", "glue").distinct()
     pairs = similar_pairs(seen.select("window", "size", "joined").distinct(), known, threshold, "window", "known", condition=fits)
-    found = pairs.join(broadcast_if_small(phrases), ["known", "lo", "hi", "glue"]).groupBy("window", "size", "joined", *keys).agg(F.max("ratio").alias("ratio"))
-    return seen.join(broadcast_if_small(found), ["window", "size", "joined"]).groupBy("query_id", *keys).agg(F.max("ratio").alias("score"))
+    found = pairs.join(phrases, ["known", "lo", "hi", "glue"]).groupBy("window", "size", "joined", *keys).agg(F.max("ratio").alias("ratio"))
+    return seen.join(found, ["window", "size", "joined"]).groupBy("query_id", *keys).agg(F.max("ratio").alias("score"))
 
 
 def unique_evidence(pool: DataFrame, hits: DataFrame) -> DataFrame:
     """Per candidate the pool-rare words of its name and producer that the text shows: (unique, unique_share)."""
     spoken = item_words(pool.select("item_id", "name", "producer").distinct())
-    words = pool.select("query_id", "item_id").join(broadcast_if_small(spoken), "item_id")
+    words = pool.select("query_id", "item_id").join(spoken, "item_id")
     scored = words.join(hits.groupBy("query_id", "word").agg(F.max("score").alias("score")), ["query_id", "word"], "left")
     doc = scored.groupBy("query_id", "item_id", "key").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("value"))
     df = doc.groupBy("query_id", "key").agg(one("df"))
@@ -167,7 +167,7 @@ def item_words(items: DataFrame) -> DataFrame:
     """(item_id, key, word) of the item's name and producer; each distinct raw word is spelled out once."""
     raw = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "name", "producer"), F.lit("((?U)\\w+)"), 1))
     parts = items.select("item_id", F.explode(raw).alias("raw"))
-    return parts.join(broadcast_if_small(materialize(pool_words(parts.select("raw").distinct()), "spoken")), "raw").select("item_id", "key", "word")
+    return parts.join(materialize(pool_words(parts.select("raw").distinct()), "spoken"), "raw").select("item_id", "key", "word")
 
 
 def pool_words(raw: DataFrame) -> DataFrame:

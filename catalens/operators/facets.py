@@ -51,10 +51,7 @@ def prepare_entries(cards: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame
     hay = F.concat_ws(" ", "name", "producer", F.array_join("grapes", " "), "region", "color", "sugar", F.when(F.col("sparkling"), rules.sparkling_word))
     tastes = []
     for taste in rules.tastes:
-        match = F.regexp_extract("description", f"(?U)({taste.pattern})", 1)
-        reason = F.when(match != "", F.concat(F.lit(rules.taste_quote[0]), match, F.lit(rules.taste_quote[1])))
-        if taste.alcohol:
-            reason = reason.when(F.expr(taste.alcohol), taste.alcohol_reason)
+        reason = F.coalesce(*[F.when(F.expr(condition), F.expr(reason)) for condition, reason in taste.evidence])
         tastes.append(F.when(reason.isNotNull(), F.struct(F.lit(taste.key).alias("key"), reason.alias("value"))))
     return (
         entries.withColumn("sparkling", sparkling)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.functions.text import ENDINGS, EXACT_ONLY_TERMS, WORD_PATTERN, glossary_form, term_stems
-from catalens.operators.aggregates import broadcast_if_small
 from catalens.session import spread
 
 SPANS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("near", T.BooleanType())]))
@@ -52,7 +51,7 @@ def term_hits(texts: DataFrame, index: DataFrame, key: str, endings: tuple[str,
     """
     firsts = index.filter(F.size("stems") > 0).select("term_id", "stems", "exact", F.col("stems")[0].alias("stem"))
     words = texts.select(key, F.posexplode("spans").alias("pos", "s")).select(key, "pos", F.explode(_stem_forms(F.col("s.word"), endings)).alias("f"))
-    near = words.select(key, "pos", "f.stem", "f.ending").join(broadcast_if_small(firsts), "stem").filter(~F.col("exact") | (F.col("ending") == ""))
+    near = words.select(key, "pos", "f.stem", "f.ending").join(firsts, "stem").filter(~F.col("exact") | (F.col("ending") == ""))
     # longer phrases look at the words that follow
     single = near.filter(F.size("stems") == 1).select(key, "term_id", "pos", F.lit(1).alias("words"))
     many = near.filter(F.size("stems") > 1).join(texts.select(key, "spans"), key)
@@ -76,7 +75,7 @@ def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endi
     spans = spread(texts.select(key, text)).select(key, word_spans(glossary_form(F.col(text))).alias("spans"))
     hits = term_hits(spans, terms, key, endings)
     order = terms.select("term_id", (-F.size("stems")).alias("_len"), "term")
-    ranked = hits.join(broadcast_if_small(order), "term_id")
+    ranked = hits.join(order, "term_id")
     listed = ranked.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "_len", "term", "term_id", "words"))).alias("_c"))
     start = F.struct(F.lit(0).alias("next"), F.filter("_c", lambda x: F.lit(False)).alias("got"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.functions import values, vectors
-from catalens.operators.aggregates import broadcast_if_small, first_per_key, one, top_k
+from catalens.operators.aggregates import first_per_key, one, top_k
 from catalens.session import materialize
 
 # --- fixed values of the ranking formula ----------------------------------------------------------
@@ -227,7 +227,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = PER_VIEW_TOP_K, exc
 def nearest_item(queries: DataFrame, corpus: DataFrame, items: DataFrame, exclude_self: bool = False) -> DataFrame:
     """Item of the single nearest vector; `items` maps id → item."""
     best = knn_join(queries, corpus, 1, exclude_self)
-    return best.join(broadcast_if_small(items), "id").select("query", "view", "id", "item", "score")
+    return best.join(items, "id").select("query", "view", "id", "item", "score")
 
 
 def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, centers: int = 16, probes: int = 4, exclude_self: bool = False) -> DataFrame:
@@ -279,7 +279,7 @@ def fold_to_items(matches: DataFrame, items: DataFrame, limit: int = CANDIDATE_L
     View score = .75·best + .25·mean of the best three; item score = .7·max + .3·sum of weighted views.
     """
     weights = view_weights(matches).select("query", "view", "weight")
-    known = matches.join(broadcast_if_small(items), "id").filter(F.col("item").isNotNull())
+    known = matches.join(items, "id").filter(F.col("item").isNotNull())
     place = F.row_number().over(Window.partitionBy("query", "item", "view").orderBy(F.col("score").desc(), "rank"))
     placed = known.withColumn("_p", place)
     per_view = placed.groupBy("query", "item", "view").agg(

@@ -8,12 +8,18 @@ from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
-class Taste:
+class Sign:
+    """A trait an entry may show. `evidence` holds (SQL condition, SQL reason) pairs, the first that holds gives the reason."""
+
     key: str
     label: str
-    pattern: str
-    alcohol: str | None = None
-    alcohol_reason: str = ""
+    evidence: tuple[tuple[str, str], ...]
+
+
+def said(pattern: str, quote: tuple[str, str] = ("в описании: «", "»")) -> tuple[str, str]:
+    """Evidence from the description: the first match of the pattern, quoted."""
+    found = f"regexp_extract(description, r'(?U)({pattern})', 1)"
+    return f"{found} <> ''", f"concat('{quote[0]}', {found}, '{quote[1]}')"
 
 
 @dataclass(frozen=True)
@@ -42,7 +48,7 @@ class Likes:
 @dataclass(frozen=True)
 class RuleBook:
     dishes: dict[str, tuple[str, tuple[str, ...]]]
-    tastes: tuple[Taste, ...]
+    tastes: tuple[Sign, ...]
     sparkling_pattern: str
     sparkling_sugars: tuple[str, ...]
     sparkling_word: str
@@ -50,7 +56,6 @@ class RuleBook:
     occasions: dict[str, tuple[str, tuple[Rule | Dishes | Likes, ...]]]
     sugar_order: tuple[str, ...]
     dish_reason: str = "сочетается с: "
-    taste_quote: tuple[str, str] = ("в описании: «", "»")
     min_occasion: float = 2.0
 
 
@@ -76,13 +81,13 @@ WINE_RULES = RuleBook(
         "fastfood": ("Фастфуд", ("Фастфуд",)),
     },
     tastes=(
-        Taste("fresh", "Бодрое", r"свеж\w*|бодрящ\w*|цитрус\w*|кислотн\w*"),
-        Taste("fruity", "Ягоды и фрукты", r"фрукт\w*|ягод\w*|персик\w*|абрикос\w*|вишн\w*|черешн\w*|слив\w*|малин\w*|смородин\w*|яблок\w*|груш\w*"),
-        Taste("floral", "С цветочными нотами", r"цветоч\w*|цветов\w*|цветы|акаци\w*|жасмин\w*|бузин\w*|лепестк\w*|\bроз[аыу]\b"),
-        Taste("aged", "С выдержкой", r"выдерж\w*|дуб\w*|бочк\w*|ванил\w*|табак\w*|\bкож[аиу]\b"),
-        Taste("full", "Насыщенное", r"плотн\w*|насыщенн\w*|полнотел\w*|концентрир\w*|маслянист\w*", "alcohol >= 14", "крепость от 14%"),
-        Taste("light", "Лёгкое, питкое", r"л[её]гк\w*|элегантн\w*|изящн\w*|воздушн\w*", "alcohol <= 11.5", "крепость до 11,5%"),
-        Taste("spicy", "Со специями", r"прян\w*|специ\w*|перц\w*|гвоздик\w*|кориц\w*"),
+        Sign("fresh", "Бодрое", (said(r"свеж\w*|бодрящ\w*|цитрус\w*|кислотн\w*"),)),
+        Sign("fruity", "Ягоды и фрукты", (said(r"фрукт\w*|ягод\w*|персик\w*|абрикос\w*|вишн\w*|черешн\w*|слив\w*|малин\w*|смородин\w*|яблок\w*|груш\w*"),)),
+        Sign("floral", "С цветочными нотами", (said(r"цветоч\w*|цветов\w*|цветы|акаци\w*|жасмин\w*|бузин\w*|лепестк\w*|\bроз[аыу]\b"),)),
+        Sign("aged", "С выдержкой", (said(r"выдерж\w*|дуб\w*|бочк\w*|ванил\w*|табак\w*|\bкож[аиу]\b"),)),
+        Sign("full", "Насыщенное", (said(r"плотн\w*|насыщенн\w*|полнотел\w*|концентрир\w*|маслянист\w*"), ("alcohol >= 14", "'крепость от 14%'"))),
+        Sign("light", "Лёгкое, питкое", (said(r"л[её]гк\w*|элегантн\w*|изящн\w*|воздушн\w*"), ("alcohol <= 11.5", "'крепость до 11,5%'"))),
+        Sign("spicy", "Со специями", (said(r"прян\w*|специ\w*|перц\w*|гвоздик\w*|кориц\w*"),)),
     ),
     sparkling_pattern=r"игрист|шампан|перляж|брют|петнат|pet[\s-]?nat",
     sparkling_sugars=("брют", "экстра брют"),

@@ -177,7 +177,7 @@ def _(spark, d):
     return brand_rows(spark, d)[1]
 
 
-HEAD, ENTRY = "<h1>([^<]*)</h1>", "<p>(?:<b>)?([^.<]{1,60})\\.([^<]+)</p>"
+HEAD, ENTRY = "<h1>([^<]*)</h1>", "<p>(?:<b>)?([^.<]+)\\.([^<]+)</p>"
 CLEAN = "regexp_replace(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '\\.{{2,}}(\\s|$)', '.\\1', 'g'), '\\.{{2,}}$', '.')"
 UNESC = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalens.operators import facets as f
-from catalens.operators.rulebook import Dishes, Likes, Rule, RuleBook, Taste
+from catalens.operators.rulebook import Dishes, Likes, Rule, RuleBook, Sign, said
 from catalens.plans.registry import Tables, query
 
 C = F.col
 
+QUOTE = ("text says: [", "]")
 PART_RULES = RuleBook(
     dishes={"metal": ("Metal work", ("ring", "bolt", "gear", "nut")), "light": ("Light work", ("widget", "lamp"))},
-    tastes=(Taste("vivid", "Vivid", "red|blue|green", None), Taste("strong", "Strong", "large|hot", "alcohol >= 20", "size from 20"), Taste("weak", "Weak", "small|cold", "alcohol <= 6", "size up to 6")),
+    tastes=(
+        Sign("vivid", "Vivid", (said("red|blue|green", QUOTE),)), Sign("strong", "Strong", (said("large|hot", QUOTE), ("alcohol >= 20", "'size from 20'"))),
+        Sign("weak", "Weak", (said("small|cold", QUOTE), ("alcohol <= 6", "'size up to 6'"))),
+    ),
     sparkling_pattern="promo|small", sparkling_sugars=("hot", "red"), sparkling_word="sparkle", types={"sparkling": "Sparkling", "still": "Still"},
     occasions={
         "gift": ("As a gift", (Rule("rating >= 4.0", 2, "concat('rating ', format_string('%.2f', rating))"), Likes("vivid", 1), Rule("sparkling", 0.5, "'sparkling'"))),
         "daily": ("Every day", (Rule("NOT sparkling AND color IN ('ECONOMY', 'SMALL')", 1, "concat(lower(color), ' is fine')"), Dishes(("metal",), 1.5), Likes("weak", 0.5))),
         "party": ("Big party", (Rule("sparkling", 2, "'for all'"), Dishes(("light",), 1))),
     },
-    sugar_order=("red", "blue", "green"), dish_reason="goes with: ", taste_quote=("text says: [", "]"),
+    sugar_order=("red", "blue", "green"), dish_reason="goes with: ",
 )
 
 SEARCHES = [

@@ -20,7 +20,7 @@ def _(spark, d):
 @query("items_with_region", "J2", "SELECT p_partkey, n_name FROM part LEFT JOIN nation ON n_nationkey = p_size")
 def _(spark, d):
     t = Tables(spark, d)
-    return t.part.join(a.broadcast_if_small(t.nation), C("n_nationkey") == C("p_size"), "left").select("p_partkey", "n_name")
+    return t.part.join(t.nation, C("n_nationkey") == C("p_size"), "left").select("p_partkey", "n_name")
 
 
 @query("orders_with_returns", "J3", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -179,11 +179,11 @@ def _(spark, d):
 
 @query(
     "longest_streaks", "W2,B3",
-    """WITH dd AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'view'), g AS (SELECT user_id, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS grp FROM dd)
+    """WITH dd AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT user_id, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INT AS grp FROM dd)
        SELECT user_id, max(n) AS longest_streak FROM (SELECT user_id, grp, count(*) AS n FROM g GROUP BY ALL) GROUP BY user_id""",
 )
 def _(spark, d):
-    e = Tables(spark, d).events.filter("event_type = 'view'").withColumn("day", F.to_date("ts"))
+    e = Tables(spark, d).events.withColumn("day", F.to_date("ts"))
     return a.longest_streak(e, "user_id", "day")
 
 
@@ -203,7 +203,7 @@ def _(spark, d):
 
 @query("customer_ranks_ranged", "W4 partitioned path", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
 def _(spark, d):
-    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), rank_order(), small_bytes=0).select("c_custkey", "rank")
+    return a.enumerate_rows(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), rank_order()).select("c_custkey", "rank")
 
 
 @query("first_seen_items", "W9", "SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props")

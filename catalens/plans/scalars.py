@@ -129,7 +129,7 @@ def _(spark, d):
     known = Tables(spark, d).part.select(F.explode(F.split("p_name", " ")).alias("known")).distinct()
     k = F.col("known")
     noisy = known.select(F.explode(F.array(
-        k, F.replace(k, F.lit("e"), F.lit("")), F.replace(k, F.lit("i"), F.lit("l")), F.concat(k, F.lit("s")), F.substring(k, 2, 100)
+        k, F.replace(k, F.lit("e"), F.lit("")), F.replace(k, F.lit("i"), F.lit("l")), F.concat(k, F.lit("s")), F.substr(k, F.lit(2))
     )).alias("word")).distinct()
     return similarity.similar_pairs(noisy, known, 0.75).withColumn("ratio", F.round("ratio", 6))
 
@@ -177,12 +177,12 @@ ZONES = ("Europe/Moscow", "America/New_York", "Asia/Tokyo", "Europe/London")
 
 @query(
     "local_times", "F15,F16",
-    f"""WITH z AS (SELECT *, CASE user_id % 5 WHEN 1 THEN '{ZONES[1]}' WHEN 2 THEN '{ZONES[2]}' WHEN 3 THEN '{ZONES[3]}' ELSE '{ZONES[0]}' END AS zone FROM events),
+    f"""WITH z AS (SELECT *, CASE user_id % 5 WHEN 1 THEN '{ZONES[1]}' WHEN 2 THEN '{ZONES[2]}' WHEN 3 THEN '{ZONES[3]}' WHEN 4 THEN '{ZONES[0]}' ELSE '{ZONES[0]}' END AS zone FROM events),
              l AS (SELECT event_id, timezone(zone, timezone('UTC', ts)) AS local_ts FROM z)
         SELECT event_id, local_ts, hour(local_ts)::INTEGER AS h, dayofweek(local_ts) IN (0, 6) AS weekend, month(local_ts)::INTEGER AS m, local_ts::DATE AS day FROM l""",
 )
 def _(spark, d):
-    zone = F.when(F.col("user_id") % 5 == 1, ZONES[1]).when(F.col("user_id") % 5 == 2, ZONES[2]).when(F.col("user_id") % 5 == 3, ZONES[3])
+    zone = F.when(F.col("user_id") % 5 == 1, ZONES[1]).when(F.col("user_id") % 5 == 2, ZONES[2]).when(F.col("user_id") % 5 == 3, ZONES[3]).when(F.col("user_id") % 5 == 4, "Nowhere/Unknown")
     ts = F.col("local_ts")
     return (
         Tables(spark, d).events.withColumn("local_ts", values.local_time(F.col("ts").cast("timestamp"), zone).cast("timestamp_ntz"))

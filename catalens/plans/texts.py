@@ -41,7 +41,7 @@ def recognised(spark, d):
     tail = F.concat(F.lit(" "), "p_brand", F.lit(" "), "p_type", F.lit(" "), C("p_size").cast("string"), F.lit("%"))
     text = (
         F.when(k == 1, F.concat(F.replace("p_name", F.lit("e"), F.lit("")), tail)).when(k == 2, F.concat(F.replace("p_name", F.lit("i"), F.lit("l")), tail))
-        .when(k == 3, F.concat(F.replace("p_name", F.lit(" "), F.lit("")), tail)).when(k == 4, F.concat(F.lit("x"), F.substring("p_name", 2, 100))).otherwise(F.concat("p_name", tail))
+        .when(k == 3, F.concat(F.replace("p_name", F.lit(" "), F.lit("")), tail)).when(k == 4, F.concat(F.lit("x"), F.substr("p_name", F.lit(2)))).otherwise(F.concat("p_name", tail))
     )
     return rows.select(C("l_orderkey").alias("query_id"), F.when(C("l_orderkey") % 11 == 0, "").otherwise(text).alias("text"))
 

@@ -39,7 +39,7 @@ FAV = "fav AS (SELECT o_custkey % 150 AS user_id, o_orderkey % 100 AS item, min(
 
 def reviews(spark, d):
     t = Tables(spark, d)
-    rows = t.lineitem.filter("l_quantity > 30").join(t.orders, C("l_orderkey") == C("o_orderkey")).select(
+    rows = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(
         C("o_custkey").alias("user_id"), C("l_partkey").alias("item"), F.when(C("l_linenumber") <= 5, C("l_linenumber")).alias("rating"),
         F.when(C("l_discount") >= 0.03, F.concat(F.lit("text "), "l_returnflag")).alias("comment"), C("l_shipdate").cast("timestamp_ntz").alias("updated_at"), "l_orderkey", "l_suppkey",
     )
@@ -48,7 +48,7 @@ def reviews(spark, d):
 
 
 REV = """rev AS MATERIALIZED (SELECT user_id, item, rating, comment, updated_at FROM (SELECT o_custkey AS user_id, l_partkey AS item, CASE WHEN l_linenumber <= 5 THEN l_linenumber END AS rating, CASE WHEN l_discount >= 0.03 THEN 'text ' || l_returnflag END AS comment, l_shipdate AS updated_at,
-     row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_suppkey DESC, coalesce(CASE WHEN l_linenumber <= 5 THEN l_linenumber END, 0) DESC, coalesce(CASE WHEN l_discount >= 0.03 THEN 'text ' || l_returnflag END, '') DESC) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30) WHERE r = 1)"""
+     row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_suppkey DESC, coalesce(CASE WHEN l_linenumber <= 5 THEN l_linenumber END, 0) DESC, coalesce(CASE WHEN l_discount >= 0.03 THEN 'text ' || l_returnflag END, '') DESC) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE r = 1)"""
 
 
 def reactions(spark, d):
@@ -192,7 +192,7 @@ def _(spark, d):
     "review_photos", "H10",
     f"""WITH {REV}, ph AS (SELECT o_custkey AS user_id, l_partkey % 20 AS grp, l_partkey AS item, l_shipdate AS created_at, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS photo FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
         k AS (SELECT ph.* FROM ph JOIN rev USING (user_id, item)), n AS (SELECT *, count(*) OVER (PARTITION BY user_id, item) AS photos, row_number() OVER (PARTITION BY user_id, item ORDER BY created_at, photo) AS pos FROM k)
-        SELECT user_id, item, photo, photos, photos > 5 AS over_cap, CASE WHEN photos <= 5 THEN pos END AS position FROM n""",
+        SELECT user_id, item, photo, photos, pos > 5 AS over_cap, pos AS position FROM n""",
 )
 def _(spark, d):
     t = Tables(spark, d)
@@ -262,12 +262,12 @@ def _(spark, d):
         k.alias("user_id"), ((k % 4) * 20000).cast("int").alias("period_minutes"),
         F.when(k % 3 > 0, F.lit("2001-06-01").cast("timestamp_ntz") - F.make_dt_interval((k % 60).cast("int"))).alias("notified_at"),
     )
-    return h.reaction_digest(users, reactions(spark, d), F.lit("2001-06-15").cast("timestamp_ntz"), batch=None).select("user_id", "period_start", "reactors")
+    return h.reaction_digest(users, reactions(spark, d), F.lit("2001-06-15").cast("timestamp_ntz")).select("user_id", "period_start", "reactors")
 
 
-@query("notification_pages", "H14,A13", "WITH n AS (SELECT event_id, user_id, ts, event_id % 3 = 0 AS unread FROM events WHERE event_type IN ('click', 'signup')) SELECT user_id, event_id AS notification_id, position, total, unread FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS position, count(*) OVER (PARTITION BY user_id) AS total, (count_if(unread) OVER (PARTITION BY user_id))::BIGINT AS unread FROM n) WHERE position <= 10")
+@query("notification_pages", "H14,A13", "WITH n AS (SELECT event_id, user_id, ts, event_id % 3 = 0 AS unread FROM events) SELECT user_id, event_id AS notification_id, position, total, unread FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS position, count(*) OVER (PARTITION BY user_id) AS total, (count_if(unread) OVER (PARTITION BY user_id))::BIGINT AS unread FROM n) WHERE position <= 10")
 def _(spark, d):
-    e = Tables(spark, d).events.filter(C("event_type").isin("click", "signup"))
+    e = Tables(spark, d).events
     notes = e.select("user_id", C("event_id").alias("notification_id"), C("ts").alias("created_at"), F.when(C("event_id") % 3 != 0, C("ts")).alias("read_at"))
     return h.notification_pages(notes, 10).select("user_id", "notification_id", "position", "total", "unread")
 

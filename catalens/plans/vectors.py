@@ -171,13 +171,13 @@ def _(spark, d):
 
 @query(
     "photo_scores_per_item", "A8,V12",
-    """WITH s AS (SELECT l_partkey AS photo, l_discount - 0.05 AS score FROM lineitem), p AS (SELECT p_partkey AS photo, p_partkey % 100 AS item FROM part WHERE p_size > 3)
+    """WITH s AS (SELECT l_partkey AS photo, l_discount - 0.05 AS score FROM lineitem), p AS (SELECT p_partkey AS photo, p_partkey % 100 AS item FROM part)
        SELECT item, round(greatest(0.0, max(score)), 6) AS score FROM s JOIN p USING (photo) GROUP BY item""",
 )
 def _(spark, d):
     t = Tables(spark, d)
     s = t.lineitem.select(F.col("l_partkey").alias("photo"), (F.col("l_discount") - 0.05).alias("score"))
-    p = t.part.filter("p_size > 3").select(F.col("p_partkey").alias("photo"), (F.col("p_partkey") % 100).alias("item"))
+    p = t.part.select(F.col("p_partkey").alias("photo"), (F.col("p_partkey") % 100).alias("item"))
     return r.best_photo_per_item(s, p).withColumn("score", F.round("score", 6))
 
 
