@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from catalens.functions import values, vectors
 from catalens.operators.aggregates import first_per_key, one, top_k
@@ -25,9 +24,14 @@ MAX_WEIGHT, SUM_WEIGHT = 0.7, 0.3
 DUPLICATE_COSINE = 0.98
 # --------------------------------------------------------------------------------------------------
 
-MATCH_SCHEMA = "query long, view string, id long, score double"
-BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 4096
+STRIPE_ROWS = 512
+
+
+def match_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    """(query, view, id, score) with the id types of the inputs: numbers, text, UUID text."""
+    kind = lambda df: df.schema["id"].dataType
+    return T.StructType([T.StructField("query", kind(queries)), T.StructField("view", T.StringType()), T.StructField("id", kind(corpus)), T.StructField("score", T.DoubleType())])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,65 +43,45 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k largest entries per row."""
-    if sims.shape[1] > k:
-        cols = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    else:
-        cols = np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
-    rows = np.repeat(np.arange(sims.shape[0]), cols.shape[1])
-    return rows, cols.reshape(-1)
-
-
-def _match_block(q_ids, q_vecs, views, c_ids, c_vecs, k: int, exclude_self: bool, floor: np.ndarray | None = None) -> pa.Table:
-    """Local top-k of one query block against one corpus block of the same view."""
-    sims = q_vecs @ c_vecs.T
-    if exclude_self:
-        sims[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    rows, cols = _best(sims, k)
-    score = sims[rows, cols]
-    keep = np.isfinite(score) if floor is None else np.isfinite(score) & (score >= floor[rows])
-    rows, cols, score = rows[keep], cols[keep], score[keep]
-    return pa.table({
-        "query": pa.array(q_ids[rows], pa.int64()), "view": pa.array([views] * len(rows), pa.string()),
-        "id": pa.array(c_ids[cols], pa.int64()), "score": pa.array(score, pa.float64()),
-    })
-
-
-def knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Exact top-k when the query block is small: it travels to every corpus partition.
-
-    Inputs: (id, view, embedding). The caller checks the size, see `knn_join`.
-    """
-    table = queries.select("id", "view", "embedding").toArrow()
-    ids, mats = {}, {}
-    for view in table.column("view").unique().to_pylist():
-        part = table.filter(pc.equal(table.column("view"), view))
-        ids[view] = part.column("id").to_numpy()
-        mats[view] = _matrix(part.column("embedding"))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, mats))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_mats = shared.value
-        for batch in batches:
-            views = batch.column("view").to_pylist()
-            c_ids, c_vecs = batch.column("id").to_numpy(), _matrix(batch.column("embedding"))
-            for view in set(views) & set(q_ids):
-                mask = np.array([v == view for v in views])
-                for start in range(0, len(q_ids[view]), BLOCK_ROWS):
-                    part = slice(start, start + BLOCK_ROWS)
-                    block = _match_block(q_ids[view][part], q_mats[view][part], view, c_ids[mask], c_vecs[mask], k, exclude_self)
-                    yield from block.to_batches()
-
-    local = corpus.select("id", "view", "embedding").mapInArrow(scan, MATCH_SCHEMA)
-    return top_k(local, ["query", "view"], [F.col("score").desc(), F.col("id")], k)
+    """Row and column numbers of the k largest entries per row; of equal ones those of the smallest columns."""
+    if sims.shape[1] <= k:
+        return np.nonzero(np.ones(sims.shape, dtype=bool))
+    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+    above, level = sims > kth, sims == kth
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
+
+
+def _match_block(left: pa.Table, right: pa.Table, view: str, k: int, exclude_self: bool, schema: pa.Schema, ceiling: float | None = None) -> pa.Table:
+    """Top-k of the queries (id, embedding, floor) in one corpus block (id, embedding) of the same view, by (score desc, id)."""
+    if left.num_rows == 0 or right.num_rows == 0:
+        return schema.empty_table()
+    right = right.sort_by("id")  # equal scores keep the smallest ids
+    q_ids, c_ids = left.column("id").combine_chunks(), right.column("id").combine_chunks()
+    q_names, c_names = np.array(q_ids.to_pylist()), np.array(c_ids.to_pylist())
+    q_vecs, c_vecs = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
+    floor, out = left.column("floor").to_numpy(), []
+    for at in range(0, len(q_vecs), STRIPE_ROWS):
+        sims = q_vecs[at : at + STRIPE_ROWS] @ c_vecs.T
+        if exclude_self:
+            sims[q_names[at : at + STRIPE_ROWS, None] == c_names[None, :]] = -np.inf
+        if ceiling is not None:
+            sims[sims > ceiling] = -np.inf
+        rows, cols = _best(sims, k)
+        score = sims[rows, cols]
+        keep = np.isfinite(score) & (score >= floor[at + rows])
+        taken = q_ids.take(pa.array(at + rows[keep]))
+        out.append(pa.table([taken, pa.array([view] * len(taken), pa.string()), c_ids.take(pa.array(cols[keep])), pa.array(score[keep])], schema=schema))
+    return pa.concat_tables(out)
 
 
 def pick_centers(corpus: DataFrame, count: int | None = None) -> dict[str, np.ndarray]:
-    """A fixed pseudo-random choice of vectors per view as cell centres: about √n, at most 1000 (Spark limits such ranks before the shuffle)."""
+    """A fixed pseudo-random choice of vectors per view as cell centres: √n of them, so cells grow no faster than their number
+    (Spark limits such ranks before the shuffle)."""
     if count is None:
-        count = min(1000, max(1, int(np.sqrt(corpus.count()))))
+        count = max(1, int(np.sqrt(corpus.count())))
     chosen = top_k(corpus.select("view", "id", "embedding"), ["view"], [F.xxhash64("id"), F.col("id")], count)
-    table = chosen.select("view", "embedding").toArrow()  # at most count × views rows
+    table = chosen.select("view", "embedding").toArrow()  # √n rows per view
     return {
         view: _matrix(table.filter(pc.equal(table.column("view"), view)).column("embedding"))
         for view in table.column("view").unique().to_pylist()
@@ -141,7 +125,7 @@ def place_in_cells(df: DataFrame, centers: dict[str, np.ndarray]) -> tuple[DataF
     """Stored corpus with its nearest cell, and per view the row count and radius of every cell."""
     placed = materialize(_route(df, centers, _nearest()), "cells")
     sizes = {view: (np.zeros(len(c), dtype=np.int64), np.zeros(len(c))) for view, c in centers.items()}
-    # one row per centre, at most 1000 per view
+    # one row per centre
     for row in placed.groupBy("view", "cell").agg(one("n"), F.max("angle").alias("radius")).collect():
         sizes[row["view"]][0][row["cell"]] = row["n"]
         sizes[row["view"]][1][row["cell"]] = row["radius"]
@@ -163,21 +147,18 @@ def _cell_blocks(asked: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFr
     return q, c, ["view", "cell", "block", "qblock"]
 
 
-def _probe(asked: DataFrame, placed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _probe(asked: DataFrame, placed: DataFrame, k: int, exclude_self: bool, ceiling: float | None = None) -> DataFrame:
     """Local top-k of every query in the cells it was routed to."""
     q, c, keys = _cell_blocks(asked, placed)
+    schema = match_schema(asked, placed)
+    arrow = to_arrow_schema(schema)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return _match_block(np.empty(0, np.int64), np.empty((0, 1)), "", np.empty(0, np.int64), np.empty((0, 1)), k, False)
-        return _match_block(
-            left.column("id").to_numpy(), _matrix(left.column("embedding")), key[0].as_py(), right.column("id").to_numpy(),
-            _matrix(right.column("embedding")), k, exclude_self, left.column("floor").to_numpy(),
-        )
+        return _match_block(left, right, key[0].as_py(), k, exclude_self, arrow, ceiling)
 
-    q = q.select(*keys, "id", "embedding", "floor")
+    q = q.select(*[F.col(n).alias(n) for n in (*keys, "id", "embedding", "floor")])  # new names: both sides may be one table
     c = c.select(*keys, "id", "embedding")
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, MATCH_SCHEMA)
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, centers: int | None = None) -> DataFrame:
@@ -212,16 +193,17 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
     return top_k(round_one.drop("rank").unionByName(round_two), ["query", "view"], order, k)
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int = PER_VIEW_TOP_K, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine top-k per (query, view): (query, view, id, score, rank).
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int = PER_VIEW_TOP_K, exclude_self: bool = False, ceiling: float | None = None) -> DataFrame:
+    """Exact cosine top-k per (query, view): (query, view, id, score, rank). Scores above the ceiling don't count.
 
-    A query table whose measured size is below the bound is broadcast; beyond it both sides are
-    partitioned by cells.
+    Both sides are cut into blocks of at most BLOCK_ROWS on average, and every pair of blocks of a view is one task-sized group that
+    keeps k rows per query. The work is quadratic in the tables whatever their size; `knn_cells` prunes where vectors
+    cluster and `ivf_search` bounds the work at a stated recall.
     """
-    width = queries.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
-    if width["n"] * (width["d"] * 8 + 64) <= BROADCAST_BYTES:
-        return knn_broadcast(queries, corpus, k, exclude_self)
-    return knn_cells(queries, corpus, k, exclude_self)
+    columns = ["id", "view", "embedding"]
+    asked = queries.select(*columns).withColumns({"cell": F.lit(0), "floor": F.lit(-2.0)})
+    placed = corpus.select(*columns).withColumn("cell", F.lit(0))
+    return top_k(_probe(asked, placed, k, exclude_self, ceiling), ["query", "view"], [F.col("score").desc(), F.col("id")], k)
 
 
 def nearest_item(queries: DataFrame, corpus: DataFrame, items: DataFrame, exclude_self: bool = False) -> DataFrame:
@@ -312,16 +294,18 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_COSINE) -> DataF
     asked = _route(df.select(*columns), chosen, lambda view, angles, floor: (angles <= sizes[view][1] + ball) & (sizes[view][0] > 0))
     q, c, keys = _cell_blocks(asked, placed)
 
+    schema = T.StructType([T.StructField("id", df.schema["id"].dataType)])
+
     def flag(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"id": pa.array([], pa.int64())})
+            return left.select(["id"]).slice(0, 0)
         sims = _matrix(left.column("embedding")) @ _matrix(right.column("embedding")).T
-        a, b = left.column("item").to_numpy(), right.column("item").to_numpy()
+        a, b = (np.array(t.column("item").to_pylist()) for t in (left, right))
         hit = ((sims > threshold) & (a[:, None] != b[None, :])).any(axis=1)
-        return pa.table({"id": pa.array(left.column("id").to_numpy()[hit], pa.int64())})
+        return left.select(["id"]).filter(pa.array(hit))
 
     wanted = [*keys, "id", "embedding", "item"]
-    found = q.select(*wanted).groupBy(*keys).cogroup(c.select(*wanted).groupBy(*keys)).applyInArrow(flag, "id long")
+    found = q.select(*wanted).groupBy(*keys).cogroup(c.select(*wanted).groupBy(*keys)).applyInArrow(flag, schema)
     flagged = found.distinct().withColumn("duplicate", F.lit(True))
     return df.select("id", "view", "item").join(flagged, "id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
@@ -335,23 +319,10 @@ def centroids(df: DataFrame, key: str = "item", vector: str = "embedding") -> Da
 
 
 def centroid_neighbours(cents: DataFrame, k: int = 20, key: str = "item") -> DataFrame:
-    """Nearest other centroids, without near-identical ones (> 0.98).
-
-    Near-identical centroids are skipped after the search, so the search deepens until every item has
-    k neighbours or has seen all.
-    """
-    points = cents.select(F.col(key).cast("long").alias("id"), F.lit("centroid").alias("view"), F.col("centroid").alias("embedding"))
-    points = materialize(points, "centroids")
-    total = points.count()
-    depth = min(2 * k, max(total - 1, 1))
-    while True:
-        near = knn_join(points, points, depth, exclude_self=True)
-        usable = near.filter(F.col("score") <= DUPLICATE_COSINE)
-        if depth >= total - 1 or usable.groupBy("query").agg(one("n")).filter(F.col("n") < k).isEmpty():
-            break
-        depth = min(depth * 4, total - 1)
-    out = top_k(usable.drop("rank"), ["query"], [F.col("score").desc(), F.col("id")], k)
-    return out.select(F.col("query").alias(key), F.col("id").alias("neighbour"), "score", "rank")
+    """Nearest other centroids, without near-identical ones (> 0.98), which the search itself passes over."""
+    points = materialize(cents.select(F.col(key).alias("id"), F.lit("centroid").alias("view"), F.col("centroid").alias("embedding")), "centroids")
+    near = knn_join(points, points, k, exclude_self=True, ceiling=DUPLICATE_COSINE)
+    return near.select(F.col("query").alias(key), F.col("id").alias("neighbour"), "score", "rank")
 
 
 def training_pairs(photos: DataFrame, neighbours: DataFrame, seed: int = 7, per_seed: int = 4) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector retrieval over the embeddings table: view = vec_id % 3, photo = vec_id, item = label."""
+"""Vector retrieval over the embeddings table: view = vec_id % 3, photo = vec_id, item = eight photos in turn."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from catalens.operators import retrieval as r
 from catalens.plans.registry import Tables, query
 
 VIEWS = ("original", "bottle_crop", "label_crop")
-K = 10
+K = 150
 
 
 def photos(spark, d):
@@ -21,14 +21,14 @@ def photos(spark, d):
     view = F.element_at(F.array(*[F.lit(v) for v in VIEWS]), (F.col("vec_id") % 3 + 1).cast("int"))
     kind = F.when(F.col("vec_id") % 4 == 0, "main").when(F.col("vec_id") % 4 == 1, "yandex").when(F.col("vec_id") % 4 == 2, "flux").otherwise("vivino")
     photo = F.when(F.col("vec_id") % 4 == 0, F.lit("main")).otherwise(F.concat_ws("_", kind, F.col("vec_id").cast("string")))
-    return e.select(F.col("vec_id").alias("id"), view.alias("view"), F.col("label").cast("long").alias("item"), photo.alias("photo_id"), "embedding")
+    return e.select(F.col("vec_id").alias("id"), view.alias("view"), F.floor(F.col("vec_id") / 8).cast("long").alias("item"), photo.alias("photo_id"), "embedding")
 
 
 def items(spark, d):
     return photos(spark, d).select("id", "item")
 
 
-E_SQL = """e AS (SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'bottle_crop' ELSE 'label_crop' END AS view, label::BIGINT AS item,
+E_SQL = """e AS (SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'bottle_crop' ELSE 'label_crop' END AS view, (vec_id // 8)::BIGINT AS item,
   CASE vec_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'yandex_' || vec_id WHEN 2 THEN 'flux_' || vec_id ELSE 'vivino_' || vec_id END AS photo_id,
   list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
 
