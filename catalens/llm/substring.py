@@ -103,7 +103,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
                     a, b = cuts[k], cuts[k + 1]
                     if a < b:
                         used, where = np.unique(row[a:b], return_inverse=True)
-                        out.append((k, chunk, pack_sorted(found.distinct[a:b]), where.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), ids[used].tobytes()))
+                        out.append((k, chunk, pack_sorted(found.distinct[a:b]), where.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), pack_sorted(ids[used].view(np.uint64))))
                 yield pa.RecordBatch.from_pydict({n: [x[i] for x in out] for i, n in enumerate(sent.names)}, schema=sent)
 
     sent = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
@@ -112,7 +112,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         hashes, docs_of, chunk_of, sizes = [], [], [], []
         for h, d, i, c in zip(*(table.column(n).to_pylist() for n in ("hashes", "docs", "ids", "chunk")), strict=True):
             hashes.append(unpack_sorted(h))
-            ids = np.frombuffer(i, np.int64)
+            ids = unpack_sorted(i).view(np.int64)
             docs_of.append(ids[np.frombuffer(d, "<u2" if len(ids) <= 1 << 16 else "<u4")])
             sizes.append(len(hashes[-1]))
             chunk_of.append(np.full(sizes[-1], c, np.int64))
