@@ -59,9 +59,8 @@ def _lcs_batch(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.n
     return row[:, -1], left_len, right_len
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel ratio for Arrow batches; work is sliced so that long strings stay within memory."""
+def indel_ratios(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Indel ratio of aligned strings; work is sliced so that long strings stay within memory."""
     a, b = a.fillna(""), b.fillna("")
     order = np.argsort(np.maximum(a.str.len(), b.str.len()).to_numpy(), kind="stable")
     result = np.empty(len(a), dtype=np.float64)
@@ -69,7 +68,13 @@ def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
         part = order[start : start + 2048]
         lcs, m, n = _lcs_batch(a.iloc[part], b.iloc[part])
         result[part] = np.where(m + n > 0, 2.0 * lcs / np.maximum(m + n, 1), 1.0)
-    return pd.Series(result)
+    return result
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Indel ratio for Arrow batches."""
+    return pd.Series(indel_ratios(a, b))
 
 
 @F.pandas_udf(DoubleType())

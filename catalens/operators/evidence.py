@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.functions.similarity import similar_pairs
-from catalens.functions.text import bigram_glue, normalize_match_text, text_variants, word_windows
+from catalens.functions.similarity import indel_ratios, similar_pairs
+from catalens.functions.text import bigram_glue, normalize_match_text, text_variants
 from catalens.functions.values import alcohol_numbers, clip_bonus, idf_pool, idf_smooth
 from catalens.operators.aggregates import one, top_k
 from catalens.session import materialize, spread
@@ -26,6 +27,7 @@ RERANK_LIMIT = 50
 SKIP_GAP, SKIP_MIN_SCORE = 0.15, 0.50
 FULL_TEXT_BONUS = ENTITY_WEIGHT * (NAME_WEIGHT + PRODUCER_WEIGHT + GRAPE_WEIGHT) + SUGAR_BONUS + ALCOHOL_WEIGHT
 # ----------------------------------------------------------------------------------------------------
+CATEGORY_PHRASES = 2000
 
 
 @dataclass(frozen=True)
@@ -119,27 +121,33 @@ def entity_coverage(asked: DataFrame, words: DataFrame, hits: DataFrame) -> Data
     return per.groupBy("query_id", "entity").agg(F.max(F.col("num") / F.col("total")).alias("coverage"))
 
 
-def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Best window similarity ≥ threshold of each dictionary entry in each text: (query_id, *keys, score).
-
-    An n-word spelling meets n-token windows; written without spaces it meets glued windows of 1..n
-    tokens. An exact whole-word occurrence is a window with similarity 1.
-    """
+def spelled_phrases(spellings: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, known, lo, hi, glue): what windows of lo..hi tokens are compared with. An n-word spelling meets n-token
+    windows; written without spaces it meets glued windows of 1..n tokens."""
     variants = spellings.select(*keys, F.explode(text_variants(F.col("spelling"))).alias("known")).distinct()
     n = F.size(F.split("known", " "))
     spaced = variants.select(*keys, "known", n.alias("lo"), n.alias("hi"), F.lit(False).alias("glue"))
     glued = variants.filter(n > 1).select(*keys, F.replace("known", F.lit(" "), F.lit("")).alias("known"), F.lit(1).alias("lo"), n.alias("hi"), F.lit(True).alias("glue"))
-    phrases = materialize(spaced.unionByName(glued), "phrases")
-    longest = phrases.agg(F.max("hi")).first()[0] or 0
-    if longest == 0:
-        return views.select("query_id", *[F.lit(None).cast("string").alias(k) for k in keys], F.lit(0.0).alias("score")).filter("false")
+    return materialize(spaced.unionByName(glued), "phrases")
 
-    def sized(size: int, joined: bool) -> Column:
-        runs = word_windows(F.col("tokens"), size, "" if joined else " ")
-        return F.transform(runs, lambda w: F.struct(w.alias("window"), F.lit(size).alias("size"), F.lit(joined).alias("joined")))
 
-    windows = [sized(size, joined) for size in range(1, longest + 1) for joined in (False, True)]
-    seen = views.select("query_id", F.explode(F.array_distinct(F.concat(*windows))).alias("w")).select("query_id", "w.*")
+def text_windows(views: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, window, size, joined): token runs of the texts up to the longest phrase."""
+    sizes = phrases.agg(F.max("hi").alias("longest")).select(F.explode(F.sequence(F.lit(1), "longest")).alias("size"))  # a row per length
+    sized = views.join(F.broadcast(sizes), F.col("size") <= F.size("tokens"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1), lambda i: F.slice("tokens", i, F.col("size")))
+    both = F.array(F.lit(False), F.lit(True))
+    cut = sized.select("query_id", "size", F.explode(runs).alias("run")).select("query_id", "size", "run", F.explode(both).alias("joined"))
+    return cut.select("query_id", F.when(F.col("joined"), F.array_join("run", "")).otherwise(F.array_join("run", " ")).alias("window"), "size", "joined").distinct()
+
+
+def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Best window similarity ≥ threshold of each dictionary entry in each text: (query_id, *keys, score).
+
+    An exact whole-word occurrence is a window with similarity 1.
+    """
+    phrases = spelled_phrases(spellings, keys)
+    seen = text_windows(views, phrases)
     fits = (F.col("glue") == F.col("joined")) & F.col("size").between(F.col("lo"), F.col("hi"))
     known = phrases.select("known", "lo", "hi", "glue").distinct()
     pairs = similar_pairs(seen.select("window", "size", "joined").distinct(), known, threshold, "window", "known", condition=fits)
@@ -147,6 +155,31 @@ def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], thre
     return seen.join(found, ["window", "size", "joined"]).groupBy("query_id", *keys).agg(F.max("ratio").alias("score"))
 
 
+def category_scores(views: DataFrame, categories: DataFrame) -> DataFrame:
+    """Similarity of every category key to each text, however low: (query_id, kind, key, score).
+
+    Categories are a short fixed list (at most CATEGORY_PHRASES spellings), so each distinct window is scored against all of them in place.
+    """
+    phrases = spelled_phrases(categories, ["kind", "key"])
+    rows = phrases.limit(CATEGORY_PHRASES + 1).collect()
+    if len(rows) > CATEGORY_PHRASES:
+        raise ValueError(f"more than {CATEGORY_PHRASES} category spellings; use phrase_matches")
+    seen = text_windows(views, phrases)
+
+    def score(batches):
+        for batch in batches:
+            for row in rows:
+                part = batch[(batch["joined"] == row["glue"]) & batch["size"].between(row["lo"], row["hi"])]
+                if len(part):
+                    ratio = indel_ratios(part["window"], pd.Series(row["known"], index=part.index))
+                    yield part.assign(kind=row["kind"], key=row["key"], ratio=ratio)
+
+    windows = seen.select("window", "size", "joined").distinct()
+    scored = windows.mapInPandas(score, "window string, size int, joined boolean, kind string, key string, ratio double")
+    best = scored.groupBy("window", "size", "joined", "kind", "key").agg(F.max("ratio").alias("ratio"))
+    return seen.join(best, ["window", "size", "joined"]).groupBy("query_id", "kind", "key").agg(F.max("ratio").alias("score"))
+
+
 def unique_evidence(pool: DataFrame, hits: DataFrame) -> DataFrame:
     """Per candidate the pool-rare words of its name and producer that the text shows: (unique, unique_share)."""
     spoken = item_words(pool.select("item_id", "name", "producer").distinct())
@@ -176,13 +209,20 @@ def pool_words(raw: DataFrame) -> DataFrame:
     return keyed.withColumn("word", F.explode(F.transform(text_variants(F.col("raw")), lambda v: F.replace(v, F.lit(" "), F.lit("")))))
 
 
-def _category(kind: str) -> list[Column]:
-    """own, other and the two verdicts for one category; -1 = no value or an unknown one."""
-    scores, known = F.col(f"{kind}_scores"), F.col(f"{kind}_keys")
-    key = F.coalesce(F.col(f"{kind}_key"), F.lit(""))
-    own = F.when((key == "") | ~F.array_contains(known, key), -1.0).otherwise(F.coalesce(F.element_at(scores, key), F.lit(0.0)))
-    other = F.coalesce(F.array_max(F.transform(F.filter(F.map_entries(scores), lambda e: e["key"] != key), lambda e: e["value"])), F.lit(0.0))
-    return [own, other, own >= CATEGORY_THRESHOLD, (own >= 0) & (own < CATEGORY_THRESHOLD) & (other >= CATEGORY_THRESHOLD)]
+def category_verdicts(kind: str) -> dict[str, Column]:
+    """What a text says about an item's category: score of the item's own value, best score of any other value, agreement, contradiction.
+
+    An item without a value, or with one the dictionary doesn't know, has own score -1 and never contradicts.
+    """
+    value = F.coalesce(F.col(f"{kind}_key"), F.lit(""))
+    judged = F.array_contains(f"{kind}_keys", value) & (value != "")
+    said = F.coalesce(F.try_element_at(f"{kind}_scores", value), F.lit(0.0))
+    rest = F.coalesce(F.array_max(F.map_values(F.map_filter(f"{kind}_scores", lambda k, _: k != value))), F.lit(0.0))
+    seen, elsewhere = said >= CATEGORY_THRESHOLD, rest >= CATEGORY_THRESHOLD
+    return {
+        f"{kind}_own": F.when(judged, said).otherwise(-1.0), f"{kind}_other": rest,
+        f"{kind}_match": judged & seen, f"{kind}_contradiction": judged & ~seen & elsewhere,
+    }
 
 
 def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary) -> DataFrame:
@@ -190,14 +230,12 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
 
     Lists per text are bounded by the text's own length, maps by the category dictionary.
     """
-    both = dictionary.phrases.unionByName(dictionary.categories.select("kind", F.col("key").alias("entity"), "spelling"))
-    matched = materialize(phrase_matches(views, both, ["kind", "entity"], CATEGORY_THRESHOLD), "phrase-matches")
-    found = matched.filter(F.col("kind").isin("producer", "grape") & (F.col("score") >= DETECTION_THRESHOLD))
+    found = phrase_matches(views, dictionary.phrases.filter(F.col("kind").isin("producer", "grape")), ["kind", "entity"], DETECTION_THRESHOLD)
     pick = lambda k, c: F.collect_set(F.when(F.col("kind") == k, c))
     lists = found.groupBy("query_id").agg(
         pick("producer", normalize_match_text(F.col("entity"))).alias("producers_found"), pick("grape", F.col("entity")).alias("grapes_found")
     )
-    scores = matched.filter(F.col("kind").isin("color", "sugar")).select("query_id", "kind", F.col("entity").alias("key"), "score")
+    scores = category_scores(views, dictionary.categories)
     entry = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "score"))))
     maps = scores.groupBy("query_id").agg(entry("color").alias("color_scores"), entry("sugar").alias("sugar_scores"))
     keys = dictionary.categories.groupBy().agg(
@@ -264,11 +302,7 @@ def add_bonus(rows: DataFrame) -> DataFrame:
         "_own": keys, "_producer": F.coalesce("producer_key", F.lit("")), "_name": F.concat(F.lit(" "), F.coalesce("name_key", F.lit("")), F.lit(" ")),
         "_alcohol": F.coalesce("item_alcohol", F.array().cast("array<double>")),
     })
-    parts = {}
-    for kind in ("color", "sugar"):
-        own, other, match, contra = _category(kind)
-        parts |= {f"{kind}_own": own, f"{kind}_other": other, f"{kind}_match": match, f"{kind}_contradiction": contra}
-    rows = rows.withColumns(parts)
+    rows = rows.withColumns({**category_verdicts("color"), **category_verdicts("sugar")})
     in_name = F.exists("producers_found", lambda p: F.contains(F.col("_name"), F.concat(F.lit(" "), p, F.lit(" "))))
     gaps = F.flatten(F.transform("query_alcohol", lambda q: F.transform("_alcohol", lambda c: F.abs(q - c))))
     rows = rows.withColumns({

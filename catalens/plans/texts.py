@@ -96,10 +96,10 @@ WINDOW_SQL = f"""ph AS MATERIALIZED (SELECT kind, entity, v AS known, len(string
   ph2 AS MATERIALIZED (SELECT * FROM ph UNION ALL SELECT kind, entity, replace(known, ' ', ''), 1, hi, true FROM ph WHERE hi > 1),
   win AS MATERIALIZED (SELECT DISTINCT query_id, w, size, glue FROM (SELECT query_id, unnest(tok) AS w, 1 AS size, false AS glue FROM vw UNION ALL SELECT query_id, unnest(tok), 1, true FROM vw
      UNION ALL SELECT query_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1])), 2, false FROM vw UNION ALL SELECT query_id, unnest(list_transform(range(1, len(tok)), lambda i: tok[i] || tok[i + 1])), 2, true FROM vw)),
-  wp AS MATERIALIZED (SELECT DISTINCT w, known FROM (SELECT DISTINCT w, size, glue FROM win) x JOIN ph2 ON ph2.glue = x.glue AND size BETWEEN lo AND hi WHERE 2.0 * least(length(w), length(known)) / (length(w) + length(known)) >= 0.8),
+  wp AS MATERIALIZED (SELECT DISTINCT w, known FROM (SELECT DISTINCT w, size, glue FROM win) x JOIN ph2 ON ph2.glue = x.glue AND size BETWEEN lo AND hi WHERE 2.0 * least(length(w), length(known)) / (length(w) + length(known)) >= 0.8 OR known IN (SELECT known FROM ph2 WHERE kind IN ('color', 'sugar'))),
   wsim AS MATERIALIZED (SELECT w, known, 2.0 * {LCS_SQL.format(a='w', b='known')} / (length(w) + length(known)) AS ratio FROM wp),
   wm AS MATERIALIZED (SELECT query_id, kind, entity, max(ratio) AS score FROM win JOIN wsim USING (w) JOIN ph2 ON ph2.known = wsim.known AND ph2.glue = win.glue AND size BETWEEN lo AND hi GROUP BY ALL),
-  det AS MATERIALIZED (SELECT query_id, kind, entity, score FROM wm WHERE (kind IN ('producer', 'grape') AND score >= 0.88) OR (kind IN ('color', 'sugar') AND score >= 0.8))"""
+  det AS MATERIALIZED (SELECT query_id, kind, entity, score FROM wm WHERE (kind IN ('producer', 'grape') AND score >= 0.88) OR kind IN ('color', 'sugar'))"""
 
 SCORE_SQL = f"""{TEXT_SQL}, {WINDOW_SQL},
   qf AS MATERIALIZED (SELECT query_id, coalesce(list(lower(replace(entity, '#', ' '))) FILTER (kind = 'producer'), []) AS prods, coalesce(list(entity) FILTER (kind = 'grape'), []) AS grps FROM det GROUP BY query_id),
@@ -157,7 +157,7 @@ def _(spark, d):
 
 @query("category_scores", "M3", f"WITH {TEXT_SQL}, {WINDOW_SQL} SELECT query_id, kind, entity AS key, round(score, 6) AS score FROM det WHERE kind IN ('color', 'sugar')")
 def _(spark, d):
-    return m.phrase_matches(m.text_views(recognised(spark, d)), categories(spark, d), ["kind", "key"], m.CATEGORY_THRESHOLD).withColumn("score", F.round("score", 6))
+    return m.category_scores(m.text_views(recognised(spark, d)), categories(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def scored(spark, d):
