@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from catalens.operators import logs
 from catalens.plans import users as u
 from catalens.plans.registry import Tables, query
+from catalens.session import scratch_path
 from catalens.streaming import jobs
 
 C = F.col
+IN_ORDER = "0 seconds"  # the events table arrives as one file
 
 
 def event_stream(spark, d):
@@ -31,7 +33,7 @@ SESSION = """h AS (SELECT event_id, user_id, ts, (props->>'k')::BIGINT AS item F
 @query("reminder_stream", "X1", f"WITH {SESSION}, {u.FAV} SELECT user_id, item, viewed_at, search_id, fired AS fired_at FROM l WHERE NOT EXISTS (SELECT 1 FROM fav WHERE fav.user_id = l.user_id AND fav.item = l.item)")
 def _(spark, d):
     history = event_stream(spark, d).select(C("event_id").alias("search_id"), "user_id", item_column().alias("item"), C("ts").alias("created_at"))
-    out = jobs.run_available(jobs.reminder_stream(history, u.favorites(spark, d)), "reminders")
+    out = jobs.run_available(jobs.reminder_stream(history, u.favorites(spark, d), IN_ORDER), scratch_path(spark, "reminders"))
     rows = spark.read.schema(jobs.REMINDER_SCHEMA).parquet(out)
     return rows.select("user_id", "item", C("viewed_at").cast("timestamp_ntz").alias("viewed_at"), "search_id", C("fired_at").cast("timestamp_ntz").alias("fired_at"))
 
@@ -39,31 +41,26 @@ def _(spark, d):
 @query("latest_view_stream", "X2", "SELECT user_id, item, created_at, search_id FROM (SELECT user_id, (props->>'k')::BIGINT AS item, ts AS created_at, event_id AS search_id, row_number() OVER (PARTITION BY user_id, props->>'k' ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1")
 def _(spark, d):
     history = event_stream(spark, d).select(C("event_id").alias("search_id"), "user_id", item_column().alias("item"), C("ts").alias("created_at"))
-    table = jobs.VersionedTable(spark, "latest", spark.createDataFrame([], "user_id long, item long, created_at timestamp, search_id long"))
-    jobs.latest_view_stream(history, table)
-    return table.read().select("user_id", "item", C("created_at").cast("timestamp_ntz").alias("created_at"), "search_id")
+    return jobs.latest_view_stream(history, scratch_path(spark, "latest-views")).select("user_id", "item", C("created_at").cast("timestamp_ntz").alias("created_at"), "search_id")
 
 
 @query("digest_stream", "X3", "WITH r AS (SELECT (props->>'k')::BIGINT AS author, user_id AS reactor, (epoch_ms(ts) // 86400000) * 86400000 AS b FROM events) SELECT author AS user_id, make_timestamp(b * 1000) AS period_start, count(DISTINCT reactor) AS reactors FROM r WHERE b + 86400000 <= (SELECT max(epoch_ms(ts)) FROM events) GROUP BY ALL")
 def _(spark, d):
     reactions = event_stream(spark, d).select(item_column().alias("user_id"), C("user_id").alias("reactor"), C("ts").alias("updated_at"))
-    out = jobs.run_available(jobs.digest_stream(reactions, 1440), "digests")
+    out = jobs.run_available(jobs.digest_stream(reactions, 1440, IN_ORDER), scratch_path(spark, "digests"))
     return spark.read.schema(jobs.DIGEST_SCHEMA).parquet(out).select("user_id", C("period_start").cast("timestamp_ntz").alias("period_start"), "reactors")
 
 
-@query("badge_stream", "X4", "WITH u AS (SELECT user_id, count(DISTINCT props) AS n, max(ts) AS earned_at FROM events GROUP BY user_id), c AS (SELECT unnest(['scan_5_wines', 'scan_25_wines', 'scan_50_wines']) AS code, unnest([5, 25, 50]) AS target) SELECT user_id, code, earned_at FROM u JOIN c ON n >= target")
+@query(
+    "badge_stream", "X4",
+    """WITH f AS (SELECT user_id, props, min(ts) AS ts FROM events GROUP BY ALL), r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, props) AS n FROM f),
+       c AS (SELECT unnest(['scan_5_wines', 'scan_25_wines', 'scan_50_wines']) AS code, unnest([5, 25, 50]) AS target) SELECT user_id, code, ts AS earned_at FROM r JOIN c ON n = target""",
+)
 def _(spark, d):
     stream = event_stream(spark, d).select("user_id", item_column().alias("item"), "ts")
-
-    def earned(history):
-        per = history.groupBy("user_id").agg(F.count_distinct("item").alias("n"), F.max("ts").alias("earned_at"))
-        codes = F.array_compact(F.array(*[F.when(C("n") >= t, f"scan_{t}_wines") for t in (5, 25, 50)]))
-        return per.select("user_id", F.explode(codes).alias("code"), "earned_at")
-
-    table = jobs.VersionedTable(spark, "earned", spark.createDataFrame([], "user_id long, code string, earned_at timestamp"))
-    seen = jobs.VersionedTable(spark, "seen", spark.createDataFrame([], "user_id long, item long, ts timestamp"))
-    jobs.badge_stream(stream, table, earned, seen)
-    return table.read().withColumn("earned_at", C("earned_at").cast("timestamp_ntz"))
+    out = jobs.run_available(jobs.badge_stream(stream, {f"scan_{n}_wines": n for n in (5, 25, 50)}), scratch_path(spark, "badges"))
+    rows = spark.read.schema("user_id long, code string, earned_at timestamp").parquet(out)
+    return rows.withColumn("earned_at", C("earned_at").cast("timestamp_ntz"))
 
 
 @query("claim_stream", "X5", "SELECT h.event_id AS search_id, l.user_id, l.ts AS login_at FROM events h JOIN events l ON l.user_id = h.user_id AND l.event_type = 'signup' AND l.ts >= h.ts AND l.ts <= h.ts + INTERVAL 72 HOUR WHERE h.event_type = 'error'")
@@ -71,7 +68,7 @@ def _(spark, d):
     anon = F.concat(F.lit("a"), C("user_id").cast("string"))
     history = event_stream(spark, d).filter("event_type = 'error'").select(C("event_id").alias("search_id"), anon.alias("anon_id"), C("ts").alias("created_at"))
     logins = event_stream(spark, d).filter("event_type = 'signup'").select(anon.alias("anon_id"), C("user_id").alias("login_user"), C("ts").alias("login_at"))
-    out = jobs.run_available(jobs.claim_stream(history, logins), "claims")
+    out = jobs.run_available(jobs.claim_stream(history, logins, IN_ORDER), scratch_path(spark, "claims"))
     return spark.read.parquet(out).withColumn("login_at", C("login_at").cast("timestamp_ntz"))
 
 
@@ -79,9 +76,8 @@ def _(spark, d):
 def _(spark, d):
     raw = event_stream(spark, d)
     changes = raw.select("user_id", item_column().alias("item"), F.when(C("event_type") == "error", "delete").otherwise("put").alias("op"), "value", C("ts").cast("timestamp_ntz").alias("ts"), C("event_id").alias("seq"))
-    table = jobs.VersionedTable(spark, "state", u.state(spark, d))
-    jobs.change_log_stream(changes, table, ["user_id", "item"], ["value"], "upsert")
-    return table.read()
+    rows = jobs.change_log_stream(changes, u.state(spark, d), ["user_id", "item"], ["value"], "upsert", scratch_path(spark, "change-log"))
+    return rows.withColumns({c: C(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
 
 
 @query(
@@ -91,6 +87,6 @@ def _(spark, d):
 def _(spark, d):
     status = F.when(C("event_type") == "error", 500).otherwise(200)
     rows = event_stream(spark, d).select("ts", (C("value") * 12).alias("millis"), logs.severity(status, C("value") * 12, F.lit("GET"), F.lit("/items")).alias("severity"))
-    out = jobs.run_available(jobs.log_metrics_stream(rows, "1 hour"), "log-metrics")
+    out = jobs.run_available(jobs.log_metrics_stream(rows, "1 hour", "1 minute"), scratch_path(spark, "log-metrics"))
     got = spark.read.parquet(out)
     return got.select(C("window_start").cast("timestamp_ntz").alias("window_start"), "severity", "requests", F.round("mean_ms", 4).alias("mean_ms"))

@@ -1,4 +1,12 @@
-"""Streaming jobs. State is keyed by user, commits are checkpointed in the shared folder."""
+"""Streaming jobs.
+
+Every job gets its folder from the caller: results in <folder>/out, progress in <folder>/checkpoint. Starting again with the
+same folder resumes where the last run stopped. State is kept per key in the state store, so a batch costs what its own rows
+cost, whatever has accumulated before.
+
+Jobs with event time take the watermark delay from the caller: rows that are older than the newest event by more than the
+delay come too late and are left out, so the delay must cover the disorder of the source. State is held that much longer.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from catalens.operators.activity import apply_changes
-from catalens.operators.aggregates import first_per_key, one
-from catalens.session import scratch_path
+from catalens.operators.aggregates import one
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,16 +26,32 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
-    """Process everything now available, writing parquet (or calling `each` per batch); returns the output folder."""
-    spark = stream.sparkSession
-    out, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
+    """Process everything that is available and not yet processed in this folder; returns the output folder."""
+    out = f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(out)
     query.awaitTermination()
     return out
 
 
+def run_changes(changed: DataFrame, folder: str) -> str:
+    """Write the rows that each batch changes to <folder>/out/batch=N; a replayed batch overwrites its own rows."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    return run_available(changed, folder, step, "update")
+
+
+def current_rows(changes: DataFrame, keys: list[str], initial: DataFrame | None = None) -> DataFrame:
+    """Newest version of each key from rows with a batch number, over an initial table; rows marked gone are left out."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    rows = changes if initial is None else changes.unionByName(initial.withColumns({"batch": F.lit(-1), **({"gone": F.lit(False)} if "gone" in rest else {})}))
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return newest.filter("not gone").drop("gone") if "gone" in rest else newest
+
+
 # --- reminders: one timer per user ------------------------------------------------------------------
 REMINDER_SCHEMA = "user_id long, item long, viewed_at timestamp, search_id long, fired_at timestamp"
 
@@ -94,7 +116,7 @@ def _reminder_rows(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(viewed_at=pd.to_datetime(out["viewed_at"], unit="us"), fired_at=pd.to_datetime(out["fired_at"], unit="us"))
 
 
-def reminder_stream(history: DataFrame, handled: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def reminder_stream(history: DataFrame, handled: DataFrame, delay: str) -> DataFrame:
     """History stream (search_id, user_id, item, created_at) → reminder items; favourites and reviews suppress items."""
     use_rocksdb(history.sparkSession)
     marked = history.filter("user_id IS NOT NULL AND item IS NOT NULL").withWatermark("created_at", delay)
@@ -144,7 +166,7 @@ class DigestProcessor(StatefulProcessor):
         pass
 
 
-def digest_stream(reactions: DataFrame, period_minutes: int, delay: str = "0 seconds") -> DataFrame:
+def digest_stream(reactions: DataFrame, period_minutes: int, delay: str) -> DataFrame:
     """Reaction stream (user_id = author, reactor, updated_at) → exact digests per author and period."""
     use_rocksdb(reactions.sparkSession)
     return reactions.withWatermark("updated_at", delay).groupBy("user_id").transformWithStateInPandas(
@@ -152,70 +174,108 @@ def digest_stream(reactions: DataFrame, period_minutes: int, delay: str = "0 sec
     )
 
 
-# --- table-backed jobs ------------------------------------------------------------------------------
-class VersionedTable:
-    """A table kept as numbered parquet versions in the shared folder; a replayed batch rewrites its own version."""
+# --- keyed tables -------------------------------------------------------------------------------------
+class ChangeProcessor(StatefulProcessor):
+    """Current payload, created_at and updated_at of a key. A put inserts or (policy upsert) replaces, a delete forgets."""
 
-    def __init__(self, spark: SparkSession, name: str, initial: DataFrame) -> None:
-        self.spark, self.base = spark, scratch_path(spark, name)
-        initial.write.parquet(f"{self.base}/v=0")
-        self.version = 0
+    def __init__(self, keys: list[str], payload: list[str], kinds: dict[str, str], policy: str) -> None:
+        self.keys, self.payload, self.kinds, self.policy = keys, payload, kinds, policy
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/v={self.version if version is None else version}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [f"{c} {self.kinds[c]}" for c in self.payload]
+        self.row = handle.getValueState("row", ", ".join([*fields, "created_at timestamp", "updated_at timestamp"]))
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v={batch_id + 1}")
-        self.version = batch_id + 1
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        rows = initialState[[*self.payload, "created_at", "updated_at"]]
+        self.row.update(tuple(None if pd.isna(v) else v for v in rows.iloc[0]))
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"])
+        held = self.row.get() if self.row.exists() else None
+        for op, ts, *values in batch[["op", "ts", *self.payload]].itertuples(index=False):
+            if op == "delete":
+                held = None
+            elif held is None:
+                held = (*values, ts, ts)
+            elif self.policy == "upsert":
+                held = (*values, held[-2], ts)
+        if held is None:
+            self.row.clear()
+        else:
+            self.row.update(tuple(None if pd.isna(v) else v for v in held))
+        shown = held or (None,) * (len(self.payload) + 2)
+        yield pd.DataFrame([(*key, *shown, held is None)], columns=[*self.keys, *self.payload, "created_at", "updated_at", "gone"])
 
-def change_log_stream(changes: DataFrame, table: VersionedTable, keys: list[str], payload: list[str], policy: str) -> None:
-    """Apply a change stream to a table, batch by batch; a batch always starts from the version before it."""
+    def close(self) -> None:
+        pass
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        table.write(apply_changes(table.read(batch_id), batch, keys, payload, policy), batch_id)
 
-    run_available(changes, "changes", step, "update")
+def change_log_stream(changes: DataFrame, initial: DataFrame, keys: list[str], payload: list[str], policy: str, folder: str) -> DataFrame:
+    """Apply a change stream (keys, payload, op, ts, seq), in the order of its batches, to a table (keys, payload, created_at, updated_at)."""
+    spark = changes.sparkSession
+    use_rocksdb(spark)
+    kinds = dict(changes.dtypes)
+    stamped = initial.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, *payload)], "created_at timestamp", "updated_at timestamp", "gone boolean"])
+    changed = changes.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=ChangeProcessor(keys, payload, kinds, policy), outputStructType=schema, outputMode="Update", timeMode="None", initialState=stamped.groupBy(*keys)
+    )
+    out = run_changes(changed, folder)
+    return current_rows(spark.read.schema(f"{schema}, batch long").parquet(out), keys, stamped.select(*keys, *payload, "created_at", "updated_at"))
 
 
-def latest_view_stream(history: DataFrame, table: VersionedTable) -> None:
-    """Latest view per (user, item), kept as a table: each batch is reduced first, then merged by key."""
+def latest_view_stream(history: DataFrame, folder: str) -> DataFrame:
+    """Latest view per (user, item): a running aggregate that writes the keys each batch changes."""
+    order = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("search_id").alias("i"))
+    newest = history.groupBy("user_id", "item").agg(F.min_by(F.struct("created_at", "search_id"), order).alias("r")).select("user_id", "item", "r.*")
+    out = run_changes(newest, folder)
+    return current_rows(history.sparkSession.read.schema("user_id long, item long, created_at timestamp, search_id long, batch long").parquet(out), ["user_id", "item"])
 
-    def newest(df: DataFrame) -> DataFrame:
-        order = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("search_id").alias("i"))
-        return df.groupBy("user_id", "item").agg(F.min_by(F.struct("created_at", "search_id"), order).alias("r")).select("user_id", "item", "r.*")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        table.write(newest(table.read(batch_id).unionByName(newest(batch.select("user_id", "item", "created_at", "search_id")))), batch_id)
+class BadgeProcessor(StatefulProcessor):
+    """Distinct items of a user so far; a badge is reported once, with the time of the item that reached its target."""
 
-    run_available(history, "latest-views", step, "update")
+    def __init__(self, targets: dict[str, int]) -> None:
+        self.targets = targets
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "item long", "n long")
+        self.count = handle.getValueState("count", "n long")
 
-def claim_stream(history: DataFrame, logins: DataFrame, ttl_hours: int = 72) -> DataFrame:
-    """Anonymous searches joined with logins that follow within the time limit; both sides forget older rows."""
-    left = history.filter("anon_id IS NOT NULL").withWatermark("created_at", "0 seconds")
-    right = logins.select(F.col("anon_id").alias("login_anon"), "login_user", "login_at").withWatermark("login_at", "0 seconds")
-    near = (F.col("anon_id") == F.col("login_anon")) & (F.col("login_at") >= F.col("created_at")) & (F.col("login_at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))
-    return left.join(right, near).select("search_id", F.col("login_user").alias("user_id"), "login_at")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows, ignore_index=True)
+        first = batch.groupby("item")["ts"].min().sort_values(kind="stable")  # a batch names an item once
+        n, out = self.count.get()[0] if self.count.exists() else 0, []
+        for item, ts in first.items():
+            if not self.seen.containsKey((int(item),)):
+                self.seen.updateValue((int(item),), (1,))
+                n += 1
+                out += [(int(key[0]), code, ts) for code, target in self.targets.items() if target == n]
+        self.count.update((n,))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "code", "earned_at"])
 
+    def close(self) -> None:
+        pass
 
-def badge_stream(events: DataFrame, table: VersionedTable, compute: Callable[[DataFrame], DataFrame], history: VersionedTable) -> None:
-    """Per batch: extend the stored history, recompute badges of the users in the batch, keep what was earned.
 
-    `compute(history of those users)` returns (user_id, code, earned_at); earned rows are never withdrawn.
-    """
+def badge_stream(events: DataFrame, targets: dict[str, int]) -> DataFrame:
+    """Event stream (user_id, item, ts) → badges (user_id, code, earned_at) for numbers of distinct items; earned ones stay."""
+    use_rocksdb(events.sparkSession)
+    return events.filter("item IS NOT NULL").groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=BadgeProcessor(targets), outputStructType="user_id long, code string, earned_at timestamp", outputMode="Append", timeMode="None"
+    )
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        history.write(history.read(batch_id).unionByName(batch), batch_id)
-        touched = batch.select("user_id").distinct()
-        fresh = compute(history.read(batch_id + 1).join(touched, "user_id", "left_semi"))
-        merged = first_per_key(table.read(batch_id).unionByName(fresh), ["user_id", "code"], ["earned_at"])
-        table.write(merged, batch_id)
 
-    run_available(events, "badges", step, "update")
+def claim_stream(history: DataFrame, logins: DataFrame, delay: str, ttl_hours: int = 72) -> DataFrame:
+    """Anonymous searches joined with logins that follow within the time limit; both sides forget older rows."""
+    left = history.filter("anon_id IS NOT NULL").withWatermark("created_at", delay)
+    right = logins.select(F.col("anon_id").alias("login_anon"), "login_user", "login_at").withWatermark("login_at", delay)
+    near = (F.col("anon_id") == F.col("login_anon")) & (F.col("login_at") >= F.col("created_at")) & (F.col("login_at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))
+    return left.join(right, near).select("search_id", F.col("login_user").alias("user_id"), "login_at")
 
 
-def log_metrics_stream(events: DataFrame, window: str, delay: str = "1 minute") -> DataFrame:
+def log_metrics_stream(events: DataFrame, window: str, delay: str) -> DataFrame:
     """Requests per window and severity."""
     rows = events.withWatermark("ts", delay).groupBy(F.window("ts", window), "severity").agg(one("requests"), F.avg("millis").alias("mean_ms"))
     return rows.select(F.col("window.start").alias("window_start"), "severity", "requests", "mean_ms")

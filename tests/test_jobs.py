@@ -1,10 +1,16 @@
+import datetime
 import json
+import os
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalens.functions.text import normalize_match_text
 from catalens.operators import activity, aggregates, enrichment, facets, glossary, ingest
+from catalens.operators.aggregates import latest_per_key
+from catalens.session import scratch_path
 from catalens.sources import files
 from catalens.streaming import jobs
 
@@ -136,22 +142,69 @@ def test_reminders_do_not_depend_on_batches(spark, split_events):
     def run(files_per_batch):
         raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_batch).parquet(base)
         history = raw.select(F.col("event_id").alias("search_id"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("item"), F.col("ts").alias("created_at"))
-        out = jobs.run_available(jobs.reminder_stream(history, none, "40 days"), "reminders")
+        out = jobs.run_available(jobs.reminder_stream(history, none, "40 days"), scratch_path(spark, "reminders"))
         return spark.read.schema(jobs.REMINDER_SCHEMA).parquet(out)
 
     # with a watermark far behind nothing is late; sessions closed by later views must agree
     assert rows(run(1), "user_id", "item", "search_id") == rows(run(100), "user_id", "item", "search_id")
 
 
-def test_change_log_in_batches_equals_batch(spark, split_events):
+def batches(spark, events, base, files=1):
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(base)
+
+
+def viewed(df):
+    return df.select(F.col("event_id").alias("search_id"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("item"), F.col("ts").alias("created_at"))
+
+
+def test_change_log_resumes_and_equals_batch(spark, split_events, tmp_path):
+    """One file a batch, stopped after each half of the files; deletes fall on both sides of the cuts."""
     events, base = split_events
     shape = lambda df: df.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), "value", "ts", F.col("event_id").alias("seq"))
-    empty = spark.createDataFrame([], "user_id long, item long, value double, created_at timestamp, updated_at timestamp")
-    table = jobs.VersionedTable(spark, "t", empty)
-    ordered = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 100).parquet(base)
-    jobs.change_log_stream(shape(ordered), table, ["user_id", "item"], ["value"], "upsert")
-    whole = activity.apply_changes(empty, shape(events), ["user_id", "item"], ["value"], "upsert")
-    assert rows(table.read(), "user_id", "item", "value") == rows(whole, "user_id", "item", "value")
+    initial = events.filter("event_id % 7 = 0").select("user_id", F.lit(10_000 + F.col("event_id")).alias("item"), "value", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at")).union(
+        spark.createDataFrame([], "user_id long, item long, value double, created_at timestamp, updated_at timestamp"))
+    files = sorted(os.listdir(base), key=lambda f: os.path.getmtime(f"{base}/{f}"))
+    files = [f for f in files if f.endswith(".parquet")]
+    grown = tmp_path / "grown"
+    grown.mkdir()
+    for part in (files[:2], files[2:]):
+        for f in part:
+            shutil.copy2(f"{base}/{f}", grown / f)
+        got = jobs.change_log_stream(shape(batches(spark, events, str(grown))), initial, ["user_id", "item"], ["value"], "upsert", str(tmp_path / "job"))
+    whole = activity.apply_changes(initial, shape(events), ["user_id", "item"], ["value"], "upsert")
+    columns = ("user_id", "item", "value", "created_at", "updated_at")
+    assert rows(got, *columns) == rows(whole, *columns)
+    assert len([x for x in os.listdir(tmp_path / "job" / "out") if x.startswith("batch=")]) >= len(files)
+
+
+def test_latest_views_and_badges_in_batches(spark, split_events, tmp_path):
+    events, base = split_events
+    got = jobs.latest_view_stream(viewed(batches(spark, events, base)), str(tmp_path / "views"))
+    whole = latest_per_key(viewed(events).select("user_id", "item", "created_at", "search_id"), ["user_id", "item"], "created_at", "search_id")
+    assert rows(got, "user_id", "item", "created_at", "search_id") == rows(whole, "user_id", "item", "created_at", "search_id")
+
+    def badges(files):
+        stream = viewed(batches(spark, events, base, files)).withColumnRenamed("created_at", "ts")
+        out = jobs.run_available(jobs.badge_stream(stream, {"five": 5, "ten": 10}), str(tmp_path / f"badges{files}"))
+        return spark.read.schema("user_id long, code string, earned_at timestamp").parquet(out)
+
+    assert rows(badges(1), "user_id", "code", "earned_at") == rows(badges(100), "user_id", "code", "earned_at") != []
+
+
+def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+    """The third batch brings a reaction of the first day, which only the longer delay still counts."""
+    day = lambda n: datetime.datetime(2024, 1, 1 + n)
+    schema = "user_id long, reactor long, updated_at timestamp"
+    for k, part in enumerate([[(1, 7, day(0)), (1, 8, day(5))], [(1, 11, day(6))], [(1, 9, day(0)), (1, 10, day(20))], [(2, 1, day(30))]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+
+    def digests(delay):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = jobs.run_available(jobs.digest_stream(stream, 1440, delay), str(tmp_path / delay.replace(" ", "-")))
+        return [r["reactors"] for r in spark.read.schema(jobs.DIGEST_SCHEMA).parquet(out).collect() if (r["user_id"], r["period_start"].day) == (1, 1)]
+
+    assert digests("8 days") == [2] and digests("1 hour") == [1]
 
 
 def test_nicknames_are_unique(spark):
