@@ -12,6 +12,7 @@ the input stay, result columns replace those of the same name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 
 @dataclass(frozen=True)
 class Rule:
-    """A detection: keyword that must occur in the canonical line, regex over whole words, label, weight of the evidence (0 to 1)."""
+    """A detection: keyword that must occur in the canonical line, there at a word's beginning, regex over whole words, label, weight of the evidence (0 to 1)."""
 
     keyword: str
     regex: str
@@ -37,114 +38,123 @@ class Rule:
 
 
 V = r"(?: (?:version|v))? ?"
-#: Licenses by priority: label, keyword, name as it is written, further spellings, identifier in the style of SPDX.
+#: Licenses by priority: label, name as it is written, further spellings, identifier in the style of SPDX.
 NAMED = (
-    ("agpl-3.0", "affero", rf"gnu affero general public license(?:{V}(?:3|3 0))?", "affero general public license", "agpl 3 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", rf"gnu lesser general public license{V}2 1", "lesser general public license 2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser", rf"gnu lesser general public license{V}3(?: 0)?", "lesser general public license 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "library general", rf"gnu library general public license(?:{V}2)?", "library general public license", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl", "lesser", "gnu lesser general public license", "lesser general public license", "lgpl"),
-    ("gfdl", "free documentation", rf"gnu free documentation license(?:{V}1 [123])?", "free documentation license", "gfdl 1 [123](?: only| or later)?"),
-    ("gpl-1.0", "general public", rf"gnu general public license{V}1(?: 0)?", "general public license version 1", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "general public", rf"gnu general public license{V}2(?: 0)?", "general public license version 2", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general public", rf"gnu general public license{V}3(?: 0)?", "general public license version 3", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "general public", "(?:gnu )?general public license", "gnu gpl", "gpl(?:v[123])?"),
-    ("apache-1.0", "apache", rf"apache(?: software)? license{V}1(?: 0)?", "apache group license", "apache 1 0"),
-    ("apache-1.1", "apache", rf"apache(?: software)? license{V}1 1", "apache software license 1 1", "apache 1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)? license{V}2(?: 0)?", "www apache org licenses license 2 0", "apache 2 0"),
-    ("apache", "apache", "apache(?: software)? license", "apache software foundation license", "asl"),
-    ("mit-0", "no attribution", "mit no attribution(?: license)?", "mit license no attribution", "mit 0"),
-    ("mit", "mit", "(?:the )?mit license", "licensed under the mit", "mit"),
-    ("x11", "x11", "(?:the )?x11 license", "x consortium license", "x11"),
-    ("expat", "expat", "(?:the )?expat license", "expat style license", "expat"),
-    ("isc", "isc", "(?:the )?isc license", "internet systems consortium license", "isc"),
-    ("bsd-4-clause", "bsd", "(?:4|four) clause bsd license", "original bsd license", "bsd 4 clause"),
-    ("bsd-3-clause", "bsd", "(?:3|three) clause bsd license", "(?:new|modified|revised) bsd license", "bsd 3 clause"),
-    ("bsd-2-clause", "bsd", "(?:2|two) clause bsd license", "simplified bsd license", "bsd 2 clause"),
-    ("bsd-0-clause", "bsd", "(?:0|zero) clause bsd license", "free public license 1 0 0", "0bsd"),
-    ("bsd", "bsd", "bsd(?: style)? license", "berkeley software distribution license", "bsd"),
-    ("mpl-1.0", "mozilla public", rf"mozilla public license{V}1(?: 0)", "mozilla public license 1 0", "mpl 1 0"),
-    ("mpl-1.1", "mozilla public", rf"mozilla public license{V}1 1", "mozilla public license 1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla public", rf"mozilla public license{V}2(?: 0)?", "mozilla org mpl 2 0", "mpl 2 0"),
-    ("mpl", "mozilla public", "mozilla public license", "terms of the mozilla public", "mpl"),
-    ("epl-1.0", "eclipse public", rf"eclipse public license{V}1(?: 0)?", "eclipse org legal epl v10", "epl 1 0"),
-    ("epl-2.0", "eclipse public", rf"eclipse public license{V}2(?: 0)?", "eclipse org legal epl 2 0", "epl 2 0"),
-    ("epl", "eclipse", "eclipse public license", "eclipse distribution license", "epl"),
-    ("cddl-1.0", "common development", rf"common development and distribution license(?:{V}1(?: 0)?)?", "sun cddl", "cddl 1 [01]"),
-    ("cpl-1.0", "common public", rf"common public license(?:{V}1(?: 0)?)?", "ibm common public license", "cpl 1 0"),
-    ("eupl", "european union", rf"european union public licen[cs]e(?:{V}1 [012])?", "eupl licen[cs]e", "eupl 1 [012]"),
-    ("cecill", "cecill", "cecill(?: free software)? licen[cs]e", "licence cecill", "cecill [bc12](?: [01])?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", "creative commons zero", "cc0 1 0"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1234] [05])?", "attribution noncommercial noderiv(?:ative)?s", "cc by nc nd [1234] [05]"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1234] [05])?", "attribution noncommercial sharealike", "cc by nc sa [1234] [05]"),
-    ("cc-by-nc", "cc by nc", "cc by nc(?: [1234] [05])?", "attribution noncommercial", "cc by nc [1234] [05]"),
-    ("cc-by-nd", "cc by nd", "cc by nd(?: [1234] [05])?", "attribution noderiv(?:ative)?s", "cc by nd [1234] [05]"),
-    ("cc-by-sa", "cc by sa", "cc by sa(?: [1234] [05])?", "attribution share ?alike", "cc by sa [1234] [05]"),
-    ("cc-by", "cc by", "cc by(?: [1234] [05])?", "creative commons attribution(?: [1234] [05])?(?: international)?", "cc by [1234] [05]"),
-    ("cc", "creative commons", "creative commons(?: public)? license", "creativecommons org licenses", "cc license"),
-    ("odbl", "open database", "open database license", "open data commons open database license", "odbl 1 0"),
-    ("odc-by", "open data commons", "open data commons attribution license", "odc attribution license", "odc by 1 0"),
-    ("pddl", "public domain dedication", "public domain dedication and license", "open data commons public domain dedication", "pddl 1 0"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense org", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl(?: license)?", "do what the fuck you want to public license", "wtfpl"),
-    ("zlib", "zlib", "(?:the )?zlib(?: libpng)? license", "zlib style license", "zlib"),
-    ("libpng", "libpng", "(?:the )?libpng license", "png reference library license", "libpng 2 0"),
-    ("bsl-1.0", "boost", rf"boost software license(?:{V}1(?: 0)?)?", "www boost org license 1 0", "bsl 1 0"),
-    ("artistic-1.0", "artistic", rf"artistic license{V}1(?: 0)?", "perl artistic license", "artistic 1 0"),
-    ("artistic-2.0", "artistic", rf"artistic license{V}2(?: 0)?", "artistic license 2 0", "artistic 2 0"),
-    ("artistic", "artistic", "artistic license", "clarified artistic license", "clartistic"),
-    ("python", "python", "python software foundation license", "psf license", "python 2 0"),
-    ("php", "php", rf"php license(?:{V}3(?: 0[01])?)?", "php net license", "php 3 0[01]?"),
-    ("ruby", "ruby", "(?:the )?ruby license", "same terms as ruby", "ruby"),
-    ("openssl", "openssl", "openssl license", "openssl toolkit license", "openssl"),
-    ("ofl", "open font", rf"(?:sil )?open font license(?:{V}1 [01])?", "scripts sil org ofl", "ofl 1 [01]"),
-    ("postgresql", "postgresql", "postgresql licen[cs]e", "postgres licen[cs]e", "postgresql"),
-    ("w3c", "w3c", "w3c(?: software)?(?: notice and)? license", "w3c document license", "w3c"),
-    ("ncsa", "ncsa", "ncsa(?: open source)? license", "university of illinois ncsa open source license", "ncsa"),
-    ("ms-pl", "microsoft public", "microsoft public license", "microsoft permissive license", "ms pl"),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal license", "microsoft community license", "ms rl"),
-    ("upl", "universal permissive", "universal permissive license", "oracle universal permissive license", "upl 1 0"),
-    ("sspl", "server side public", "server side public license", "sspl license", "sspl 1 0"),
-    ("busl", "business source", "business source license(?: 1 1)?", "mariadb business source license", "busl 1 1"),
-    ("elastic", "elastic", "elastic license(?: 2 0)?", "elastic co licensing elastic license", "elastic 2 0"),
-    ("rail", "rail", "(?:open)?rail(?: m)? license", "responsible ai licenses?", "openrail"),
-    ("llama", "llama", "llama(?: [23])?(?: [0-9])? community license", "meta llama license", "llama[23]"),
+    ("agpl-3.0", rf"gnu affero general public license(?:{V}(?:3|3 0))?", "affero general public license", "agpl 3 0(?: only| or later)?"),
+    ("lgpl-2.1", rf"gnu lesser general public license{V}2 1", "lesser general public license 2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", rf"gnu lesser general public license{V}3(?: 0)?", "lesser general public license 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.0", rf"gnu library general public license(?:{V}2)?", "library general public license", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl", "gnu lesser general public license", "lesser general public license", "lgpl"),
+    ("gfdl", rf"gnu free documentation license(?:{V}1 [123])?", "free documentation license", "gfdl 1 [123](?: only| or later)?"),
+    ("gpl-1.0", rf"gnu general public license{V}1(?: 0)?", "general public license version 1", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", rf"gnu general public license{V}2(?: 0)?", "general public license version 2", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", rf"gnu general public license{V}3(?: 0)?", "general public license version 3", "gpl 3 0(?: only| or later)?"),
+    ("gpl", "(?:gnu )?general public license", "gnu gpl", "gpl(?:v[123])?"),
+    ("apache-1.0", rf"apache(?: software)? license{V}1(?: 0)?", "apache group license", "apache 1 0"),
+    ("apache-1.1", rf"apache(?: software)? license{V}1 1", "apache software license 1 1", "apache 1 1"),
+    ("apache-2.0", rf"apache(?: software)? license{V}2(?: 0)?", "www apache org licenses license 2 0", "apache 2 0"),
+    ("apache", "apache(?: software)? license", "apache software foundation license", "asl"),
+    ("mit-0", "mit no attribution(?: license)?", "mit license no attribution", "mit 0"),
+    ("mit", "(?:the )?mit license", "licensed under the mit", "mit"),
+    ("x11", "(?:the )?x11 license", "x consortium license", "x11"),
+    ("expat", "(?:the )?expat license", "expat style license", "expat"),
+    ("isc", "(?:the )?isc license", "internet systems consortium license", "isc"),
+    ("bsd-4-clause", "(?:4|four) clause bsd license", "original bsd license", "bsd 4 clause"),
+    ("bsd-3-clause", "(?:3|three) clause bsd license", "(?:new|modified|revised) bsd license", "bsd 3 clause"),
+    ("bsd-2-clause", "(?:2|two) clause bsd license", "simplified bsd license", "bsd 2 clause"),
+    ("bsd-0-clause", "(?:0|zero) clause bsd license", "free public license 1 0 0", "0bsd"),
+    ("bsd", "bsd(?: style)? license", "berkeley software distribution license", "bsd"),
+    ("mpl-1.0", rf"mozilla public license{V}1(?: 0)", "mozilla public license 1 0", "mpl 1 0"),
+    ("mpl-1.1", rf"mozilla public license{V}1 1", "mozilla public license 1 1", "mpl 1 1"),
+    ("mpl-2.0", rf"mozilla public license{V}2(?: 0)?", "mozilla org mpl 2 0", "mpl 2 0"),
+    ("mpl", "mozilla public license", "terms of the mozilla public", "mpl"),
+    ("epl-1.0", rf"eclipse public license{V}1(?: 0)?", "eclipse org legal epl v10", "epl 1 0"),
+    ("epl-2.0", rf"eclipse public license{V}2(?: 0)?", "eclipse org legal epl 2 0", "epl 2 0"),
+    ("epl", "eclipse public license", "eclipse distribution license", "epl"),
+    ("cddl-1.0", rf"common development and distribution license(?:{V}1(?: 0)?)?", "sun cddl", "cddl 1 [01]"),
+    ("cpl-1.0", rf"common public license(?:{V}1(?: 0)?)?", "ibm common public license", "cpl 1 0"),
+    ("eupl", rf"european union public licen[cs]e(?:{V}1 [012])?", "eupl licen[cs]e", "eupl 1 [012]"),
+    ("cecill", "cecill(?: free software)? licen[cs]e", "licence cecill", "cecill [bc12](?: [01])?"),
+    ("cc0", "cc0(?: 1 0)?(?: universal)?", "creative commons zero", "cc0 1 0"),
+    ("cc-by-nc-nd", "cc by nc nd(?: [1234] [05])?", "attribution noncommercial noderiv(?:ative)?s", "cc by nc nd [1234] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa(?: [1234] [05])?", "attribution noncommercial sharealike", "cc by nc sa [1234] [05]"),
+    ("cc-by-nc", "cc by nc(?: [1234] [05])?", "attribution noncommercial", "cc by nc [1234] [05]"),
+    ("cc-by-nd", "cc by nd(?: [1234] [05])?", "attribution noderiv(?:ative)?s", "cc by nd [1234] [05]"),
+    ("cc-by-sa", "cc by sa(?: [1234] [05])?", "attribution share ?alike", "cc by sa [1234] [05]"),
+    ("cc-by", "cc by(?: [1234] [05])?", "creative commons attribution(?: [1234] [05])?(?: international)?", "cc by [1234] [05]"),
+    ("cc", "creative commons(?: public)? license", "creativecommons org licenses", "cc license"),
+    ("odbl", "open database license", "open data commons open database license", "odbl 1 0"),
+    ("odc-by", "open data commons attribution license", "odc attribution license", "odc by 1 0"),
+    ("pddl", "public domain dedication and license", "open data commons public domain dedication", "pddl 1 0"),
+    ("unlicense", "(?:the )?unlicense", "unlicense org", "unlicense"),
+    ("wtfpl", "wtfpl(?: license)?", "do what the fuck you want to public license", "wtfpl"),
+    ("zlib", "(?:the )?zlib(?: libpng)? license", "zlib style license", "zlib"),
+    ("libpng", "(?:the )?libpng license", "png reference library license", "libpng 2 0"),
+    ("bsl-1.0", rf"boost software license(?:{V}1(?: 0)?)?", "www boost org license 1 0", "bsl 1 0"),
+    ("artistic-1.0", rf"artistic license{V}1(?: 0)?", "perl artistic license", "artistic 1 0"),
+    ("artistic-2.0", rf"artistic license{V}2(?: 0)?", "artistic license 2 0", "artistic 2 0"),
+    ("artistic", "artistic license", "clarified artistic license", "clartistic"),
+    ("python", "python software foundation license", "psf license", "python 2 0"),
+    ("php", rf"php license(?:{V}3(?: 0[01])?)?", "php net license", "php 3 0[01]?"),
+    ("ruby", "(?:the )?ruby license", "same terms as ruby", "ruby"),
+    ("openssl", "openssl license", "openssl toolkit license", "openssl"),
+    ("ofl", rf"(?:sil )?open font license(?:{V}1 [01])?", "scripts sil org ofl", "ofl 1 [01]"),
+    ("postgresql", "postgresql licen[cs]e", "postgres licen[cs]e", "postgresql"),
+    ("w3c", "w3c(?: software)?(?: notice and)? license", "w3c document license", "w3c"),
+    ("ncsa", "ncsa(?: open source)? license", "university of illinois ncsa open source license", "ncsa"),
+    ("ms-pl", "microsoft public license", "microsoft permissive license", "ms pl"),
+    ("ms-rl", "microsoft reciprocal license", "microsoft community license", "ms rl"),
+    ("upl", "universal permissive license", "oracle universal permissive license", "upl 1 0"),
+    ("sspl", "server side public license", "sspl license", "sspl 1 0"),
+    ("busl", "business source license(?: 1 1)?", "mariadb business source license", "busl 1 1"),
+    ("elastic", "elastic license(?: 2 0)?", "elastic co licensing elastic license", "elastic 2 0"),
+    ("rail", "(?:open)?rail(?: m)? license", "responsible ai licenses?", "openrail"),
+    ("llama", "llama(?: [23])?(?: [0-9])? community license", "meta llama license", "llama[23]"),
 )
-#: Wordings without a name: label, keyword, regex, weight.
+#: Wordings without a name: label, regex, weight.
 WORDINGS = (
-    ("permissive-text", "permission is hereby granted", "permission is hereby granted free of charge", 0.8),
-    ("warranty-disclaimer", "without warranty", "(?:provided )?as is without warranty of any kind", 0.5),
-    ("warranty-disclaimer", "warranties", "without warranties or conditions of any kind", 0.5),
-    ("redistribution", "redistribution", "redistribution and use in source and binary forms", 0.8),
-    ("copyleft-notice", "redistribute it", "you can redistribute it and or modify it under the terms", 0.8),
-    ("rights-reserved", "all rights reserved", "all rights reserved", 0.4),
-    ("copyright-notice", "copyright", "(?:c )?copyright(?: c)? (?:19|20)[0-9]{2}", 0.4),
-    ("public-domain", "public domain", "(?:released |dedicated )?(?:in|into|to) the public domain", 0.6),
-    ("proprietary", "proprietary", "proprietary and confidential", 0.6),
-    ("no-commercial-use", "commercial", "(?:not|non) ?(?:for )?commercial use(?: only)?", 0.4),
-    ("fair-use", "fair use", "fair use (?:notice|policy)", 0.3),
-    ("spdx", "spdx", "spdx license identifier", 0.6),
+    ("permissive-text", "permission is hereby granted free of charge", 0.8),
+    ("warranty-disclaimer", "(?:provided )?as is without warranty of any kind", 0.5),
+    ("warranty-disclaimer", "without warranties or conditions of any kind", 0.5),
+    ("redistribution", "redistribution and use in source and binary forms", 0.8),
+    ("copyleft-notice", "you can redistribute it and or modify it under the terms", 0.8),
+    ("rights-reserved", "all rights reserved", 0.4),
+    ("copyright-notice", "(?:c )?copyright(?: c)? (?:19|20)[0-9]{2}", 0.4),
+    ("public-domain", "(?:released |dedicated )?(?:in|into|to) the public domain", 0.6),
+    ("proprietary", "proprietary and confidential", 0.6),
+    ("no-commercial-use", "(?:not|non) ?(?:for )?commercial use(?: only)?", 0.4),
+    ("fair-use", "fair use (?:notice|policy)", 0.3),
+    ("spdx", "spdx license identifier", 0.6),
 )
 
 
+def literal(regex: str) -> str:
+    """The longest run of plain characters in a regex that begins at a word's beginning; every match contains it."""
+    group = r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)[?]?|\[[^\]]*\][?]?|.\?"  # groups, classes and optional characters
+    parts = re.sub(group, lambda m: "\0 " if m[0].rstrip("?)").endswith(" ") else "\0", regex).split("\0")
+    whole = [p.strip() for k, p in enumerate(parts) if k == 0 or p.startswith(" ")]
+    return max(whole, key=len)
+
+
 def signatures() -> list[Rule]:
     """All rules in order of priority: versions before families, names before bare identifiers, wordings last."""
     rules = []
-    for label, keyword, name, also, spdx in NAMED:
+    for label, name, also, spdx in NAMED:
         rules.append(Rule("spdx", f"spdx license identifier {spdx}", label, 1.0))
         rules.append(Rule("licen", f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{name}|{spdx}(?: licen[cs]e)?)", label, 1.0))
         rules.append(Rule("licen", f"licen[cs]e (?:is )?(?:{spdx})", label, 0.8))
-        rules.append(Rule(keyword, name, label, 0.9))
-        rules.append(Rule(also.split(" ", 1)[0] if also.split(" ", 1)[0].isalnum() else keyword, also, label, 0.7))
-    rules += [Rule(keyword, regex, label, weight) for label, keyword, regex, weight in WORDINGS]
+        rules.append(Rule(literal(name), name, label, 0.9))
+        rules.append(Rule(literal(also), also, label, 0.7))
+    rules += [Rule(literal(regex), regex, label, weight) for label, regex, weight in WORDINGS]
     return rules
 
 
 def gate(rules: list[Rule]) -> str:
-    """One regex, over the raw text, that finds any word with which a keyword begins."""
-    heads = sorted({r.keyword.split(" ", 1)[0] for r in rules} | {p.split(" ", 1)[0] for p, _ in PHRASES})
-    shortest = [h for h in heads if not any(h != o and h.startswith(o) for o in heads)]
-    return f"(?i)(?:^|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])[a-z]*(?:{'|'.join(shortest)})"
+    """One regex over lower-case words, joined by single spaces, that finds any keyword at a word's beginning."""
+    keys = sorted({r.keyword for r in rules} | {p for p, _ in PHRASES})
+    shortest = [k for k in keys if not any(k != o and k.startswith(o) for o in keys)]
+    by_letter = {c: "|".join(k[1:] for k in shortest if k[0] == c) for c in sorted({k[0] for k in shortest})}
+    return "(?:^| )(?:" + "|".join(f"{c}(?:{rest})" for c, rest in by_letter.items()) + ")"
 
 
 def intervals(line: Column, regex: Column) -> Column:
@@ -171,8 +181,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rules = signatures()
     kept = [F.col(c) for c in docs.columns if c not in ("n_words", "base", "detections")]
     body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(*kept, body.alias("_text"), F.array_remove(F.split(body, SEPARATORS), "").alias("_words"))
-    line = F.when(F.col("_text").rlike(gate(rules)), F.concat(F.lit(" "), F.translate(F.array_join("_words", " "), UPPER, LOWER), F.lit(" ")))
+    split = docs.select(*kept, F.array_remove(F.split(body, SEPARATORS), "").alias("_words"))
+    # lower() changes more letters than A-Z, which only opens the gate more often.
+    line = F.when(F.lower(F.array_join("_words", " ")).rlike(gate(rules)), F.concat(F.lit(" "), F.translate(F.array_join("_words", " "), UPPER, LOWER), F.lit(" ")))
     lined = split.select(*kept, F.size("_words").cast("long").alias("n_words"), line.alias("_line"))
 
     def let(value: Column, of: Callable[[Column], Column]) -> Column:
