@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalens.session import materialize
+from catalens.session import scratch_path
 
 #: Runs of space, tab, line feed, vertical tab, form feed and carriage return separate words; bytes.split() splits at the same six.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
+_scratch = threading.local()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back; the table is remembered for `release`."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    tables().append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def tables() -> list[str]:
+    """Folders of intermediate tables that this thread has written and not yet released."""
+    if not hasattr(_scratch, "tables"):
+        _scratch.tables = []
+    return _scratch.tables
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables from number `since` on, but for the last `keep`. What reads them must have been written."""
+    own = tables()
+    for path in own[since : len(own) - keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del own[since : len(own) - keep]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text."""
     return F.array_remove(F.split(text, WHITE_SPACE), "")
@@ -49,11 +76,8 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[list[list[byte
     """
     split = [(t.lower() if lower else t).split() for t in texts]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
-    flat = np.empty(int(bounds[-1]), dtype=object)
-    flat[:] = [w for x in split for w in x]
-    codes, distinct = pd.factorize(flat)
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), dtype=np.uint64, count=len(distinct))
-    return split, hashed[codes] if len(distinct) else np.zeros(0, np.uint64), bounds
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*split)}
+    return split, np.fromiter((known[w] for x in split for w in x), dtype=np.uint64, count=int(bounds[-1])), bounds
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.session import materialize
+from catalens.llm.common import materialize
+
 
 BROADCAST_HOSTS = 200_000
 #: Elements whose content is no page text.

@@ -25,8 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.common import running_totals, slices
-from catalens.session import materialize
+from catalens.llm.common import materialize, running_totals, slices
 
 SIZE = 2048
 GRAIN = 8

@@ -21,8 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import WHITE_SPACE, words
-from catalens.session import materialize
+from catalens.llm.common import WHITE_SPACE, materialize, words
 
 WINDOW = 8
 MIN_WORDS = 20

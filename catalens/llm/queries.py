@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalens.llm.common import materialize
+
 import corpus_pipeline
 from catalens.llm import chat, decontaminate, html_text, licenses, neardup, packing, quality, shards, substring, token_counts
 from catalens.llm.tokenizers import tokenizer_path, tokenizer_pattern
-from catalens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
