@@ -27,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import raw_texts, slices, starts_inside, window_hashes
-from catalens.session import materialize
+from catalens.llm.common import materialize, raw_texts, slices, starts_inside, window_hashes
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -120,10 +119,12 @@ class Block:
         runs = window_hashes(hashed, size)[starts]
         low = np.searchsorted(self.seeds, runs)
         hit = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == runs)
+        if not len(hit):
+            return out
         runs, starts = runs[hit], starts[hit]
         low, high = low[hit], np.searchsorted(self.seeds, runs, side="right")
         times = high - low
-        seed = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum())) if len(times) else np.zeros(0, np.int64)
+        seed = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
         at = np.repeat(starts, times)
         doc = np.searchsorted(bounds, at, side="right") - 1
         pair = doc * len(self.ids) + self.item[seed]
