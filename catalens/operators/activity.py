@@ -50,11 +50,12 @@ def assign_nicknames(users: DataFrame, user: str, name: str, prefix: str) -> Dat
 
 
 # --- change logs ------------------------------------------------------------------------------------
-def apply_changes(state: DataFrame, changes: DataFrame, keys: list[str], payload: list[str], policy: str) -> DataFrame:
+def apply_changes(state: DataFrame, changes: DataFrame, keys: list[str], payload: list[str], policy: str, sticky: tuple[str, ...] = ()) -> DataFrame:
     """Apply a change log to a state table of (keys, payload, created_at, updated_at).
 
     `changes`: keys, payload, op ('put' or 'delete'), ts, seq. Policies: `upsert` takes the newest
-    payload and keeps created_at; `insert_ignore` keeps what is there. A delete forgets all before it.
+    payload and keeps created_at; `insert_ignore` keeps what is there. A delete forgets all before it. An upsert
+    that leaves a `sticky` column empty keeps its value.
     """
     order = F.struct("ts", "seq")
     reduced = changes.groupBy(*keys).agg(
@@ -62,13 +63,16 @@ def apply_changes(state: DataFrame, changes: DataFrame, keys: list[str], payload
     )
     puts = changes.filter(F.col("op") == "put").join(reduced, keys).filter(F.col("_gone").isNull() | (order > F.col("_gone")))
     pick = (F.max_by if policy == "upsert" else F.min_by)(F.struct(*payload), order)
-    fresh = puts.groupBy(*keys).agg(pick.alias("_p"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
+    given = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_s_{c}") for c in sticky]
+    fresh = puts.groupBy(*keys).agg(pick.alias("_p"), F.min("ts").alias("_from"), F.max("ts").alias("_to"), *given)
     deleted = reduced.filter(F.col("_gone").isNotNull()).select(*keys)
     kept = state.join(deleted, keys, "left_anti")
     old = kept.select(*keys, F.struct(*payload).alias("_op"), "created_at", "updated_at", F.lit(True).alias("_old"))
     both = old.join(fresh, keys, "full")
     if policy == "upsert":
         row, until = F.coalesce("_p", "_op"), F.coalesce("_to", "updated_at")
+        for c in sticky:
+            row = row.withField(c, F.coalesce(f"_s_{c}", F.col("_op")[c]))
     else:
         row, until = F.coalesce("_op", "_p"), F.coalesce("updated_at", "_from")
     return both.select(*keys, row.alias("_r"), F.coalesce("created_at", "_from").alias("created_at"), until.alias("updated_at")).select(*keys, "_r.*", "created_at", "updated_at")

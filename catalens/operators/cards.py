@@ -176,9 +176,9 @@ def select_views(crops: DataFrame, allowed: list[str] | None = None) -> DataFram
     return out.withColumn("label_area_ratio", F.col("_ratio")).withColumn("label_photo", close_up).withColumn("many_labels", many).withColumn("views", F.col("_v")).drop("_ratio", "_v")
 
 
-def text_source_view() -> Column:
-    """The crop to read text from: label, else bottle, else the frame."""
-    return F.when(F.col("label_source").isNotNull(), "label_crop").when(F.col("has_bottle"), "bottle_crop").otherwise("original")
+def text_source_view(available: Column) -> Column:
+    """The crop to read text from, of an array of available views: label, else bottle, else the frame."""
+    return F.coalesce(*[F.when(F.array_contains(available, view), view) for view in ("label_crop", "bottle_crop")], F.lit("original"))
 
 
 def status(candidates: Column) -> Column:

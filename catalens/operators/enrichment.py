@@ -45,8 +45,8 @@ def explode_list_dimension(df: DataFrame, item: str, column: str, dim_ns: uuid.U
 
 
 def first_spelling(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Rows whose text was not seen before, ignoring case."""
-    return first_per_key(df.withColumn("_key", F.lower(text)), ["_key"], order).drop("_key")
+    """Rows whose text was not seen before, ignoring case. Texts are grouped by digest."""
+    return first_per_key(df.withColumn("_key", F.sha2(F.lower(text), 256)), ["_key"], order).drop("_key")
 
 
 def category_suffix(text: Column, known: tuple[str, ...] = KNOWN_SUGARS) -> Column:

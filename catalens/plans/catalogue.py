@@ -244,13 +244,13 @@ def _(spark, d):
     "search_views", "P6,P7,P13",
     f"""WITH {CROPS_SQL}, a AS (SELECT *, CASE WHEN label_source = 'original' THEN greatest(0, label_x2 - label_x1)::BIGINT * greatest(0, label_y2 - label_y1) / 1200000.0 ELSE 0 END::DOUBLE AS ratio FROM crops),
         b AS (SELECT *, label_source = 'original' AND ratio > 0.6 AND label_confidence > 0.5 AS close_up FROM a)
-      SELECT photo, round(ratio, 9) AS label_area_ratio, close_up AS label_photo, labels >= 3 AS many_labels, 'label_crop' AS text_view,
+      SELECT photo, round(ratio, 9) AS label_area_ratio, close_up AS label_photo, labels >= 3 AS many_labels, CASE WHEN close_up OR label_source <> 'original_fallback' THEN 'label_crop' WHEN has_bottle THEN 'bottle_crop' ELSE 'original' END AS text_view,
         CASE WHEN labels > 0 THEN 'found' ELSE 'not_found' END AS status,
         CASE WHEN close_up THEN 'label_crop' ELSE array_to_string(list_filter([CASE WHEN labels < 3 THEN 'original' END, CASE WHEN has_bottle THEN 'bottle_crop' END, CASE WHEN label_source <> 'original_fallback' THEN 'label_crop' END], lambda x: x IS NOT NULL), ',') END AS views FROM b""",
 )
 def _(spark, d):
     out = cards.select_views(crop_frame(spark, d))
     return out.select(
-        "photo", F.round("label_area_ratio", 9).alias("label_area_ratio"), "label_photo", "many_labels", cards.text_source_view().alias("text_view"),
+        "photo", F.round("label_area_ratio", 9).alias("label_area_ratio"), "label_photo", "many_labels", cards.text_source_view(C("views")).alias("text_view"),
         cards.status(C("labels")).alias("status"), F.array_join("views", ",").alias("views"),
     )

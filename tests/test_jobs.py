@@ -207,6 +207,14 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
     assert digests("8 days") == [2] and digests("1 hour") == [1]
 
 
+def test_upsert_keeps_sticky_columns(spark):
+    """A review edited without a notification keeps the link it had."""
+    state = spark.createDataFrame([(1, 1, "old", 7, 0, 0), (2, 1, "old", 8, 0, 0)], "u int, i int, comment string, note int, created_at int, updated_at int")
+    changes = spark.createDataFrame([(1, 1, "new", None, "put", 5, 1), (2, 1, "a", 9, "put", 5, 1), (2, 1, None, None, "put", 6, 2), (3, 1, "first", None, "put", 5, 1)], "u int, i int, comment string, note int, op string, ts int, seq int")
+    got = activity.apply_changes(state, changes, ["u", "i"], ["comment", "note"], "upsert", sticky=("note",))
+    assert sorted((r["u"], r["comment"], r["note"]) for r in got.collect()) == [(1, "new", 7), (2, None, 9), (3, "first", None)]
+
+
 def test_nicknames_are_unique(spark):
     users = spark.range(500).select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("n"), "id")).alias("nick"))
     got = activity.assign_nicknames(users, "id", "nick", "guest")
