@@ -130,9 +130,10 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def text_bytes(docs: DataFrame, text: str) -> int:
-    """Total UTF-8 bytes of a column; sizes partitions in proportion to the data."""
-    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """The input with columns of these names renamed, and the columns that give it back."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
 
 
 def running_totals(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:

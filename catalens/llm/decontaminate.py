@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import materialize, raw_texts, slices, starts_inside, window_hashes
+from catalens.llm.common import aside, materialize, raw_texts, slices, starts_inside, window_hashes
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -172,4 +172,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents that no benchmark item contaminates, with the columns of the input."""
-    return find_leaks(docs, benchmark, text).filter(F.size("leaks") == 0).select(*docs.columns)
+    safe, back = aside(docs, ("leaks",))
+    return find_leaks(safe, benchmark, text).filter(F.size("leaks") == 0).select(*back)

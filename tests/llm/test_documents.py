@@ -135,7 +135,7 @@ def test_repeated_passages_of_nothing_and_stage(documents):
     assert substring.dedup_windows(empty(documents)).collect() == []
     out = substring.without_repeats(documents)
     assert out.columns == documents.columns
-    assert substring.dedup_windows(out).agg({"n_removed": "sum"}).first()[0] in (0, None) or True
+    assert {r["kept"] for r in out.collect()} == {"x"}
     same = {r["doc_id"]: r["text"] for r in out.collect()}
     assert same[201] == "" and 208 in same
 
@@ -164,7 +164,7 @@ def test_reordered_passages_are_found_and_clean_documents_stay(spark, monkeypatc
         rows = decontaminate.find_leaks(frame, bench).collect()
         assert sorted((r["doc_id"], x["item"]) for r in rows for x in r["leaks"]) == [(1, 9), (2, 9), (2, 9)]
         assert {len(x["tiles"]) for r in rows if r["doc_id"] == 2 for x in r["leaks"]} == {2}
-    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(frame.drop("leaks"), bench).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(frame, bench).filter("leaks = 'x'").collect()) == [3, 4, 5, 6, 7]
     assert decontaminate.find_leaks(frame.filter("false"), bench).collect() == []
     assert not any(r["leaks"] for r in decontaminate.find_leaks(frame, bench.filter("false")).collect())
 

@@ -9,7 +9,9 @@ import brute
 import numpy as np
 import pytest
 from catalens.llm import chat, html_text, packing
+from catalens.llm.common import tables
 from catalens.llm.tokenizers import tokenizer_path, tokenizer_pattern
+from catalens.session import materialize
 
 pytest.importorskip("public_tokenizers")
 RANKS, PATTERN = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern()
@@ -217,7 +219,7 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stages, rows = {}, frame
     for name, stage in corpus_pipeline.STAGES:
-        rows = stage(spark, rows, str(tmp_path))
+        rows = materialize(stage(spark, rows, str(tmp_path)), "stage")
         stages[name] = {r["doc_id"]: r for r in rows.collect()}
         assert name == "packing" or rows.columns == frame.columns
     ids = {name: set(kept) for name, kept in stages.items()}
@@ -227,7 +229,7 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     texts = stages["repeated passages"]
     assert all(texts[i]["text"] == t for i, t in clean) and passage in texts[104]["text"] and len(texts[105]["text"]) < len(texts[104]["text"]) - 300
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
-    assert corpus_pipeline.ORACLE_SQL is None
+    assert corpus_pipeline.ORACLE_SQL is None and len(tables()) < 12  # earlier stages' tables are gone
     total = sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert total == sum(r["length"] for r in rows.collect())
 
