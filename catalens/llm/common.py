@@ -49,8 +49,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE_SPACE), "")
 
 
+def lean() -> None:
+    """From now on this Python worker's Arrow memory goes back to the system when it is freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in pieces whose texts take at most `limit` bytes (or one row)."""
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue

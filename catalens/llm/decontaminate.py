@@ -32,7 +32,7 @@ from catalens.llm.common import aside, materialize, raw_texts, slices, starts_in
 MIN_TILE = 5
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
 LEAK = pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("doc_word", pa.int64()), ("item_word", pa.int64()), ("length", pa.int64())])))])
 LEAKS = "array<struct<item:long,coverage:double,tiles:array<struct<doc_word:long,item_word:long,length:long>>>>"

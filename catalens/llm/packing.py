@@ -15,6 +15,7 @@ packed one by one; an empty table gives an empty result; further columns are ign
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,9 @@ from catalens.llm.common import materialize, running_totals, slices
 SIZE = 2048
 GRAIN = 8
 END_ID = 1
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+#: Parts of texts whose ids a task remembers.
+CACHE = 100_000
 SPECIAL = "<|endoftext|>"
 #: More columns change the last digits of the bound only; the rounding below is exact for any number of them.
 MAX_COLUMNS = 2000
@@ -65,17 +68,23 @@ def pieces(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        encode, beside = encoder(ranks_file, pattern), re.compile(r" \s|\s ").search
-        task, n = TaskContext.get().partitionId(), 0
+        encode, two, space = encoder(ranks_file, pattern), re.compile(r"\s\s").search, re.compile(r" \s|\s ").search
+        beside = lambda t: two(t) and space(t)  # noqa: E731  the first is quick and mostly fails
+        task, n, known = TaskContext.get().partitionId(), 0, {}
         for part in slices(batches, text, PIECE_BYTES):
             split = [chunks(t or "", beside) for t in part.column(1).to_pylist()]
             sizes = np.array([len(x) for x in split], dtype=np.int64)
             flat = np.empty(int(sizes.sum()), dtype=object)
             flat[:] = [c for x in split for c in x]
             codes, distinct = pd.factorize(flat)
-            encoded = [encode(c) for c in distinct]
-            lengths = np.array([len(e) for e in encoded], dtype=np.int64)
-            vocabulary = np.array([i for e in encoded for i in e], dtype=np.uint16)
+            if len(known) > CACHE:
+                known.clear()
+            for c in distinct:
+                if c not in known:
+                    known[c] = array("H", encode(c)).tobytes()
+            encoded = [known[c] for c in distinct]
+            lengths = np.array([len(e) for e in encoded], dtype=np.int64) // 2
+            vocabulary = np.frombuffer(b"".join(encoded), np.uint16)
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             times = lengths[codes]
             ids = vocabulary[np.repeat(first[codes] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))]

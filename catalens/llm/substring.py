@@ -24,8 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import pack_sorted, raw_texts, slices, starts_inside, unpack_sorted, window_hashes, word_hashes
-from catalens.session import materialize
+from catalens.llm.common import aside, lean, materialize, pack_sorted, raw_texts, slices, starts_inside, unpack_sorted, window_hashes, word_hashes
 
 WINDOW = 20
 CHUNK_BYTES = 4 << 20
@@ -41,7 +40,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
         task, n = TaskContext.get().partitionId(), 0
         for piece in slices(batches, text, CHUNK_BYTES):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_batch(piece)
             size = pa.compute.sum(pa.compute.binary_length(piece.column(piece.schema.get_field_index(text)))).as_py() or 0
             yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "rows"])
@@ -52,6 +51,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
 
 def opened(rows: bytes, id_col: str, text: str) -> tuple[pa.Table, np.ndarray]:
     """The rows of a chunk in the order of their ids, and the ids as numbers."""
+    lean()
     table = pa.ipc.open_stream(rows).read_all()
     ids = pa.compute.fill_null(table.column(id_col).cast(pa.int64()), LAST).to_numpy()
     order = np.argsort(ids, kind="stable")
@@ -96,6 +96,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table, ids = opened(rows.as_py(), id_col, text)
                 found = Windows(raw_texts(table.column(text).combine_chunks()), window)
+                found.words = []
                 row = (np.searchsorted(found.bounds, found.starts[found.first], side="right") - 1).astype(np.uint32)
                 cuts = found.cuts(parts)
                 out = []
@@ -109,6 +110,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     sent = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
 
     def judge(table: pa.Table) -> pa.Table:
+        lean()
         hashes, docs_of, chunk_of, sizes = [], [], [], []
         for h, d, i, c in zip(*(table.column(n).to_pylist() for n in ("hashes", "docs", "ids", "chunk")), strict=True):
             hashes.append(unpack_sorted(h))
@@ -159,6 +161,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without their repeated passages; texts that lose nothing stay as they are. Documents left without words go."""
-    out = dedup_windows(docs, id_col, text).withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
+    safe, back = aside(docs, ("n_words", "n_removed", "removed", "kept"))
+    out = dedup_windows(safe, id_col, text).withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text)))
     out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return out.select(*docs.columns)
+    return out.select(*back)

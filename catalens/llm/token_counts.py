@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from catalens.llm.common import raw_texts, slices
 
 MARK = "▁"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def vocabulary(model_file: str) -> dict[str, float]:

@@ -1,8 +1,9 @@
 """The corpus pipeline: raw documents to packed training sequences, one operator per stage.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents. There is no SQL for the whole (ORACLE_SQL): weak
-supervision, sketches and tokenization are outside of what SQL can say, so the tests hold each stage against brute force.
+again as the next one's docs. So a stage begins by deleting the intermediate tables of the stages before it. All but the last return
+the columns of documents. There is no SQL for the whole (ORACLE_SQL): weak supervision, sketches and tokenization are outside of what
+SQL can say, so the tests hold each stage against brute force.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import decontaminate, neardup, packing, quality, substring
+from catalens.llm.common import release
 from catalens.llm.tokenizers import tokenizer_path, tokenizer_pattern
 from catalens.session import materialize
 
@@ -24,21 +26,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are alike in four fifths of their five-word shingles the one with the smallest id stays."""
+    release(spark)
     return neardup.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more stay at their first place only."""
+    release(spark)
     return substring.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item go."""
+    release(spark)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents in training sequences."""
+    release(spark)
     return packing.place(packing.pieces(docs, tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())).drop("piece")
 
 
