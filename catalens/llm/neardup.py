@@ -1,14 +1,15 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Sets are the distinct word shingles of a text. Documents with equal sets are one class, so exact copies never meet as pairs. The classes go
-down TREES independent trees: a node picks BRANCHES of the minwise hash functions, and each of its members follows the branch of its own minwise
-token. Two sets of similarity J share a child with probability 1 - (1 - J)**BRANCHES, and the random choices of the trees are independent, so at 0.85 a tree of three
+down TREES independent trees: a node picks two of the minwise hash functions, and each of its members follows the branch of its own minwise
+token. Two sets of similarity J share a child with probability 1 - (1 - J)**2, and the random choices of the trees are independent, so at 0.85 a tree of three
 levels loses a pair with probability 0.03 and four trees lose 1 in a million.
 
-- A node of at most LEAF members is compared exhaustively in one row: pairs whose sketches agree enough become candidates.
+- A node of at most LEAF members is compared exhaustively in one row: each member names its best partner by sketch.
 - A larger node compares every member with its smallest one, and branches on. What is still large after LEVELS levels is finished below.
-- Candidates are confirmed on the full sets. First each class is confirmed against its smallest candidate only; then what is left between
-  different components. At last the large nodes that still hold several components compare all members outside their main component with all members.
+- Each document's best candidate is confirmed on the full sets; the links give first components. Then nodes that hold several components compare all
+  members of different components by sketch, large nodes in blocks: everything outside their main component with everything. Of pairs that agree enough, an
+  upper bound of the shared shingles from 16-bit marks leaves those that can be links; they are confirmed on the full sets too.
   So a hot group of near copies costs a link per copy and not a link per pair, and no link between different components is left out.
 
 Components are minimum labels spread along links with pointer jumping; labels and links stay in tables.
@@ -26,20 +27,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import mix, powers, raw_texts, slices, starts_inside, window_hashes, word_hashes
-from catalens.session import materialize
+from catalens.llm.common import materialize, mix, powers, raw_texts, release, slices, starts_inside, tables, window_hashes, word_hashes
 
 WORDS = 5
 PERCENT = 80
-HASHES = 32
-TREES, BRANCHES, LEVELS, LEAF = 4, 2, 3, 32
-#: Sketches of a pair of similarity 0.8 agree in 25.6 of 32 places on average, in fewer than 15 once in 100 000 cases.
-AGREE = 15
-PIECE_BYTES = 4 << 20
+#: Minwise hash functions; the first CHOICES are open to branches, the lowest bytes of all make the sketch.
+HASHES, CHOICES = 128, 32
+TREES, LEVELS, LEAF = 4, 3, 32
+BLOCK = 1024
+PIECE_BYTES = 2 << 20
 BROADCAST_IDS = 2_000_000
 LAST = np.iinfo(np.int64).max
 
 
+def least_agreement(percent: int) -> int:
+    """Equal sketch bytes that a pair of this similarity falls below once in a million cases (4.75 standard deviations)."""
+    p = percent / 100
+    return int(HASHES * p - 4.75 * (HASHES * p * (1 - p)) ** 0.5)
+
+
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles, by text and hash. A text of fewer than `size` words is one shingle."""
     _, hashed, bounds = word_hashes(texts, lower=True)
@@ -58,7 +64,7 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, sketch) per row, stored: a and b digest the set, the sketch holds HASHES minwise values."""
+    """(doc_id, n_shingles, a, b, minwise, sketch) per row, stored: a and b digest the set."""
     odd = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,32 +72,36 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
             rows = piece.num_rows
             text_of, found = shingles(raw_texts(piece.column(1)), size)
             n = np.bincount(text_of, minlength=rows)
-            a, b, sketch = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), np.zeros((rows, HASHES), np.uint32)
+            a, b, least = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), np.zeros((rows, HASHES), np.uint32)
             full = np.flatnonzero(n)
             if len(full):
                 at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 a[full] = np.add.reduceat(mix(found ^ np.uint64(0x51ED2701)), at)
                 b[full] = np.add.reduceat(mix(found + np.uint64(0xA5A5A5A5A5)), at)
                 for k in range(HASHES):
-                    sketch[full, k] = np.minimum.reduceat(((found * odd[k]) >> np.uint64(32)).astype(np.uint32), at)
+                    least[full, k] = np.minimum.reduceat(((found * odd[k]) >> np.uint64(32)).astype(np.uint32), at)
             ids = pa.compute.fill_null(piece.column(0).cast(pa.int64()), LAST)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * HASHES), pa.array(sketch.reshape(-1).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "n_shingles", "a", "b", "sketch"])
+            choices = np.ascontiguousarray(least[:, :CHOICES]).reshape(-1).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * CHOICES), pa.array(choices))
+            sketches = pa.array([x.tobytes() for x in least.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists, sketches], names=["doc_id", "n_shingles", "a", "b", "minwise", "sketch"])
 
-    return materialize(docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n_shingles long, a long, b long, sketch array<int>"), "signatures")
+    return materialize(docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n_shingles long, a long, b long, minwise array<int>, sketch binary"), "signatures")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(doc_id, shingles) of the documents named in `ids`, stored."""
+    """(doc_id, shingles, marks) of the documents named in `ids`, stored. marks: the distinct lowest 16 bits of the shingles."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text, PIECE_BYTES):
             text_of, found = shingles(raw_texts(piece.column(1)), size)
             bounds = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=piece.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.view(np.int64)))], names=["doc_id", "shingles"])
+            low = (found & np.uint64(0xFFFF)).astype("<u2")
+            marks = pa.array([np.unique(low[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.view(np.int64))), marks], names=["doc_id", "shingles", "marks"])
 
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text))
-    return materialize(only(named, ids, "left_semi").mapInArrow(collect, "doc_id long, shingles array<long>"), "sets")
+    return materialize(only(named, ids, "left_semi").mapInArrow(collect, "doc_id long, shingles array<long>, marks binary"), "sets")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
@@ -114,40 +124,99 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def agree(one: Column, other: Column) -> Column:
-    return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda same: same)) >= AGREE
+NODE = "array<struct<id:bigint,n:bigint,sketch:binary,label:bigint,marks:binary>>"
+
+
+class Members:
+    """Members of nodes as columns: id, size of the set, sketch, label (of a component, or null), marks (or null)."""
+
+    def __init__(self, flat: pa.StructArray) -> None:
+        self.ids, self.n = flat.field("id").to_numpy(), flat.field("n").to_numpy()
+        self.labels = pa.compute.fill_null(flat.field("label"), -1).to_numpy(zero_copy_only=False)
+        self.sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.marks = [np.frombuffer(m, "<u2") if m else np.zeros(0, np.uint16) for m in flat.field("marks").to_pylist()]
+        self.bits: dict[int, np.ndarray] = {}
+
+    def bitmap(self, k: int) -> np.ndarray:
+        """The marks of a member as 65536 bits."""
+        if k not in self.bits:
+            own = np.zeros(1 << 16, np.uint8)
+            own[self.marks[k]] = 1
+            self.bits[k] = np.packbits(own).view(np.uint64)
+        return self.bits[k]
+
+    def possible(self, x: np.ndarray, other: Members, k: int, percent: int) -> np.ndarray:
+        """Which members x may be similar enough to member k of the other side. Shared shingles are at most the shared marks and what
+        shares a mark within the set that has fewer such, so no similar pair is lost."""
+        if not len(x):
+            return np.zeros(0, bool)
+        shared = np.bitwise_count(np.stack([self.bitmap(int(i)) for i in x]) & other.bitmap(k)).sum(axis=1, dtype=np.int64)
+        twice = np.minimum(np.array([self.n[i] - len(self.marks[i]) for i in x]), other.n[k] - len(other.marks[k]))
+        common = np.minimum(shared + twice, np.minimum(self.n[x], other.n[k]))
+        return 100 * common >= percent * (self.n[x] + other.n[k] - common)
+
+    def agreement(self, x: np.ndarray, other: Members, y: np.ndarray, percent: int) -> np.ndarray:
+        """Equal sketch bytes of pairs, 0 where the sets' sizes rule the similarity out."""
+        out, step = np.zeros(len(x), np.int64), 1 << 16
+        fit = np.flatnonzero(100 * np.minimum(self.n[x], other.n[y]) >= percent * np.maximum(self.n[x], other.n[y]))
+        for at in range(0, len(fit), step):
+            k = fit[at : at + step]
+            out[k] = (self.sketch[x[k]] == other.sketch[y[k]]).sum(axis=1)
+        return out
+
+
+def pairs_inside(nodes: pa.ListArray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i < j) of all pairs of members of the same node; at most about `limit` pairs at a time, nodes whole."""
+    bounds = nodes.offsets.to_numpy() - nodes.offsets[0].as_py()
+    sizes = np.diff(bounds)
+    for size in np.unique(sizes):  # nodes of one size together
+        i, j = np.triu_indices(int(size), 1)
+        at = bounds[:-1][sizes == size]
+        for part in np.array_split(at, max(1, len(at) * len(i) // limit)):
+            yield (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+
+
+def best_partners(nodes: DataFrame, percent: int) -> DataFrame:
+    """(y, x, agreement): for each member of a small node (a row of arrays) the member that agrees with it most, if it agrees enough."""
+    enough = least_agreement(percent)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = Members(batch.column(0).flatten())
+            best, partner = np.full(len(m.ids), -1), np.zeros(len(m.ids), np.int64)
+            for x, y in pairs_inside(batch.column(0)):
+                same = m.agreement(x, m, y, percent)
+                for a, b in ((x, y), (y, x)):
+                    order = np.lexsort((-m.ids[b], same, a))
+                    last = order[np.append(np.flatnonzero(np.diff(a[order])), len(order) - 1)] if len(order) else order
+                    best[a[last]], partner[a[last]] = np.where(same[last] > best[a[last]], same[last], best[a[last]]), np.where(same[last] > best[a[last]], b[last], partner[a[last]])
+            good = np.flatnonzero(best >= enough)
+            yield pa.RecordBatch.from_arrays([pa.array(m.ids[good]), pa.array(m.ids[partner[good]]), pa.array(best[good])], names=["y", "x", "agreement"])
 
-def similar_sizes(one: Column, other: Column, percent: int) -> Column:
-    return 100 * F.least(one, other) >= percent * F.greatest(one, other)
+    return nodes.mapInArrow(compare, "y long, x long, agreement long")
 
 
-def exhaustive(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (x < y) in nodes of at most LEAF members, each node one row of arrays (id, n, sketch)."""
+def pairs_apart(nodes: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of members of small nodes that agree enough and have different labels."""
+    enough = least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0)
-            flat = nodes.flatten()
-            ids, n = flat.field("id").to_numpy(), flat.field("n").to_numpy()
-            sketch = flat.field("sketch").flatten().to_numpy().reshape(-1, HASHES)
-            bounds = nodes.offsets.to_numpy() - nodes.offsets[0].as_py()
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            sizes = np.diff(bounds)
-            for size in np.unique(sizes):  # nodes of one size together
-                i, j = np.triu_indices(int(size), 1)
-                at = bounds[:-1][sizes == size]
-                for part in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
-                    x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                    near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-                    x, y = x[near], y[near]
-                    near = (sketch[x] == sketch[y]).sum(axis=1) >= AGREE
-                    left.append(ids[x[near]])
-                    right.append(ids[y[near]])
-            pairs = np.unique(np.stack([np.minimum(a := np.concatenate(left), b := np.concatenate(right)), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["x", "y"])
-
-    return members.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("m")).select("m").mapInArrow(compare, "x long, y long").filter("x < y")
+            m = Members(batch.column(0).flatten())
+            for x, y in pairs_inside(batch.column(0)):
+                other = m.labels[x] != m.labels[y]
+                x, y = x[other], y[other]
+                near = m.agreement(x, m, y, percent) >= enough
+                x, y = x[near], y[near]
+                near = np.zeros(len(x), bool)
+                for k in np.unique(y):
+                    near[y == k] = m.possible(x[y == k], m, int(k), percent)
+                a, b = m.ids[x[near]], m.ids[y[near]]
+                if len(m.bits) > BLOCK:
+                    m.bits.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
+
+    return nodes.mapInArrow(compare, "x long, y long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,67 +231,100 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id in its component), kept (it is that document)."""
     signed = signatures(docs, id_col, text, words)
-    classes = signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
+    classes = signed.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumnRenamed("n_shingles", "n"), "classes")
 
-    candidates, large = candidate_pairs(classes, percent)
-    pairs = materialize(candidates, "candidates")
-    ids = materialize(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(large.select("id")).distinct(), "candidate-ids")
+    best, small, large = candidates(classes, percent)
+    best = materialize(best, "candidates")
+    ids = materialize(best.select(F.col("x").alias("id")).union(best.select("y")).union(large.select("id")).distinct(), "candidate-ids")
     sets = full_sets(docs, ids, id_col, text, words)
-
-    first = linked(pairs.groupBy("y").agg(F.min("x").alias("x")), sets, percent)
+    first = linked(best.groupBy("y").agg(F.max_by("x", F.struct("agreement", -F.col("x"))).alias("x")), sets, percent)
     labels = components(ids.withColumn("label", F.col("id")), first)
-    for find in (lambda: pairs, lambda: crossing(large, labels, classes, percent)):
-        named = labels.withColumnRenamed("label", "u").withColumnRenamed("id", "x"), labels.withColumnRenamed("label", "v").withColumnRenamed("id", "y")
-        apart = find().join(named[0], "x").join(named[1], "y").filter("u <> v").select("x", "y")
-        labels = components(labels, linked(apart, sets, percent))
+    known = classes.select("id", "n", "sketch").join(sets.select(F.col("doc_id").alias("id"), "marks"), "id").join(labels, "id")
+    known = materialize(known.dropDuplicates(["id"]), "members")
+    apart = large_apart(large, known, percent)
+    for nodes in small:
+        named = nodes.join(labels, "id")
+        several = named.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("node")
+        apart = apart.union(pairs_apart(gathered(nodes.join(several, "node").join(known, "id")), percent))
+    labels = components(labels, linked(apart.distinct(), sets, percent))
 
     of_class = classes.select("a", "b", F.col("n").alias("n_shingles"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
-    out = signed.drop("sketch").join(of_class, ["a", "b", "n_shingles"], "left").withColumn("component", F.coalesce("label", "doc_id"))
+    out = signed.drop("minwise", "sketch").join(of_class, ["a", "b", "n_shingles"], "left").withColumn("component", F.coalesce("label", "doc_id"))
     known = lambda c: F.nullif(F.col(c), F.lit(LAST))
     return out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), ((F.col("doc_id") == F.col("component")) | (F.col("n_shingles") == 0)).alias("kept"))
 
 
-def candidate_pairs(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs x < y whose sketches agree, members (node, id) of the nodes that are still large at the last level)."""
-    members = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)])).alias("node"), "sketch")
-    found = []
+def gathered(members: DataFrame) -> DataFrame:
+    """Nodes of at most LEAF members, one row of arrays each."""
+    return members.groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label", "marks")).cast(NODE).alias("m")).select("m")
+
+
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(best partners (y, x, agreement), small nodes (node, id) of each level, nodes (node, id) that are still large at the last level)."""
+    members = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)])).alias("node"), "minwise")
+    light, enough = classes.select("id", "n", "sketch"), least_agreement(percent)
+    unknown = {"label": F.lit(None).cast("long"), "marks": F.lit(None).cast("binary")}
+    found, small = [], []
     for _ in range(LEVELS):
-        pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HASHES)).cast("int")
-        other = F.pmod(pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(HASHES - 1)).cast("int"), F.lit(HASHES))
-        child = lambda k: F.xxhash64("node", k, F.get("sketch", k))
+        pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CHOICES)).cast("int")
+        other = F.pmod(pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(CHOICES - 1)).cast("int"), F.lit(CHOICES))
+        child = lambda k: F.xxhash64("node", k, F.get("minwise", k))
         rows = members.select("id", F.explode(F.array(child(pick), child(other))).alias("node"))
         sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
         nodes = materialize(rows.join(sized, "node"), "nodes")
-        signed = nodes.join(classes, "id")
-        found.append(exhaustive(signed.filter(F.col("size") <= LEAF), percent))
+        small.append(nodes.filter(F.col("size") <= LEAF).select("node", "id"))
+        found.append(best_partners(gathered(small[-1].join(light.withColumns(unknown), "id")), percent))
         crowd = nodes.filter(F.col("size") > LEAF)
-        stars = crowd.filter("id <> least").select("id", "least").distinct().join(classes.select("id", "n", "sketch"), "id")
-        stars = stars.join(classes.select(F.col("id").alias("least"), F.col("n").alias("m"), F.col("sketch").alias("other")), "least")
-        found.append(stars.filter(similar_sizes(F.col("n"), F.col("m"), percent) & agree(F.col("sketch"), F.col("other"))).select(F.col("least").alias("x"), F.col("id").alias("y")))
-        members = crowd.select("node", "id").join(classes.select("id", "sketch"), "id").select("id", "node", "sketch")
+        stars = crowd.filter("id <> least").select("id", "least").distinct().join(light, "id").join(light.toDF("least", "m", "other"), "least")
+        same = F.size(F.filter(F.sequence(F.lit(1), F.lit(HASHES)), lambda k: F.substring("sketch", k, F.lit(1)) == F.substring("other", k, F.lit(1)))).cast("long")
+        near = stars.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("id").alias("y"), F.col("least").alias("x"), same.alias("agreement"))
+        found.append(near.filter(F.col("agreement") >= enough))
         if crowd.isEmpty():
             break
-    pairs = found[0]
+        members = crowd.select("node", "id").join(classes.select("id", "minwise"), "id").select("id", "node", "minwise")
+    best = found[0]
     for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct(), crowd.select("node", "id")
+        best = best.union(more)
+    return best.groupBy("y", "x").agg(F.max("agreement").alias("agreement")), small, crowd.select("node", "id")
+
 
+def large_apart(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that agree enough in large nodes, between a member outside the node's main component and any member of another component.
 
-def crossing(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in large nodes between a member outside the node's main component and any member of another component."""
-    named = large.join(labels, "id")
+    Both sides are cut into blocks, so a group compares at most about BLOCK * BLOCK pairs.
+    """
+    named = large.join(known, "id")
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = counted.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = materialize(named.join(main.select("node", "main"), "node").join(classes.select("id", "n", "sketch"), "id"), "mixed")
-    outside = mixed.filter("label <> main").select("node", F.col("id").alias("x"), F.col("label").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    near = mixed.join(outside, "node").filter((F.col("label") != F.col("u")) & similar_sizes(F.col("n"), F.col("m"), percent) & agree(F.col("sketch"), F.col("other")))
-    return near.select(F.least("id", "x").alias("x"), F.greatest("id", "x").alias("y")).distinct()
+    main = counted.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    main = main.filter("parts > 1").select("node", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outer"))
+    mixed = materialize(named.join(main, "node"), "mixed")
+    block = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    keys, member = ["node", "p", "q"], F.struct("id", "n", "sketch", "label", "marks").alias("m")
+    inner = mixed.select("node", block("blocks").alias("p"), every("outer").alias("q"), member)
+    outside = mixed.filter("label <> main").select("node", every("blocks").alias("p"), block("outer").alias("q"), member)
+    enough = least_agreement(percent)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if left.num_rows and right.num_rows:
+            a, b = (Members(t.column("m").combine_chunks()) for t in (left, right))
+            for k in range(len(b.ids)):
+                x = np.flatnonzero(a.labels != b.labels[k])
+                x = x[a.agreement(x, b, np.full(len(x), k), percent) >= enough]
+                x = x[a.possible(x, b, k, percent)]
+                out.append((np.minimum(a.ids[x], b.ids[k]), np.maximum(a.ids[x], b.ids[k])))
+        return pa.table({"x": np.concatenate([x for x, _ in out]), "y": np.concatenate([y for _, y in out])})
+
+    return inner.groupBy(*keys).cogroup(outside.select(*[F.col(c).alias(c) for c in (*keys, "m")]).groupBy(*keys)).applyInArrow(compare, "x long, y long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without all but one of each group of near duplicates. An id goes if none of its rows is kept."""
+    before = len(tables())
     judged = near_duplicates(docs, id_col, text).groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).agg(F.max("kept").alias("kept"))
     gone = materialize(judged.filter("not kept").select("doc_id"), "near-duplicates")
+    release(docs.sparkSession, before, keep=1)
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
     return only(keyed, gone, "left_anti", "_id").select(*docs.columns)
