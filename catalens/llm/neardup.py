@@ -145,15 +145,17 @@ class Members:
             self.bits[k] = np.packbits(own).view(np.uint64)
         return self.bits[k]
 
-    def possible(self, x: np.ndarray, other: Members, k: int, percent: int) -> np.ndarray:
-        """Which members x may be similar enough to member k of the other side. Shared shingles are at most the shared marks and what
+    def possible(self, x: np.ndarray, other: Members, k: int, percent: int, best: bool = False) -> np.ndarray:
+        """Which members x may be similar enough to member k of the other side (best: the most similar of them). Shared shingles are at most the shared marks and what
         shares a mark within the set that has fewer such, so no similar pair is lost."""
         if not len(x):
             return np.zeros(0, bool)
         shared = np.bitwise_count(np.stack([self.bitmap(int(i)) for i in x]) & other.bitmap(k)).sum(axis=1, dtype=np.int64)
         twice = np.minimum(np.array([self.n[i] - len(self.marks[i]) for i in x]), other.n[k] - len(other.marks[k]))
         common = np.minimum(shared + twice, np.minimum(self.n[x], other.n[k]))
-        return 100 * common >= percent * (self.n[x] + other.n[k] - common)
+        union = self.n[x] + other.n[k] - common
+        enough = 100 * common >= percent * union
+        return enough & (np.arange(len(x)) == np.argmax(common / union)) if best else enough
 
     def agreement(self, x: np.ndarray, other: Members, y: np.ndarray, percent: int) -> np.ndarray:
         """Equal sketch bytes of pairs, 0 where the sets' sizes rule the similarity out."""
@@ -240,14 +242,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = full_sets(docs, ids, id_col, text, words)
     first = linked(best.groupBy("y").agg(F.max_by("x", F.struct("agreement", -F.col("x"))).alias("x")), sets, percent)
     labels = components(ids.withColumn("label", F.col("id")), first)
-    known = classes.select("id", "n", "sketch").join(sets.select(F.col("doc_id").alias("id"), "marks"), "id").join(labels, "id")
-    known = materialize(known.dropDuplicates(["id"]), "members")
-    apart = large_apart(large, known, percent)
-    for nodes in small:
-        named = nodes.join(labels, "id")
-        several = named.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("node")
-        apart = apart.union(pairs_apart(gathered(nodes.join(several, "node").join(known, "id")), percent))
-    labels = components(labels, linked(apart.distinct(), sets, percent))
+    members = classes.select("id", "n", "sketch").join(sets.select(F.col("doc_id").alias("id"), "marks"), "id").dropDuplicates(["id"])
+    for best in (True, True, False):  # large nodes join each member's best partner first, so few pairs are left for the pass over all
+        known = materialize(members.join(labels, "id"), "members")
+        apart = large_apart(large, known, percent, best)
+        for nodes in () if best else small:
+            several = nodes.join(labels, "id").groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("node")
+            apart = apart.union(pairs_apart(gathered(nodes.join(several, "node").join(known, "id")), percent))
+        labels = components(labels, linked(apart.distinct(), sets, percent))
 
     of_class = classes.select("a", "b", F.col("n").alias("n_shingles"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
     out = signed.drop("minwise", "sketch").join(of_class, ["a", "b", "n_shingles"], "left").withColumn("component", F.coalesce("label", "doc_id"))
@@ -289,10 +291,10 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     return best.groupBy("y", "x").agg(F.max("agreement").alias("agreement")), small, crowd.select("node", "id")
 
 
-def large_apart(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def large_apart(large: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (x, y) that agree enough in large nodes, between a member outside the node's main component and any member of another component.
 
-    Both sides are cut into blocks, so a group compares at most about BLOCK * BLOCK pairs.
+    best: for each such member only its best partner in each block. Both sides are cut into blocks, so a group compares at most about BLOCK * BLOCK pairs.
     """
     named = large.join(known, "id")
     counted = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -313,7 +315,7 @@ def large_apart(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             for k in range(len(b.ids)):
                 x = np.flatnonzero(a.labels != b.labels[k])
                 x = x[a.agreement(x, b, np.full(len(x), k), percent) >= enough]
-                x = x[a.possible(x, b, k, percent)]
+                x = x[a.possible(x, b, k, percent, best)]
                 out.append((np.minimum(a.ids[x], b.ids[k]), np.maximum(a.ids[x], b.ids[k])))
         return pa.table({"x": np.concatenate([x for x, _ in out]), "y": np.concatenate([y for _, y in out])})
 
