@@ -111,6 +111,8 @@ NAMED = (
     ("rail", "(?:open)?rail(?: m)? license", "responsible ai licenses?", "openrail"),
     ("llama", "llama(?: [23])?(?: [0-9])? community license", "meta llama license", "llama[23]"),
 )
+#: What is done under a license; a rule each, as none of them is a keyword for the others.
+VERBS = ("licensed", "licenced", "released", "distributed", "available", "published")
 #: Wordings without a name: label, regex, weight.
 WORDINGS = (
     ("permissive-text", "permission is hereby granted free of charge", 0.8),
@@ -141,7 +143,8 @@ def signatures() -> list[Rule]:
     rules = []
     for label, name, also, spdx in NAMED:
         rules.append(Rule("spdx", f"spdx license identifier {spdx}", label, 1.0))
-        rules.append(Rule("licen", f"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{name}|{spdx}(?: licen[cs]e)?)", label, 1.0))
+        for verb in VERBS:
+            rules.append(Rule(f"{verb} under", f"{verb} under (?:the )?(?:terms of (?:the )?)?(?:{name}|{spdx}(?: licen[cs]e)?)", label, 1.0))
         rules.append(Rule("licen", f"licen[cs]e (?:is )?(?:{spdx})", label, 0.8))
         rules.append(Rule(literal(name), name, label, 0.9))
         rules.append(Rule(literal(also), also, label, 0.7))
@@ -193,10 +196,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     at_phrase = lambda r: F.transform(intervals(F.col("_line"), r["p"]), lambda m: F.struct(r["label"].alias("label"), m["start"].cast("long").alias("start"), m["stop"].cast("long").alias("stop")))
     base = F.flatten(F.transform(F.filter(phrases, lambda r: F.contains(F.col("_line"), r["p"])), at_phrase))
 
-    known = F.array(*[F.struct(F.lit(r.keyword).alias("k"), F.lit(r.regex).alias("x"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("w"), F.lit(i).alias("rank")) for i, r in enumerate(rules)])
+    by_keyword: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        by_keyword.setdefault(r.keyword, []).append(F.struct(F.lit(r.regex).alias("x"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("w"), F.lit(i).alias("rank")))
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*of).alias("of")) for k, of in by_keyword.items()])
+    opened = F.flatten(F.transform(F.filter(known, lambda r: F.contains(F.col("_line"), r["k"])), lambda r: r["of"]))
     # By start, longest first, then priority: an interval is inside an earlier one if it ends no later than one of them.
     place = lambda r: F.transform(intervals(F.col("_line"), r["x"]), lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("neg"), r["rank"].alias("rank"), r["label"].alias("label"), r["w"].alias("w")))
-    found = F.sort_array(F.flatten(F.transform(F.filter(known, lambda r: F.contains(F.col("_line"), r["k"])), place)))
+    found = F.sort_array(F.flatten(F.transform(opened, place)))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<label:string,start:bigint,stop:bigint,weight:double>>").alias("kept"))
 
     def keep(acc: Column, d: Column) -> Column:
