@@ -124,17 +124,26 @@ WORDINGS = (
     ("copyright-notice", "(?:c )?copyright(?: c)? (?:19|20)[0-9]{2}", 0.4),
     ("public-domain", "(?:released |dedicated )?(?:in|into|to) the public domain", 0.6),
     ("proprietary", "proprietary and confidential", 0.6),
-    ("no-commercial-use", "(?:not|non) ?(?:for )?commercial use(?: only)?", 0.4),
+    ("no-commercial-use", "(?:not|non)(?: | ?for )commercial use(?: only)?", 0.4),
+    ("no-commercial-use", "noncommercial use(?: only)?", 0.4),
+    ("no-commercial-use", "notcommercial use(?: only)?", 0.4),
     ("fair-use", "fair use (?:notice|policy)", 0.3),
     ("spdx", "spdx license identifier", 0.6),
 )
 
 
 def literal(regex: str) -> str:
-    """The longest run of plain characters in a regex that begins at a word's beginning; every match contains it."""
+    """The longest run of plain characters in a regex that begins at a word's beginning in every match; every match contains it."""
     group = r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)[?]?|\[[^\]]*\][?]?|.\?"  # groups, classes and optional characters
-    parts = re.sub(group, lambda m: "\0 " if m[0].rstrip("?)").endswith(" ") else "\0", regex).split("\0")
-    whole = [p.strip() for k, p in enumerate(parts) if k == 0 or p.startswith(" ")]
+    whole, at, begins = [], 0, True
+    for m in [*re.finditer(group, regex), None]:
+        plain = regex[at : m.start() if m else None]
+        if begins or plain.startswith(" "):
+            whole.append(plain.strip())
+        begins = plain.endswith(" ") if plain else begins
+        if m:
+            spaced = all(part.rstrip("?)").endswith(" ") for part in m[0].split("|"))
+            begins, at = spaced and (begins or not m[0].endswith("?")), m.end()
     return max(whole, key=len)
 
 

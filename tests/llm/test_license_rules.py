@@ -1,6 +1,7 @@
 """License rules against the same regexes without any keyword."""
 
 import re
+from itertools import product
 
 from catalens.llm import licenses
 
@@ -33,3 +34,45 @@ def test_each_verb_is_found_without_the_word_license(spark):
     assert got == {i: ungated(t) for i, t in enumerate(SENTENCES)}
     assert [[label for _, _, label in got[i]] for i in range(6)] == [["mit"], ["gpl-3.0"], ["bsd-3-clause"], ["apache-2.0"], ["isc"], ["mpl-2.0"]]
     assert got[0][0][:2] == (0, 3) and got[12][-1] == (2, 5, "mit")
+
+
+def matches(regex):
+    """All strings that a regex of plain characters, classes, groups and optional parts matches."""
+    from re import _parser as sre
+
+    def all_of(items):
+        return {"".join(p) for p in product(*[one(op, value) for op, value in items])}
+
+    def one(op, value):
+        name = str(op)
+        if name == "LITERAL":
+            return {chr(value)}
+        if name == "IN":
+            return {chr(c) for kind, v in value for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])}
+        if name == "BRANCH":
+            return set().union(*[all_of(b) for b in value[1]])
+        if name == "SUBPATTERN":
+            return all_of(value[3])
+        low, high, of = value  # MAX_REPEAT
+        return set().union(*[{"".join(p) for p in product(all_of(of), repeat=k)} for k in range(low, high + 1)])
+
+    return all_of(sre.parse(regex))
+
+
+def test_all_matches_of_all_rules_open_the_gate_and_their_rule():
+    gate = re.compile(licenses.gate(licenses.signatures()))
+    for rule in licenses.signatures():
+        for line in matches(rule.regex):
+            assert re.fullmatch(rule.regex, line) and f" {rule.keyword}" in f" {line}" and gate.search(line), (rule, line)
+
+
+def test_commercial_use_is_found_in_one_word_and_in_several(spark):
+    texts = ["for noncommercial use only", "Non-commercial use", "not for commercial use only", "notcommercial use", "nonfor commercial use", "non for commercial use", "for commercial use", "notcommercial"]
+    got = scanned(spark, texts)
+    assert got == {i: ungated(t) for i, t in enumerate(texts)}
+    assert [[label for _, _, label in got[i]] for i in range(8)] == [["no-commercial-use"]] * 6 + [[]] * 2 and got[0] == [(1, 4, "no-commercial-use")]
+
+
+def test_forms_of_commercial_use_are_those_of_one_rule():
+    forms = set().union(*[matches(r.regex) for r in licenses.signatures() if r.label == "no-commercial-use"])
+    assert forms == {" ".join((a + b + c + "commercial use" + d).split()) for a in ("not", "non") for b in ("", " ") for c in ("", "for ") for d in ("", " only")}
