@@ -19,6 +19,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,20 +42,57 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption capti
 DROPPED = frozenset("nav header footer aside form menu dialog search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 NEVER_DROPPED = frozenset("html body main article".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|promo|promotion|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|widgets?|related|recommended|recommendations|share|sharing|social|comments?|commentlist|disqus|reply|replies|respond|"
-    r"footer|header|masthead|toolbar|pagination|pager|skip|login|search)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class and id tokens: content that may be longer than the article, and parts of the layout.
+ASIDES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe signup popup modal overlay related recommended "
+    "recommendations share sharing social comment comments commentlist disqus reply replies respond".split()
 )
+LAYOUT = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer header masthead toolbar pagination pager skip login search".split())
+#: A token with one of these says how a container looks, not what it is: has-sidebar, comments-open, header-fixed.
+MODIFIERS = frozenset("has no not with without is open opened closed fixed sticky enabled disabled active on off visible".split())
+WORD_ENDS = re.compile(r"[_-]+")
 ARTICLE = re.compile(r"(?:^|[\s_.-])(?:article|content|post|entry|story|main|text|body)(?:$|[\s_-])", re.I)
 DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=1 << 16)
+def boilerplate(names: str) -> str:
+    """What the tokens of class and id call a container: "aside" or "layout" for sure, "mixed" for a layout word among other words, or nothing."""
+    said = set()
+    for token in names.lower().split():
+        words = [w.rstrip("0123456789") for w in WORD_ENDS.split(token) if w]
+        if MODIFIERS.isdisjoint(words):
+            known = [w for k, w in enumerate(words) if w in ASIDES or w in LAYOUT and (k == 0 or w not in ("widget", "widgets"))]
+            if any(w in ASIDES for w in known):
+                said.add("aside")
+            elif known:
+                said.add("layout" if len(known) == len(words) else "mixed")
+    return min(said, default="")
+
+
+def fallen(parents: list[int], tags: list[str], names: list[str], own: list[int]) -> list[bool]:
+    """Which containers (parents first) fall away by their names or inside another. A container stays if it holds main, or half of what articles
+    without such a name hold; one with a mixed name also if it holds most of the page's text that isn't link text."""
+    text, article, main = list(own), [0] * len(own), [t == "main" for t in tags]
+    for k in range(len(own) - 1, 0, -1):
+        if tags[k] == "article" and not names[k]:
+            article[k] = text[k]
+        up = parents[k]
+        text[up] += text[k] if names[k] != "aside" or main[k] or article[k] else 0
+        article[up] += article[k]
+        main[up] |= main[k]
+    gone = [False] * len(own)
+    for k in range(1, len(own)):
+        stays = not names[k] or tags[k] in NEVER_DROPPED or main[k] or 0 < article[k] >= article[0] / 2 or (names[k] == "mixed" and 2 * text[k] > text[0])
+        gone[k] = gone[parents[k]] or not stays
+    return gone
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(container path, text, characters of link text) for each block that isn't boilerplate, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
+    out: list[tuple[int, str, int]] = []  # number of the container, text, link text
+    parents, paths, tags, names, own = [0], [""], [""], [""], [0]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, dropped
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -64,7 +102,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not stack[-1][2]:
-                out.append((stack[-1][1], text, len(" ".join(html.unescape("".join(linked)).split()))))
+                links = len(" ".join(html.unescape("".join(linked)).split()))
+                out.append((stack[-1][1], text, links))
+                own[stack[-1][1]] += max(len(text) - links, 0)
             parts.clear()
             linked.clear()
 
@@ -94,15 +134,21 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 in_link = False
             else:
                 found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[4] or token[7] or "")}
-                names = " ".join(filter(None, (found.get("class"), found.get("id"))))
                 gone = stack[-1][2] or tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-                gone = gone or (tag not in NEVER_DROPPED and (found.get("role", "").lower() in DROPPED_ROLES or bool(names and BOILERPLATE.search(names))))
+                gone = gone or (tag not in NEVER_DROPPED and found.get("role", "").lower() in DROPPED_ROLES)
                 step = ".".join([tag, *sorted(DIGITS.sub("#", c.lower()) for c in found.get("class", "").split())])
-                stack.append((tag, f"{stack[-1][1]}>{step}" if stack[-1][1] else step, gone))
+                up = stack[-1][1]
+                stack.append((tag, len(parents), gone))
+                parents.append(up)
+                paths.append(f"{paths[up]}>{step}" if paths[up] else step)
+                tags.append("" if gone else tag)
+                names.append(boilerplate(" ".join(filter(None, (found.get("class"), found.get("id"))))))
+                own.append(0)
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+    away = fallen(parents, tags, names, own) if any(names) else None
+    return [(paths[k], text, links) for k, text, links in out if not (away and away[k])]
 
 
 def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
