@@ -2,10 +2,11 @@
 
 1. Each page is cut into text blocks under their containers (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
    comments fall away here). A container scores the text of its blocks that isn't link text, and half of what its child containers score;
-   article-like tags and classes weigh more. The page votes for the generalised path of its best container: tags and classes from the root, digits replaced.
+   article-like tags and classes weigh more. From the best one the page climbs to ancestors that add text (title, sibling parts) of which at most half
+   is link text. It votes for the generalised path it reaches: tags and classes from the root, digits replaced.
 2. Votes are counted in Spark per (host, path); the path with most votes wins its host. Counts are combined before the shuffle, so a host
    may hold any share of the pages.
-3. Every page is cut again and gives the blocks under its host's winning path. A page that lacks that path, or has no host, gives the blocks of its own best container.
+3. Every page is cut again, climbs from its host's winning path likewise (not to the body) and gives the blocks under it. A page that lacks that path, or has no host, gives the blocks of its own best container.
 
 Winners are one short row per host. Up to BROADCAST_HOSTS of them are sent to all tasks; beyond that pages and winners are joined by a shuffle.
 
@@ -151,6 +152,32 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return [(paths[k], text, links) for k, text, links in out if not (away and away[k])]
 
 
+def inside(own: str, path: str) -> bool:
+    return own == path or own.startswith(f"{path}>") or not path
+
+
+def climbed(found: list[tuple[str, str, int]], path: str, to_body: bool) -> str:
+    """The path, or its furthest ancestor up to main on the way to which each step adds text of which at most half is link text. The body
+    counts if it adds a tenth to anything but an article, or holds text of its own before that of the path."""
+    top = up = path
+    while ">" in up and up.rpartition(">")[2].partition(".")[0] != "main":
+        up = up.rpartition(">")[0]
+        added = [b for b in found if inside(b[0], up) and not inside(b[0], top)]
+        size = sum(len(text) for _, text, _ in added)
+        if up.rpartition(">")[2].partition(".")[0] in ("html", "body"):
+            held = sum(len(text) for own, text, _ in found if inside(own, top))
+            first = next((k for k, b in enumerate(found) if inside(b[0], top)), 0)
+            title = any(own == up and not links for own, _, links in found[:first])
+            article = top.rpartition(">")[2].partition(".")[0] in ("article", "main")
+            if not to_body or not (title or not article and 10 * size >= held):
+                break
+        if size and 2 * sum(links for _, _, links in added) > size:
+            break
+        if size:
+            top = up
+    return top
+
+
 def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
     """Path and score of the container that holds the main text; None without text."""
     scores: dict[str, float] = defaultdict(float)
@@ -166,7 +193,8 @@ def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | Non
     if not scores:
         return None
     path = min(scores, key=lambda p: (-scores[p], p))
-    return path, scores[path]
+    top = climbed(found, path, True)
+    return top, scores[path]
 
 
 def main_text(page: str, path: str | None) -> tuple[str, str | None]:
@@ -174,6 +202,8 @@ def main_text(page: str, path: str | None) -> tuple[str, str | None]:
     found = blocks(page)
     under = lambda p: [text for own, text, _ in found if own == p or own.startswith(f"{p}>")]
     texts = under(path) if path is not None else []
+    if texts and (top := climbed(found, path, False)) != path:
+        path, texts = top, under(top)
     if not texts and (best := best_container(found)):
         path = best[0]
         texts = under(path)

@@ -30,3 +30,30 @@ def test_most_of_the_text_stays_under_a_mixed_name():
 def test_boilerplate_still_falls(name):
     assert text_of(f'<div class="x"><p>{TEXT}</p><div class="{name}"><p>{TEXT if name in MIXED else TEXT * 3}</p></div></div>') == TEXT.strip()
     assert text_of(f'<div class="x"><article><p>{TEXT}</p></article><div class="{name}"><article class="comment-body"><p>{TEXT}</p></article></div></div>') == TEXT.strip()
+
+
+def test_title_beside_a_long_content_is_kept():
+    for tag in ("main", "div", 'div class="page"', "body"):
+        assert text_of(f"<{tag}><h1>Title</h1><div class=content><p>{TEXT * 5}</p></div></{tag.split()[0]}>") == "Title\n" + (TEXT * 5).strip()
+
+
+def test_both_parts_of_an_article_are_kept():
+    parts = f'<div class="one"><p>{TEXT}</p></div><div class="two"><p>{TEXT * 2}</p></div>'
+    for body in (parts, f'<div class="x">{parts}</div>', f"<article>{parts}</article>"):
+        assert text_of(body) == TEXT.strip() + "\n" + (TEXT * 2).strip()
+
+
+def test_a_long_list_in_an_article_does_not_take_its_heading():
+    items = f"<ul><li>{TEXT * 20}</ul>"
+    assert text_of(f"<article><h1>Title</h1><p>Intro</p>{items}</article>") == "Title\nIntro\n" + (TEXT * 20).strip()
+
+
+def test_link_lists_are_not_climbed_to():
+    links = "".join(f'<li><a href="/{k}">another page of this site</a></li>' for k in range(9))
+    for body in (f'<div class="x"><div class="y"><ul>{links}</ul></div><div class="content"><p>{TEXT}</p></div></div>', f"<div><ul>{links}</ul></div><div class=content><p>{TEXT}</p></div>"):
+        assert text_of(body) == TEXT.strip()
+
+
+def test_a_host_path_is_climbed_from_on_each_page():
+    page = f'<html><body><div class="x"><h1>Title</h1><div class="content"><p>{TEXT}</p></div></div><div class="y"><p>{TEXT * 2}</p></div></body></html>'
+    assert html_text.main_text(page, "html>body>div.x>div.content") == ("Title\n" + TEXT.strip(), "html>body>div.x")
