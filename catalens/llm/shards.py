@@ -7,7 +7,8 @@ Fisher-Yates shuffle seeded by (seed, shard, bucket) and writes it; the buckets
 gapless. A lost task repeats with the same result, because a bucket is put in id order before it is shuffled.
 
 Defined results: a null id takes the hash of the text in its place; null text has size 1 and stays null in the files; rows with equal ids share the
-shard, rows that are equal in id and text share the bucket; an empty table gives no rows. Columns of the input stay, result columns replace those
+shard; rows that are equal in id and text share the bucket while they hold a quarter of one at most, larger groups are counted, numbered and dealt
+out in chunks of an eighth of a bucket; an empty table gives no rows. Columns of the input stay, result columns replace those
 of the same name.
 """
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalens.llm.common import materialize
 from catalens.session import scratch_path
 
 BUCKET_BYTES = 24 << 20
@@ -44,6 +46,20 @@ def fisher_yates(n: int, *seed: int) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
+def dealt(keyed: DataFrame, size: Column, bucket_bytes: int) -> DataFrame:
+    """The rows with a _tie of their own for each chunk of a large group of repeats. Repeats are counted before they are shuffled; numbers and thus
+    chunks depend on the rows alone."""
+    of_tie = keyed.groupBy("_tie").agg(F.count(F.lit(1)).alias("_rows"), F.sum(size.cast("long")).alias("_size")).filter(f"_rows > 1 and _size > {bucket_bytes // 4}")
+    large = materialize(of_tie.select("_tie", F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes // 8) * F.col("_rows") / F.col("_size"))).alias("_per")), "repeats")
+    if large.isEmpty():
+        return keyed
+    counted = keyed.join(large, "_tie").groupBy(*keyed.columns, "_per").agg(F.count(F.lit(1)).alias("_rows"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / F.col("_per")).cast("long"))))
+    salted = chunks.withColumn("_tie", F.xxhash64("_tie", F.to_json(F.struct(*[c for c in keyed.columns if c != "_tie"])), "_chunk")).repartition("_tie")
+    rows = salted.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_per"), F.col("_rows") - F.col("_chunk") * F.col("_per")).cast("long"))))
+    return keyed.join(large, "_tie", "left_anti").select(*keyed.columns).unionByName(rows.select(*keyed.columns))
+
+
 def write_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
     """Writes the documents, with shard, bucket and slot, as Parquet partitioned by shard, and returns what was written."""
     spark = docs.sparkSession
@@ -52,20 +68,20 @@ def write_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text:
     keyed = docs.withColumns({"shard": shard_of(F.col(id_col), F.col(text), shards, seed), "_tie": F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col(text))})
     held = {r["shard"]: r["n"] for r in keyed.groupBy("shard").agg(F.sum(size.cast("long")).alias("n")).collect()}  # one number per shard
     buckets = F.element_at(F.array(*[F.lit(max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)]), F.col("shard") + 1)
-    keyed = keyed.withColumn("bucket", F.pmod("_tie", buckets.cast("long")))
+    keyed = dealt(keyed, size, bucket_bytes).withColumn("bucket", F.pmod("_tie", buckets.cast("long")))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    starts = keyed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = keyed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
     def shuffle(rows: pa.Table, start: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return rows.drop_columns("_tie").append_column("slot", pa.array([], pa.int64()))
-        shard, bucket, first = (start.column(c)[0].as_py() for c in ("shard", "bucket", "start"))
+        shard, bucket, first = (start.column(c)[0].as_py() for c in ("_shard", "_bucket", "start"))
         ordered = rows.sort_by([(id_col, "ascending"), ("_tie", "ascending")])
         mixed = ordered.take(pa.array(fisher_yates(rows.num_rows, seed, shard, bucket)))
         return mixed.drop_columns("_tie").append_column("slot", pa.array(np.arange(rows.num_rows) + first))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "_tie")
-    mixed = keyed.groupBy("shard", "bucket").cogroup(starts.groupBy("shard", "bucket")).applyInArrow(shuffle, f"{columns}, slot long")
+    mixed = keyed.groupBy("shard", "bucket").cogroup(starts.groupBy("_shard", "_bucket")).applyInArrow(shuffle, f"{columns}, slot long")
     path = path or scratch_path(spark, "shards")
     mixed.write.partitionBy("shard").parquet(path)
     return spark.read.schema(mixed.schema).parquet(path)
