@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalens.llm.common import materialize
 
 import corpus_pipeline
-from catalens.llm import chat, decontaminate, html_text, licenses, neardup, packing, quality, shards, substring, token_counts
+from catalens.llm import chat, decontaminate, html_text, licenses, mixing, neardup, packing, quality, repair, shards, substring, token_counts, whitening
 from catalens.llm.tokenizers import tokenizer_path, tokenizer_pattern
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,4 +145,46 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query(
+    "op11_mixing_sources",
+    rf"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+        ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 15))::BIGINT AS place FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][k % 3 + 1] AS weight, 3 * source_size AS most FROM s),
+    l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+        FROM w WINDOW before AS (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT *, least(weight * (SELECT max(level) FROM l), most::DOUBLE) AS target FROM l),
+    q AS (SELECT d.*, k, weight, source_size, target, sum(size) OVER (PARTITION BY k ORDER BY place, doc_id) AS sent FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    c AS (SELECT doc_id, size, k, turn * source_size + sent AS all_sent, (turn * source_size + sent) / weight AS finish FROM q, (VALUES (0), (1), (2)) r(turn) WHERE size > 0),
+    m AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, k, all_sent) AS total FROM c),
+    n AS (SELECT doc_id, sum(size) AS taken FROM m WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+    SELECT q.doc_id, q.size, q.source_size, round(q.target, 4) AS target, coalesce(n.taken, 0)::BIGINT AS taken FROM q LEFT JOIN n USING (doc_id)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), F.col("taken").cast("long").alias("taken"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, chosen by a checksum of id and turn; rows to be dropped stay, with a flag."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+    copies = F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"), text.alias("text"), (fault == 0).alias("dropped"), F.explode(copies).alias("copy"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(table(spark, sf_dir, "conversations")), dropped=F.col("dropped"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
