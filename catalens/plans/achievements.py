@@ -68,13 +68,14 @@ def social_rows(spark, d):
     return b.social_metrics(rev, u.reactions(spark, d), fav)
 
 
-SOCIAL = f"""{u.REV}, {u.REA}, {u.FAV}, s1 AS (SELECT user_id, count(comment) AS comments, count(DISTINCT rating) AS ratings, max(coalesce(rating = 5, false)::INT) AS five_star, max((item % 9 = 0)::INT) AS review_from_notification FROM rev GROUP BY user_id),
+SOCIAL_METRICS = """s1 AS (SELECT user_id, count(comment) AS comments, count(DISTINCT rating) AS ratings, max(coalesce(rating = 5, false)::INT) AS five_star, max((item % 9 = 0)::INT) AS review_from_notification FROM rev GROUP BY user_id),
    s2 AS (SELECT reactor AS user_id, count_if(value = 1) AS likes_given, count_if(value = -1) AS dislikes_given, least(count_if(value = 1), 5) + least(count_if(value = -1), 5) AS civil FROM rea GROUP BY reactor),
    s3 AS (SELECT user_id, max(n) AS best_likes FROM (SELECT user_id, item, count_if(value = 1) AS n FROM rea GROUP BY ALL) GROUP BY user_id),
    s4 AS (SELECT user_id, count(*) AS favorites, max((item % 4 = 0)::INT) AS favorite_after_scan FROM fav GROUP BY user_id),
    so AS (SELECT user_id, unnest(['comments', 'ratings', 'five_star', 'review_from_notification']) AS metric, unnest([comments, ratings, five_star, review_from_notification])::BIGINT AS value FROM s1
      UNION ALL SELECT user_id, unnest(['likes_given', 'dislikes_given', 'civil']), unnest([likes_given, dislikes_given, civil])::BIGINT FROM s2 UNION ALL SELECT user_id, 'best_likes', best_likes::BIGINT FROM s3
      UNION ALL SELECT user_id, unnest(['favorites', 'favorite_after_scan']), unnest([favorites, favorite_after_scan])::BIGINT FROM s4)"""
+SOCIAL = f"{u.REV}, {u.REA}, {u.FAV}, {SOCIAL_METRICS}"
 
 
 @query("social_metrics", "B1,A4", f"WITH {SOCIAL} SELECT user_id, metric, value FROM so")
@@ -134,13 +135,13 @@ def progress_rows(spark, d):
     return b.with_visibility(b.progress(players(spark, d), catalog(spark, d), metrics, earned_before(spark, d)))
 
 
-PROG = f"""{SCAN}, {SOCIAL}, {BADGE}, met AS (SELECT * FROM sm UNION ALL SELECT * FROM so), pl AS (SELECT DISTINCT user_id FROM events),
-   eb AS (SELECT user_id, unnest(['first_scan', 'scan_streak_7']) AS code, min(ts) AS earned_at FROM events WHERE user_id % 4 = 0 GROUP BY user_id),
+STANDING = """met AS (SELECT * FROM sm UNION ALL SELECT * FROM so), eb AS (SELECT user_id, unnest(['first_scan', 'scan_streak_7']) AS code, min(ts) AS earned_at FROM events WHERE user_id % 4 = 0 GROUP BY user_id),
    g0 AS MATERIALIZED (SELECT pl.user_id, badge.*, least(coalesce(value, 0), target) AS v, earned_at FROM pl CROSS JOIN badge LEFT JOIN met ON met.user_id = pl.user_id AND met.metric = badge.metric LEFT JOIN eb ON eb.user_id = pl.user_id AND eb.code = badge.code),
    ms AS (SELECT user_id, count_if(got) AS n, max((got AND hidden)::INT) AS h FROM (SELECT *, NOT meta AND (earned_at IS NOT NULL OR v >= target) AS got FROM g0) GROUP BY user_id),
    g1 AS (SELECT g0.* EXCLUDE (v), CASE WHEN meta THEN least(CASE metric WHEN 'earned' THEN n ELSE h END, target) ELSE v END AS progress FROM g0 JOIN ms USING (user_id)),
    g2 AS (SELECT *, earned_at IS NULL AND progress >= target AS newly_earned, earned_at IS NOT NULL OR progress >= target AS earned FROM g1),
    g3 AS MATERIALIZED (SELECT * EXCLUDE (prev), earned OR CASE WHEN series IS NULL THEN NOT hidden WHEN prev IS NULL THEN NOT hidden ELSE prev END AS visible FROM (SELECT *, lag(earned) OVER (PARTITION BY user_id, series ORDER BY pos) AS prev FROM g2))"""
+PROG = f"{SCAN}, {SOCIAL}, {BADGE}, pl AS (SELECT DISTINCT user_id FROM events), {STANDING}"
 
 
 @query("badge_progress", "B6,B7,W6", f"WITH {PROG} SELECT user_id, pos, code, progress::BIGINT AS progress, target, newly_earned, earned, visible FROM g3")

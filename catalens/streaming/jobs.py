@@ -52,128 +52,6 @@ def current_rows(changes: DataFrame, keys: list[str], initial: DataFrame | None
     return newest.filter("not gone").drop("gone") if "gone" in rest else newest
 
 
-# --- reminders: one timer per user ------------------------------------------------------------------
-REMINDER_SCHEMA = "user_id long, item long, viewed_at timestamp, search_id long, fired_at timestamp"
-
-
-class ReminderProcessor(StatefulProcessor):
-    """Keeps the latest view per item and fires once a user has been quiet long enough.
-
-    A later view that comes after the quiet period first closes the running session, so the outcome
-    does not depend on how the stream is cut into batches. Items older than the window at firing time
-    are dropped; every search is processed once.
-    """
-
-    def __init__(self, quiet_minutes: int = 60, window_hours: int = 24) -> None:
-        self.quiet = quiet_minutes * 60_000_000
-        self.window = window_hours * 3_600_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.views = handle.getMapState("views", "item long", "ts long, search_id long")
-        self.last = handle.getValueState("last", "ts long")
-
-    def _fire(self, user: int, last: int) -> list[tuple]:
-        fired = last + self.quiet
-        due = [(user, key[0], value[0], value[1], fired) for key, value in self.views.iterator() if value[0] >= fired - self.window]
-        self.views.clear()
-        return due
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([r[["created_at", "search_id", "item"]] for r in rows], ignore_index=True)
-        batch["created_at"] = batch["created_at"].astype("datetime64[us]").astype("int64")
-        batch = batch.sort_values(["created_at", "search_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for ts, search, item in batch.itertuples(index=False):
-            ts, search, item = int(ts), int(search), int(item)
-            if last is not None and ts - last >= self.quiet:
-                out += self._fire(int(key[0]), last)
-                last = None
-            held = self.views.getValue((item,)) if self.views.containsKey((item,)) else None
-            if held is None or ts > held[0]:
-                self.views.updateValue((item,), (ts, search))
-            last = ts if last is None else max(last, ts)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.last.update((last,))
-        self.handle.registerTimer(max((last + self.quiet) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
-        if out:
-            yield _reminder_rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._fire(int(key[0]), self.last.get()[0])
-        self.last.clear()
-        if out:
-            yield _reminder_rows(out)
-
-    def close(self) -> None:
-        pass
-
-
-def _reminder_rows(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["user_id", "item", "viewed_at", "search_id", "fired_at"])
-    return out.assign(viewed_at=pd.to_datetime(out["viewed_at"], unit="us"), fired_at=pd.to_datetime(out["fired_at"], unit="us"))
-
-
-def reminder_stream(history: DataFrame, handled: DataFrame, delay: str) -> DataFrame:
-    """History stream (search_id, user_id, item, created_at) → reminder items; favourites and reviews suppress items."""
-    use_rocksdb(history.sparkSession)
-    marked = history.filter("user_id IS NOT NULL AND item IS NOT NULL").withWatermark("created_at", delay)
-    fired = marked.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=ReminderProcessor(), outputStructType=REMINDER_SCHEMA, outputMode="Append", timeMode="EventTime"
-    )
-    return fired.join(handled.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
-
-
-# --- digests ----------------------------------------------------------------------------------------
-DIGEST_SCHEMA = "user_id long, period_start timestamp, period_end timestamp, reactors long"
-
-
-class DigestProcessor(StatefulProcessor):
-    """Distinct reactors per author and period; a period is reported once the watermark has passed its end."""
-
-    def __init__(self, period_minutes: int) -> None:
-        self.period = period_minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "period long, reactor long", "n long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        timers = {int(t) for t in self.handle.listTimers()}
-        for batch in rows:
-            millis = batch["updated_at"].astype("datetime64[ms]").astype("int64")
-            for reactor, ts in zip(batch["reactor"], millis):
-                begin = int(ts) // self.period * self.period
-                self.seen.updateValue((begin, int(reactor)), (1,))
-                if begin + self.period not in timers:
-                    timers.add(begin + self.period)
-                    self.handle.registerTimer(begin + self.period)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = int(expiredTimerInfo.getExpiryTimeInMs())
-        begin = end - self.period
-        due = [k for k in self.seen.keys() if k[0] == begin]
-        for k in due:
-            self.seen.removeKey(k)
-        if due:
-            row = (int(key[0]), pd.Timestamp(begin, unit="ms"), pd.Timestamp(end, unit="ms"), len(due))
-            yield pd.DataFrame([row], columns=["user_id", "period_start", "period_end", "reactors"])
-
-    def close(self) -> None:
-        pass
-
-
-def digest_stream(reactions: DataFrame, period_minutes: int, delay: str) -> DataFrame:
-    """Reaction stream (user_id = author, reactor, updated_at) → exact digests per author and period."""
-    use_rocksdb(reactions.sparkSession)
-    return reactions.withWatermark("updated_at", delay).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=DigestProcessor(period_minutes), outputStructType=DIGEST_SCHEMA, outputMode="Append", timeMode="EventTime"
-    )
-
-
 # --- keyed tables -------------------------------------------------------------------------------------
 class ChangeProcessor(StatefulProcessor):
     """Current payload, created_at and updated_at of a key. A put inserts or (policy upsert) replaces, a delete forgets."""
@@ -232,49 +110,6 @@ def latest_view_stream(history: DataFrame, folder: str) -> DataFrame:
     return current_rows(history.sparkSession.read.schema("user_id long, item long, created_at timestamp, search_id long, batch long").parquet(out), ["user_id", "item"])
 
 
-class BadgeProcessor(StatefulProcessor):
-    """Distinct items of a user so far; a badge is reported once, with the time of the item that reached its target."""
-
-    def __init__(self, targets: dict[str, int]) -> None:
-        self.targets = targets
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "item long", "n long")
-        self.count = handle.getValueState("count", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True)
-        first = batch.groupby("item")["ts"].min().sort_values(kind="stable")  # a batch names an item once
-        n, out = self.count.get()[0] if self.count.exists() else 0, []
-        for item, ts in first.items():
-            if not self.seen.containsKey((int(item),)):
-                self.seen.updateValue((int(item),), (1,))
-                n += 1
-                out += [(int(key[0]), code, ts) for code, target in self.targets.items() if target == n]
-        self.count.update((n,))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "code", "earned_at"])
-
-    def close(self) -> None:
-        pass
-
-
-def badge_stream(events: DataFrame, targets: dict[str, int]) -> DataFrame:
-    """Event stream (user_id, item, ts) → badges (user_id, code, earned_at) for numbers of distinct items; earned ones stay."""
-    use_rocksdb(events.sparkSession)
-    return events.filter("item IS NOT NULL").groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=BadgeProcessor(targets), outputStructType="user_id long, code string, earned_at timestamp", outputMode="Append", timeMode="None"
-    )
-
-
-def claim_stream(history: DataFrame, logins: DataFrame, delay: str, ttl_hours: int = 72) -> DataFrame:
-    """Anonymous searches joined with logins that follow within the time limit; both sides forget older rows."""
-    left = history.filter("anon_id IS NOT NULL").withWatermark("created_at", delay)
-    right = logins.select(F.col("anon_id").alias("login_anon"), "login_user", "login_at").withWatermark("login_at", delay)
-    near = (F.col("anon_id") == F.col("login_anon")) & (F.col("login_at") >= F.col("created_at")) & (F.col("login_at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))
-    return left.join(right, near).select("search_id", F.col("login_user").alias("user_id"), "login_at")
-
-
 def log_metrics_stream(events: DataFrame, window: str, delay: str) -> DataFrame:
     """Requests per window and severity."""
     rows = events.withWatermark("ts", delay).groupBy(F.window("ts", window), "severity").agg(one("requests"), F.avg("millis").alias("mean_ms"))

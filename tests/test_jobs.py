@@ -5,6 +5,7 @@ import shutil
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalens.functions.text import normalize_match_text
@@ -61,7 +62,8 @@ def test_streak_and_sessions(spark):
 def test_ranges_rank_like_one_window(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
     order = [F.col("k").desc(), F.col("id")]
-    assert rows(aggregates.enumerate_rows(df, order), "id", "rank") == rows(aggregates.enumerate_rows(df, order, small_bytes=0), "id", "rank")
+    whole = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    assert rows(aggregates.enumerate_rows(df, order), "id", "rank") == rows(whole, "id", "rank")
 
 
 def greedy(tokens, phrases):
@@ -135,20 +137,6 @@ def split_events(spark, tmp_path_factory):
     return events, base
 
 
-def test_reminders_do_not_depend_on_batches(spark, split_events):
-    events, base = split_events
-    none = spark.createDataFrame([], "user_id long, item long")
-
-    def run(files_per_batch):
-        raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_batch).parquet(base)
-        history = raw.select(F.col("event_id").alias("search_id"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("item"), F.col("ts").alias("created_at"))
-        out = jobs.run_available(jobs.reminder_stream(history, none, "40 days"), scratch_path(spark, "reminders"))
-        return spark.read.schema(jobs.REMINDER_SCHEMA).parquet(out)
-
-    # with a watermark far behind nothing is late; sessions closed by later views must agree
-    assert rows(run(1), "user_id", "item", "search_id") == rows(run(100), "user_id", "item", "search_id")
-
-
 def batches(spark, events, base, files=1):
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(base)
 
@@ -177,35 +165,12 @@ def test_change_log_resumes_and_equals_batch(spark, split_events, tmp_path):
     assert len([x for x in os.listdir(tmp_path / "job" / "out") if x.startswith("batch=")]) >= len(files)
 
 
-def test_latest_views_and_badges_in_batches(spark, split_events, tmp_path):
+def test_latest_views_in_batches(spark, split_events, tmp_path):
     events, base = split_events
     got = jobs.latest_view_stream(viewed(batches(spark, events, base)), str(tmp_path / "views"))
     whole = latest_per_key(viewed(events).select("user_id", "item", "created_at", "search_id"), ["user_id", "item"], "created_at", "search_id")
     assert rows(got, "user_id", "item", "created_at", "search_id") == rows(whole, "user_id", "item", "created_at", "search_id")
 
-    def badges(files):
-        stream = viewed(batches(spark, events, base, files)).withColumnRenamed("created_at", "ts")
-        out = jobs.run_available(jobs.badge_stream(stream, {"five": 5, "ten": 10}), str(tmp_path / f"badges{files}"))
-        return spark.read.schema("user_id long, code string, earned_at timestamp").parquet(out)
-
-    assert rows(badges(1), "user_id", "code", "earned_at") == rows(badges(100), "user_id", "code", "earned_at") != []
-
-
-def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
-    """The third batch brings a reaction of the first day, which only the longer delay still counts."""
-    day = lambda n: datetime.datetime(2024, 1, 1 + n)
-    schema = "user_id long, reactor long, updated_at timestamp"
-    for k, part in enumerate([[(1, 7, day(0)), (1, 8, day(5))], [(1, 11, day(6))], [(1, 9, day(0)), (1, 10, day(20))], [(2, 1, day(30))]]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)
-
-    def digests(delay):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        out = jobs.run_available(jobs.digest_stream(stream, 1440, delay), str(tmp_path / delay.replace(" ", "-")))
-        return [r["reactors"] for r in spark.read.schema(jobs.DIGEST_SCHEMA).parquet(out).collect() if (r["user_id"], r["period_start"].day) == (1, 1)]
-
-    assert digests("8 days") == [2] and digests("1 hour") == [1]
-
 
 def test_upsert_keeps_sticky_columns(spark):
     """A review edited without a notification keeps the link it had."""
