@@ -1,17 +1,23 @@
-"""Faceted, rule-scored catalogue search: many searches over the catalogue in one scan."""
+"""Faceted, rule-scored catalogue search. Searches are rows of a table, so the plan does not grow with their number.
+
+Texts go through an inverted index: a token matches inside a word, so the suffixes of all catalogue words are keyed by their first letters, tokens meet
+them by key and prefix, and the words' postings lead to the entries. Filters become a bit mask per (entry, search) of the dimensions that an entry
+fails. No bit makes a hit; a single bit makes the entry count for the options of that dimension alone; pairs with more bits play no part
+and are dropped inside the join.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions.similarity import ratcliff_ratio_udf, similar_pairs
 from catalens.functions.text import normalize_query, to_search_latin
 from catalens.functions.values import parse_alcohol_avg, stable_shuffle
 from catalens.operators.aggregates import one, top_k
-from catalens.session import spread
+from catalens.session import materialize, spread
 from catalens.operators.rulebook import WINE_RULES, Dishes, Likes, Rule, RuleBook
 
 # --- fixed values ----------------------------------------------------------------------------------
@@ -20,6 +26,9 @@ CORRECTION_CUTOFF = 0.75
 # ----------------------------------------------------------------------------------------------------
 
 SINGLE = {"types": "type", "colors": "color", "sugars": "sugar", "regions": "region"}
+BITS = {dim: 1 << place for place, dim in enumerate(("dishes", "tastes", "types", "colors", "sugars", "regions", "grapes", "rating", "occasions"))}
+#: Letters of a suffix by which tokens find it: its first one, two or three.
+KEY_LETTERS = 3
 
 
 @dataclass(frozen=True)
@@ -42,6 +51,17 @@ class Search:
     offset: int = 0
 
 
+SEARCH_SCHEMA = (
+    "query_id int, text string, occasion string, dishes array<string>, tastes array<string>, types array<string>, colors array<string>, sugars array<string>, regions array<string>, "
+    "grapes array<string>, min_rating double, sort string, limit int, offset int"
+)
+
+
+def search_table(spark: SparkSession, searches: list[Search]) -> DataFrame:
+    """Searches as rows, for callers that have them as objects. Any table of this shape will do."""
+    return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in asdict(q).values()) for q in searches], SEARCH_SCHEMA)
+
+
 def prepare_entries(cards: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
     """Cards (item_id, name, producer, grapes, region, color, sugar, alcohol, description, foods, rating) → search entries."""
     groups = F.create_map(*[F.lit(x) for key, (_, foods) in rules.dishes.items() for food in foods for x in (food, key)])
@@ -117,55 +137,88 @@ def occasion_reasons(rules: RuleBook, occasion: str) -> Column:
 
 
 def with_occasions(entries: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
-    """Points of every occasion as columns, computed once for all searches."""
-    return entries.withColumns({f"_pts_{key}": occasion_points(rules, key) for key in rules.occasions})
-
-
-def _failed(q: Search) -> Column:
-    """Names of the filter dimensions an entry does not pass."""
-    failed = []
-    if q.dishes:
-        failed.append(F.when(F.size(F.array_except(F.array(*[F.lit(v) for v in q.dishes]), "dishes")) > 0, "dishes"))
-    if q.tastes:
-        failed.append(F.when(F.size(F.array_except(F.array(*[F.lit(v) for v in q.tastes]), F.map_keys("tastes"))) > 0, "tastes"))
+    """Adds `occasions`: occasion → (points, reasons), computed once per entry for all searches."""
+    known = [x for key in rules.occasions for x in (F.lit(key), F.struct(occasion_points(rules, key).alias("points"), occasion_reasons(rules, key).alias("reasons")))]
+    return entries.withColumn("occasions", F.create_map(*known))
+
+
+def ready(searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
+    """What the searches need once each: `norm`, its distinct `tokens`, `known` (the occasion exists) and the reason for chosen dishes."""
+    labels = F.create_map(*[F.lit(x) for key, (label, _) in rules.dishes.items() for x in (key, label)])
+    named = F.lower(F.array_join(F.transform("dishes", lambda g: F.coalesce(F.element_at(labels, g), g)), ", "))
+    return searches.withColumns({
+        "norm": normalize_query(F.col("text")), "tokens": F.array_remove(F.array_distinct(F.split(normalize_query(F.col("text")), " ")), ""),
+        "known": F.coalesce(F.col("occasion").isin(*rules.occasions), F.lit(False)), "dish_reason": F.when(F.size("dishes") > 0, F.concat(F.lit(rules.dish_reason), named)),
+    })
+
+
+def _heads(form: Column, lengths: list[int]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.length(form) >= n, F.substring(form, 1, n)) for n in lengths]))
+
+
+def token_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, known): the vocabulary words that hold a token, as it is written or in Latin letters."""
+    forms = lambda c: F.explode(F.array(F.struct(F.lit(False).alias("latin"), F.col(c).alias("form")), F.struct(F.lit(True).alias("latin"), to_search_latin(F.col(c)).alias("form"))))
+    words = vocabulary.select("known", forms("known").alias("f")).select("known", "f.*")
+    suffixes = words.select("known", "latin", F.explode(F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.substring("form", i, F.length("form")))).alias("suffix"))
+    keyed = suffixes.select("known", "latin", "suffix", F.explode(_heads(F.col("suffix"), list(range(1, KEY_LETTERS + 1)))).alias("head"))
+    asked = tokens.select("token", forms("token").alias("f")).select("token", "f.*").filter("form <> ''")
+    asked = asked.withColumn("head", F.substring("form", 1, KEY_LETTERS))
+    return asked.join(keyed, ["latin", "head"]).filter(F.startswith("suffix", F.col("form"))).select("token", "known").distinct()
+
+
+def text_matches(entries: DataFrame, searches: DataFrame) -> DataFrame:
+    """(query_id, item_id, in_name) for entries that hold all tokens of a search; in_name: all of them in the name."""
+    asked = searches.select("query_id", F.explode("tokens").alias("token"))
+    in_name = F.array_contains(F.split("name_norm", " "), F.col("known"))
+    postings = entries.select("item_id", "name_norm", F.explode(F.array_distinct(F.split("haystack", " "))).alias("known")).filter("known <> ''").select("item_id", "known", in_name.alias("in_name"))
+    words = token_words(asked.select("token").distinct(), postings.select("known").distinct())
+    found = words.join(postings, "known").groupBy("token", "item_id").agg(F.max("in_name").alias("in_name"))
+    sizes = searches.select("query_id", F.size("tokens").alias("n"))
+    per = asked.join(found, "token").groupBy("query_id", "item_id").agg(one("hit"), F.min("in_name").alias("in_name"))
+    return per.join(sizes, "query_id").filter(F.col("hit") == F.col("n")).select("query_id", "item_id", "in_name")
+
+
+def failed_mask(rules: RuleBook) -> Column:
+    """The bits of the dimensions in which an entry fails a search."""
+    fails = {"dishes": F.size(F.array_except("q.dishes", "e.dishes")) > 0, "tastes": F.size(F.array_except("q.tastes", F.map_keys("e.tastes"))) > 0}
     for dim, column in SINGLE.items():
-        chosen = getattr(q, dim)
-        if chosen:
-            failed.append(F.when(~F.coalesce(F.col(column).isin(*chosen), F.lit(False)), dim))
-    if q.grapes:
-        failed.append(F.when(~F.arrays_overlap("grapes", F.array(*[F.lit(v) for v in q.grapes])), "grapes"))
-    if q.min_rating is not None:
-        failed.append(F.when(F.col("rating") < q.min_rating, "rating"))
-    return F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-
-
-def _view(q: Search, rules: RuleBook) -> Column:
-    """What one search sees of an entry; NULL where the text does not match."""
-    text = text_tier(q.text) if q.text.strip() else F.lit(0.0)
-    known = q.occasion in rules.occasions
-    points = F.col(f"_pts_{q.occasion}") if known else F.lit(0.0)
-    reasons = [occasion_reasons(rules, q.occasion)] if known else []
-    if q.dishes:
-        labels = ", ".join(rules.dishes[g][0] if g in rules.dishes else g for g in q.dishes).lower()
-        reasons.append(F.array(F.lit(rules.dish_reason + labels)))
-    for taste in q.tastes:
-        reasons.append(F.when(F.map_contains_key("tastes", taste), F.array(_taste_reason(rules, taste))).otherwise(F.array().cast("array<string>")))
-    why = F.array_distinct(F.concat(*reasons)) if reasons else F.array().cast("array<string>")
-    seen = F.struct(
-        F.lit(q.query_id).alias("query_id"), text.alias("text"), points.alias("points"), _failed(q).alias("failed"),
-        F.lit(not known).alias("free") if not known else (points >= rules.min_occasion).alias("free"), why.alias("reasons"),
-    )
-    return F.when(text > 0, seen) if q.text.strip() else seen
+        fails[dim] = (F.size(f"q.{dim}") > 0) & ~F.coalesce(F.array_contains(f"q.{dim}", F.col(f"e.{column}")), F.lit(False))
+    fails["grapes"] = (F.size("q.grapes") > 0) & ~F.arrays_overlap("q.grapes", "e.grapes")
+    fails["rating"] = F.coalesce(F.col("e.rating") < F.col("q.min_rating"), F.lit(False))
+    fails["occasions"] = F.col("q.known") & (F.element_at("e.occasions", F.col("q.occasion"))["points"] < rules.min_occasion)
+    mask = F.lit(0)
+    for dim, fail in fails.items():
+        mask = mask + F.when(F.coalesce(fail, F.lit(False)), BITS[dim]).otherwise(0)
+    return mask
+
 
+def examine(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
+    """One row per (entry, search) that matters: the text matches and at most one dimension fails (`mask`). Entries come from `with_occasions`.
 
-def examine(entries: DataFrame, searches: list[Search], rules: RuleBook = WINE_RULES) -> DataFrame:
-    """One row per (entry, search) whose text matches, in a single narrow pass. Entries come from `with_occasions`."""
-    views = F.array_compact(F.array(*[_view(q, rules) for q in searches]))
-    return entries.withColumn("_q", F.explode(views)).select("*", "_q.*").drop("_q")
+    Searches without a text have to be held against every entry; the smaller side is sent to the larger one, and pairs that fail twice end there.
+    """
+    q = ready(searches, rules)
+    mask = failed_mask(rules)
+    texts = text_matches(entries, q.filter(F.size("tokens") > 0))
+    tier = F.when(F.col("e.name_norm") == F.col("q.norm"), EXACT_NAME).when(F.startswith("e.name_norm", F.col("q.norm")), NAME_PREFIX).when(F.col("m.in_name"), ALL_IN_NAME).otherwise(ELSEWHERE)
+    known = F.element_at("e.occasions", F.col("q.occasion"))
+    labels = F.create_map(*[F.lit(x) for t in rules.tastes for x in (t.key, f"{t.label.lower()} — ")])
+    liked = F.transform(F.array_intersect("q.tastes", F.map_keys("e.tastes")), lambda t: F.concat(F.element_at(labels, t), F.element_at("e.tastes", t)))
+    no_text = F.array().cast("array<string>")
+    dish = F.when(F.col("q.dish_reason").isNotNull(), F.array("q.dish_reason")).otherwise(no_text)
+    points = F.when(F.col("q.known"), known["points"]).otherwise(0.0)
+    reasons = F.array_distinct(F.concat(F.when(F.col("q.known"), known["reasons"]).otherwise(no_text), dish, liked))
+    shown = [F.col(f"e.{c}") for c in ("item_id", "name", "rating", "shuffle", "type", "color", "sugar", "region", "grapes", "dishes", "tastes", "occasions")]
+    columns = lambda text: ["q.query_id", *shown, text.alias("text"), points.alias("points"), mask.alias("mask"), reasons.alias("reasons")]
+    alone = F.bit_count(mask) <= 1
+    with_text = texts.alias("m").join(entries.alias("e"), "item_id").join(q.alias("q"), F.col("m.query_id") == F.col("q.query_id")).filter(alone).select(*columns(tier))
+    without = entries.alias("e").crossJoin(q.filter(F.size("tokens") == 0).alias("q")).filter(alone).select(*columns(F.lit(0.0)))
+    return with_text.unionByName(without)
 
 
 def matches(seen: DataFrame) -> DataFrame:
-    return seen.filter(F.col("free") & (F.size("failed") == 0)).withColumn("score", F.col("text") + F.col("points"))
+    return seen.filter("mask = 0").withColumn("score", F.col("text") + F.col("points"))
 
 
 def vocabulary(entries: DataFrame) -> DataFrame:
@@ -194,60 +247,52 @@ def correct_texts(entries: DataFrame, texts: DataFrame) -> DataFrame:
     return done.select("query_id", F.when(F.col("_open") == 0, F.col("corrected")).alias("corrected"))
 
 
-def resolve_texts(entries: DataFrame, searches: list[Search], rules: RuleBook = WINE_RULES) -> tuple[list[Search], dict[int, str]]:
-    """Searches with corrected texts where the original found nothing and the correction finds something."""
-    asked = [q for q in searches if q.text.strip()]
-    if not asked:
-        return searches, {}
-    hit = {r["query_id"] for r in matches(examine(entries, asked, rules)).select("query_id").distinct().collect()}  # ≤ one row per search
-    empty = [q for q in asked if q.query_id not in hit]
-    if not empty:
-        return searches, {}
-    spark = entries.sparkSession
-    texts = spark.createDataFrame([(q.query_id, q.text) for q in empty], "query_id int, text string")
-    fixed = {r["query_id"]: r["corrected"] for r in correct_texts(entries, texts).collect() if r["corrected"]}
-    retry = [replace(q, text=fixed[q.query_id]) for q in empty if fixed.get(q.query_id)]
-    if not retry:
-        return searches, {}
-    found = {r["query_id"] for r in matches(examine(entries, retry, rules)).select("query_id").distinct().collect()}
-    corrected = {q.query_id: q.text for q in retry if q.query_id in found}
-    return [replace(q, text=corrected.get(q.query_id, q.text)) for q in searches], corrected
-
-
-def result_pages(seen: DataFrame, searches: list[Search]) -> DataFrame:
+def resolve_texts(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> tuple[DataFrame, DataFrame]:
+    """(searches with `corrected`, what they see): a text that finds nothing is corrected, if the correction finds something."""
+    first = materialize(examine(entries, searches, rules), "seen")
+    asked = searches.withColumn("norm", normalize_query(F.col("text"))).filter("norm <> ''")
+    empty = asked.join(matches(first).select("query_id").distinct(), "query_id", "left_anti")
+    fixed = correct_texts(entries, empty.select("query_id", "text")).filter("corrected IS NOT NULL")
+    retry = materialize(empty.join(fixed, "query_id").filter("corrected <> norm").drop("norm").withColumn("text", F.col("corrected")), "retried-searches")
+    again = materialize(examine(entries, retry.drop("corrected"), rules), "seen-again")
+    better = matches(again).select("query_id").distinct()
+    seen = first.join(better, "query_id", "left_anti").unionByName(again.join(better, "query_id", "left_semi").select(*first.columns))
+    changes = retry.join(better, "query_id", "left_semi").select("query_id", "corrected")
+    return searches.join(changes, "query_id", "left").withColumn("text", F.coalesce("corrected", "text")), seen
+
+
+def result_pages(seen: DataFrame, searches: DataFrame) -> DataFrame:
     """Each search's page of hits in its own order, with its total."""
-    hits = matches(seen)
-    info = F.create_map(*[x for q in searches for x in (F.lit(q.query_id), F.struct(F.lit(q.sort).alias("sort"), F.lit(q.offset).alias("lo"), F.lit(q.offset + q.limit).alias("hi")))])
-    hits = hits.withColumn("_i", F.element_at(info, F.col("query_id")))
-    by_name, by_score = F.col("_i.sort") == "name", F.col("_i.sort") == "relevance"
+    span = searches.select("query_id", "sort", F.col("offset").alias("_low"), (F.col("offset") + F.col("limit")).alias("_high"))
+    hits = matches(seen).join(span, "query_id")
+    by_name, by_score = F.col("sort") == "name", F.col("sort") == "relevance"
     order = [
-        F.when(by_name, F.col("name_norm")), F.when(by_score, -F.col("score")), F.when(~by_name, -F.col("rating")),
+        F.when(by_name, F.col("name")), F.when(by_score, -F.col("score")), F.when(~by_name, -F.col("rating")),
         F.when(by_score, -F.size("reasons")), F.col("shuffle"), F.col("item_id"),
     ]
     totals = hits.groupBy("query_id").agg(one("total"))
-    page = top_k(hits, ["query_id"], order, max(q.offset + q.limit for q in searches)).filter((F.col("rank") > F.col("_i.lo")) & (F.col("rank") <= F.col("_i.hi")))
-    page = page.join(F.broadcast(totals), "query_id")  # one row per search
+    deepest = span.agg(F.max("_high").alias("m")).first()["m"] or 0  # bounds what each search sends to the window
+    page = top_k(hits, ["query_id"], order, deepest).filter((F.col("rank") > F.col("_low")) & (F.col("rank") <= F.col("_high")))
+    page = page.join(totals, "query_id")
     return page.select("query_id", "rank", "item_id", "name", F.round("score", 2).alias("score"), "reasons", "total")
 
 
-def facet_counts(entries: DataFrame, seen: DataFrame, searches: list[Search], rules: RuleBook = WINE_RULES) -> DataFrame:
-    """Option counts of every dimension for all searches from the same single pass.
+def facet_counts(entries: DataFrame, seen: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
+    """Option counts of every dimension for all searches in one aggregate over what they see.
 
     A single-choice dimension counts entries failing nothing but itself; dishes and tastes count the
     current result; occasions count entries passing all filters, whatever the chosen occasion.
     """
     pair = lambda dim, value: F.struct(F.lit(dim).alias("dim"), value.alias("value"))
     none = F.array().cast("array<struct<dim:string,value:string>>")
-    clean = F.size("failed") == 0
-    lists = []
-    for dim, column in SINGLE.items():
-        alone = F.col("free") & (F.size(F.array_remove("failed", dim)) == 0) & F.col(column).isNotNull()
-        lists.append(F.when(alone, F.array(pair(dim, F.col(column)))).otherwise(none))
-    alone = F.col("free") & (F.size(F.array_remove("failed", "grapes")) == 0)
-    lists.append(F.when(alone, F.transform("grapes", lambda v: pair("grapes", v))).otherwise(none))
-    lists.append(F.when(F.col("free") & clean, F.transform("dishes", lambda v: pair("dishes", v))).otherwise(none))
-    lists.append(F.when(F.col("free") & clean, F.transform(F.map_keys("tastes"), lambda v: pair("tastes", v))).otherwise(none))
-    lists.append(F.when(clean, F.array_compact(F.array(*[F.when(F.col(f"_pts_{key}") >= rules.min_occasion, pair("occasions", F.lit(key))) for key in rules.occasions]))).otherwise(none))
+    clean = F.col("mask") == 0
+    but = lambda dim: clean | (F.col("mask") == BITS[dim])
+    lists = [F.when(but(dim) & F.col(column).isNotNull(), F.array(pair(dim, F.col(column)))).otherwise(none) for dim, column in SINGLE.items()]
+    lists.append(F.when(but("grapes"), F.transform("grapes", lambda v: pair("grapes", v))).otherwise(none))
+    lists.append(F.when(clean, F.transform("dishes", lambda v: pair("dishes", v))).otherwise(none))
+    lists.append(F.when(clean, F.transform(F.map_keys("tastes"), lambda v: pair("tastes", v))).otherwise(none))
+    fitting = F.filter(F.map_keys("occasions"), lambda k: F.element_at("occasions", k)["points"] >= rules.min_occasion)
+    lists.append(F.when(but("occasions"), F.transform(fitting, lambda v: pair("occasions", v))).otherwise(none))
     counts = seen.select("query_id", F.explode(F.concat(*lists)).alias("x")).groupBy("query_id", "x.dim", "x.value").agg(one("n"))
 
     labels = {"occasions": {k: v[0] for k, v in rules.occasions.items()}, "dishes": {k: v[0] for k, v in rules.dishes.items()},
@@ -260,8 +305,8 @@ def facet_counts(entries: DataFrame, seen: DataFrame, searches: list[Search], ru
     sugar_place = F.create_map(*[x for i, s in enumerate(rules.sugar_order) for x in (F.lit(s), F.lit(i))])
     place = F.when(F.col("dim") == "regions", -F.col("freq")).when(F.col("dim") == "sugars", F.coalesce(F.element_at(sugar_place, F.col("value")), F.lit(len(rules.sugar_order)))).otherwise(0)
     options = freq.select("dim", "value", F.col("value").alias("label"), place.cast("long").alias("pos")).unionByName(static)
-    ids = F.explode(F.array(*[F.lit(q.query_id) for q in searches])).alias("query_id")
-    full = options.select("*", ids).join(counts, ["query_id", "dim", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # options without a match are shown too, with 0
+    full = options.crossJoin(searches.select("query_id")).join(counts, ["query_id", "dim", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     alpha = F.replace(F.lower("label"), F.lit("ё"), F.lit("е"))
     w = Window.partitionBy("query_id", "dim").orderBy(  # one row per option
         F.when(F.col("dim") == "grapes", -F.col("n")).when(F.col("dim").isin("regions", "sugars", "types"), F.col("pos")).otherwise(0), alpha, "label"

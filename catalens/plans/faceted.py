@@ -33,6 +33,24 @@ SEARCHES = [
 ]
 
 
+NOUNS, ADJECTIVES, COLORS = ("ring", "bolt", "gear", "widget", "plate", "rod", "gizmo", "anvil"), ("blue", "red", "hot", "cold", "small", "large", "new", "old"), ("ECONOMY", "SMALL", "LARGE", "PROMO", "MEDIUM")
+
+
+def grid_search(i: int) -> f.Search:
+    """The i-th of a thousand searches that mix texts, occasions, filters, orders and pages."""
+    noun, adjective, color = NOUNS[i % 8], ADJECTIVES[i // 8 % 8], COLORS[i % 5]
+    return f.Search(
+        i, text=(adjective, noun[:3], f"Brand#{1 + i % 25}", f"{adjective} {noun}", noun[1:], f"{noun} {adjective[:2]}", "", "", "", "", "")[i % 11], occasion=(None, "gift", "daily", "party", "nothing")[i % 5],
+        dishes=(("metal",), ("light",), ("metal", color), (), (), (), ())[i % 7], tastes=(("vivid",), ("strong", "vivid"), (), (), (), (), (), (), ())[i % 9],
+        types=(("sparkling",), ("still", "sparkling"), (), (), (), (), (), ())[i % 8], colors=((color, COLORS[(i + 1) % 5]), (color,), (), ())[i // 3 % 4], sugars=((adjective,), (), (), (), (), ())[i // 5 % 6],
+        regions=(("N1", "N2", "N5"), (), (), (), ())[i // 2 % 5], grapes=((noun, "ring"), (), (), ())[i // 7 % 4], min_rating=(2.5, 0.3, None, None)[i // 11 % 4],
+        sort=("relevance", "rating", "name")[i % 3], limit=3 + i % 8, offset=i % 4 * 2,
+    )
+
+
+GRID = [grid_search(i) for i in range(1000)]
+
+
 def entries(spark, d):
     words = F.split("p_name", " ")
     p = Tables(spark, d).part.select(
@@ -67,7 +85,7 @@ def _(spark, d):
 
 @query("occasion_points", "C3", f"WITH {ENTRY_SQL} SELECT item_id, gift::DOUBLE AS gift, daily::DOUBLE AS daily, party::DOUBLE AS party FROM p")
 def _(spark, d):
-    return entries(spark, d).select("item_id", *[C(f"_pts_{k}").alias(k) for k in PART_RULES.occasions])
+    return entries(spark, d).select("item_id", *[F.element_at("occasions", k)["points"].alias(k) for k in PART_RULES.occasions])
 
 
 TIER = """CASE WHEN NOT ({all_hay}) THEN 0 WHEN name = '{t}' THEN 100 WHEN starts_with(name, '{t}') THEN 60 WHEN {all_name} THEN 40 ELSE 20 END"""
@@ -85,71 +103,110 @@ def _(spark, d):
     return entries(spark, d).select("item_id", f.text_tier("Blue RING!").alias("tier"), f.text_tier("ring").alias("one_word"), f.text_tier("Brand#12").alias("brand"))
 
 
-SEEN_SQL = f"""{ENTRY_SQL}, seen AS (
-   SELECT 1 AS query_id, *, ({tier_sql('blue ring')}) AS txt, 0.0 AS pts, true AS free, [] AS failed FROM p WHERE ({tier_sql('blue ring')}) > 0
-   UNION ALL SELECT 2, *, 0, gift, gift >= 2, CASE WHEN rating < 2.0 THEN ['rating'] ELSE [] END FROM p
-   UNION ALL SELECT 3, *, 0, 0, true, list_concat(list_concat(CASE WHEN dish <> 'metal' THEN ['dishes'] ELSE [] END, CASE WHEN vivid IS NULL THEN ['tastes'] ELSE [] END), CASE WHEN color NOT IN ('ECONOMY', 'SMALL') THEN ['colors'] ELSE [] END) FROM p
-   UNION ALL SELECT 4, *, ({tier_sql('brand 12')}), 0, true, CASE WHEN NOT sparkling THEN ['types'] ELSE [] END FROM p WHERE ({tier_sql('brand 12')}) > 0
-   UNION ALL SELECT 5, *, 0, daily, daily >= 2, list_concat(CASE WHEN region NOT IN ('N1', 'N2') THEN ['regions'] ELSE [] END, CASE WHEN grape NOT IN ('ring', 'gear') THEN ['grapes'] ELSE [] END) FROM p
-   UNION ALL SELECT 6, *, 0, party, party >= 2, CASE WHEN sugar NOT IN ('red', 'small') THEN ['sugars'] ELSE [] END FROM p),
- hits AS (SELECT *, txt + pts AS score,
-     CASE query_id WHEN 2 THEN concat_ws('; ', CASE WHEN rating >= 4 THEN 'rating ' || printf('%.2f', rating) END, 'vivid — ' || vivid, CASE WHEN sparkling THEN 'sparkling' END)
-       WHEN 3 THEN 'goes with: metal work; vivid — ' || vivid
-       WHEN 5 THEN concat_ws('; ', CASE WHEN NOT sparkling AND color IN ('ECONOMY', 'SMALL') THEN lower(color) || ' is fine' END, CASE WHEN dish = 'metal' THEN 'goes with: metal work' END, 'weak — ' || weak)
-       WHEN 6 THEN concat_ws('; ', CASE WHEN sparkling THEN 'for all' END, CASE WHEN dish = 'light' THEN 'goes with: light work' END) ELSE '' END AS reasons
-   FROM seen WHERE free AND len(failed) = 0)"""
+def say(value) -> str:
+    if isinstance(value, tuple):
+        return f"[{', '.join(say(v) for v in value)}]::VARCHAR[]"
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def seen_sql(searches: list[f.Search]) -> str:
+    """Every search against every entry, with the bits of what fails."""
+    rows = ", ".join("(" + ", ".join(say(v) for v in (q.query_id, "".join(x if x.isalnum() else " " for x in q.text.lower()), q.occasion, q.dishes, q.tastes, q.types, q.colors, q.sugars, q.regions, q.grapes, q.min_rating, q.sort, q.limit, q.offset)) + ")" for q in searches)
+    latin = lambda x: f"replace(replace(replace(replace(replace({x}, 'kh', 'h'), 'x', 'ks'), 'w', 'v'), 'j', 'i'), 'y', 'i')"
+    bit = lambda dim, fails: f"CASE WHEN {fails} THEN {f.BITS[dim]} ELSE 0 END"
+    chosen = lambda dim, value: bit(dim, f"len({dim}) > 0 AND NOT list_contains({dim}, {value})")
+    masks = [
+        bit("dishes", "len(list_filter(dishes, lambda x: x <> dish AND x <> color)) > 0"),
+        bit("tastes", "(list_contains(tastes, 'vivid') AND vivid IS NULL) OR (list_contains(tastes, 'strong') AND strong IS NULL) OR (list_contains(tastes, 'weak') AND weak IS NULL)"),
+        chosen("types", "CASE WHEN sparkling THEN 'sparkling' ELSE 'still' END"), chosen("colors", "color"), chosen("sugars", "sugar"), chosen("regions", "region"), chosen("grapes", "grape"),
+        bit("rating", "rating < min_rating"), bit("occasions", "known AND pts < 2"),
+    ]
+    return f"""{ENTRY_SQL}, q0(query_id, norm, occasion, dishes, tastes, types, colors, sugars, regions, grapes, min_rating, sort, lim, off) AS (VALUES {rows}),
+   q AS (SELECT *, coalesce(occasion IN ('gift', 'daily', 'party'), false) AS known, list_filter(string_split(norm, ' '), lambda x: x <> '') AS toks FROM q0),
+   x0 AS (SELECT p.*, q.*, CASE occasion WHEN 'gift' THEN gift WHEN 'daily' THEN daily WHEN 'party' THEN party ELSE 0 END AS pts,
+     CASE WHEN len(toks) = 0 THEN 0 WHEN name = norm THEN 100 WHEN starts_with(name, norm) THEN 60
+       WHEN len(list_filter(toks, lambda t: NOT (contains(name, t) OR contains({latin('name')}, {latin('t')})))) = 0 THEN 40 ELSE 20 END AS txt
+     FROM p, q WHERE len(list_filter(toks, lambda t: NOT (contains(hay, t) OR contains(hay_latin, {latin('t')})))) = 0),
+   seen AS (SELECT *, {' + '.join(masks)} AS mask FROM x0),
+   why AS (SELECT *, txt + pts AS score, list_filter(list_concat(
+       CASE occasion WHEN 'gift' THEN [CASE WHEN rating >= 4 THEN 'rating ' || printf('%.2f', rating) END, 'vivid — ' || vivid, CASE WHEN sparkling THEN 'sparkling' END]
+         WHEN 'daily' THEN [CASE WHEN NOT sparkling AND color IN ('ECONOMY', 'SMALL') THEN lower(color) || ' is fine' END, CASE WHEN dish = 'metal' THEN 'goes with: metal work' END, 'weak — ' || weak]
+         WHEN 'party' THEN [CASE WHEN sparkling THEN 'for all' END, CASE WHEN dish = 'light' THEN 'goes with: light work' END] ELSE [] END,
+       [CASE WHEN len(dishes) > 0 THEN 'goes with: ' || lower(array_to_string(list_transform(dishes, lambda g: CASE g WHEN 'metal' THEN 'Metal work' WHEN 'light' THEN 'Light work' ELSE g END), ', ')) END],
+       list_transform(tastes, lambda t: CASE t WHEN 'vivid' THEN 'vivid — ' || vivid WHEN 'strong' THEN 'strong — ' || strong ELSE 'weak — ' || weak END)), lambda x: x IS NOT NULL) AS told FROM seen WHERE mask = 0),
+   hits AS (SELECT * EXCLUDE (told), list_filter(told, lambda r, i: list_position(told, r) = i) AS told FROM why)"""
+
+
+#: CRC-32 of the id, bit by bit: the fixed order of ties.
+CRC = "xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(item_id::VARCHAR, ''), lambda ch: ord(ch)::UBIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8)::UBIGINT[], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+
+
+def pages_sql(searches: list[f.Search], columns: str) -> str:
+    return f"""WITH {seen_sql(searches)}, crc AS (SELECT item_id AS crc_id, {CRC} AS shuffle FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN sort = 'name' THEN name END, CASE WHEN sort = 'relevance' THEN -score END,
+      CASE WHEN sort <> 'name' THEN -rating END, CASE WHEN sort = 'relevance' THEN -len(told) END, shuffle, item_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM hits JOIN crc ON crc_id = item_id)
+      SELECT query_id, rank, {columns} FROM r WHERE rank > off AND rank <= off + lim"""
+
 
+def table(spark, searches):
+    return f.search_table(spark, searches)
 
-def seen(spark, d):
-    return f.examine(entries(spark, d), SEARCHES, PART_RULES)
 
+def seen(spark, d, searches=SEARCHES):
+    return f.examine(entries(spark, d), table(spark, searches), PART_RULES)
 
-@query("search_hits", "C3,C4,P4", f"WITH {SEEN_SQL} SELECT query_id, item_id, score::DOUBLE AS score, reasons FROM hits")
+
+@query("search_hits", "C3,C4,P4", f"WITH {seen_sql(SEARCHES)} SELECT query_id, item_id, score::DOUBLE AS score, array_to_string(told, '; ') AS reasons FROM hits")
 def _(spark, d):
     return f.matches(seen(spark, d)).select("query_id", "item_id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(
-    "search_result_scores", "C7,T1,T2,A13",
-    f"""WITH {SEEN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 5 THEN name END, CASE WHEN query_id NOT IN (4, 5) THEN -score END, CASE WHEN query_id <> 5 THEN -rating END,
-          CASE WHEN query_id NOT IN (4, 5) THEN -len(list_filter(string_split(reasons, '; '), lambda x: x <> '')) END) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM hits)
-        SELECT query_id, rank, CASE WHEN query_id <> 5 THEN round(score::DOUBLE, 2) END AS score, total, CASE WHEN query_id = 5 THEN name ELSE '' END AS name FROM r
-        WHERE CASE query_id WHEN 5 THEN rank BETWEEN 5 AND 12 WHEN 6 THEN rank <= 30 ELSE rank <= 12 END AND query_id <> 4""",
-)
+@query("search_result_scores", "C7,T1,T2,A13", pages_sql(SEARCHES, "round(score::DOUBLE, 2) AS score, total, name"))
 def _(spark, d):
-    pages = f.result_pages(seen(spark, d), SEARCHES).filter("query_id <> 4")  # its order is by rating only
-    score = F.when(C("query_id") != 5, C("score"))  # equal names may come in any order there
-    return pages.select("query_id", "rank", score.alias("score"), "total", F.when(C("query_id") == 5, C("name")).otherwise("").alias("name"))
+    return f.result_pages(seen(spark, d), table(spark, SEARCHES)).select("query_id", "rank", "score", "total", "name")
+
 
+PAGE = "item_id, name, round(score::DOUBLE, 2) AS score, array_to_string(told, '; ') AS reasons, total"
 
-@query("search_pages", "C7,F12")
+
+@query("search_pages", "C7,F12", pages_sql(SEARCHES, PAGE))
 def _(spark, d):
-    return f.result_pages(seen(spark, d), SEARCHES).withColumn("reasons", F.array_join("reasons", "; "))
-
-
-FACET_SQL = f"""WITH {SEEN_SQL}, raw AS (
-    SELECT query_id, 'types' AS dim, CASE WHEN sparkling THEN 'sparkling' ELSE 'still' END AS value FROM seen WHERE free AND len(list_filter(failed, lambda x: x <> 'types')) = 0
-    UNION ALL SELECT query_id, 'colors', color FROM seen WHERE free AND len(list_filter(failed, lambda x: x <> 'colors')) = 0
-    UNION ALL SELECT query_id, 'sugars', sugar FROM seen WHERE free AND len(list_filter(failed, lambda x: x <> 'sugars')) = 0
-    UNION ALL SELECT query_id, 'regions', region FROM seen WHERE free AND len(list_filter(failed, lambda x: x <> 'regions')) = 0
-    UNION ALL SELECT query_id, 'grapes', grape FROM seen WHERE free AND len(list_filter(failed, lambda x: x <> 'grapes')) = 0
-    UNION ALL SELECT query_id, 'dishes', unnest([dish, color]) FROM seen WHERE free AND len(failed) = 0
-    UNION ALL SELECT query_id, 'tastes', unnest(list_filter([CASE WHEN vivid IS NOT NULL THEN 'vivid' END, CASE WHEN strong IS NOT NULL THEN 'strong' END, CASE WHEN weak IS NOT NULL THEN 'weak' END], lambda x: x IS NOT NULL)) FROM seen WHERE free AND len(failed) = 0
-    UNION ALL SELECT query_id, 'occasions', unnest(list_filter([CASE WHEN gift >= 2 THEN 'gift' END, CASE WHEN daily >= 2 THEN 'daily' END, CASE WHEN party >= 2 THEN 'party' END], lambda x: x IS NOT NULL)) FROM seen WHERE len(failed) = 0),
+    return f.result_pages(seen(spark, d), table(spark, SEARCHES)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query("many_search_pages", "C2,C3,C4,C7", pages_sql(GRID, PAGE))
+def _(spark, d):
+    return f.result_pages(seen(spark, d, GRID), table(spark, GRID)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def facets_sql(searches: list[f.Search]) -> str:
+    but = lambda dim: f"mask IN (0, {f.BITS[dim]})"
+    return f"""WITH {seen_sql(searches)}, raw AS (
+    SELECT query_id, 'types' AS dim, CASE WHEN sparkling THEN 'sparkling' ELSE 'still' END AS value FROM seen WHERE {but('types')}
+    UNION ALL SELECT query_id, 'colors', color FROM seen WHERE {but('colors')} UNION ALL SELECT query_id, 'sugars', sugar FROM seen WHERE {but('sugars')}
+    UNION ALL SELECT query_id, 'regions', region FROM seen WHERE {but('regions')} UNION ALL SELECT query_id, 'grapes', grape FROM seen WHERE {but('grapes')}
+    UNION ALL SELECT query_id, 'dishes', unnest([dish, color]) FROM seen WHERE mask = 0
+    UNION ALL SELECT query_id, 'tastes', unnest(list_filter([CASE WHEN vivid IS NOT NULL THEN 'vivid' END, CASE WHEN strong IS NOT NULL THEN 'strong' END, CASE WHEN weak IS NOT NULL THEN 'weak' END], lambda x: x IS NOT NULL)) FROM seen WHERE mask = 0
+    UNION ALL SELECT query_id, 'occasions', unnest(list_filter([CASE WHEN gift >= 2 THEN 'gift' END, CASE WHEN daily >= 2 THEN 'daily' END, CASE WHEN party >= 2 THEN 'party' END], lambda x: x IS NOT NULL)) FROM seen WHERE {but('occasions')}),
   n AS (SELECT query_id, dim, value, count(*) AS n FROM raw GROUP BY ALL),
   o AS (SELECT 'colors' AS dim, color AS value, color AS label, 0 AS pos FROM p GROUP BY color UNION ALL SELECT 'grapes', grape, grape, 0 FROM p GROUP BY grape
     UNION ALL SELECT 'regions', region, region, -count(*) FROM p GROUP BY region
     UNION ALL SELECT 'sugars', sugar, sugar, CASE sugar WHEN 'red' THEN 0 WHEN 'blue' THEN 1 WHEN 'green' THEN 2 ELSE 3 END FROM p GROUP BY sugar
     UNION ALL (VALUES ('occasions', 'gift', 'As a gift', 0), ('occasions', 'daily', 'Every day', 0), ('occasions', 'party', 'Big party', 0), ('dishes', 'metal', 'Metal work', 0), ('dishes', 'light', 'Light work', 0),
        ('tastes', 'vivid', 'Vivid', 0), ('tastes', 'strong', 'Strong', 0), ('tastes', 'weak', 'Weak', 0), ('types', 'sparkling', 'Sparkling', 0), ('types', 'still', 'Still', 1))),
-  full_o AS (SELECT q.query_id, o.*, coalesce(n.n, 0) AS n FROM o CROSS JOIN (SELECT unnest(range(1, 7)) AS query_id) q LEFT JOIN n ON n.query_id = q.query_id AND n.dim = o.dim AND n.value = o.value)
+  full_o AS (SELECT q.query_id, o.*, coalesce(n.n, 0) AS n FROM o CROSS JOIN (SELECT query_id FROM q) q LEFT JOIN n ON n.query_id = q.query_id AND n.dim = o.dim AND n.value = o.value)
   SELECT query_id::INTEGER AS query_id, dim, row_number() OVER (PARTITION BY query_id, dim ORDER BY CASE WHEN dim = 'grapes' THEN -n WHEN dim IN ('regions', 'sugars', 'types') THEN pos ELSE 0 END, lower(label), label) AS place, value, label, n FROM full_o"""
 
 
-@query("facet_counts", "C6,A10", FACET_SQL)
+@query("facet_counts", "C6,A10", facets_sql(SEARCHES))
+def _(spark, d):
+    e = entries(spark, d)
+    return f.facet_counts(e, f.examine(e, table(spark, SEARCHES), PART_RULES), table(spark, SEARCHES), PART_RULES)
+
+
+@query("many_facet_counts", "C6", facets_sql(GRID))
 def _(spark, d):
     e = entries(spark, d)
-    return f.facet_counts(e, f.examine(e, SEARCHES, PART_RULES), SEARCHES, PART_RULES)
+    return f.facet_counts(e, f.examine(e, table(spark, GRID), PART_RULES), table(spark, GRID), PART_RULES)
 
 
 @query("corrected_searches", "C5,F9")

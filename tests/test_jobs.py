@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalens.functions.text import normalize_match_text
+from catalens.functions.text import normalize_match_text, to_search_latin
 from catalens.operators import activity, aggregates, enrichment, facets, glossary, ingest
 from catalens.operators.aggregates import latest_per_key
 from catalens.session import scratch_path
@@ -112,9 +112,8 @@ def test_wine_search(spark):
     ], schema)
     entries = facets.with_occasions(facets.prepare_entries(cards))
     searches = [facets.Search(1, text="abrau"), facets.Search(2, occasion="grill"), facets.Search(3, text="сапереви"), facets.Search(4, tastes=("full",), colors=("Красное",))]
-    fixed, corrected = facets.resolve_texts(entries, searches)
-    assert corrected == {3: "саперави"}
-    seen = facets.examine(entries, fixed)
+    fixed, seen = facets.resolve_texts(entries, facets.search_table(spark, searches))
+    assert {r["query_id"]: r["corrected"] for r in fixed.collect()} == {1: None, 2: None, 3: "саперави", 4: None}
     pages = {(r["query_id"], r["rank"]): r for r in facets.result_pages(seen, fixed).collect()}
     assert pages[1, 1]["item_id"] == "1" and pages[1, 1]["score"] == 40.0  # found through the Latin spelling
     assert pages[2, 1]["item_id"] == "2" and pages[2, 1]["score"] == 5.0
@@ -184,3 +183,25 @@ def test_nicknames_are_unique(spark):
     users = spark.range(500).select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("n"), "id")).alias("nick"))
     got = activity.assign_nicknames(users, "id", "nick", "guest")
     assert got.select(F.lower("nick")).distinct().count() == 500 and got.filter("nick IS NULL").isEmpty()
+
+
+def test_tokens_find_the_words_that_hold_them(spark):
+    """All substrings of the vocabulary, in both scripts, against a plain search."""
+    vocabulary = ["абрау", "дюрсо", "wine", "xerez", "a", "brand12", "12", "каберне"]
+    latin = dict(spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", to_search_latin(F.col("w"))).collect())
+    tokens = sorted({w[i:j] for w in vocabulary for i in range(len(w)) for j in range(i + 1, len(w) + 1)} | {"abrau", "kaberne", "vine", "zz", "kserez", "dursoo"})
+    forms = dict(spark.createDataFrame([(t,) for t in tokens], "t string").select("t", to_search_latin(F.col("t"))).collect())
+    got = facets.token_words(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in vocabulary], "known string"))
+    assert rows(got, "token", "known") == sorted((t, w) for t in tokens for w in vocabulary if t in w or (forms[t] and forms[t] in latin[w]))
+
+
+def test_search_plan_does_not_grow_with_the_searches(spark):
+    from catalens.plans import faceted
+
+    def nodes(n):
+        e = faceted.entries(spark, "/root/testdata/sf0.001")
+        searches = facets.search_table(spark, faceted.GRID[:n])
+        seen = facets.examine(e, searches, faceted.PART_RULES)
+        return facets.facet_counts(e, seen, searches, faceted.PART_RULES)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert nodes(5) == nodes(1000)
