@@ -37,38 +37,78 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * lcs_length(a, b) / total)
 
 
-def _codes(values: pd.Series, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = values.str.len().to_numpy(dtype=np.int64, na_value=0)
-    width = max(int(lengths.max(initial=0)), 1)
-    out = np.full((len(values), width), pad, dtype=np.uint32)
-    for row, value in enumerate(values):
-        if value:
-            out[row, : len(value)] = np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32)
-    return out, lengths
-
-
-def _lcs_batch(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row-wise LCS of a whole batch: the table row is one vector, all pairs advance together."""
-    left, left_len = _codes(a, 0x110000)
-    right, right_len = _codes(b, 0x110001)
-    row = np.zeros((len(a), right.shape[1] + 1), dtype=np.int32)
-    for i in range(left.shape[1]):
-        hit = left[:, i : i + 1] == right
-        extended = np.maximum(row[:, 1:], np.where(hit, row[:, :-1] + 1, 0))
-        row[:, 1:] = np.maximum.accumulate(extended, axis=1)
-    return row[:, -1], left_len, right_len
+WORD_BITS = 64
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS length of each pair, by bit vectors: bit i of a pair's vector says whether the i-th row of the LCS table steps up.
+
+    All pairs advance by one letter of their longer string at a time; a letter's mask marks where it stands in the shorter one. Shorter strings of
+    more than 64 letters take the same steps with Python's long integers.
+    """
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    fits = np.array([len(x) <= WORD_BITS for x in short], dtype=bool)
+    out = np.zeros(len(short), dtype=np.int64)
+    if fits.any():
+        at = np.flatnonzero(fits)
+        out[at] = _lcs_words([short[i] for i in at], [long[i] for i in at])
+    for i in np.flatnonzero(~fits):
+        out[i] = _lcs_long(short[i], long[i])
+    return out
+
+
+def _lcs_long(short: str, long: str) -> int:
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full = (1 << len(short)) - 1
+    row = full
+    for ch in long:
+        hit = row & masks.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(short) - row.bit_count()
+
+
+def _letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all strings in turn, and the length of each."""
+    return np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32), np.array([len(x) for x in strings], dtype=np.int64)
+
+
+def _lcs_words(short: list[str], long: list[str]) -> np.ndarray:
+    patterns, pattern = np.unique(np.array(short, dtype=object), return_inverse=True)
+    texts, text = np.unique(np.array(long, dtype=object), return_inverse=True)
+    codes, lengths = _letters(list(patterns))
+    alphabet = np.unique(codes)
+    masks = np.zeros((len(patterns), len(alphabet) + 1), dtype=np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(codes)) - np.repeat(starts, lengths)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(len(patterns)), lengths), np.searchsorted(alphabet, codes)), np.left_shift(np.uint64(1), place.astype(np.uint64)))
+    codes, sizes = _letters(list(texts))
+    column = np.searchsorted(alphabet, codes)
+    column = np.where((column < len(alphabet)) & (alphabet[np.minimum(column, len(alphabet) - 1)] == codes), column, len(alphabet)) if len(alphabet) else np.zeros(len(codes), np.int64)
+    letters = np.full((len(texts), int(sizes.max(initial=0))), len(alphabet), dtype=np.int64)  # the last column has no marks
+    letters[np.repeat(np.arange(len(texts)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column
+    row = np.full(len(short), np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):  # carries out of the top bit are meant to be lost
+        for j in range(letters.shape[1]):
+            hit = row & masks[pattern, letters[text, j]]
+            row = (row + hit) | (row - hit)
+    width = lengths[pattern].astype(np.uint64)
+    low = np.where(width == WORD_BITS, np.iinfo(np.uint64).max, np.left_shift(np.uint64(1), np.minimum(width, WORD_BITS - 1)) - np.uint64(1))
+    return np.bitwise_count(~row & low).astype(np.int64)
 
 
 def indel_ratios(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Indel ratio of aligned strings; work is sliced so that long strings stay within memory."""
-    a, b = a.fillna(""), b.fillna("")
-    order = np.argsort(np.maximum(a.str.len(), b.str.len()).to_numpy(), kind="stable")
-    result = np.empty(len(a), dtype=np.float64)
-    for start in range(0, len(a), 2048):
-        part = order[start : start + 2048]
-        lcs, m, n = _lcs_batch(a.iloc[part], b.iloc[part])
-        result[part] = np.where(m + n > 0, 2.0 * lcs / np.maximum(m + n, 1), 1.0)
-    return result
+    """Indel ratio of aligned strings; pairs of similar length go together, so that short ones don't wait for long ones."""
+    left, right = a.fillna("").tolist(), b.fillna("").tolist()
+    m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    order = np.argsort(np.maximum(m, n), kind="stable")
+    lcs = np.zeros(len(left), dtype=np.int64)
+    for start in range(0, len(left), 4096):
+        part = order[start : start + 4096]
+        lcs[part] = lcs_lengths([left[i] for i in part], [right[i] for i in part])
+    return np.where(m + n > 0, 2.0 * lcs / np.maximum(m + n, 1), 1.0)
 
 
 @F.pandas_udf(DoubleType())

@@ -27,8 +27,6 @@ RERANK_LIMIT = 50
 SKIP_GAP, SKIP_MIN_SCORE = 0.15, 0.50
 FULL_TEXT_BONUS = ENTITY_WEIGHT * (NAME_WEIGHT + PRODUCER_WEIGHT + GRAPE_WEIGHT) + SUGAR_BONUS + ALCOHOL_WEIGHT
 # ----------------------------------------------------------------------------------------------------
-CATEGORY_PHRASES = 2000
-
 
 @dataclass(frozen=True)
 class TextDictionary:
@@ -131,14 +129,17 @@ def spelled_phrases(spellings: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(spaced.unionByName(glued), "phrases")
 
 
-def text_windows(views: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, window, size, joined): token runs of the texts up to the longest phrase."""
-    sizes = phrases.agg(F.max("hi").alias("longest")).select(F.explode(F.sequence(F.lit(1), "longest")).alias("size"))  # a row per length
-    sized = views.join(F.broadcast(sizes), F.col("size") <= F.size("tokens"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1), lambda i: F.slice("tokens", i, F.col("size")))
-    both = F.array(F.lit(False), F.lit(True))
-    cut = sized.select("query_id", "size", F.explode(runs).alias("run")).select("query_id", "size", "run", F.explode(both).alias("joined"))
-    return cut.select("query_id", F.when(F.col("joined"), F.array_join("run", "")).otherwise(F.array_join("run", " ")).alias("window"), "size", "joined").distinct()
+def text_windows(views: DataFrame, longest: int) -> DataFrame:
+    """(query_id, window, size, joined): token runs of the texts of up to `longest` tokens, spaced and glued; each once per view."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.slice("tokens", i, n))
+    cut = lambda n, glue: F.transform(runs(n), lambda r: F.struct(F.array_join(r, "" if glue else " ").alias("window"), n.cast("int").alias("size"), F.lit(glue).alias("joined")))
+    sizes = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.least(F.size("tokens"), F.lit(longest)))).otherwise(F.array().cast("array<int>"))
+    windows = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.concat(cut(n, False), cut(n, True)))))
+    return views.select("query_id", F.explode(windows).alias("w")).select("query_id", "w.*")
+
+
+def longest_phrase(phrases: DataFrame) -> int:
+    return phrases.agg(F.max("hi").alias("n")).first()["n"] or 0
 
 
 def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -147,7 +148,7 @@ def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], thre
     An exact whole-word occurrence is a window with similarity 1.
     """
     phrases = spelled_phrases(spellings, keys)
-    seen = text_windows(views, phrases)
+    seen = text_windows(views, longest_phrase(phrases))
     fits = (F.col("glue") == F.col("joined")) & F.col("size").between(F.col("lo"), F.col("hi"))
     known = phrases.select("known", "lo", "hi", "glue").distinct()
     pairs = similar_pairs(seen.select("window", "size", "joined").distinct(), known, threshold, "window", "known", condition=fits)
@@ -158,28 +159,81 @@ def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], thre
 def category_scores(views: DataFrame, categories: DataFrame) -> DataFrame:
     """Similarity of every category key to each text, however low: (query_id, kind, key, score).
 
-    Categories are a short fixed list (at most CATEGORY_PHRASES spellings), so each distinct window is scored against all of them in place.
+    Categories are a closed list (colours, sugars and the like) that goes along with the code; each distinct window is scored against all of it in place,
+    and only the best of a key leaves the worker.
     """
     phrases = spelled_phrases(categories, ["kind", "key"])
-    rows = phrases.limit(CATEGORY_PHRASES + 1).collect()
-    if len(rows) > CATEGORY_PHRASES:
-        raise ValueError(f"more than {CATEGORY_PHRASES} category spellings; use phrase_matches")
-    seen = text_windows(views, phrases)
+    rows = [tuple(r) for r in phrases.select("kind", "key", "known", "lo", "hi", "glue").collect()]
+    seen = text_windows(views, max((r[4] for r in rows), default=0))
 
     def score(batches):
         for batch in batches:
-            for row in rows:
-                part = batch[(batch["joined"] == row["glue"]) & batch["size"].between(row["lo"], row["hi"])]
+            best: dict[tuple, pd.Series] = {}
+            for kind, key, known, low, high, glue in rows:
+                part = batch[(batch["joined"] == glue) & batch["size"].between(low, high)]
                 if len(part):
-                    ratio = indel_ratios(part["window"], pd.Series(row["known"], index=part.index))
-                    yield part.assign(kind=row["kind"], key=row["key"], ratio=ratio)
+                    ratio = pd.Series(indel_ratios(part["window"], pd.Series(known, index=part.index)), index=part.index)
+                    best[kind, key] = ratio if (kind, key) not in best else best[kind, key].combine(ratio, max, fill_value=0.0)
+            for (kind, key), ratio in best.items():
+                yield batch.loc[ratio.index].assign(kind=kind, key=key, ratio=ratio)
 
     windows = seen.select("window", "size", "joined").distinct()
-    scored = windows.mapInPandas(score, "window string, size int, joined boolean, kind string, key string, ratio double")
-    best = scored.groupBy("window", "size", "joined", "kind", "key").agg(F.max("ratio").alias("ratio"))
+    best = windows.mapInPandas(score, "window string, size int, joined boolean, kind string, key string, ratio double")
     return seen.join(best, ["window", "size", "joined"]).groupBy("query_id", "kind", "key").agg(F.max("ratio").alias("score"))
 
 
+def phrase_windows(variants: list[str], views: list[list[str]], runs: dict) -> list[tuple[str, str]] | None:
+    """Pairs (spelling, run of the text) whose best similarity is a phrase's window score; None if a spelling stands in the text as it is.
+
+    `runs` keeps the runs of this text by (length, glued), which all phrases share.
+    """
+
+    def of(n: int, between: str) -> set[str]:
+        if (n, between) not in runs:
+            runs[n, between] = {between.join(v[i : i + n]) for v in views for i in range(len(v) - n + 1)}
+        return runs[n, between]
+
+    pairs = []
+    for variant in variants:
+        n = variant.count(" ") + 1
+        spaced = of(n, " ")
+        if variant in spaced:
+            return None
+        pairs += [(variant, w) for w in spaced]
+        if n > 1:
+            glued = variant.replace(" ", "")
+            pairs += [(glued, w) for size in range(1, n + 1) for w in of(size, "")]
+    return pairs
+
+
+def window_scores(asked: DataFrame, spellings: DataFrame, views: DataFrame) -> DataFrame:
+    """Best similarity of an entity's spellings with a run of the text of the same length: (query_id, kind, entity, window), 0 if none.
+
+    `asked`: (query_id, kind, entity), `spellings`: (kind, entity, spelling). A text meets its own candidates only; its runs are cut once for all of
+    them, and equal pairs of a batch are scored once.
+    """
+    known = spellings.select("kind", "entity", text_variants(F.col("spelling")).alias("v")).groupBy("kind", "entity").agg(F.array_distinct(F.flatten(F.collect_list("v"))).alias("variants"))
+    phrases = asked.join(known, ["kind", "entity"]).groupBy("query_id").agg(F.collect_list(F.struct("kind", "entity", "variants")).alias("phrases"))  # at most a pool
+    texts = views.groupBy("query_id").agg(F.collect_list("tokens").alias("views"))
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            found, lists = [], []
+            for query, phrases_, views_ in batch[["query_id", "phrases", "views"]].itertuples(index=False):
+                runs: dict = {}
+                texts_ = [list(v) for v in views_]
+                for p in phrases_:
+                    lists.append(phrase_windows(list(p["variants"]), texts_, runs))
+                    found.append((query, p["kind"], p["entity"]))
+            pairs = sorted({pair for pairs_ in lists for pair in pairs_ or ()})
+            ratio = dict(zip(pairs, indel_ratios(pd.Series([p[0] for p in pairs], dtype=object), pd.Series([p[1] for p in pairs], dtype=object)), strict=True)) if pairs else {}
+            best = [1.0 if pairs_ is None else max((ratio[x] for x in pairs_), default=0.0) for pairs_ in lists]
+            yield pd.DataFrame(found, columns=["query_id", "kind", "entity"]).assign(window=best)
+
+    return phrases.join(texts, "query_id").mapInPandas(score, f"query_id {kind}, kind string, entity string, window double")
+
+
 def unique_evidence(pool: DataFrame, hits: DataFrame) -> DataFrame:
     """Per candidate the pool-rare words of its name and producer that the text shows: (unique, unique_share)."""
     spoken = item_words(pool.select("item_id", "name", "producer").distinct())
@@ -277,12 +331,20 @@ def score_pool(queries: DataFrame, pool: DataFrame, catalog: DataFrame, dictiona
         asked = cand.filter(F.col(column).isNotNull() & (F.col(column) != "")).select("query_id", F.col(column).alias("entity"))
         return entity_coverage(asked, table, hits).select("query_id", F.col("entity").alias(column), F.col("coverage").alias(out))
 
+    asked = cand.select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("entity")) for k in ("name", "producer")])).alias("a")).select("query_id", "a.*")
+    names = catalog.select(F.lit("name").alias("kind"), F.col("name").alias("entity"), F.col("name").alias("spelling")).distinct()
+    windows = window_scores(asked.filter("entity <> ''").distinct(), names.unionByName(dictionary.phrases.filter("kind = 'producer'")), views)
+    window = lambda k: windows.filter(F.col("kind") == k).select("query_id", F.col("entity").alias(k), F.col("window").alias(f"{k}_window"))
+    windows = materialize(windows, "windows")
+
     own = cand.select("query_id", "item_id", F.explode(F.transform("grapes", lambda g: g["key"])).alias("entity"))
     grape = own.join(entity_coverage(own, dictionary.grapes, hits), ["query_id", "entity"], "left").withColumn("c", F.coalesce("coverage", F.lit(0.0)))
     grape = grape.groupBy("query_id", "item_id").agg(F.avg("c").alias("grape_mean"), F.max("c").alias("grape_max"))
     rows = (
         cand.join(covered("name", dictionary.names, "name_coverage"), ["query_id", "name"], "left")
         .join(covered("producer", dictionary.producers, "producer_coverage"), ["query_id", "producer"], "left")
+        .join(window("name"), ["query_id", "name"], "left")
+        .join(window("producer"), ["query_id", "producer"], "left")
         .join(grape, ["query_id", "item_id"], "left")
         .join(unique_evidence(cand, hits), ["query_id", "item_id"], "left")
         .join(query_facts(queries, views, dictionary), "query_id")
@@ -297,6 +359,7 @@ def add_bonus(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "name_coverage": F.when(present("name"), F.coalesce("name_coverage", F.lit(0.0))).otherwise(-1.0),
         "producer_coverage": F.when(present("producer"), F.coalesce("producer_coverage", F.lit(0.0))).otherwise(-1.0),
+        **{f"{c}_window": F.when(present(c), F.coalesce(f"{c}_window", F.lit(0.0))).otherwise(-1.0) for c in ("name", "producer")},
         "grape_mean": F.coalesce("grape_mean", F.lit(-1.0)), "grape_max": F.coalesce("grape_max", F.lit(-1.0)),
         "unique": F.coalesce("unique", F.lit(0.0)), "unique_share": F.coalesce("unique_share", F.lit(0.0)),
         "_own": keys, "_producer": F.coalesce("producer_key", F.lit("")), "_name": F.concat(F.lit(" "), F.coalesce("name_key", F.lit("")), F.lit(" ")),

@@ -101,16 +101,25 @@ WINDOW_SQL = f"""ph AS MATERIALIZED (SELECT kind, entity, v AS known, len(string
   wm AS MATERIALIZED (SELECT query_id, kind, entity, max(ratio) AS score FROM win JOIN wsim USING (w) JOIN ph2 ON ph2.known = wsim.known AND ph2.glue = win.glue AND size BETWEEN lo AND hi GROUP BY ALL),
   det AS MATERIALIZED (SELECT query_id, kind, entity, score FROM wm WHERE (kind IN ('producer', 'grape') AND score >= 0.88) OR kind IN ('color', 'sugar'))"""
 
-SCORE_SQL = f"""{TEXT_SQL}, {WINDOW_SQL},
+# name and producer windows: only phrases of a query's own candidates meet its windows
+NEAR_SQL = f"""nph AS MATERIALIZED (SELECT DISTINCT kind, entity, v AS known, len(string_split(v, ' ')) AS lo, len(string_split(v, ' ')) AS hi, false AS glue FROM (SELECT kind, entity, unnest(vs) AS v FROM spell WHERE kind IN ('name', 'producer'))),
+  nph2 AS MATERIALIZED (SELECT * FROM nph UNION ALL SELECT kind, entity, replace(known, ' ', ''), 1, hi, true FROM nph WHERE hi > 1),
+  nas AS MATERIALIZED (SELECT DISTINCT query_id, 'name' AS kind, name AS entity FROM plr JOIN cat USING (item_id) UNION SELECT DISTINCT query_id, 'producer', producer FROM plr JOIN cat USING (item_id)),
+  nwp AS MATERIALIZED (SELECT query_id, nas.kind, nas.entity, w, known FROM nas JOIN nph2 ON nph2.kind = nas.kind AND nph2.entity = nas.entity JOIN win USING (query_id) WHERE nph2.glue = win.glue AND size BETWEEN lo AND hi),
+  nws AS MATERIALIZED (SELECT w, known, 2.0 * {LCS_SQL.format(a='w', b='known')} / (length(w) + length(known)) AS ratio FROM (SELECT DISTINCT w, known FROM nwp)),
+  nwm AS MATERIALIZED (SELECT query_id, kind, entity, max(ratio) AS score FROM nwp JOIN nws USING (w, known) GROUP BY ALL)"""
+
+SCORE_SQL = f"""{TEXT_SQL}, {WINDOW_SQL}, {NEAR_SQL},
   qf AS MATERIALIZED (SELECT query_id, coalesce(list(lower(replace(entity, '#', ' '))) FILTER (kind = 'producer'), []) AS prods, coalesce(list(entity) FILTER (kind = 'grape'), []) AS grps FROM det GROUP BY query_id),
-  f1 AS MATERIALIZED (SELECT p.query_id, p.item_id, p.visual, p.rank, c.*  EXCLUDE (item_id), coalesce(cn.coverage, 0) AS name_cov, coalesce(cp.coverage, 0) AS prod_cov, coalesce(cg.coverage, 0) AS grape_cov, coalesce(uniq, 0) AS uniq, coalesce(uniq_share, 0) AS uniq_share,
+  f1 AS MATERIALIZED (SELECT p.query_id, p.item_id, p.visual, p.rank, c.*  EXCLUDE (item_id), coalesce(cn.coverage, 0) AS name_cov, coalesce(cp.coverage, 0) AS prod_cov, coalesce(cg.coverage, 0) AS grape_cov, coalesce(nn1.score, 0) AS name_window, coalesce(nn2.score, 0) AS producer_window, coalesce(uniq, 0) AS uniq, coalesce(uniq_share, 0) AS uniq_share,
      coalesce(prods, []) AS prods, coalesce(grps, []) AS grps, lower(replace(producer, '#', ' ')) AS pkey, coalesce(dc.score, 0) AS color_own, coalesce(ds.score, 0) AS sugar_own,
      coalesce((SELECT max(score) FROM det x WHERE x.query_id = p.query_id AND x.kind = 'color' AND x.entity <> lower(c.color)), 0) AS color_other,
      coalesce((SELECT max(score) FROM det x WHERE x.query_id = p.query_id AND x.kind = 'sugar' AND x.entity <> c.sugar), 0) AS sugar_other,
      CASE WHEN contains(t.text, '%') THEN list_filter(list_transform(regexp_extract_all(t.text, '\\d{{1,2}}(?:[.,]\\d{{1,2}})?'), lambda x: x::DOUBLE), lambda x: x BETWEEN 5 AND 25) ELSE []::DOUBLE[] END AS qa,
      CASE WHEN p_size BETWEEN 5 AND 25 THEN [p_size::DOUBLE] ELSE []::DOUBLE[] END AS ca, (SELECT len(string_split(v, ' ')) FROM vw WHERE vw.query_id = p.query_id ORDER BY v LIMIT 1) AS any_tok, t.text
    FROM plr p JOIN cat c USING (item_id) JOIN txt t ON t.query_id = p.query_id LEFT JOIN cov cn ON cn.query_id = p.query_id AND cn.kind = 'name' AND cn.entity = c.name LEFT JOIN cov cp ON cp.query_id = p.query_id AND cp.kind = 'producer' AND cp.entity = c.producer
-     LEFT JOIN cov cg ON cg.query_id = p.query_id AND cg.kind = 'grape' AND cg.entity = c.grape LEFT JOIN ue ON ue.query_id = p.query_id AND ue.item_id = p.item_id LEFT JOIN qf ON qf.query_id = p.query_id
+     LEFT JOIN cov cg ON cg.query_id = p.query_id AND cg.kind = 'grape' AND cg.entity = c.grape LEFT JOIN nwm nn1 ON nn1.query_id = p.query_id AND nn1.kind = 'name' AND nn1.entity = c.name LEFT JOIN nwm nn2 ON nn2.query_id = p.query_id AND nn2.kind = 'producer' AND nn2.entity = c.producer
+     LEFT JOIN ue ON ue.query_id = p.query_id AND ue.item_id = p.item_id LEFT JOIN qf ON qf.query_id = p.query_id
      LEFT JOIN det dc ON dc.query_id = p.query_id AND dc.kind = 'color' AND dc.entity = lower(c.color) LEFT JOIN det ds ON ds.query_id = p.query_id AND ds.kind = 'sugar' AND ds.entity = c.sugar),
   f2 AS (SELECT *, color_own < 0.8 AND color_other >= 0.8 AS color_contra, sugar_own < 0.8 AND sugar_other >= 0.8 AS sugar_contra, len(list_filter(grps, lambda g: g = grape)) AS grape_hit, len(list_filter(grps, lambda g: g <> grape)) AS grape_extra,
      list_contains(prods, pkey) OR len(list_filter(prods, lambda x: contains(' ' || name || ' ', ' ' || x || ' '))) > 0 AS prod_det, list_min(list_transform(qa, lambda x: abs(x - ca[1]))) AS delta FROM f1),
@@ -166,7 +175,7 @@ def scored(spark, d):
 
 @query(
     "text_features", "M4,M6,M8,M9,M10,M11,M12",
-    f"""WITH {SCORE_SQL} SELECT query_id, item_id, round(name_cov, 6) AS name_coverage, round(prod_cov, 6) AS producer_coverage, round(grape_cov, 6) AS grape_coverage, round(uniq, 6) AS unique_words, round(uniq_share, 6) AS unique_share,
+    f"""WITH {SCORE_SQL} SELECT query_id, item_id, round(name_cov, 6) AS name_coverage, round(prod_cov, 6) AS producer_coverage, round(grape_cov, 6) AS grape_coverage, round(name_window, 6) AS name_window, round(producer_window, 6) AS producer_window, round(uniq, 6) AS unique_words, round(uniq_share, 6) AS unique_share,
         round(color_own, 6) AS color_own, round(color_other, 6) AS color_other, color_contra AS color_contradiction, round(sugar_own, 6) AS sugar_own, round(sugar_other, 6) AS sugar_other, sugar_contra AS sugar_contradiction,
         len(grps)::BIGINT AS grape_detected, grape_hit::BIGINT AS grape_hit, grape_extra::BIGINT AS grape_extra, grape_contra AS grape_contradiction, prod_det AS producer_detected, prod_contra AS producer_contradiction,
         alc_match AS alcohol_match, alc_miss AS alcohol_mismatch, round(bonus, 6) AS bonus FROM f4""",
@@ -174,7 +183,7 @@ def scored(spark, d):
 def _(spark, d):
     rows = scored(spark, d)
     return rows.select(
-        "query_id", "item_id", *[F.round(c, 6).alias(c) for c in ("name_coverage", "producer_coverage", "grape_coverage")], F.round("unique", 6).alias("unique_words"),
+        "query_id", "item_id", *[F.round(c, 6).alias(c) for c in ("name_coverage", "producer_coverage", "grape_coverage", "name_window", "producer_window")], F.round("unique", 6).alias("unique_words"),
         *[F.round(c, 6).alias(c) for c in ("unique_share", "color_own", "color_other", "sugar_own", "sugar_other", "bonus")], "color_contradiction", "sugar_contradiction",
         *[C(c).cast("long").alias(c) for c in ("grape_detected", "grape_hit", "grape_extra")], "grape_contradiction", "producer_detected", "producer_contradiction", "alcohol_match", "alcohol_mismatch",
     )

@@ -4,6 +4,7 @@ import random
 import uuid
 import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalens.functions import similarity, text, values
@@ -96,3 +97,26 @@ def test_close_matches(spark):
     got = {r["word"]: r["k"] for r in near.groupBy("word").agg(F.max_by("known", F.struct("ratio", "known")).alias("k")).collect()}
     expected = {w: m[0] for w in left if (m := difflib.get_close_matches(w, right, n=1, cutoff=0.75))}
     assert got == expected
+
+
+def test_bit_vectors_count_the_longest_common_subsequence():
+    from catalens.functions.similarity import indel_ratios, lcs_lengths
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé🙂щ") for _ in range(n))
+    sizes = [0, 1, 2, 5, 9, 31, 63, 64, 65, 130]
+    pairs = [(word(rng.choice(sizes)), word(rng.choice(sizes))) for _ in range(400)] + [("", ""), ("", "x"), ("same", "same"), ("a" * 64, "a" * 64), ("a" * 200, "a" * 199)]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert lcs_lengths(a, b).tolist() == [plain(x, y) for x, y in pairs]
+    assert lcs_lengths([], []).tolist() == []
+    ratios = indel_ratios(pd.Series([*a, None]), pd.Series([*b, "x"]))
+    assert [round(r, 9) for r in ratios] == [round(2 * plain(x, y) / (len(x) + len(y)), 9) if x or y else 1.0 for x, y in pairs] + [0.0]
