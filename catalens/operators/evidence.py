@@ -130,11 +130,11 @@ def spelled_phrases(spellings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_windows(views: DataFrame, longest: int) -> DataFrame:
-    """(query_id, window, size, joined): token runs of the texts of up to `longest` tokens, spaced and glued; each once per view."""
+    """(query_id, window, size, joined): token runs of the texts of up to `longest` tokens, spaced and, from two tokens on, glued; each once per view."""
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.slice("tokens", i, n))
     cut = lambda n, glue: F.transform(runs(n), lambda r: F.struct(F.array_join(r, "" if glue else " ").alias("window"), n.cast("int").alias("size"), F.lit(glue).alias("joined")))
     sizes = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.least(F.size("tokens"), F.lit(longest)))).otherwise(F.array().cast("array<int>"))
-    windows = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.concat(cut(n, False), cut(n, True)))))
+    windows = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(n > 1, F.concat(cut(n, False), cut(n, True))).otherwise(cut(n, False)))))
     return views.select("query_id", F.explode(windows).alias("w")).select("query_id", "w.*")
 
 
@@ -142,21 +142,21 @@ def longest_phrase(phrases: DataFrame) -> int:
     return phrases.agg(F.max("hi").alias("n")).first()["n"] or 0
 
 
-def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def phrase_matches(views: DataFrame, spellings: DataFrame, keys: list[str], threshold: float, windows: DataFrame | None = None) -> DataFrame:
     """Best window similarity ≥ threshold of each dictionary entry in each text: (query_id, *keys, score).
 
-    An exact whole-word occurrence is a window with similarity 1.
+    An exact whole-word occurrence is a window with similarity 1. `windows`: the texts' windows, if they are there already.
     """
     phrases = spelled_phrases(spellings, keys)
-    seen = text_windows(views, longest_phrase(phrases))
-    fits = (F.col("glue") == F.col("joined")) & F.col("size").between(F.col("lo"), F.col("hi"))
+    seen = text_windows(views, longest_phrase(phrases)) if windows is None else windows
+    fits = ((F.col("glue") == F.col("joined")) | (F.col("size") == 1)) & F.col("size").between(F.col("lo"), F.col("hi"))
     known = phrases.select("known", "lo", "hi", "glue").distinct()
     pairs = similar_pairs(seen.select("window", "size", "joined").distinct(), known, threshold, "window", "known", condition=fits)
     found = pairs.join(phrases, ["known", "lo", "hi", "glue"]).groupBy("window", "size", "joined", *keys).agg(F.max("ratio").alias("ratio"))
     return seen.join(found, ["window", "size", "joined"]).groupBy("query_id", *keys).agg(F.max("ratio").alias("score"))
 
 
-def category_scores(views: DataFrame, categories: DataFrame) -> DataFrame:
+def category_scores(views: DataFrame, categories: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Similarity of every category key to each text, however low: (query_id, kind, key, score).
 
     Categories are a closed list (colours, sugars and the like) that goes along with the code; each distinct window is scored against all of it in place,
@@ -164,48 +164,67 @@ def category_scores(views: DataFrame, categories: DataFrame) -> DataFrame:
     """
     phrases = spelled_phrases(categories, ["kind", "key"])
     rows = [tuple(r) for r in phrases.select("kind", "key", "known", "lo", "hi", "glue").collect()]
-    seen = text_windows(views, max((r[4] for r in rows), default=0))
+    seen = text_windows(views, max((r[4] for r in rows), default=0)) if windows is None else windows
 
     def score(batches):
         for batch in batches:
             best: dict[tuple, pd.Series] = {}
             for kind, key, known, low, high, glue in rows:
-                part = batch[(batch["joined"] == glue) & batch["size"].between(low, high)]
+                part = batch[((batch["joined"] == glue) | (batch["size"] == 1)) & batch["size"].between(low, high)]
                 if len(part):
                     ratio = pd.Series(indel_ratios(part["window"], pd.Series(known, index=part.index)), index=part.index)
                     best[kind, key] = ratio if (kind, key) not in best else best[kind, key].combine(ratio, max, fill_value=0.0)
             for (kind, key), ratio in best.items():
                 yield batch.loc[ratio.index].assign(kind=kind, key=key, ratio=ratio)
 
-    windows = seen.select("window", "size", "joined").distinct()
-    best = windows.mapInPandas(score, "window string, size int, joined boolean, kind string, key string, ratio double")
+    best = seen.select("window", "size", "joined").distinct().mapInPandas(score, "window string, size int, joined boolean, kind string, key string, ratio double")
     return seen.join(best, ["window", "size", "joined"]).groupBy("query_id", "kind", "key").agg(F.max("ratio").alias("score"))
 
 
-def phrase_windows(variants: list[str], views: list[list[str]], runs: dict) -> list[tuple[str, str]] | None:
-    """Pairs (spelling, run of the text) whose best similarity is a phrase's window score; None if a spelling stands in the text as it is.
+def phrase_windows(variants: list[str], views: list[list[str]], runs: dict) -> list[tuple[str, list[str]]]:
+    """(spelling, runs of the text it is compared with): spaced runs of its length, and glued ones of up to its length if it has a space.
 
-    `runs` keeps the runs of this text by (length, glued), which all phrases share.
+    `runs` keeps the runs of this text by (length, separator), which all phrases share.
     """
 
-    def of(n: int, between: str) -> set[str]:
-        if (n, between) not in runs:
-            runs[n, between] = {between.join(v[i : i + n]) for v in views for i in range(len(v) - n + 1)}
-        return runs[n, between]
+    def of(sizes: tuple[int, ...], between: str) -> list[str]:
+        if (sizes, between) not in runs:
+            runs[sizes, between] = list({between.join(v[i : i + n]) for v in views for n in sizes for i in range(len(v) - n + 1)})
+        return runs[sizes, between]
 
     pairs = []
     for variant in variants:
         n = variant.count(" ") + 1
-        spaced = of(n, " ")
-        if variant in spaced:
-            return None
-        pairs += [(variant, w) for w in spaced]
+        pairs.append((variant, of((n,), " ")))
         if n > 1:
-            glued = variant.replace(" ", "")
-            pairs += [(glued, w) for size in range(1, n + 1) for w in of(size, "")]
+            pairs.append((variant.replace(" ", ""), of(tuple(range(1, n + 1)), "")))
     return pairs
 
 
+class Ratios(dict):
+    """Similarities by spelling and run: those of a batch that are not known yet are computed together."""
+
+    LIMIT = 500_000
+
+    def learn(self, wanted: list[tuple[str, list[str]]]) -> None:
+        if sum(map(len, self.values())) > self.LIMIT:
+            self.clear()
+        missing: dict[str, dict[str, None]] = {}
+        for known, runs in wanted:
+            held = self.setdefault(known, {})
+            fresh = [w for w in runs if w not in held]
+            if fresh:
+                missing.setdefault(known, {}).update(dict.fromkeys(fresh))
+        pairs = [(known, w) for known, runs in missing.items() for w in runs]
+        if pairs:
+            scores = indel_ratios(pd.Series([p[0] for p in pairs], dtype=object), pd.Series([p[1] for p in pairs], dtype=object)).tolist()
+            for (known, w), score in zip(pairs, scores, strict=True):
+                self[known][w] = score
+
+    def best(self, wanted: list[tuple[str, list[str]]]) -> float:
+        return max((max(map(self[known].__getitem__, runs)) for known, runs in wanted if runs), default=0.0)
+
+
 def window_scores(asked: DataFrame, spellings: DataFrame, views: DataFrame) -> DataFrame:
     """Best similarity of an entity's spellings with a run of the text of the same length: (query_id, kind, entity, window), 0 if none.
 
@@ -218,18 +237,17 @@ def window_scores(asked: DataFrame, spellings: DataFrame, views: DataFrame) -> D
     kind = asked.schema["query_id"].dataType.simpleString()
 
     def score(batches):
+        ratios = Ratios()
         for batch in batches:
-            found, lists = [], []
+            found, wanted = [], []
             for query, phrases_, views_ in batch[["query_id", "phrases", "views"]].itertuples(index=False):
                 runs: dict = {}
                 texts_ = [list(v) for v in views_]
                 for p in phrases_:
-                    lists.append(phrase_windows(list(p["variants"]), texts_, runs))
+                    wanted.append(phrase_windows(list(p["variants"]), texts_, runs))
                     found.append((query, p["kind"], p["entity"]))
-            pairs = sorted({pair for pairs_ in lists for pair in pairs_ or ()})
-            ratio = dict(zip(pairs, indel_ratios(pd.Series([p[0] for p in pairs], dtype=object), pd.Series([p[1] for p in pairs], dtype=object)), strict=True)) if pairs else {}
-            best = [1.0 if pairs_ is None else max((ratio[x] for x in pairs_), default=0.0) for pairs_ in lists]
-            yield pd.DataFrame(found, columns=["query_id", "kind", "entity"]).assign(window=best)
+            ratios.learn([x for pairs in wanted for x in pairs])
+            yield pd.DataFrame(found, columns=["query_id", "kind", "entity"]).assign(window=[ratios.best(pairs) for pairs in wanted])
 
     return phrases.join(texts, "query_id").mapInPandas(score, f"query_id {kind}, kind string, entity string, window double")
 
@@ -284,12 +302,16 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
 
     Lists per text are bounded by the text's own length, maps by the category dictionary.
     """
-    found = phrase_matches(views, dictionary.phrases.filter(F.col("kind").isin("producer", "grape")), ["kind", "entity"], DETECTION_THRESHOLD)
+    phrases = dictionary.phrases.filter(F.col("kind").isin("producer", "grape"))
+    words = phrases.select("spelling").unionByName(dictionary.categories.select("spelling")).select(F.explode(text_variants(F.col("spelling"))).alias("known"))
+    longest = words.agg(F.max(F.size(F.split("known", " "))).alias("n")).first()["n"] or 0
+    windows = materialize(text_windows(views, longest), "text-windows")
+    found = phrase_matches(views, phrases, ["kind", "entity"], DETECTION_THRESHOLD, windows)
     pick = lambda k, c: F.collect_set(F.when(F.col("kind") == k, c))
     lists = found.groupBy("query_id").agg(
         pick("producer", normalize_match_text(F.col("entity"))).alias("producers_found"), pick("grape", F.col("entity")).alias("grapes_found")
     )
-    scores = category_scores(views, dictionary.categories)
+    scores = category_scores(views, dictionary.categories, windows)
     entry = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "score"))))
     maps = scores.groupBy("query_id").agg(entry("color").alias("color_scores"), entry("sugar").alias("sugar_scores"))
     keys = dictionary.categories.groupBy().agg(
