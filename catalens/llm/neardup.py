@@ -1,16 +1,16 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Sets are the distinct word shingles of a text. Documents with equal sets are one class, so exact copies never meet as pairs. The classes go
-down TREES independent trees: a node picks two of the minwise hash functions, and each of its members follows the branch of its own minwise
-token. Two sets of similarity J share a child with probability 1 - (1 - J)**2, and the random choices of the trees are independent, so at 0.85 a tree of three
-levels loses a pair with probability 0.03 and four trees lose 1 in a million.
+down independent trees: the root of each picks two minwise hash functions of its own, a deeper node two by its hash, and each member follows the branch of its
+own minwise token. Two sets of similarity J share a child with probability 1 - (1 - J)**2. Most nodes are small after one level; `trees_for` takes as many
+trees as lose a pair that has to go down all LEVELS with probability LOSS at most (at 0.85: five; a pair of one level is lost once in 10**8 cases).
 
-- A node of at most LEAF members is compared exhaustively in one row: each member names its best partner by sketch.
-- A larger node compares every member with its smallest one, and branches on. What is still large after LEVELS levels is finished below.
-- Each document's best candidate is confirmed on the full sets; the links give first components. Then nodes that hold several components compare all
-  members of different components by sketch, large nodes in blocks: everything outside their main component with everything. Of pairs that agree enough, an
-  upper bound of the shared shingles from 16-bit marks leaves those that can be links; they are confirmed on the full sets too.
-  So a hot group of near copies costs a link per copy and not a link per pair, and no link between different components is left out.
+- A node of at most LEAF members is compared exhaustively in one row: a spanning forest of the best sketch agreements names its candidates.
+- A larger node does the same in blocks dealt by a hash of (node, id), so each tree mixes them anew, and branches on.
+- The candidates are confirmed on the full sets; the links give first components. Then nodes that hold several components compare all
+  members of different components by sketch; what is large after LEVELS levels does so in blocks: everything outside its main component with everything, first for the
+  best partners only. Of pairs that agree enough, an upper bound of the shared shingles from 16-bit marks leaves those that can be links; they are confirmed
+  on the full sets too. So a hot group of near copies costs a link per copy and not a link per pair, and no link between different components is left out.
 
 Components are minimum labels spread along links with pointer jumping; labels and links stay in tables.
 
@@ -20,6 +20,7 @@ rows are kept only if their component has no other id; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ from catalens.llm.common import materialize, mix, powers, raw_texts, release, sl
 WORDS = 5
 PERCENT = 80
 #: Minwise hash functions; the first CHOICES are open to branches, the lowest bytes of all make the sketch.
-HASHES, CHOICES = 128, 32
-TREES, LEVELS, LEAF = 4, 3, 32
+HASHES, CHOICES = 128, 64
+LEVELS, LEAF, LOSS = 3, 1024, 1e-5
 BLOCK = 1024
 PIECE_BYTES = 2 << 20
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -46,6 +47,12 @@ def least_agreement(percent: int) -> int:
     return int(HASHES * p - 4.75 * (HASHES * p * (1 - p)) ** 0.5)
 
 
+def trees_for(percent: int, loss: float = LOSS) -> int:
+    """Trees that lose a pair of this similarity, if it goes down all levels, with probability `loss` at most."""
+    kept = (1 - (1 - percent / 100) ** 2) ** LEVELS
+    return min(CHOICES // 2, max(1, math.ceil(math.log(loss) / math.log(1 - kept)))) if kept < 1 else 1
+
+
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles, by text and hash. A text of fewer than `size` words is one shingle."""
     _, hashed, bounds = word_hashes(texts, lower=True)
@@ -178,24 +185,39 @@ def pairs_inside(nodes: pa.ListArray, limit: int = 200_000) -> Iterator[tuple[np
             yield (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
 
 
-def best_partners(nodes: DataFrame, percent: int) -> DataFrame:
-    """(y, x, agreement): for each member of a small node (a row of arrays) the member that agrees with it most, if it agrees enough."""
+def spanning(m: Members, at: int, size: int, percent: int, enough: int) -> list[tuple[int, int]]:
+    """Places (x, y) of a spanning forest of the strongest agreements among members at..at+size (Prim's method, row by row)."""
+    best, partner = np.full(size, -1), np.zeros(size, np.int64)
+    left, out, now = np.arange(size), [], 0
+    while len(left) > 1:
+        left = left[left != now]
+        same = m.agreement(np.full(len(left), at + now), m, at + left, percent)
+        better = same > best[left]
+        best[left[better]], partner[left[better]] = same[better], now
+        now = left[np.argmax(best[left])]
+        if best[now] >= enough:
+            out.append((at + int(partner[now]), at + int(now)))
+    return out
+
+
+def best_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """(x, y): of each node (a row of arrays) a spanning forest of its members' best agreements, as far as they agree enough."""
     enough = least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = Members(batch.column(0).flatten())
-            best, partner = np.full(len(m.ids), -1), np.zeros(len(m.ids), np.int64)
-            for x, y in pairs_inside(batch.column(0)):
-                same = m.agreement(x, m, y, percent)
-                for a, b in ((x, y), (y, x)):
-                    order = np.lexsort((-m.ids[b], same, a))
-                    last = order[np.append(np.flatnonzero(np.diff(a[order])), len(order) - 1)] if len(order) else order
-                    best[a[last]], partner[a[last]] = np.where(same[last] > best[a[last]], same[last], best[a[last]]), np.where(same[last] > best[a[last]], b[last], partner[a[last]])
-            good = np.flatnonzero(best >= enough)
-            yield pa.RecordBatch.from_arrays([pa.array(m.ids[good]), pa.array(m.ids[partner[good]]), pa.array(best[good])], names=["y", "x", "agreement"])
+            bounds = batch.column(0).offsets.to_numpy() - batch.column(0).offsets[0].as_py()
+            sizes = np.diff(bounds)
+            pairs = bounds[:-1][sizes == 2]
+            pairs = pairs[m.agreement(pairs, m, pairs + 1, percent) >= enough]
+            found = [(int(x), int(x) + 1) for x in pairs]
+            for at, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+                found += spanning(m, int(at), int(size), percent, enough)
+            x, y = (m.ids[np.array([f[k] for f in found], dtype=np.int64)] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
-    return nodes.mapInArrow(compare, "y long, x long, agreement long")
+    return nodes.mapInArrow(compare, "x long, y long")
 
 
 def pairs_apart(nodes: DataFrame, percent: int) -> DataFrame:
@@ -209,14 +231,16 @@ def pairs_apart(nodes: DataFrame, percent: int) -> DataFrame:
                 other = m.labels[x] != m.labels[y]
                 x, y = x[other], y[other]
                 near = m.agreement(x, m, y, percent) >= enough
-                x, y = x[near], y[near]
-                near = np.zeros(len(x), bool)
-                for k in np.unique(y):
-                    near[y == k] = m.possible(x[y == k], m, int(k), percent)
-                a, b = m.ids[x[near]], m.ids[y[near]]
+                order = np.argsort(y[near], kind="stable")
+                x, y = x[near][order], y[near][order]
+                for part in np.split(np.arange(len(y)), np.flatnonzero(np.diff(y)) + 1):
+                    if not len(part):
+                        continue
+                    own = x[part][m.possible(x[part], m, int(y[part[0]]), percent)]
+                    a, b = m.ids[own], np.full(len(own), m.ids[y[part[0]]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
                 if len(m.bits) > BLOCK:
                     m.bits.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
     return nodes.mapInArrow(compare, "x long, y long")
 
@@ -240,16 +264,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     best = materialize(best, "candidates")
     ids = materialize(best.select(F.col("x").alias("id")).union(best.select("y")).union(large.select("id")).distinct(), "candidate-ids")
     sets = full_sets(docs, ids, id_col, text, words)
-    first = linked(best.groupBy("y").agg(F.max_by("x", F.struct("agreement", -F.col("x"))).alias("x")), sets, percent)
-    labels = components(ids.withColumn("label", F.col("id")), first)
+    labels = components(ids.withColumn("label", F.col("id")), linked(best, sets, percent))
     members = classes.select("id", "n", "sketch").join(sets.select(F.col("doc_id").alias("id"), "marks"), "id").dropDuplicates(["id"])
-    for best in (True, True, False):  # large nodes join each member's best partner first, so few pairs are left for the pass over all
+    for first in (False,) if large.isEmpty() else (True, False):  # large nodes join each member's best partner first, so few pairs are left for the pass over all
         known = materialize(members.join(labels, "id"), "members")
-        apart = large_apart(large, known, percent, best)
-        for nodes in () if best else small:
+        apart = large_apart(large, known, percent, first)
+        for nodes in () if first else small:
             several = nodes.join(labels, "id").groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("node")
             apart = apart.union(pairs_apart(gathered(nodes.join(several, "node").join(known, "id")), percent))
-        labels = components(labels, linked(apart.distinct(), sets, percent))
+        links = linked(apart.distinct(), sets, percent)
+        if not links.isEmpty():
+            labels = components(labels, links)
 
     of_class = classes.select("a", "b", F.col("n").alias("n_shingles"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
     out = signed.drop("minwise", "sketch").join(of_class, ["a", "b", "n_shingles"], "left").withColumn("component", F.coalesce("label", "doc_id"))
@@ -263,32 +288,30 @@ def gathered(members: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """(best partners (y, x, agreement), small nodes (node, id) of each level, nodes (node, id) that are still large at the last level)."""
-    members = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(TREES)])).alias("node"), "minwise")
-    light, enough = classes.select("id", "n", "sketch"), least_agreement(percent)
+    """(candidate pairs (x, y), small nodes (node, id) of each level, nodes (node, id) that are still large at the last level)."""
+    light = classes.select("id", "n", "sketch")
     unknown = {"label": F.lit(None).cast("long"), "marks": F.lit(None).cast("binary")}
+    child = lambda node, k: F.xxhash64(node, k, F.get("minwise", k))
+    roots = F.array(*[child(F.lit(t), F.lit(k)) for t in range(trees_for(percent)) for k in (2 * t, 2 * t + 1)])
+    rows = classes.select("id", F.explode(roots).alias("node"))
     found, small = [], []
-    for _ in range(LEVELS):
-        pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CHOICES)).cast("int")
-        other = F.pmod(pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(CHOICES - 1)).cast("int"), F.lit(CHOICES))
-        child = lambda k: F.xxhash64("node", k, F.get("minwise", k))
-        rows = members.select("id", F.explode(F.array(child(pick), child(other))).alias("node"))
-        sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).filter("size > 1")
+    for level in range(LEVELS):
+        if level:
+            pick = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CHOICES)).cast("int")
+            other = F.pmod(pick + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(CHOICES - 1)).cast("int"), F.lit(CHOICES))
+            rows = crowd.join(classes.select("id", "minwise"), "id").select("id", F.explode(F.array(child(F.col("node"), pick), child(F.col("node"), other))).alias("node"))
+        sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         nodes = materialize(rows.join(sized, "node"), "nodes")
         small.append(nodes.filter(F.col("size") <= LEAF).select("node", "id"))
-        found.append(best_partners(gathered(small[-1].join(light.withColumns(unknown), "id")), percent))
-        crowd = nodes.filter(F.col("size") > LEAF)
-        stars = crowd.filter("id <> least").select("id", "least").distinct().join(light, "id").join(light.toDF("least", "m", "other"), "least")
-        same = F.size(F.filter(F.sequence(F.lit(1), F.lit(HASHES)), lambda k: F.substring("sketch", k, F.lit(1)) == F.substring("other", k, F.lit(1)))).cast("long")
-        near = stars.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("id").alias("y"), F.col("least").alias("x"), same.alias("agreement"))
-        found.append(near.filter(F.col("agreement") >= enough))
+        block = F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / LEAF)))  # a small node is one block
+        found.append(best_links(gathered(nodes.select(block.alias("node"), "id").join(light.withColumns(unknown), "id")), percent))
+        crowd = nodes.filter(F.col("size") > LEAF).select("node", "id")
         if crowd.isEmpty():
             break
-        members = crowd.select("node", "id").join(classes.select("id", "minwise"), "id").select("id", "node", "minwise")
     best = found[0]
     for more in found[1:]:
         best = best.union(more)
-    return best.groupBy("y", "x").agg(F.max("agreement").alias("agreement")), small, crowd.select("node", "id")
+    return best.distinct(), small, crowd
 
 
 def large_apart(large: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
