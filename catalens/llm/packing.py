@@ -7,6 +7,7 @@
    Columns are priced by a knapsack dynamic program over the dual values. Rounding down leaves at most one sequence per length class open, which first-fit decreasing packs.
 4. Pieces are ranked within their length class by document; each pattern takes the next ranks of its classes. Ranking is a running total over
    range partitions, and a sequence, with a bounded number of pieces, gets its offsets in one small window.
+5. The pieces' ids meet by sequence, are put together, padded and written. What is told about pieces is read back from these sequences.
 
 Padding is what rounding to GRAIN and the open sequences leave. Defined results: null or empty text is the end token alone; rows with equal ids are
 packed one by one; an empty table gives an empty result; further columns are ignored.
@@ -14,6 +15,7 @@ packed one by one; an empty table gives an empty result; further columns are ign
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -32,11 +34,9 @@ SIZE = 2048
 GRAIN = 8
 END_ID = 1
 PIECE_BYTES = 1 << 20
-#: Parts of texts whose ids a task remembers.
-CACHE = 100_000
+#: Parts of texts whose ids a task remembers, twice: those met lately and those met before.
+CACHE = 250_000
 SPECIAL = "<|endoftext|>"
-#: More columns change the last digits of the bound only; the rounding below is exact for any number of them.
-MAX_COLUMNS = 2000
 
 
 def encoder(ranks_file: str, pattern: str, special_id: int = 50256) -> Callable[[str], list[int]]:
@@ -63,25 +63,25 @@ def chunks(text: str, beside: Callable[[str], object]) -> list[str]:
 
 
 def pieces(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(piece, doc_id, start, length, ids_crc32, doc_tokens, ids): stored. ids are 16-bit numbers; END_ID ends each document."""
+    """(piece, doc_id, start, length, doc_tokens, ids): stored. ids are 16-bit numbers; END_ID ends each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         encode, two, space = encoder(ranks_file, pattern), re.compile(r"\s\s").search, re.compile(r" \s|\s ").search
         beside = lambda t: two(t) and space(t)  # noqa: E731  the first is quick and mostly fails
-        task, n, known = TaskContext.get().partitionId(), 0, {}
+        task, n, known, older = TaskContext.get().partitionId(), 0, {}, {}
         for part in slices(batches, text, PIECE_BYTES):
             split = [chunks(t or "", beside) for t in part.column(1).to_pylist()]
             sizes = np.array([len(x) for x in split], dtype=np.int64)
             flat = np.empty(int(sizes.sum()), dtype=object)
             flat[:] = [c for x in split for c in x]
             codes, distinct = pd.factorize(flat)
-            if len(known) > CACHE:
-                known.clear()
+            if len(known) > CACHE:  # frequent parts come over from there again
+                known, older = {}, known
             for c in distinct:
                 if c not in known:
-                    known[c] = array("H", encode(c)).tobytes()
+                    known[c] = older[c] if c in older else array("H", encode(c)).tobytes()
             encoded = [known[c] for c in distinct]
             lengths = np.array([len(e) for e in encoded], dtype=np.int64) // 2
             vocabulary = np.frombuffer(b"".join(encoded), np.uint16)
@@ -94,12 +94,12 @@ def pieces(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, id_
                 whole = np.append(ids[a:b], np.uint16(END_ID))
                 for start in range(0, len(whole), size):
                     own = whole[start : start + size]
-                    rows.append(((task << 36) + n, doc, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(whole), own.astype("<u2").tobytes()))
+                    rows.append(((task << 36) + n, doc, start, len(own), len(whole), own.astype("<u2").tobytes()))
                     n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 6 + (pa.binary(),), strict=True)], names=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 5 + (pa.binary(),), strict=True)], names=["piece", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long"), F.col(text))
-    return materialize(narrow.mapInArrow(cut, "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"), "pieces")
+    return materialize(narrow.mapInArrow(cut, "piece long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
 
 
 def knapsack(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -133,7 +133,7 @@ class Pattern:
     times: int
 
 
-def patterns(histogram: dict[int, int], capacity: int, max_columns: int = MAX_COLUMNS) -> tuple[list[Pattern], float]:
+def patterns(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], float]:
     """Patterns that use up the histogram (length class → pieces) exactly, and the lower bound of the linear program.
 
     Gilmore-Gomory column generation with a revised simplex: the basis starts with one-class patterns; the entering column is the best
@@ -147,7 +147,7 @@ def patterns(histogram: dict[int, int], capacity: int, max_columns: int = MAX_CO
     basis = np.diag(capacity // weights).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(basis))
     amount = inverse @ demand
-    for step in range(max_columns):
+    for step in itertools.count():
         dual = inverse.sum(axis=0)
         value, column = knapsack(dual, weights, capacity)
         if value <= 1 + 1e-9:
@@ -210,7 +210,7 @@ class Plan:
 def place(cut: DataFrame, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
     """The pieces (without ids) with sequence_id and offset."""
     kind = F.ceil(F.col("length") / grain).cast("long")
-    classed = cut.select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", kind.alias("kind"))
+    classed = cut.select("piece", "doc_id", "start", "length", "doc_tokens", kind.alias("kind"))
     histogram = {int(r["kind"]): int(r["n"]) for r in classed.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size / grain rows
     found, _ = patterns(histogram, size // grain)
     plan = Plan(found)
@@ -224,18 +224,47 @@ def place(cut: DataFrame, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
             sequence = plan.sequence(kind, rank - before[np.searchsorted(kinds, kind)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence)], names=[*batch.schema.names, "sequence_id"])
 
-    columns = ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "rank"]
+    columns = ["piece", "doc_id", "start", "length", "doc_tokens", "kind", "rank"]
     assigned = ranked.select(*columns).mapInArrow(assign, ", ".join(f"{c} long" for c in columns) + ", sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.col("kind").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return assigned.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("kind", "rank")
 
 
+PARTS = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
+
+
 def sequences(placed: DataFrame, cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """The packed sequences: sequence_id, ids (16-bit numbers, padded with 0 unless the length is a power of two), n_tokens, doc_ids and starts of the pieces in order."""
-    parts = placed.select("piece", "sequence_id", "offset", "doc_id", "start").join(cut.select("piece", "ids"), "piece")
-    whole = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "ids"))).alias("p"))  # at most `size` pieces
-    ids = F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x["ids"]))
-    tokens = F.length("ids") / 2
-    padded = F.when(F.log2(tokens) == F.floor(F.log2(tokens)), F.col("ids")).otherwise(F.rpad("ids", 2 * size, F.lit(b"\0")))
-    out = whole.select("sequence_id", ids.alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("p", lambda x: x["start"]).alias("starts"))
-    return out.select("sequence_id", padded.alias("ids"), tokens.cast("long").alias("n_tokens"), "doc_ids", "starts")
+    """The packed sequences: sequence_id, ids (16-bit numbers, padded with 0 unless the length is a power of two), n_tokens, and the pieces in order
+    (doc_id, start, length, doc_tokens; their ids once more as doc_ids)."""
+    parts = placed.select("piece", "sequence_id", "offset", "doc_id", "start", "length", "doc_tokens").join(cut.select("piece", "ids"), "piece")
+    whole = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids"))).alias("p"))  # at most `size` pieces
+    joined = F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x["ids"]))
+    inside = F.transform("p", lambda x: F.struct(x["doc_id"], x["start"], x["length"], x["doc_tokens"])).cast(PARTS)
+    out = whole.select("sequence_id", joined.alias("ids"), inside.alias("pieces"))
+    tokens = (F.octet_length("ids") / 2).cast("long")
+    power = tokens.bitwiseAND(tokens - 1) == 0
+    return out.select("sequence_id", F.when(power, F.col("ids")).otherwise(F.rpad("ids", 2 * size, F.lit(b"\0"))).alias("ids"), tokens.alias("n_tokens"), "pieces", F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"))
+
+
+def pack(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE) -> DataFrame:
+    """The documents as packed sequences, see `sequences`."""
+    cut = pieces(docs, ranks_file, pattern, size)
+    return sequences(place(cut, size), cut, size)
+
+
+def contents(packed: DataFrame) -> DataFrame:
+    """What the sequences hold, piece by piece: doc_id, start, length, ids_crc32 (of 32-bit little-endian ids), doc_tokens, sequence_id, offset."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sequence, ids, inside in zip(*(batch.column(n).to_pylist() for n in ("sequence_id", "ids", "pieces")), strict=True):
+                tokens, at = np.frombuffer(ids, "<u2").astype("<u4"), 0
+                for p in inside:
+                    own = tokens[at : at + p["length"]]
+                    rows.append((p["doc_id"], p["start"], len(own), zlib.crc32(own.tobytes()), p["doc_tokens"], sequence, at))
+                    at += len(own)
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return packed.select("sequence_id", "ids", "pieces").mapInArrow(read, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -175,7 +175,10 @@ def test_packed_documents_come_back(documents, prose):
     whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     cut = packing.pieces(documents, RANKS, PATTERN, size=256)
     placed = packing.place(cut, size=256)
-    rows = placed.collect()
+    packed = packing.sequences(placed, cut, 256)
+    rows = packing.contents(packed).collect()
+    order = lambda df: sorted((str(tuple(r[c] for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"))) for r in df))
+    assert order(rows) == order(placed.collect())
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -196,13 +199,14 @@ def test_packed_documents_come_back(documents, prose):
         assert at <= 256
     assert len(by_doc[None]) >= 2 and sorted(by_sequence) == list(range(len(by_sequence)))
     lengths = {s: sum(r["length"] for r in own) for s, own in by_sequence.items()}
-    for r in packing.sequences(placed, cut, 256).collect():
+    for r in packed.collect():
         n = lengths[r["sequence_id"]]
         assert r["n_tokens"] == n and len(r["ids"]) == (2 * n if n & (n - 1) == 0 else 512) and len(r["doc_ids"]) == len(by_sequence[r["sequence_id"]])
 
 
 def test_packing_nothing(documents):
-    assert packing.place(packing.pieces(documents.filter("false"), RANKS, PATTERN)).collect() == []
+    packed = packing.pack(documents.filter("false"), RANKS, PATTERN)
+    assert packed.collect() == [] and packing.contents(packed).collect() == []
 
 
 def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
@@ -220,7 +224,7 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     stages, rows = {}, frame
     for name, stage in corpus_pipeline.STAGES:
         rows = materialize(stage(spark, rows, str(tmp_path)), "stage")
-        stages[name] = {r["doc_id"]: r for r in rows.collect()}
+        stages[name] = {i: r for r in rows.collect() for i in (r["doc_ids"] if name == "packing" else [r["doc_id"]])}
         assert name == "packing" or rows.columns == frame.columns
     ids = {name: set(kept) for name, kept in stages.items()}
     own = set(range(60))
@@ -230,8 +234,11 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     assert all(texts[i]["text"] == t for i, t in clean) and passage in texts[104]["text"] and len(texts[105]["text"]) < len(texts[104]["text"]) - 300
     assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
     assert corpus_pipeline.ORACLE_SQL is None and len(tables()) < 12  # earlier stages' tables are gone
-    total = sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
-    assert total == sum(r["length"] for r in rows.collect())
+    total = sum(r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert total == sum(r["n_tokens"] for r in rows.collect()) == sum(len(r["ids"]) // 2 - (2048 - r["n_tokens"]) * (len(r["ids"]) == 4096 and r["n_tokens"] < 2048) for r in rows.collect())
+    frame.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
 def test_registered_queries(spark):
