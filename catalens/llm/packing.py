@@ -17,12 +17,10 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,13 +31,13 @@ from catalens.llm.common import materialize, running_totals, slices
 SIZE = 2048
 GRAIN = 8
 END_ID = 1
+#: A piece that fills a sequence alone is the sequence of this number and the piece's.
+FULL = 1 << 61
 PIECE_BYTES = 1 << 20
-#: Parts of texts whose ids a task remembers, twice: those met lately and those met before.
-CACHE = 250_000
 SPECIAL = "<|endoftext|>"
 
 
-def encoder(ranks_file: str, pattern: str, special_id: int = 50256) -> Callable[[str], list[int]]:
+def encoder(ranks_file: str, pattern: str, special_id: int = 50256) -> Callable[[str], np.ndarray]:
     """Ids of a text under a byte-level BPE given as ranks. The special token's string counts as that token, as it does by
     default in a tokenizer read from the JSON file of the same vocabulary."""
     import base64
@@ -49,52 +47,21 @@ def encoder(ranks_file: str, pattern: str, special_id: int = 50256) -> Callable[
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     model = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
-    return lambda text: model.encode(text, allowed_special="all") if SPECIAL in text else model.encode_ordinary(text)
-
-
-def chunks(text: str, beside: Callable[[str], object]) -> list[str]:
-    """Parts of a text that a byte-level pattern tokenizes one by one: each begins at a single space between other characters.
-
-    beside: finds a space next to white space; such texts stay whole, as do those with NUL or the special token.
-    """
-    if "\0" in text or SPECIAL in text or beside(text):
-        return [text]
-    return text.replace(" ", "\0 ").split("\0")
+    return lambda text: model.encode_to_numpy(text, allowed_special="all" if SPECIAL in text else set(), disallowed_special=())
 
 
 def pieces(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(piece, doc_id, start, length, doc_tokens, ids): stored. ids are 16-bit numbers; END_ID ends each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        encode, two, space = encoder(ranks_file, pattern), re.compile(r"\s\s").search, re.compile(r" \s|\s ").search
-        beside = lambda t: two(t) and space(t)  # noqa: E731  the first is quick and mostly fails
-        task, n, known, older = TaskContext.get().partitionId(), 0, {}, {}
+        encode, task, n, end = encoder(ranks_file, pattern), TaskContext.get().partitionId(), 0, np.array([END_ID], "<u2").tobytes()
         for part in slices(batches, text, PIECE_BYTES):
-            split = [chunks(t or "", beside) for t in part.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in split], dtype=np.int64)
-            flat = np.empty(int(sizes.sum()), dtype=object)
-            flat[:] = [c for x in split for c in x]
-            codes, distinct = pd.factorize(flat)
-            if len(known) > CACHE:  # frequent parts come over from there again
-                known, older = {}, known
-            for c in distinct:
-                if c not in known:
-                    known[c] = older[c] if c in older else array("H", encode(c)).tobytes()
-            encoded = [known[c] for c in distinct]
-            lengths = np.array([len(e) for e in encoded], dtype=np.int64) // 2
-            vocabulary = np.frombuffer(b"".join(encoded), np.uint16)
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            times = lengths[codes]
-            ids = vocabulary[np.repeat(first[codes] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))]
-            bounds = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(sizes)])]
             rows = []
-            for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                whole = np.append(ids[a:b], np.uint16(END_ID))
-                for start in range(0, len(whole), size):
-                    own = whole[start : start + size]
-                    rows.append(((task << 36) + n, doc, start, len(own), len(whole), own.astype("<u2").tobytes()))
+            for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                whole = encode(t).astype("<u2").tobytes() + end if t else end
+                for at in range(0, len(whole), 2 * size):
+                    own = whole[at : at + 2 * size]
+                    rows.append(((task << 36) + n, doc, at // 2, len(own) // 2, len(whole) // 2, own))
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 5 + (pa.binary(),), strict=True)], names=["piece", "doc_id", "start", "length", "doc_tokens", "ids"])
 
@@ -208,9 +175,9 @@ class Plan:
 
 
 def place(cut: DataFrame, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
-    """The pieces (without ids) with sequence_id and offset."""
+    """The pieces (without ids) with sequence_id and offset. Full pieces are sequences as they are, the rest is packed."""
     kind = F.ceil(F.col("length") / grain).cast("long")
-    classed = cut.select("piece", "doc_id", "start", "length", "doc_tokens", kind.alias("kind"))
+    classed = cut.filter(F.col("length") < size).select("piece", "doc_id", "start", "length", "doc_tokens", kind.alias("kind"))
     histogram = {int(r["kind"]): int(r["n"]) for r in classed.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size / grain rows
     found, _ = patterns(histogram, size // grain)
     plan = Plan(found)
@@ -227,7 +194,9 @@ def place(cut: DataFrame, size: int = SIZE, grain: int = GRAIN) -> DataFrame:
     columns = ["piece", "doc_id", "start", "length", "doc_tokens", "kind", "rank"]
     assigned = ranked.select(*columns).mapInArrow(assign, ", ".join(f"{c} long" for c in columns) + ", sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.col("kind").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return assigned.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("kind", "rank")
+    packed = assigned.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("kind", "rank")
+    alone = cut.filter(F.col("length") == size).select("piece", "doc_id", "start", "length", "doc_tokens", (F.col("piece") + FULL).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
 
 
 PARTS = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
@@ -236,14 +205,18 @@ PARTS = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint
 def sequences(placed: DataFrame, cut: DataFrame, size: int = SIZE) -> DataFrame:
     """The packed sequences: sequence_id, ids (16-bit numbers, padded with 0 unless the length is a power of two), n_tokens, and the pieces in order
     (doc_id, start, length, doc_tokens; their ids once more as doc_ids)."""
-    parts = placed.select("piece", "sequence_id", "offset", "doc_id", "start", "length", "doc_tokens").join(cut.select("piece", "ids"), "piece")
+    short = cut.filter(F.col("length") < size).select("piece", "ids")  # ids of full pieces stay where they are
+    parts = placed.filter(F.col("length") < size).select("piece", "sequence_id", "offset", "doc_id", "start", "length", "doc_tokens").join(short, "piece")
     whole = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "doc_tokens", "ids"))).alias("p"))  # at most `size` pieces
     joined = F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x["ids"]))
     inside = F.transform("p", lambda x: F.struct(x["doc_id"], x["start"], x["length"], x["doc_tokens"])).cast(PARTS)
-    out = whole.select("sequence_id", joined.alias("ids"), inside.alias("pieces"))
+    one = F.array(F.struct("doc_id", "start", "length", "doc_tokens")).cast(PARTS)
+    alone = cut.filter(F.col("length") == size).select((F.col("piece") + FULL).alias("sequence_id"), "ids", one.alias("pieces"))
+    out = whole.select("sequence_id", joined.alias("ids"), inside.alias("pieces")).unionByName(alone)
     tokens = (F.octet_length("ids") / 2).cast("long")
     power = tokens.bitwiseAND(tokens - 1) == 0
-    return out.select("sequence_id", F.when(power, F.col("ids")).otherwise(F.rpad("ids", 2 * size, F.lit(b"\0"))).alias("ids"), tokens.alias("n_tokens"), "pieces", F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"))
+    out = out.withColumns({"n_tokens": tokens, "padded": F.when(power, F.col("ids")).otherwise(F.rpad("ids", 2 * size, F.lit(b"\0")))})
+    return out.select("sequence_id", F.col("padded").alias("ids"), "n_tokens", "pieces", F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"))
 
 
 def pack(docs: DataFrame, ranks_file: str, pattern: str, size: int = SIZE) -> DataFrame:

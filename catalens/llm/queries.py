@@ -137,7 +137,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
-    return packing.contents(materialize(packed, "sequences")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.contents(packed).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query("op3_minhash_near_dedup")
