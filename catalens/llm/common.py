@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Iterator
 
@@ -49,9 +50,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE_SPACE), "")
 
 
+def trim() -> None:
+    """Hand memory that this Python worker has freed back to the system, where the C library can; workers are kept from task to task."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def lean() -> None:
     """From now on this Python worker's Arrow memory goes back to the system when it is freed."""
     pa.set_memory_pool(pa.system_memory_pool())
+    trim()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -68,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, before = stop, int(ends[stop - 1])
+    trim()
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

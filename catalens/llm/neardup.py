@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import materialize, mix, powers, raw_texts, release, slices, starts_inside, tables, window_hashes, word_hashes
+from catalens.llm.common import lean, materialize, mix, powers, raw_texts, release, slices, starts_inside, tables, trim, window_hashes, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -205,6 +205,7 @@ def best_links(nodes: DataFrame, percent: int) -> DataFrame:
     enough = least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             m = Members(batch.column(0).flatten())
             bounds = batch.column(0).offsets.to_numpy() - batch.column(0).offsets[0].as_py()
@@ -216,6 +217,7 @@ def best_links(nodes: DataFrame, percent: int) -> DataFrame:
                 found += spanning(m, int(at), int(size), percent, enough)
             x, y = (m.ids[np.array([f[k] for f in found], dtype=np.int64)] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+        trim()
 
     return nodes.mapInArrow(compare, "x long, y long")
 
@@ -225,6 +227,7 @@ def pairs_apart(nodes: DataFrame, percent: int) -> DataFrame:
     enough = least_agreement(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             m = Members(batch.column(0).flatten())
             for x, y in pairs_inside(batch.column(0)):
@@ -241,6 +244,7 @@ def pairs_apart(nodes: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
                 if len(m.bits) > BLOCK:
                     m.bits.clear()
+        trim()
 
     return nodes.mapInArrow(compare, "x long, y long")
 
