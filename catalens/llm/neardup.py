@@ -3,7 +3,7 @@
 Sets are the distinct word shingles of a text. Documents with equal sets are one class, so exact copies never meet as pairs. The classes go
 down independent trees: the root of each picks two minwise hash functions of its own, a deeper node two by its hash, and each member follows the branch of its
 own minwise token. Two sets of similarity J share a child with probability 1 - (1 - J)**2. Most nodes are small after one level; `trees_for` takes as many
-trees as lose a pair that has to go down all LEVELS with probability LOSS at most (at 0.85: five; a pair of one level is lost once in 10**8 cases).
+trees as lose a pair that has to go down all LEVELS with probability LOSS at most (at 0.85: four; a pair of one level is lost once in four million cases).
 
 - A node of at most LEAF members is compared exhaustively in one row: a spanning forest of the best sketch agreements names its candidates.
 - A larger node does the same in blocks dealt by a hash of (node, id), so each tree mixes them anew, and branches on.
@@ -34,7 +34,7 @@ WORDS = 5
 PERCENT = 80
 #: Minwise hash functions; the first CHOICES are open to branches, the lowest bytes of all make the sketch.
 HASHES, CHOICES = 128, 64
-LEVELS, LEAF, LOSS = 3, 1024, 1e-5
+LEVELS, LEAF, LOSS = 2, 1024, 1e-5
 BLOCK = 1024
 PIECE_BYTES = 2 << 20
 BROADCAST_IDS = 500_000
