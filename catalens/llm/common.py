@@ -148,7 +148,8 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """The input with columns of these names renamed, and the columns that give it back."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in names}
+    taken = {c.lower() for c in names}
+    clash = {c: f"_own_{c}" for c in docs.columns if c.lower() in taken}
     return docs.withColumnsRenamed(clash), [F.col(clash.get(c, c)).alias(c) for c in docs.columns]
 
 

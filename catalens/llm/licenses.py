@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalens.llm.common import aside
+
 #: What separates words: ASCII without digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -191,9 +193,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with n_words, base (places of the base phrases: label, start, stop) and detections (label, start, stop, weight) left after
     suppression, in order of their places."""
     rules = signatures()
-    kept = [F.col(c) for c in docs.columns if c not in ("n_words", "base", "detections")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(*kept, F.array_remove(F.split(body, SEPARATORS), "").alias("_words"))
+    safe, back = aside(docs, ("_words", "_line"))
+    stay = [k for k, c in enumerate(docs.columns) if c not in ("n_words", "base", "detections")]
+    kept = [F.col(safe.columns[k]) for k in stay]
+    body = F.coalesce(F.col(safe.columns[docs.columns.index(text)]), F.lit(""))
+    split = safe.select(*kept, F.array_remove(F.split(body, SEPARATORS), "").alias("_words"))
     # lower() changes more letters than A-Z, which only opens the gate more often.
     line = F.when(F.lower(F.array_join("_words", " ")).rlike(gate(rules)), F.concat(F.lit(" "), F.translate(F.array_join("_words", " "), UPPER, LOWER), F.lit(" ")))
     lined = split.select(*kept, F.size("_words").cast("long").alias("n_words"), line.alias("_line"))
@@ -221,7 +225,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     gated = lambda value, kind: F.when(F.col("_line").isNotNull(), value).otherwise(F.array().cast(kind))
     return lined.select(
-        *kept,
+        *[back[k] for k in stay],
         "n_words",
         gated(base, "array<struct<label:string,start:bigint,stop:bigint>>").alias("base"),
         gated(F.aggregate(found, none, keep, lambda acc: acc["kept"]), "array<struct<label:string,start:bigint,stop:bigint,weight:double>>").alias("detections"),

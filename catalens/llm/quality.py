@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.llm.common import WHITE_SPACE, materialize, words
+from catalens.llm.common import aside, WHITE_SPACE, materialize, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -62,10 +62,12 @@ def doubled(hashes: str, step: int) -> Column:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with the counts that the rules look at. One pass, no shuffle."""
-    kept = [F.col(c) for c in docs.columns if c not in (*COUNTS, *EXTRA)]
-    body = F.coalesce(F.col(text), F.lit(""))
+    safe, back = aside(docs, ("_text", "_words", "_lines", "_runs", "_windows"))
+    stay = [k for k, c in enumerate(docs.columns) if c not in (*COUNTS, *EXTRA)]
+    kept = [F.col(safe.columns[k]) for k in stay]
+    body = F.coalesce(F.col(safe.columns[docs.columns.index(text)]), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select(*kept, body.alias("_text"), words(body).alias("_words"), lines.alias("_lines"))
+    split = safe.select(*kept, body.alias("_text"), words(body).alias("_words"), lines.alias("_lines"))
     split = split.withColumn("_runs", F.transform("_words", lambda w: F.xxhash64(w)))
     for step in (1, 2, 4):  # to the 8 words of a window
         split = split.withColumn("_runs", doubled("_runs", step))
@@ -86,7 +88,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_shouts": count("!"),
         "n_stops": count("."),
     }
-    return split.select(*kept, *[value.cast("long").alias(name) for name, value in facts.items()])
+    return split.select(*[back[k] for k in stay], *[value.cast("long").alias(name) for name, value in facts.items()])
 
 
 def base_failed() -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.common import materialize
+from catalens.llm.common import aside, materialize
 from catalens.session import scratch_path
 
 BUCKET_BYTES = 24 << 20
@@ -63,7 +63,10 @@ def dealt(keyed: DataFrame, size: Column, bucket_bytes: int) -> DataFrame:
 def write_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
     """Writes the documents, with shard, bucket and slot, as Parquet partitioned by shard, and returns what was written."""
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "bucket", "slot", "_tie")])
+    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "bucket", "slot")])
+    names = docs.columns
+    docs, back = aside(docs, ("_tie", "_rows", "_size", "_per", "_chunk", "_one", "_shard", "_bucket"))
+    id_col, text = docs.columns[names.index(id_col)], docs.columns[names.index(text)]
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     keyed = docs.withColumns({"shard": shard_of(F.col(id_col), F.col(text), shards, seed), "_tie": F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col(text))})
     held = {r["shard"]: r["n"] for r in keyed.groupBy("shard").agg(F.sum(size.cast("long")).alias("n")).collect()}  # one number per shard
@@ -81,7 +84,7 @@ def write_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text:
         return mixed.drop_columns("_tie").append_column("slot", pa.array(np.arange(rows.num_rows) + first))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields if f.name != "_tie")
-    mixed = keyed.groupBy("shard", "bucket").cogroup(starts.groupBy("_shard", "_bucket")).applyInArrow(shuffle, f"{columns}, slot long")
+    mixed = keyed.groupBy("shard", "bucket").cogroup(starts.groupBy("_shard", "_bucket")).applyInArrow(shuffle, f"{columns}, slot long").select(*back, "shard", "bucket", "slot")
     path = path or scratch_path(spark, "shards")
     mixed.write.partitionBy("shard").parquet(path)
     return spark.read.schema(mixed.schema).parquet(path)
