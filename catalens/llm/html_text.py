@@ -20,6 +20,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,22 +33,35 @@ from catalens.llm.common import materialize
 BROADCAST_HOSTS = 200_000
 #: Elements whose content is no page text.
 RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|select|option|button|xmp"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
+#: Quotes count after an equals sign only. Every pattern takes what it has read, so a page is scanned once.
+QUOTED = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+>"
+PLAIN = r"[^<>]*+(?:>|(?=<)|\Z)"
+
+
+def scanner(rest: str, last: str) -> re.Pattern[str]:
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b{rest}.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({rest})|<[!?/](?![a-zA-Z])[^>]*+(?:>|\Z){last}", re.S | re.I
+    )
+
+
+#: Up to the first tag that has no end outside its quotes, and from there on, where quotes don't count.
+SCANNERS = scanner(QUOTED, "|(<)(?=/?[a-zA-Z])"), scanner(PLAIN, "")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CONTAINERS = frozenset("html body main article section div header footer nav aside form ul ol dl table tbody thead tfoot tr td th figure blockquote details fieldset menu dialog center hgroup search".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary legend".split())
 DROPPED = frozenset("nav header footer aside form menu dialog search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 NEVER_DROPPED = frozenset("html body main article".split())
+#: Tags whose start ends open ones inside the same table, and the tags of which it ends the outermost there.
+IMPLIED = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), **dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id tokens: content that may be longer than the article, and parts of the layout.
 ASIDES = frozenset(
     "ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe signup popup modal overlay related recommended "
     "recommendations share sharing social comment comments commentlist disqus reply replies respond".split()
 )
+#: Words that may stand beside one of ASIDES without changing what the container is.
+BESIDE = frozenset("area bar block body box card container content entry feed form grid holder inner item items left link links list main message meta outer page panel post posts right row section slot thread unit user wrap wrapper".split())
 LAYOUT = frozenset("banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer header masthead toolbar pagination pager skip login search".split())
 #: A token with one of these says how a container looks, not what it is: has-sidebar, comments-open, header-fixed.
 MODIFIERS = frozenset("has no not with without is open opened closed fixed sticky enabled disabled active on off visible".split())
@@ -58,14 +72,14 @@ DIGITS = re.compile(r"\d+")
 
 @lru_cache(maxsize=1 << 16)
 def boilerplate(names: str) -> str:
-    """What the tokens of class and id call a container: "aside" or "layout" for sure, "mixed" for a layout word among other words, or nothing."""
+    """What the tokens of class and id call a container: "aside" or "layout" for sure, "mixed" for such a word among words that say something else, or nothing."""
     said = set()
     for token in names.lower().split():
         words = [w.rstrip("0123456789") for w in WORD_ENDS.split(token) if w]
         if MODIFIERS.isdisjoint(words):
             known = [w for k, w in enumerate(words) if w in ASIDES or w in LAYOUT and (k == 0 or w not in ("widget", "widgets"))]
             if any(w in ASIDES for w in known):
-                said.add("aside")
+                said.add("aside" if all(w in ASIDES or w in LAYOUT or w in BESIDE or not w for w in words) else "mixed")
             elif known:
                 said.add("layout" if len(known) == len(words) else "mixed")
     return min(said, default="")
@@ -89,125 +103,211 @@ def fallen(parents: list[int], tags: list[str], names: list[str], own: list[int]
     return gone
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, text, characters of link text) for each block that isn't boilerplate, in page order."""
+def tokens(page: str) -> Iterator[re.Match[str]]:
+    at, pattern = 0, SCANNERS[0]
+    while found := pattern.search(page, at):
+        if pattern is SCANNERS[0] and found[5]:
+            at, pattern = found.start(), SCANNERS[1]
+        else:
+            yield found
+            at = found.end()
+
+
+@dataclass
+class Tree:
+    """The paths of a page (numbers, parents first; 0 is no container) and its blocks in page order: path, text, characters of link text."""
+
+    parents: list[int]
+    steps: list[str]
+    blocks: list[tuple[int, str, int]]
+
+    def __post_init__(self) -> None:
+        n = len(self.parents)
+        self.gain, self.size, self.links, self.first = [0.0] * n, [0] * n, [0] * n, [len(self.blocks)] * n
+        for k, (at, text, links) in enumerate(self.blocks):
+            self.gain[at] += max(len(text) - 2 * links, 0)
+            self.size[at] += len(text)
+            self.links[at] += links
+            self.first[at] = min(self.first[at], k)
+        for k in range(n - 1, 0, -1):
+            if up := self.parents[k]:
+                self.gain[up] += self.gain[k] / 2
+                self.size[up] += self.size[k]
+                self.links[up] += self.links[k]
+                self.first[up] = min(self.first[up], self.first[k])
+
+    def tag(self, at: int) -> str:
+        return self.steps[at].partition(".")[0]
+
+    def path(self, at: int) -> str:
+        steps = []
+        while at:
+            steps.append(self.steps[at])
+            at = self.parents[at]
+        return ">".join(reversed(steps))
+
+    def find(self, path: str) -> int | None:
+        """The number of a path that holds text."""
+        known = {(up, step): k for k, (up, step) in enumerate(zip(self.parents, self.steps, strict=True)) if k}
+        at: int | None = 0
+        for step in path.split(">") if path else []:
+            at = known.get((at, step))
+            if at is None:
+                return None
+        return at if self.size[at] else None
+
+    def texts(self, top: int) -> list[str]:
+        under = [False] * len(self.parents)
+        under[top] = True
+        for k in range(top + 1, len(under)):
+            under[k] = bool(top) and under[self.parents[k]]
+        return [text for at, text, _ in self.blocks if under[at]]
+
+    def climbed(self, at: int, to_body: bool) -> int:
+        """The path, or its furthest ancestor up to main on the way to which each step adds text of which at most half is link text. The body
+        counts if it adds a tenth to anything but an article, or holds text of its own before that of the path."""
+        top = up = at
+        while self.parents[up] and self.tag(up) != "main":
+            up = self.parents[up]
+            size = self.size[up] - self.size[top]
+            if self.tag(up) in ("html", "body"):
+                title = any(own == up and not links for own, _, links in self.blocks[: self.first[top]])
+                article = self.tag(top) in ("article", "main")
+                if not to_body or not (title or not article and 10 * size >= self.size[top]):
+                    break
+            if size and 2 * (self.links[up] - self.links[top]) > size:
+                break
+            if size:
+                top = up
+        return top
+
+    def before(self, ties: list[int]) -> int:
+        """Of several paths the one that is smaller step by step. They come down from the root together, each visited once."""
+        lines: dict[int, list[int]] = defaultdict(list)
+        wanted = set(ties)
+        on_way = set()
+        for k in ties:
+            while k and k not in on_way:
+                on_way.add(k)
+                lines[self.parents[k]].append(k)
+                k = self.parents[k]
+        at = 0
+        while at not in wanted:
+            at = min(lines[at], key=lambda k: self.steps[k])
+        return at
+
+    def best(self) -> tuple[int, float] | None:
+        """Number and score of the container that holds the main text; None without text."""
+        if not self.blocks:
+            return None
+        weigh = lambda k: 1.6 if self.tag(k) in ("article", "main") else 1.25 if ARTICLE.search(self.steps[k]) else 1.0
+        scores = {k: self.gain[k] * weigh(k) for k in range(len(self.steps)) if self.size[k]}
+        most = max(scores.values())
+        at = self.before([k for k, score in scores.items() if score == most])
+        return self.climbed(at, True), most
+
+
+def tree(page: str) -> Tree:
+    """Containers and blocks of a page without boilerplate. Cells, rows and parts of a table end where the next one begins."""
     out: list[tuple[int, str, int]] = []  # number of the container, text, link text
-    parents, paths, tags, names, own = [0], [""], [""], [""], [0]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, dropped
+    parents, path_of, tags, names, own = [0], [0], [""], [""], [0]
+    known: dict[tuple[int, str], int] = {}
+    path_parents, steps = [0], [""]
+    stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, number, "gone" or "headings" (all else is gone)
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
+    leaf = ""
     at = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not stack[-1][2]:
+            _, k, state = stack[-1]
+            if text and (not state or state == "headings" and leaf in HEADINGS):
                 links = len(" ".join(html.unescape("".join(linked)).split()))
-                out.append((stack[-1][1], text, links))
-                own[stack[-1][1]] += max(len(text) - links, 0)
+                out.append((k, text, links))
+                own[k] += max(len(text) - links, 0)
             parts.clear()
             linked.clear()
 
-    for token in TOKEN.finditer(page):
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            opened[stack.pop()[0]].pop()
+
+    for token in tokens(page):
         if token.start() > at:
             parts.append(page[at : token.start()])
             if in_link:
                 linked.append(parts[-1])
         at = token.end()
-        tag = (token[3] or token[6] or "").lower()
+        tag = (token[3] or "").lower()
         if not tag:
             continue
-        closing = bool(token[2] or token[5])
+        closing = bool(token[2])
         if tag == "a":
             in_link = not closing
         elif tag == "br":
             parts.append(" ")
         elif tag in LEAVES:
             flush()
+            leaf = "" if closing else tag
         elif tag in CONTAINERS:
             flush()
+            leaf = ""
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    cut(opened[tag][-1])
                 in_link = False
-            else:
-                found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[4] or token[7] or "")}
-                gone = stack[-1][2] or tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-                gone = gone or (tag not in NEVER_DROPPED and found.get("role", "").lower() in DROPPED_ROLES)
-                step = ".".join([tag, *sorted(DIGITS.sub("#", c.lower()) for c in found.get("class", "").split())])
-                up = stack[-1][1]
-                stack.append((tag, len(parents), gone))
-                parents.append(up)
-                paths.append(f"{paths[up]}>{step}" if paths[up] else step)
-                tags.append("" if gone else tag)
-                names.append(boilerplate(" ".join(filter(None, (found.get("class"), found.get("id"))))))
-                own.append(0)
+                continue
+            table = opened["table"][-1] if opened["table"] else 0
+            if ends := [k for t in IMPLIED.get(tag, ()) for k in opened[t][-1:] if k > table]:
+                cut(min(ends))
+            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token[4])}
+            state, named = stack[-1][2], boilerplate(" ".join(filter(None, (found.get("class"), found.get("id")))))
+            dropped = tag in DROPPED
+            if tag == "header" and (opened["article"] or opened["main"]):
+                dropped, state, named = False, state or "headings", ""
+            if dropped or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or (tag not in NEVER_DROPPED and found.get("role", "").lower() in DROPPED_ROLES):
+                state = "gone"
+            step = ".".join([tag, *sorted(DIGITS.sub("#", c.lower()).replace(">", "#") for c in found.get("class", "").split())])
+            up = stack[-1][1]
+            key = (path_of[up], step)
+            if key not in known:
+                known[key] = len(steps)
+                path_parents.append(key[0])
+                steps.append(step)
+            opened[tag].append(len(stack))
+            stack.append((tag, len(parents), state))
+            parents.append(up)
+            path_of.append(known[key])
+            tags.append("" if state else tag)
+            names.append(named)
+            own.append(0)
     if at < len(page):
         parts.append(page[at:])
     flush()
     away = fallen(parents, tags, names, own) if any(names) else None
-    return [(paths[k], text, links) for k, text, links in out if not (away and away[k])]
-
-
-def inside(own: str, path: str) -> bool:
-    return own == path or own.startswith(f"{path}>") or not path
-
-
-def climbed(found: list[tuple[str, str, int]], path: str, to_body: bool) -> str:
-    """The path, or its furthest ancestor up to main on the way to which each step adds text of which at most half is link text. The body
-    counts if it adds a tenth to anything but an article, or holds text of its own before that of the path."""
-    top = up = path
-    while ">" in up and up.rpartition(">")[2].partition(".")[0] != "main":
-        up = up.rpartition(">")[0]
-        added = [b for b in found if inside(b[0], up) and not inside(b[0], top)]
-        size = sum(len(text) for _, text, _ in added)
-        if up.rpartition(">")[2].partition(".")[0] in ("html", "body"):
-            held = sum(len(text) for own, text, _ in found if inside(own, top))
-            first = next((k for k, b in enumerate(found) if inside(b[0], top)), 0)
-            title = any(own == up and not links for own, _, links in found[:first])
-            article = top.rpartition(">")[2].partition(".")[0] in ("article", "main")
-            if not to_body or not (title or not article and 10 * size >= held):
-                break
-        if size and 2 * sum(links for _, _, links in added) > size:
-            break
-        if size:
-            top = up
-    return top
-
-
-def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
-    """Path and score of the container that holds the main text; None without text."""
-    scores: dict[str, float] = defaultdict(float)
-    for path, text, links in found:
-        gain = float(max(len(text) - 2 * links, 0))
-        scores[path] += gain
-        while ">" in path:
-            path, gain = path.rpartition(">")[0], gain / 2
-            scores[path] += gain
-    for path in scores:
-        last = path.rpartition(">")[2]
-        scores[path] *= 1.6 if last.partition(".")[0] in ("article", "main") else 1.25 if ARTICLE.search(last) else 1.0
-    if not scores:
-        return None
-    path = min(scores, key=lambda p: (-scores[p], p))
-    top = climbed(found, path, True)
-    return top, scores[path]
+    return Tree(path_parents, steps, [(path_of[k], text, links) for k, text, links in out if not (away and away[k])])
+
+
+def vote(page: str) -> tuple[str | None, float | None]:
+    """Path and score of the page's own best container."""
+    found = tree(page)
+    best = found.best()
+    return (found.path(best[0]), best[1]) if best else (None, None)
 
 
 def main_text(page: str, path: str | None) -> tuple[str, str | None]:
     """(blocks under the path, or else under the page's own best container, joined by line feeds; the path used)."""
-    found = blocks(page)
-    under = lambda p: [text for own, text, _ in found if own == p or own.startswith(f"{p}>")]
-    texts = under(path) if path is not None else []
-    if texts and (top := climbed(found, path, False)) != path:
-        path, texts = top, under(top)
-    if not texts and (best := best_container(found)):
-        path = best[0]
-        texts = under(path)
-    return "\n".join(texts), path if texts else None
+    found = tree(page)
+    top = found.find(path) if path is not None else None
+    if top is not None:
+        top = found.climbed(top, False)
+    elif best := found.best():
+        top = best[0]
+    return ("\n".join(found.texts(top)), found.path(top)) if top is not None else ("", None)
 
 
 def host_of(url: Column) -> Column:
@@ -218,12 +318,12 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, path, votes): the winning path of each host, stored."""
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [best_container(blocks(text)) if text else None for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v and v[0] for v in votes], pa.string()), pa.array([v and v[1] for v in votes], pa.float64())], names=["host", "path", "score"])
+            votes = [vote(text or "") for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())], names=["host", "path", "score"])
 
-    votes = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).filter("host is not null").mapInArrow(vote, "host string, path string, score double").filter("path is not null")
+    votes = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).filter("host is not null").mapInArrow(votes_of, "host string, path string, score double").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
     winner = F.min_by(F.struct("path", "votes"), F.struct((-F.col("votes")).alias("v"), (-F.round("score")).alias("s"), "path"))
     return materialize(counted.groupBy("host").agg(winner.alias("w")).select("host", "w.path", "w.votes"), "host-paths")

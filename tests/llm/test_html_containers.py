@@ -1,5 +1,7 @@
 """Which containers of a page fall away."""
 
+import time
+
 import pytest
 from catalens.llm import html_text
 
@@ -57,3 +59,34 @@ def test_link_lists_are_not_climbed_to():
 def test_a_host_path_is_climbed_from_on_each_page():
     page = f'<html><body><div class="x"><h1>Title</h1><div class="content"><p>{TEXT}</p></div></div><div class="y"><p>{TEXT * 2}</p></div></body></html>'
     assert html_text.main_text(page, "html>body>div.x>div.content") == ("Title\n" + TEXT.strip(), "html>body>div.x")
+
+
+@pytest.mark.parametrize("body", ['<section class="related-work">%s</section>', '<div class="comment-free">%s</div>', '<div id="cookies-recipe">%s</div>', '<main><div class="notice-text">%s</div></main>', '<main><div class="article-social-policy">%s</div></main>'])
+def test_a_word_of_an_aside_among_others_does_not_drop_the_article(body):
+    assert text_of("<nav>menu</nav>" + body % f"<p>{TEXT}</p>" + '<div class="comments"><p>short</p></div>') == TEXT.strip()
+
+
+def test_headings_of_an_article_header_are_kept():
+    assert text_of(f"<header><h1>Site</h1></header><article><header><nav>menu</nav><h1>Title</h1><p>by me</p></header><p>{TEXT}</p></article>") == "Title\n" + TEXT.strip()
+
+
+def test_cells_without_end_tags_lie_side_by_side():
+    found = html_text.tree("<table><tr><td>a<td><div>b<tr><th>c<td><table><tr><td>d<td>e</table>f</table><p>g")
+    assert [(found.path(at), text) for at, text, _ in found.blocks] == [("table>tr>td", "a"), ("table>tr>td>div", "b"), ("table>tr>th", "c"), ("table>tr>td>table>tr>td", "d"), ("table>tr>td>table>tr>td", "e"), ("table>tr>td", "f"), ("", "g")]
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    assert text_of(f"""<p title=it's>{TEXT}</p><p title="a > b" class='x>y'>more</p>""") == TEXT.strip() + "\nmore"
+    assert text_of(f"""<p>{TEXT}<a title="open>b</a> c""") == TEXT.strip() + " b c"
+
+
+def test_equal_scores_go_to_the_path_that_is_smaller_step_by_step():
+    links = "<a>some link</a>"
+    assert html_text.vote(f"<div class=b>{links}</div><div class=a>{links}</div>")[0] == "div.a"
+
+
+@pytest.mark.parametrize("page", ["<table>" + "<tr><td>x" * 33_000, "<div><p>t" * 30_000, "<div><a>x</a>" * 20_000, "<script '" * 33_000, '<a b="' * 50_000, "<a" * 150_000, "<!" * 150_000, "</1" * 100_000, "<style>" * 40_000, "<a " + "= " * 150_000])
+def test_work_grows_with_the_page(page):
+    began = time.process_time()
+    html_text.main_text(page, None)
+    assert time.process_time() - began < 5
