@@ -90,7 +90,7 @@ def squeeze_words(text: Column, keep: str) -> Column:
 
 
 def normalize_match_text(text: Column) -> Column:
-    """Comparable form of a label text. NULL becomes ''. Inputs are expected in NFKC, see `with_match_text`."""
+    """Comparable form of a label text. NULL becomes ''. Inputs are expected in NFKC; `match_text` brings them there."""
     text = F.lower(F.coalesce(text, F.lit("")))
     text = _replace_all(text, [(k, v) for k, v in LATIN_LIGATURES.items() if len(v) > 1])
     single = {k: v for k, v in LATIN_LIGATURES.items() if len(v) == 1}
@@ -99,12 +99,15 @@ def normalize_match_text(text: Column) -> Column:
     return squeeze_words(text, "0-9a-zа-я")
 
 
-def with_match_text(df: DataFrame, text: str, out: str) -> DataFrame:
-    """`normalize_match_text` including NFKC; only rows that need it visit the Arrow UDF."""
-    flagged = df.withColumn("_nfkc", needs_nfkc(F.coalesce(F.col(text), F.lit(""))))
-    plain = flagged.filter(~F.col("_nfkc")).withColumn(out, normalize_match_text(F.col(text)))
-    folded = flagged.filter(F.col("_nfkc")).withColumn(out, normalize_match_text(nfkc(F.col(text))))
-    return plain.unionByName(folded).drop("_nfkc")
+def folded(text: Column, flag: Column | None = None) -> Column:
+    """NFKC form of a text. Only texts that need it (`flag`) travel to the Arrow UDF, the others go as NULL."""
+    flag = needs_nfkc(text) if flag is None else flag
+    return F.coalesce(nfkc(F.when(flag, text)), text)
+
+
+def match_text(text: Column) -> Column:
+    """`normalize_match_text` including NFKC. Holds a UDF, so it can't stand inside a lambda or an aggregate."""
+    return normalize_match_text(folded(text))
 
 
 def ru_to_lat(text: Column) -> Column:
@@ -117,10 +120,9 @@ def lat_to_ru(text: Column) -> Column:
 
 
 def text_variants(text: Column) -> Column:
-    """Distinct normalised spellings: as is, Cyrillic→Latin, Latin→Cyrillic (of the raw text)."""
-    variants = F.array(
-        normalize_match_text(text), normalize_match_text(ru_to_lat(text)), normalize_match_text(lat_to_ru(text))
-    )
+    """Distinct normalised spellings: as is, Cyrillic→Latin, Latin→Cyrillic (of the raw text, NFKC after that)."""
+    flag = needs_nfkc(text)
+    variants = F.array(*[normalize_match_text(folded(spelling, flag)) for spelling in (text, ru_to_lat(text), lat_to_ru(text))])
     return F.array_distinct(F.filter(variants, lambda v: v != ""))
 
 

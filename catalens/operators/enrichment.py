@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from catalens.functions.text import blank_to_null, collapse_spaces, normalize_match_text, ru_to_lat
+from catalens.functions.text import blank_to_null, collapse_spaces, match_text, ru_to_lat
 from catalens.functions.values import CATALOG_ALCOHOL, TEMPERATURE, format_percent_range, format_temperature, plausible, uuid5
 from catalens.operators.aggregates import first_per_key, one
+from catalens.operators.dictionary import phrase_places
 from catalens.session import spread
 
 # --- fixed values ----------------------------------------------------------------------------------
@@ -93,23 +94,6 @@ def fill_missing_links(items: DataFrame, links: DataFrame, offered: DataFrame, i
 
 
 # --- phrase tagging ---------------------------------------------------------------------------------
-def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, toks: str = "tokens") -> DataFrame:
-    """Every whole-token occurrence of a phrase: (key, phrase_id, start, end).
-
-    Each phrase is looked up by its rarest token, so frequent words do not become crowded join keys;
-    the few candidates are then compared token by token. `phrases`: (phrase_id, phrase array<string>).
-    """
-    words = texts.select(F.col(key), F.posexplode(toks).alias("pos", "token"))
-    freq = words.groupBy("token").agg(one("df"))
-    spread = phrases.select("phrase_id", "phrase", F.posexplode("phrase").alias("offset", "token"))
-    rated = spread.join(freq, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchors = first_per_key(rated, ["phrase_id"], ["df", "offset"]).select("phrase_id", "phrase", "offset", "token")
-    near = words.join(anchors, "token").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    checked = near.select(key, "phrase_id", "phrase", "start").join(texts.select(key, F.col(toks).alias("_toks")), key)
-    same = F.slice("_toks", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
-    return checked.filter(same).select(key, "phrase_id", "start", (F.col("start") + F.size("phrase")).alias("end"))
-
-
 def pick_spans(hits: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """Longest phrases first; per entity its first span that overlaps nothing chosen. (key, entity, phrase_id, start, end).
 
@@ -130,14 +114,17 @@ def pick_spans(hits: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
 
 
 def tag_phrases(texts: DataFrame, dictionary: DataFrame, key: str, text: str, links: DataFrame | None = None, excluded: list[str] = ()) -> DataFrame:
-    """New (text, entity) links found by dictionary phrases. `dictionary`: (entity, spelling); `excluded` names stay out."""
-    words = F.filter(F.split(normalize_match_text(F.col(text)), " "), lambda t: t != "")
-    names = dictionary.withColumn("_n", normalize_match_text(F.col("spelling"))).filter(F.col("_n") != "")
+    """New (text, entity) links found by dictionary phrases. `dictionary`: (entity, spelling); `excluded` names stay out.
+
+    Of phrases of equal length the one with the smaller MD5 of "entity:phrase" comes first.
+    """
+    names = dictionary.select("entity", match_text(F.col("spelling")).alias("_n")).filter(F.col("_n") != "")
     if excluded:
         names = names.filter(~F.col("_n").isin(*excluded))
-    phrases = names.select(F.xxhash64("entity", "_n").alias("phrase_id"), "entity", F.split("_n", " ").alias("phrase")).dropDuplicates(["phrase_id"])
-    tokened = spread(texts.select(key, text)).select(key, words.alias("tokens"))
-    found = pick_spans(phrase_hits(tokened, phrases, key), phrases, key)
+    phrases = names.select(F.md5(F.concat_ws(":", F.col("entity").cast("string"), "_n")).alias("phrase_id"), "entity", F.split("_n", " ").alias("phrase")).dropDuplicates(["phrase_id"])
+    words = F.filter(F.split("_n", " "), lambda t: t != "")
+    tokened = spread(texts.select(key, text)).select(key, match_text(F.col(text)).alias("_n")).select(key, words.alias("tokens"))
+    found = pick_spans(phrase_places(tokened, phrases, key), phrases, key)
     return found if links is None else found.join(links, [key, "entity"], "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalens.functions.similarity import indel_ratios, similar_pairs
-from catalens.functions.text import bigram_glue, normalize_match_text, text_variants
+from catalens.functions.text import bigram_glue, match_text, text_variants
 from catalens.functions.values import alcohol_numbers, clip_bonus, idf_pool, idf_smooth
 from catalens.operators.aggregates import one, top_k
 from catalens.session import materialize, spread
@@ -277,7 +277,7 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def pool_words(raw: DataFrame) -> DataFrame:
     """Raw words with their normal form `key` and each comparable spelling `word`."""
-    keyed = raw.withColumn("key", normalize_match_text(F.col("raw"))).filter("key <> ''")
+    keyed = raw.withColumn("key", match_text(F.col("raw"))).filter("key <> ''")
     return keyed.withColumn("word", F.explode(F.transform(text_variants(F.col("raw")), lambda v: F.replace(v, F.lit(" "), F.lit("")))))
 
 
@@ -308,8 +308,8 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
     windows = materialize(text_windows(views, longest), "text-windows")
     found = phrase_matches(views, phrases, ["kind", "entity"], DETECTION_THRESHOLD, windows)
     pick = lambda k, c: F.collect_set(F.when(F.col("kind") == k, c))
-    lists = found.groupBy("query_id").agg(
-        pick("producer", normalize_match_text(F.col("entity"))).alias("producers_found"), pick("grape", F.col("entity")).alias("grapes_found")
+    lists = found.withColumn("_key", match_text(F.col("entity").cast("string"))).groupBy("query_id").agg(
+        pick("producer", F.col("_key")).alias("producers_found"), pick("grape", F.col("entity")).alias("grapes_found")
     )
     scores = category_scores(views, dictionary.categories, windows)
     entry = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "score"))))
@@ -330,7 +330,7 @@ def query_facts(queries: DataFrame, views: DataFrame, dictionary: TextDictionary
 
 def prepare_items(catalog: DataFrame) -> DataFrame:
     """Catalogue with its comparable forms, computed once per item instead of once per candidate."""
-    norm = {f"{c}_key": F.when(F.col(c).isNotNull(), normalize_match_text(F.col(c))) for c in ("name", "producer", "color", "sugar")}
+    norm = {f"{c}_key": F.when(F.col(c).isNotNull(), match_text(F.col(c))) for c in ("name", "producer", "color", "sugar")}
     return materialize(catalog.withColumns({**norm, "item_alcohol": alcohol_numbers(F.col("alcohol").cast("string"))}), "items")
 
 

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catalens.functions.text import ENDINGS, EXACT_ONLY_TERMS, WORD_PATTERN, glossary_form, term_stems
+from catalens.operators.dictionary import term_places
 from catalens.session import spread
 
-SPANS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("near", T.BooleanType())]))
-
-
-@F.pandas_udf(SPANS)
-def word_spans(text: pd.Series) -> pd.Series:
-    """Words of a normalised text with their character span; `near` = only blanks since the previous word."""
-
-    def spans(value: str):
-        out, last = [], 0
-        for match in re.finditer(WORD_PATTERN, value or ""):
-            out.append({"word": match[0], "start": match.start(), "end": match.end(), "near": not value[last : match.start()].strip()})
-            last = match.end()
-        return out
-
-    return text.map(spans)
-
-
 def term_index(terms: DataFrame) -> DataFrame:
     """(term_id, term) → stems, exact-only flag and the order in which terms are tried: long phrases first, then by term."""
     form = glossary_form(F.col("term"))
@@ -36,35 +16,10 @@ def term_index(terms: DataFrame) -> DataFrame:
     return rows.withColumn("letter", F.upper(F.substring("term", 1, 1)))
 
 
-def _stem_forms(word: Column, endings: tuple[str, ...]) -> Column:
-    """All (stem, ending) readings of a word with a listed ending, the empty one included."""
-    cut = [F.when(F.endswith(word, F.lit(e)), F.struct(F.substring(word, F.lit(1), F.length(word) - len(e)).alias("stem"), F.lit(e).alias("ending"))) for e in endings]
-    whole = F.struct(word.alias("stem"), F.lit("").alias("ending"))
-    return F.array_compact(F.array(whole, *cut))
-
-
-def term_hits(texts: DataFrame, index: DataFrame, key: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
-    """Every place where a term may stand: (key, term_id, pos, words).
-
-    Words meet terms by an equi-join on the first stem; further words of a phrase are checked against
-    the text's own word list.
-    """
-    firsts = index.filter(F.size("stems") > 0).select("term_id", "stems", "exact", F.col("stems")[0].alias("stem"))
-    words = texts.select(key, F.posexplode("spans").alias("pos", "s")).select(key, "pos", F.explode(_stem_forms(F.col("s.word"), endings)).alias("f"))
-    near = words.select(key, "pos", "f.stem", "f.ending").join(firsts, "stem").filter(~F.col("exact") | (F.col("ending") == ""))
-    # longer phrases look at the words that follow
-    single = near.filter(F.size("stems") == 1).select(key, "term_id", "pos", F.lit(1).alias("words"))
-    many = near.filter(F.size("stems") > 1).join(texts.select(key, "spans"), key)
-    follow = F.slice("spans", F.col("pos") + 2, F.size("stems") - 1)
-    rest = F.slice("stems", 2, F.size("stems") - 1)
-    allowed = F.array(*[F.lit(e) for e in ("", *endings)])
-
-    def fits(s: Column, stem: Column) -> Column:
-        tail = F.substring(s["word"], F.length(stem) + 1, F.length(s["word"]))
-        return s["near"] & F.startswith(s["word"], stem) & F.when(F.col("exact"), tail == "").otherwise(F.array_contains(allowed, tail))
-
-    ok = (F.size(follow) == F.size(rest)) & F.forall(F.zip_with(follow, rest, fits), lambda x: x)
-    return single.unionByName(many.filter(ok).select(key, "term_id", "pos", F.size("stems").alias("words")))
+def term_hits(texts: DataFrame, index: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
+    """Every place where a term may stand: (key, term_id, pos, words, start, end), see `term_places`."""
+    forms = spread(texts.select(key, text)).select(key, glossary_form(F.col(text)).alias("_form"))
+    return term_places(forms, index, key, "_form", WORD_PATTERN, endings)
 
 
 def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
@@ -72,20 +27,16 @@ def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endi
 
     Candidates are gathered per text; their number is bounded by the text, which is one row anyway.
     """
-    spans = spread(texts.select(key, text)).select(key, word_spans(glossary_form(F.col(text))).alias("spans"))
-    hits = term_hits(spans, terms, key, endings)
     order = terms.select("term_id", (-F.size("stems")).alias("_len"), "term")
-    ranked = hits.join(order, "term_id")
-    listed = ranked.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "_len", "term", "term_id", "words"))).alias("_c"))
-    start = F.struct(F.lit(0).alias("next"), F.filter("_c", lambda x: F.lit(False)).alias("got"))
+    ranked = term_hits(texts, terms, key, text, endings).join(order, "term_id")
+    listed = ranked.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "_len", "term", "term_id", "words", "start", "end"))).alias("_c"))
+    begin = F.struct(F.lit(0).alias("next"), F.filter("_c", lambda x: F.lit(False)).alias("got"))
 
     def take(acc: Column, c: Column) -> Column:
         clash = (c["pos"] < acc["next"]) | F.exists(acc["got"], lambda g: g["term_id"] == c["term_id"])
         return F.when(clash, acc).otherwise(F.struct((c["pos"] + c["words"]).alias("next"), F.concat(acc["got"], F.array(c)).alias("got")))
 
-    picked = listed.select(key, F.explode(F.aggregate("_c", start, take, lambda acc: acc["got"])).alias("x")).select(key, "x.term_id", "x.pos", "x.words")
-    placed = picked.join(spans, key)
-    return placed.select(key, "term_id", F.col("spans")[F.col("pos")]["start"].alias("start"), F.col("spans")[F.col("pos") + F.col("words") - 1]["end"].alias("end"))
+    return listed.select(key, F.explode(F.aggregate("_c", begin, take, lambda acc: acc["got"])).alias("x")).select(key, "x.term_id", "x.start", "x.end")
 
 
 def segments(texts: DataFrame, notes: DataFrame, key: str, text: str) -> DataFrame:

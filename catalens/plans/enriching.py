@@ -10,6 +10,7 @@ from catalens.functions import text as t
 from catalens.functions import values as v
 from catalens.operators import enrichment as n
 from catalens.operators import glossary as g
+from catalens.operators.dictionary import phrase_places
 from catalens.plans import sqltext as q
 from catalens.plans.registry import Tables, query
 from catalens.session import spread
@@ -112,13 +113,23 @@ PHRASE = f"""tk AS MATERIALIZED (SELECT doc_id, list_filter(string_split({q.matc
 
 @query("phrase_hits", "N9", f"WITH {PHRASE} SELECT doc_id, phrase, (pos - 1)::INTEGER AS start, (pos - 1 + len(p))::INTEGER AS end_pos FROM ex JOIN pt ON p[1] = tok WHERE w[pos:pos + len(p) - 1] = p")
 def _(spark, d):
-    words = F.filter(F.split(t.normalize_match_text(C("text")), " "), lambda x: x != "")
+    words = F.filter(F.split(t.match_text(C("text")), " "), lambda x: x != "")
     texts = spread(Tables(spark, d).documents.select("doc_id", "text")).select("doc_id", words.alias("tokens"))
-    ph = sentence_phrases(spark, d).select(t.normalize_match_text(C("spelling")).alias("phrase_id")).filter("phrase_id <> ''").distinct().withColumn("phrase", F.split("phrase_id", " "))
-    return n.phrase_hits(texts, ph, "doc_id").select("doc_id", C("phrase_id").alias("phrase"), "start", C("end").alias("end_pos"))
+    ph = sentence_phrases(spark, d).select(t.match_text(C("spelling")).alias("phrase_id")).filter("phrase_id <> ''").distinct().withColumn("phrase", F.split("phrase_id", " "))
+    return phrase_places(texts, ph, "doc_id").select("doc_id", C("phrase_id").alias("phrase"), "start", C("end").alias("end_pos"))
 
 
-@query("tagged_phrases", "N9")
+@query(
+    "tagged_phrases", "N9",
+    f"""WITH {PHRASE}, cut AS (SELECT item_id, regexp_split_to_array(text, '[.,\\n]') AS a FROM benchmark),
+        nm AS (SELECT DISTINCT entity, {q.match_text('s')} AS phrase FROM (SELECT item_id || '-' || unnest(range(0, len(a))) AS entity, unnest(a) AS s FROM cut)),
+        pn AS MATERIALIZED (SELECT entity, md5(entity || ':' || phrase) AS phrase_id, string_split(phrase, ' ') AS p, length(phrase) AS c FROM nm WHERE phrase NOT IN ('', 'er', 'th')),
+        hit AS (SELECT doc_id, len(p) AS l, c, phrase_id, (pos - 1)::INTEGER AS a, [{{'entity': entity, 'phrase_id': phrase_id, 'a': (pos - 1)::INTEGER, 'z': (pos - 1 + len(p))::INTEGER}}] AS x
+                FROM ex JOIN pn ON p[1] = tok WHERE w[pos:pos + len(p) - 1] = p),
+        ls AS (SELECT doc_id, list(x ORDER BY l DESC, c DESC, phrase_id, a) AS s FROM hit GROUP BY doc_id),
+        pk AS (SELECT doc_id, unnest(list_reduce(s, lambda g, x: CASE WHEN len(list_filter(g, lambda o: o.entity = x[1].entity OR (x[1].a < o.z AND o.a < x[1].z))) > 0 THEN g ELSE g || x END)) AS r FROM ls)
+        SELECT doc_id, r.entity AS entity, r.phrase_id AS phrase_id, r.a AS start, r.z AS "end" FROM pk WHERE NOT (r.entity = '0-0' AND doc_id IN (SELECT doc_id FROM labels))""",
+)
 def _(spark, d):
     x = Tables(spark, d)
     known = x.labels.select("doc_id", F.lit("0-0").alias("entity"))
@@ -224,12 +235,26 @@ def _(spark, d):
         SELECT doc_id, term AS term_id, count(*) AS n FROM f JOIN terms ON ends_with(word, ending) AND term = substr(word, 1, length(word) - length(ending)) GROUP BY ALL""",
 )
 def _(spark, d):
-    spans = spread(Tables(spark, d).documents.select("doc_id", "text")).select("doc_id", g.word_spans(t.glossary_form(C("text"))).alias("spans"))
-    hits = g.term_hits(spans, g.term_index(single_terms(spark, d)), "doc_id", EN_ENDINGS)
+    hits = g.term_hits(Tables(spark, d).documents, g.term_index(single_terms(spark, d)), "doc_id", "text", EN_ENDINGS)
     return hits.groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("annotated_documents", "G2")
+@query(
+    "annotated_documents", "G2",
+    f"""WITH b AS (SELECT regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM benchmark),
+        tm AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM b UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) FROM benchmark),
+        terms AS MATERIALIZED (SELECT term, split_part(term, ' ', 1) AS t1, nullif(split_part(term, ' ', 2), '') AS t2 FROM tm),
+        f AS (SELECT doc_id, replace(lower(text), 'ё', 'е') AS x FROM documents),
+        u AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word, unnest(list_slice(s, 1, len(w))) AS sep FROM (SELECT doc_id, regexp_extract_all(x, '{t.WORD_PATTERN}') AS w, regexp_split_to_array(x, '{t.WORD_PATTERN}') AS s FROM f)),
+        wd AS MATERIALIZED (SELECT doc_id, i, word, sum(length(sep) + length(word)) OVER o AS z, lead(word) OVER o AS word2, lead(sep) OVER o AS sep2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        en AS (SELECT unnest(['', {', '.join(f"'{e}'" for e in EN_ENDINGS)}]) AS ending),
+        c AS (SELECT wd.*, term, t2 FROM wd JOIN en ON ends_with(word, ending) JOIN terms ON t1 = substr(word, 1, length(word) - length(ending))),
+        h AS (SELECT DISTINCT doc_id, i, term, CASE WHEN t2 IS NULL THEN 1 ELSE 2 END AS n, (z - length(word))::INTEGER AS a, (CASE WHEN t2 IS NULL THEN z ELSE z + length(sep2) + length(word2) END)::INTEGER AS e FROM c
+              WHERE t2 IS NULL OR (starts_with(word2, t2) AND regexp_full_match(sep2, '\\s*') AND list_contains(['', {', '.join(f"'{e}'" for e in EN_ENDINGS)}], substr(word2, length(t2) + 1)))),
+        ls AS (SELECT doc_id, list({{'next': i + n, 'got': [{{'i': i, 'term': term, 'a': a, 'e': e}}]}} ORDER BY i, n DESC, term) AS s FROM h GROUP BY doc_id),
+        pk AS (SELECT doc_id, unnest(list_reduce(s, lambda g, x: CASE WHEN x.got[1].i < g.next OR len(list_filter(g.got, lambda o: o.term = x.got[1].term)) > 0 THEN g ELSE {{'next': x.next, 'got': g.got || x.got}} END).got) AS r FROM ls)
+        SELECT doc_id, r.term AS term_id, r.a AS start, r.e AS "end" FROM pk""",
+)
 def _(spark, d):
     return g.annotate_terms(Tables(spark, d).documents, g.term_index(phrase_terms(spark, d)), "doc_id", "text", EN_ENDINGS)
 

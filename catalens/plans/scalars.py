@@ -18,9 +18,9 @@ def _(spark, d):
     return Tables(spark, d).documents.select("doc_id", text.normalize_match_text(F.col("text")).alias("norm"))
 
 
-@query("normalize_label_text_nfkc", "F1 with NFKC", f"SELECT page_id, {q.match_text('nfc_normalize(url)')} AS norm FROM pages")
+@query("normalize_label_text_nfkc", "F1 with NFKC", f"SELECT page_id, {q.match_text('nfc_normalize(html)')} AS norm FROM pages")
 def _(spark, d):
-    return text.with_match_text(Tables(spark, d).pages.select("page_id", "url"), "url", "norm").select("page_id", "norm")
+    return Tables(spark, d).pages.select("page_id", text.match_text(F.col("html")).alias("norm"))
 
 
 @query(
