@@ -98,50 +98,57 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], interpolate: bool = False, accuracy: int = 10_000
-) -> DataFrame:
-    """Exact quantiles per group without gathering a group in one task.
+def exact_quantiles_of(df: DataFrame, groups: list[str], wanted: dict[str, tuple[str, float, bool]], accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles of any number of columns per group without gathering a group in one task.
 
-    An approximate sketch brackets each wanted rank; only values inside the brackets are counted
-    one by one, those below a bracket just add to its offset.
+    `wanted`: name → (column, share, interpolate); nearest rank where not interpolated. Two passes over the rows, however many columns: a sketch
+    brackets each wanted rank, then only values inside the brackets are counted one by one, those below a bracket just add to its
+    offset. NULLs don't count; a group key may be NULL; a group without any value has no row.
     """
-    data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    names = list(quantiles)
-    step = 2.0 / accuracy
-    cuts = [max(0.0, quantiles[q] - step) for q in names] + [min(1.0, quantiles[q] + step) for q in names]
-    sketch = data.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    )
-    wanted = []
-    for i, q in enumerate(names):
-        p = quantiles[q]
+    names, columns, step = list(wanted), list(dict.fromkeys(c for c, _, _ in wanted.values())), 2.0 / accuracy
+    data = df.select(F.struct(*groups).alias("_g") if groups else F.lit(0).alias("_g"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+    per_column = []
+    for i, column in enumerate(columns):
+        x, shares = F.col("_x")[i], [p for c, p, _ in wanted.values() if c == column]
+        cuts = [max(0.0, p - step) for p in shares] + [min(1.0, p + step) for p in shares]
+        per_column.append(F.struct(F.count(x).alias("n"), F.percentile_approx(x, cuts, accuracy).alias("cut"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"_s{i}"))
+    sketch = data.groupBy("_g").agg(*per_column)
+    brackets, seen = [], dict.fromkeys(columns, 0)
+    for q, (column, p, interpolate) in wanted.items():
+        s, at, many = F.col(f"_s{columns.index(column)}"), seen[column], sum(c == column for c, _, _ in wanted.values())
+        seen[column] += 1
         if interpolate:
-            pos = (F.col("_n") - 1) * p
+            pos = (s["n"] - 1) * p
             low, high = F.floor(pos) + 1, F.ceil(pos) + 1
         else:
-            pos = low = high = F.greatest(F.ceil(F.col("_n") * p - 1e-9), F.lit(1))
-        lo = F.col("_min") if p - step <= 0 else F.col("_cut")[i]
-        hi = F.col("_max") if p + step >= 1 else F.col("_cut")[i + len(names)]
-        wanted.append(F.struct(F.lit(q).alias("q"), low.cast("long").alias("r1"), high.cast("long").alias("r2"),
-                               (pos - F.floor(pos)).cast("double").alias("f"), lo.alias("lo"), hi.alias("hi")))
-    ranks = sketch.select(*groups, F.explode(F.array(*wanted)).alias("_w")).select(*groups, "_w.*")
-    brackets = ranks.groupBy(*groups).agg(F.collect_list(F.struct("q", "lo", "hi")).alias("_b"))
-    joined = data.join(brackets, groups) if groups else data.join(F.broadcast(brackets))
+            pos = low = high = F.greatest(F.ceil(s["n"] * p - 1e-9), F.lit(1))
+        lo = s["min"] if p - step <= 0 else s["cut"][at]
+        hi = s["max"] if p + step >= 1 else s["cut"][at + many]
+        brackets.append(F.struct(F.lit(q).alias("q"), F.lit(columns.index(column)).alias("c"), low.cast("long").alias("r1"), high.cast("long").alias("r2"),
+                                 (pos - F.floor(pos)).cast("double").alias("f"), lo.alias("lo"), hi.alias("hi")))
+    ranks = sketch.select("_g", F.filter(F.array(*brackets), lambda b: b["lo"].isNotNull()).alias("_b"))
+    joined = data.join(ranks if groups else F.broadcast(ranks), "_g")  # without groups a single row
     # one row per wanted quantile: below the bracket the value is dropped and only counted
-    hits = joined.select(*groups, "_v", F.explode("_b").alias("_b")).select(*groups, "_b.q", F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_v"), F.col("_b.hi").alias("_hi"))
-    counted = hits.filter(F.col("_v").isNull() | (F.col("_v") <= F.col("_hi"))).groupBy(*groups, "q", "_v").agg(one("_c"))
-    w = Window.partitionBy(*groups, "q").orderBy(F.col("_v").asc_nulls_first())
-    cumulative = counted.withColumn("_upto", F.sum("_c").over(w))
-    picked = cumulative.join(ranks, [*groups, "q"]).filter(F.col("_v").isNotNull())
+    value = lambda b: F.get(F.col("_x"), b["c"])
+    inside = F.transform(F.filter("_b", lambda b: value(b) <= b["hi"]), lambda b: F.struct(*[b[c].alias(c) for c in ("q", "r1", "r2", "f")], F.when(value(b) >= b["lo"], value(b)).alias("v")))
+    counted = joined.select("_g", F.explode(inside).alias("_h")).select("_g", "_h.*").groupBy("_g", "q", "r1", "r2", "f", "v").agg(one("_c"))  # ranks depend on q
+    w = Window.partitionBy("_g", "q").orderBy(F.col("v").asc_nulls_first())
+    picked = counted.withColumn("_upto", F.sum("_c").over(w)).filter(F.col("v").isNotNull())
 
-    def at(rank: str) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.col(rank), F.col("_v")))
+    def at_rank(rank: str) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.col(rank), F.col("v")))
 
-    per = picked.groupBy(*groups, "q").agg(at("r1").alias("_a"), at("r2").alias("_z"), F.first("f").alias("_f"))
+    per = picked.groupBy("_g", "q").agg(at_rank("r1").alias("_a"), at_rank("r2").alias("_z"), F.first("f").alias("_f"))
     per = per.withColumn("_value", F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f"))
-    return per.groupBy(*groups).agg(*[F.max(F.when(F.col("q") == q, F.col("_value"))).alias(q) for q in names])
+    out = per.groupBy(*["_g"] * bool(groups)).agg(*[F.max(F.when(F.col("q") == q, F.col("_value"))).alias(q) for q in names])
+    return out.select("_g.*", *names) if groups else out
+
+
+def exact_quantiles(
+    df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], interpolate: bool = False, accuracy: int = 10_000
+) -> DataFrame:
+    """Exact quantiles of one column per group, see `exact_quantiles_of`."""
+    return exact_quantiles_of(df, groups, {name: (value, p, interpolate) for name, p in quantiles.items()}, accuracy)
 
 
 def mean_of_best(df: DataFrame, keys: list[str], score: str, n: int, out: str) -> DataFrame:

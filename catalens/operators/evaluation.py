@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.operators.aggregates import exact_quantiles, one
+from catalens.operators.aggregates import exact_quantiles_of, one
 
 
 def per_query_eval(ranked: DataFrame, truth: DataFrame) -> DataFrame:
@@ -56,17 +56,36 @@ def per_item_summary(per_query: DataFrame) -> DataFrame:
     return rows.join(predicted, "item", "left").withColumn("all_right", F.col("hits") == F.col("photos")).withColumn("f1", F.round(f1, 6)).drop("_predicted")
 
 
-def confidence_metrics(per_query: DataFrame, groups: list[str]) -> DataFrame:
-    """Confidence of the first answer and of ranks 2–5, their medians, and how often the lead is clear."""
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
-    rows = per_query.withColumn("_f1", clip("s1")).withColumn("_f5", clip("mean_2_5"))
+CONFIDENCE_RANKS = 5
+
+
+def confidence_by_rank(ranked: DataFrame, truth: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """One row per query of `truth` (query, …): confidence c1..c5 of its first five answers, their mean behind the first, the first one's leads.
+
+    `ranked`: (query, rank, confidence in 0..1). Ranks without an answer are NULL; a single answer leads by 0, as in `per_query_eval`.
+    """
+    at = lambda n: F.min(F.when(F.col("rank") == n, F.col(confidence)))
+    behind = F.avg(F.when(F.col("rank").between(2, CONFIDENCE_RANKS), F.col(confidence)))
+    rows = ranked.filter(F.col("rank") <= CONFIDENCE_RANKS).groupBy("query").agg(*[at(n).alias(f"c{n}") for n in range(1, CONFIDENCE_RANKS + 1)], behind.alias("behind"))
+    rows = truth.join(rows, "query", "left")
+    return rows.withColumns({
+        "lead_2": F.when(F.col("c2").isNull(), 0.0).otherwise(F.col("c1") - F.col("c2")), "lead_behind": F.col("c1") - F.col("behind"), f"lead_{CONFIDENCE_RANKS}": F.col("c1") - F.col(f"c{CONFIDENCE_RANKS}"),
+    })
+
+
+def confidence_metrics(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """Confidence of the first answer, of those behind it and of each rank, with the leads of the first: means, medians, shares of clear leads.
+
+    `rows`: see `confidence_by_rank`. All medians come from one sketch and one count.
+    """
+    last = f"lead_{CONFIDENCE_RANKS}"
     sums = rows.groupBy(*groups).agg(
-        one("queries"), F.round(F.avg("_f1"), 6).alias("mean_f1_1"), _share(F.col("gap") > 0.05).alias("share_gap_5"), _share(F.col("gap") > 0.10).alias("share_gap_10"),
+        one("queries"), F.round(F.avg("c1"), 6).alias("mean_f1_1"), _share(F.col("lead_2") > 0.05).alias("share_gap_5"), _share(F.col("lead_2") > 0.10).alias("share_gap_10"),
+        F.round(F.min(last), 6).alias(f"min_{last}"),
     )
-    for source, name in (("_f1", "median_f1_1"), ("_f5", "median_f1_5"), ("gap", "median_gap")):
-        med = exact_quantiles(rows, groups, source, {name: 0.5}, interpolate=True)
-        sums = sums.join(med.withColumn(name, F.round(name, 6)), groups, "left")
-    return sums
+    medians = {"median_f1_5": "behind", "median_gap": "lead_2", "median_lead_behind": "lead_behind", f"median_{last}": last, **{f"median_rank_{n}": f"c{n}" for n in range(1, CONFIDENCE_RANKS + 1)}}
+    found = exact_quantiles_of(rows, groups, {name: (column, 0.5, True) for name, column in medians.items()})
+    return sums.join(found.select(*groups, *[F.round(name, 6).alias(name) for name in medians]), groups, "left")
 
 
 def reject_sweep(per_query: DataFrame, present: str, thresholds: list[float]) -> DataFrame:
@@ -83,11 +102,10 @@ def reject_sweep(per_query: DataFrame, present: str, thresholds: list[float]) ->
 def latency_report(df: DataFrame, groups: list[str], millis: str, sla: float = 3000.0) -> DataFrame:
     """Mean, median, p95 (nearest rank), maximum and the share answered within the agreed time."""
     base = df.groupBy(*groups).agg(one("requests"), F.round(F.avg(millis), 4).alias("mean"), F.max(millis).alias("max"), _share(F.col(millis) < sla).alias("within_sla"))
-    p95 = exact_quantiles(df, groups, millis, {"p95": 0.95})
-    median = exact_quantiles(df, groups, millis, {"median": 0.5}, interpolate=True).withColumn("median", F.round("median", 4))
+    marks = exact_quantiles_of(df, groups, {"p95": (millis, 0.95, False), "median": (millis, 0.5, True)}).withColumn("median", F.round("median", 4))
     if not groups:
-        return base.join(F.broadcast(p95)).join(F.broadcast(median))  # single rows
-    return base.join(p95, groups).join(median, groups)
+        return base.join(F.broadcast(marks))  # single rows
+    return base.join(marks, groups)
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:

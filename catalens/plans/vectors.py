@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from catalens.operators import evaluation as ev
 from catalens.operators import retrieval as r
+from catalens.operators.evidence import similarity
 from catalens.plans.registry import Tables, query
+from catalens.session import materialize
 
 VIEWS = ("original", "bottle_crop", "label_crop")
 K = 150
@@ -273,14 +275,23 @@ def _(spark, d):
 
 
 @query(
-    "eval_confidence", "E4",
-    f"""WITH {EVAL_SQL}, x AS (SELECT *, query % 5 <> 0 AS in_catalogue, least(greatest(s1, 0), 1) AS f1_1, least(greatest(mean_2_5, 0), 1) AS f1_5 FROM pe)
-        SELECT in_catalogue, count(*) AS queries, round(median(f1_1), 6) AS median_f1_1, round(avg(f1_1), 6) AS mean_f1_1, round(median(f1_5), 6) AS median_f1_5,
-          round(median(gap), 6) AS median_gap, round(avg((gap > 0.05)::INT), 6) AS share_gap_5, round(avg((gap > 0.10)::INT), 6) AS share_gap_10 FROM x GROUP BY in_catalogue""",
+    "eval_confidence", "E4,M15,A12",
+    f"""WITH {EVAL_SQL}, top AS (SELECT query, 0.7 * max(weight) + 0.3 * sum(weight) AS ceiling FROM wt GROUP BY query),
+        cf AS (SELECT query, rank, CASE WHEN ceiling <= 0 THEN 0.0 ELSE least(greatest(score / ceiling, 0), 1) END AS c FROM ranked JOIN top USING (query) WHERE rank <= 5),
+        pv5 AS (SELECT query, {', '.join(f'min(c) FILTER (rank = {n}) AS c{n}' for n in range(1, 6))}, avg(c) FILTER (rank >= 2) AS behind FROM cf GROUP BY query),
+        x AS (SELECT e.id % 5 <> 0 AS in_catalogue, pv5.*, CASE WHEN c2 IS NULL THEN 0.0 ELSE c1 - c2 END AS lead_2, c1 - behind AS lead_behind, c1 - c5 AS lead_5 FROM e LEFT JOIN pv5 ON pv5.query = e.id)
+        SELECT in_catalogue, count(*) AS queries, round(avg(c1), 6) AS mean_f1_1, round(avg((lead_2 > 0.05)::INT), 6) AS share_gap_5, round(avg((lead_2 > 0.10)::INT), 6) AS share_gap_10,
+          round(min(lead_5), 6) AS min_lead_5, round(median(behind), 6) AS median_f1_5, round(median(lead_2), 6) AS median_gap, round(median(lead_behind), 6) AS median_lead_behind,
+          round(median(lead_5), 6) AS median_lead_5, {', '.join(f'round(median(c{n}), 6) AS median_rank_{n}' for n in range(1, 6))} FROM x GROUP BY in_catalogue""",
 )
 def _(spark, d):
-    pe = per_query(spark, d).withColumn("in_catalogue", F.col("query") % 5 != 0)
-    return ev.confidence_metrics(pe, ["in_catalogue"])
+    matches = materialize(self_matches(spark, d), "matches")
+    weights = r.view_weights(matches).groupBy("query").agg(F.collect_list("weight").alias("weights"))  # one per view
+    ranked = r.fold_to_items(matches, items(spark, d), ev.CONFIDENCE_RANKS).join(weights, "query")
+    truth = photos(spark, d).select(F.col("id").alias("query"), (F.col("id") % 5 != 0).alias("in_catalogue"))
+    confident = ranked.select("query", "rank", similarity(F.col("score"), F.col("weights"), F.lit(False)).alias("confidence"))
+    rows = materialize(ev.confidence_by_rank(confident, truth), "confidence")
+    return ev.confidence_metrics(rows, ["in_catalogue"])
 
 
 @query(

@@ -54,10 +54,14 @@ def current_rows(changes: DataFrame, keys: list[str], initial: DataFrame | None
 
 # --- keyed tables -------------------------------------------------------------------------------------
 class ChangeProcessor(StatefulProcessor):
-    """Current payload, created_at and updated_at of a key. A put inserts or (policy upsert) replaces, a delete forgets."""
+    """Current payload, created_at and updated_at of a key. A put inserts or (policy upsert) replaces, a delete forgets.
 
-    def __init__(self, keys: list[str], payload: list[str], kinds: dict[str, str], policy: str) -> None:
+    An upsert that leaves a `sticky` column empty keeps its value.
+    """
+
+    def __init__(self, keys: list[str], payload: list[str], kinds: dict[str, str], policy: str, sticky: tuple[str, ...] = ()) -> None:
         self.keys, self.payload, self.kinds, self.policy = keys, payload, kinds, policy
+        self.held_over = [payload.index(c) for c in sticky]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [f"{c} {self.kinds[c]}" for c in self.payload]
@@ -76,6 +80,8 @@ class ChangeProcessor(StatefulProcessor):
             elif held is None:
                 held = (*values, ts, ts)
             elif self.policy == "upsert":
+                for i in self.held_over:
+                    values[i] = held[i] if pd.isna(values[i]) else values[i]
                 held = (*values, held[-2], ts)
         if held is None:
             self.row.clear()
@@ -88,15 +94,18 @@ class ChangeProcessor(StatefulProcessor):
         pass
 
 
-def change_log_stream(changes: DataFrame, initial: DataFrame, keys: list[str], payload: list[str], policy: str, folder: str) -> DataFrame:
-    """Apply a change stream (keys, payload, op, ts, seq), in the order of its batches, to a table (keys, payload, created_at, updated_at)."""
+def change_log_stream(changes: DataFrame, initial: DataFrame, keys: list[str], payload: list[str], policy: str, folder: str, sticky: tuple[str, ...] = ()) -> DataFrame:
+    """Apply a change stream (keys, payload, op, ts, seq), in the order of its batches, to a table (keys, payload, created_at, updated_at).
+
+    Policies and `sticky` columns are those of `apply_changes`.
+    """
     spark = changes.sparkSession
     use_rocksdb(spark)
     kinds = dict(changes.dtypes)
     stamped = initial.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, *payload)], "created_at timestamp", "updated_at timestamp", "gone boolean"])
     changed = changes.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ChangeProcessor(keys, payload, kinds, policy), outputStructType=schema, outputMode="Update", timeMode="None", initialState=stamped.groupBy(*keys)
+        statefulProcessor=ChangeProcessor(keys, payload, kinds, policy, sticky), outputStructType=schema, outputMode="Update", timeMode="None", initialState=stamped.groupBy(*keys)
     )
     out = run_changes(changed, folder)
     return current_rows(spark.read.schema(f"{schema}, batch long").parquet(out), keys, stamped.select(*keys, *payload, "created_at", "updated_at"))

@@ -4,6 +4,7 @@ import os
 import shutil
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -205,3 +206,37 @@ def test_search_plan_does_not_grow_with_the_searches(spark):
         return facets.facet_counts(e, seen, searches, faceted.PART_RULES)._jdf.queryExecution().optimizedPlan().toString().count("\n")
 
     assert nodes(5) == nodes(1000)
+
+
+def test_streamed_upserts_keep_sticky_columns_like_the_batch(spark, tmp_path):
+    state = spark.createDataFrame([(1, 1, "old", 7, datetime.datetime(2020, 1, 1), datetime.datetime(2020, 1, 1))], "u int, i int, comment string, note int, created_at timestamp, updated_at timestamp")
+    schema, day = "u int, i int, comment string, note int, op string, ts timestamp, seq int", lambda n: datetime.datetime(2020, 1, n)
+    parts = [
+        [(1, 1, "new", None, "put", day(5), 1), (2, 1, "a", 9, "put", day(5), 2)],
+        [(2, 1, None, None, "put", day(6), 3), (3, 1, "first", None, "put", day(6), 4), (3, 1, "second", 4, "put", day(7), 5), (3, 1, "third", None, "put", day(8), 6)],
+        [(1, 1, None, None, "delete", day(9), 7), (1, 1, "again", None, "put", day(10), 8)],
+    ]
+    for at, part in enumerate(parts):  # a restart between the batches
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        got = jobs.change_log_stream(stream, state, ["u", "i"], ["comment", "note"], "upsert", str(tmp_path / "job"), sticky=("note",))
+        whole = activity.apply_changes(state, spark.createDataFrame(sum(parts[: at + 1], []), schema), ["u", "i"], ["comment", "note"], "upsert", sticky=("note",))
+        columns = ("u", "i", "comment", "note", "created_at", "updated_at")
+        assert rows(got, *columns) == rows(whole, *columns)
+    assert {(r["u"], r["comment"], r["note"]) for r in got.collect()} == {(1, "again", None), (2, None, 9), (3, "third", 4)}
+
+
+def test_quantiles_of_many_columns_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    data = [(None if i % 7 == 0 else i % 3, float(x), None if i % 5 == 0 else int(y)) for i, (x, y) in enumerate(zip(rng.exponential(size=500), rng.integers(0, 9, 500)))] + [(9, None, None)]
+    df = spark.createDataFrame(data, "k int, x double, y int")
+    wanted = {"x_mid": ("x", 0.5, True), "x_95": ("x", 0.95, False), "y_mid": ("y", 0.5, True), "y_low": ("y", 0.0, False), "y_top": ("y", 1.0, False)}
+    got = {r["k"]: r for r in aggregates.exact_quantiles_of(df, ["k"], wanted, accuracy=50).collect()}
+    assert set(got) == {None, 0, 1, 2}
+    for k, r in got.items():
+        x, y = ([row[c] for row in data if row[0] == k and row[c] is not None] for c in (1, 2))
+        assert r["x_mid"] == pytest.approx(np.median(x)) and r["x_95"] == sorted(x)[int(np.ceil(len(x) * 0.95)) - 1]
+        assert (r["y_mid"], r["y_low"], r["y_top"]) == (np.median(y), min(y), max(y))
+    assert aggregates.exact_quantiles_of(df.filter("false"), [], wanted).first()["x_mid"] is None
+    plan = aggregates.exact_quantiles_of(df, ["k"], wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # one pass for the sketch, one for the counts
