@@ -164,7 +164,7 @@ def token_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     keyed = suffixes.select("known", "latin", "suffix", F.explode(_heads(F.col("suffix"), list(range(1, KEY_LETTERS + 1)))).alias("head"))
     asked = tokens.select("token", forms("token").alias("f")).select("token", "f.*").filter("form <> ''")
     asked = asked.withColumn("head", F.substring("form", 1, KEY_LETTERS))
-    return asked.join(keyed, ["latin", "head"]).filter(F.startswith("suffix", F.col("form"))).select("token", "known").distinct()
+    return asked.join(keyed.hint("merge"), ["latin", "head"]).filter(F.startswith("suffix", F.col("form"))).select("token", "known").distinct()
 
 
 def text_matches(entries: DataFrame, searches: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def text_matches(entries: DataFrame, searches: DataFrame) -> DataFrame:
     in_name = F.array_contains(F.split("name_norm", " "), F.col("known"))
     postings = entries.select("item_id", "name_norm", F.explode(F.array_distinct(F.split("haystack", " "))).alias("known")).filter("known <> ''").select("item_id", "known", in_name.alias("in_name"))
     words = token_words(asked.select("token").distinct(), postings.select("known").distinct())
-    found = words.join(postings, "known").groupBy("token", "item_id").agg(F.max("in_name").alias("in_name"))
+    found = words.join(postings.hint("merge"), "known").groupBy("token", "item_id").agg(F.max("in_name").alias("in_name"))
     sizes = searches.select("query_id", F.size("tokens").alias("n"))
     per = asked.join(found, "token").groupBy("query_id", "item_id").agg(one("hit"), F.min("in_name").alias("in_name"))
     return per.join(sizes, "query_id").filter(F.col("hit") == F.col("n")).select("query_id", "item_id", "in_name")
@@ -193,14 +193,31 @@ def failed_mask(rules: RuleBook) -> Column:
     return mask
 
 
+#: What searches look at in an entry besides its number; copies that agree in it are met once.
+LOOKED_AT = ("name", "name_norm", "rating", "type", "color", "sugar", "region", "grapes", "dishes", "tastes", "occasions")
+
+
 def examine(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
     """One row per (entry, search) that matters: the text matches and at most one dimension fails (`mask`). Entries come from `with_occasions`.
 
-    Searches without a text have to be held against every entry; the smaller side is sent to the larger one, and pairs that fail twice end there.
+    Searches without a text have to be held against every entry; pairs that fail twice end inside that join.
     """
     q = ready(searches, rules)
+    return _examined(entries, q, _texts(entries, q), rules, ["shuffle"])
+
+
+def _texts(entries: DataFrame, q: DataFrame) -> DataFrame:
+    """(norm, item_id, in_name): what each distinct text of the searches finds."""
+    asked = q.filter(F.size("tokens") > 0).groupBy("norm").agg(F.any_value("tokens").alias("tokens"))
+    return text_matches(entries, asked.withColumnRenamed("norm", "query_id")).withColumnRenamed("query_id", "norm")
+
+
+def _examined(entries: DataFrame, q: DataFrame, texts: DataFrame, rules: RuleBook, extra: list[str], only: Column | None = None) -> DataFrame:
+    """Pairs of entries (item_id, LOOKED_AT) and searches. The columns `extra` come from `texts` where it has them, else from the entries.
+
+    Sizes guessed from files are far too small for entries, so no join here may send them to all machines.
+    """
     mask = failed_mask(rules)
-    texts = text_matches(entries, q.filter(F.size("tokens") > 0))
     tier = F.when(F.col("e.name_norm") == F.col("q.norm"), EXACT_NAME).when(F.startswith("e.name_norm", F.col("q.norm")), NAME_PREFIX).when(F.col("m.in_name"), ALL_IN_NAME).otherwise(ELSEWHERE)
     known = F.element_at("e.occasions", F.col("q.occasion"))
     labels = F.create_map(*[F.lit(x) for t in rules.tastes for x in (t.key, f"{t.label.lower()} — ")])
@@ -209,14 +226,30 @@ def examine(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULE
     dish = F.when(F.col("q.dish_reason").isNotNull(), F.array("q.dish_reason")).otherwise(no_text)
     points = F.when(F.col("q.known"), known["points"]).otherwise(0.0)
     reasons = F.array_distinct(F.concat(F.when(F.col("q.known"), known["reasons"]).otherwise(no_text), dish, liked))
-    shown = [F.col(f"e.{c}") for c in ("item_id", "name", "rating", "shuffle", "type", "color", "sugar", "region", "grapes", "dishes", "tastes", "occasions")]
-    columns = lambda text: ["q.query_id", *shown, text.alias("text"), points.alias("points"), mask.alias("mask"), reasons.alias("reasons")]
-    alone = F.bit_count(mask) <= 1
-    with_text = texts.alias("m").join(entries.alias("e"), "item_id").join(q.alias("q"), F.col("m.query_id") == F.col("q.query_id")).filter(alone).select(*columns(tier))
-    without = entries.alias("e").crossJoin(q.filter(F.size("tokens") == 0).alias("q")).filter(alone).select(*columns(F.lit(0.0)))
+    shown = [F.col(f"e.{c}") for c in ("item_id", *LOOKED_AT) if c != "name_norm"]
+    columns = lambda text, side: ["q.query_id", *shown, *[F.col(f"{side}.{c}") for c in extra], text.alias("text"), points.alias("points"), mask.alias("mask"), reasons.alias("reasons")]
+    alone = F.bit_count(mask) <= 1 if only is None else mask == only
+    met = texts.alias("m").join(entries.alias("e").hint("merge"), F.col("m.item_id") == F.col("e.item_id"))
+    with_text = met.join(q.filter(F.size("tokens") > 0).alias("q").hint("merge"), F.col("m.norm") == F.col("q.norm")).filter(alone).select(*columns(tier, "m" if set(extra) <= set(texts.columns) else "e"))
+    every = q.filter(F.size("tokens") == 0).coalesce(1).alias("q")
+    without = entries.alias("e").hint("shuffle_replicate_nl").join(every, alone).select(*columns(F.lit(0.0), "e"))
     return with_text.unionByName(without)
 
 
+def _kinds(entries: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kinds, texts, members): entries that agree in LOOKED_AT as one, with their number `n` and the `first` of them in the order of ties,
+    those that a text finds alike, and (norm, item_id, shuffle, kind) of all members; norm is NULL for all entries."""
+    entries = materialize(entries.select("item_id", "shuffle", "haystack", *LOOKED_AT), "entries")  # rules and normalisation run once
+    entries = entries.withColumn("kind", F.md5(F.to_json(F.struct(*LOOKED_AT))))
+    members = entries.select("item_id", "shuffle", "kind")
+    count = [one("n"), F.min(F.struct("shuffle", "item_id")).alias("first")]
+    kinds = entries.groupBy("kind").agg(F.any_value(F.struct(*LOOKED_AT)).alias("_e"), *count).select(F.col("kind").alias("item_id"), "_e.*", "n", "first")
+    kinds = kinds.repartition(2 * entries.sparkSession.sparkContext.defaultParallelism)
+    found = materialize(_texts(entries, q).join(members.hint("merge"), "item_id"), "found")
+    texts = found.groupBy("norm", "kind").agg(F.any_value("in_name").alias("in_name"), *count).withColumnRenamed("kind", "item_id")
+    return kinds, texts, members.select(F.lit(None).cast("string").alias("norm"), "*").unionByName(found.drop("in_name"))
+
+
 def matches(seen: DataFrame) -> DataFrame:
     return seen.filter("mask = 0").withColumn("score", F.col("text") + F.col("points"))
 
@@ -261,20 +294,55 @@ def resolve_texts(entries: DataFrame, searches: DataFrame, rules: RuleBook = WIN
     return searches.join(changes, "query_id", "left").withColumn("text", F.coalesce("corrected", "text")), seen
 
 
+def _page_order(by_tie: list[Column]) -> list[Column]:
+    by_name, by_score = F.col("sort") == "name", F.col("sort") == "relevance"
+    return [F.when(by_name, F.col("name")), F.when(by_score, -F.col("score")), F.when(~by_name, -F.col("rating")), F.when(by_score, -F.size("reasons")), *by_tie]
+
+
+def _page_span(searches: DataFrame) -> tuple[DataFrame, int]:
+    """Which ranks each search shows, and the deepest of all: it bounds what each search sends to the window."""
+    span = searches.select("query_id", "sort", F.col("offset").alias("_low"), (F.col("offset") + F.col("limit")).alias("_high"))
+    return span, span.agg(F.max("_high").alias("m")).first()["m"] or 0
+
+
+PAGE_COLUMNS = ("query_id", "rank", "item_id", "name", "score", "reasons", "total")
+
+
 def result_pages(seen: DataFrame, searches: DataFrame) -> DataFrame:
     """Each search's page of hits in its own order, with its total."""
-    span = searches.select("query_id", "sort", F.col("offset").alias("_low"), (F.col("offset") + F.col("limit")).alias("_high"))
+    span, deepest = _page_span(searches)
     hits = matches(seen).join(span, "query_id")
-    by_name, by_score = F.col("sort") == "name", F.col("sort") == "relevance"
-    order = [
-        F.when(by_name, F.col("name")), F.when(by_score, -F.col("score")), F.when(~by_name, -F.col("rating")),
-        F.when(by_score, -F.size("reasons")), F.col("shuffle"), F.col("item_id"),
-    ]
     totals = hits.groupBy("query_id").agg(one("total"))
-    deepest = span.agg(F.max("_high").alias("m")).first()["m"] or 0  # bounds what each search sends to the window
-    page = top_k(hits, ["query_id"], order, deepest).filter((F.col("rank") > F.col("_low")) & (F.col("rank") <= F.col("_high")))
-    page = page.join(totals, "query_id")
-    return page.select("query_id", "rank", "item_id", "name", F.round("score", 2).alias("score"), "reasons", "total")
+    page = top_k(hits, ["query_id"], _page_order([F.col("shuffle"), F.col("item_id")]), deepest).filter((F.col("rank") > F.col("_low")) & (F.col("rank") <= F.col("_high")))
+    return page.join(totals, "query_id").withColumn("score", F.round("score", 2)).select(*PAGE_COLUMNS)
+
+
+def search_pages(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
+    """The pages of `result_pages` straight from the entries. Entries that no search tells apart are examined as one.
+
+    The entries of a page lie in as many kinds at most, those with the best first entries; only these kinds are opened, as deep as a page reaches.
+    """
+    q = ready(searches, rules)
+    kinds, texts, members = _kinds(entries, q)
+    span, deepest = _page_span(searches)
+    hits = matches(_examined(kinds, q, texts, rules, ["n", "first"], F.lit(0))).join(span.hint("merge"), "query_id")
+    totals = hits.groupBy("query_id").agg(F.sum("n").alias("total"))
+    asked = q.select("query_id", F.when(F.size("tokens") > 0, F.col("norm")).alias("norm"))
+    best = top_k(hits, ["query_id"], _page_order([F.col("first")]), deepest).drop("rank").join(asked, "query_id")
+    opened = top_k(members, ["norm", "kind"], [F.col("shuffle"), F.col("item_id")], deepest, "_place")
+    best = best.withColumnRenamed("item_id", "kind").withColumnRenamed("norm", "_norm")
+    rows = best.join(opened.withColumnRenamed("kind", "_kind").hint("merge"), (F.col("kind") == F.col("_kind")) & F.col("_norm").eqNullSafe(F.col("norm")))
+    page = top_k(rows, ["query_id"], _page_order([F.col("shuffle"), F.col("item_id")]), deepest).filter((F.col("rank") > F.col("_low")) & (F.col("rank") <= F.col("_high")))
+    return page.join(totals, "query_id").withColumn("score", F.round("score", 2)).select(*PAGE_COLUMNS)
+
+
+def examine_alike(entries: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
+    """`examine` for counting: entries that agree in what filters and options look at are one row, which `n` of them stand behind."""
+    q = ready(searches, rules)
+    fits = F.transform_values("occasions", lambda _, v: F.struct(F.when(v["points"] >= rules.min_occasion, float(rules.min_occasion)).otherwise(rules.min_occasion - 1.0).alias("points"), F.array().cast("array<string>").alias("reasons")))
+    plain = entries.withColumns({"name": F.lit(""), "name_norm": F.lit(""), "tastes": F.transform_values("tastes", lambda k, v: F.lit("")), "occasions": fits})
+    kinds, texts, _ = _kinds(plain, q)
+    return _examined(kinds, q, texts, rules, ["n"])
 
 
 def facet_counts(entries: DataFrame, seen: DataFrame, searches: DataFrame, rules: RuleBook = WINE_RULES) -> DataFrame:
@@ -293,7 +361,8 @@ def facet_counts(entries: DataFrame, seen: DataFrame, searches: DataFrame, rules
     lists.append(F.when(clean, F.transform(F.map_keys("tastes"), lambda v: pair("tastes", v))).otherwise(none))
     fitting = F.filter(F.map_keys("occasions"), lambda k: F.element_at("occasions", k)["points"] >= rules.min_occasion)
     lists.append(F.when(but("occasions"), F.transform(fitting, lambda v: pair("occasions", v))).otherwise(none))
-    counts = seen.select("query_id", F.explode(F.concat(*lists)).alias("x")).groupBy("query_id", "x.dim", "x.value").agg(one("n"))
+    weight = F.col("n") if "n" in seen.columns else F.lit(1).cast("long")  # rows of `examine_alike` stand for many entries
+    counts = seen.select("query_id", weight.alias("_n"), F.explode(F.concat(*lists)).alias("x")).groupBy("query_id", "x.dim", "x.value").agg(F.sum("_n").alias("n"))
 
     labels = {"occasions": {k: v[0] for k, v in rules.occasions.items()}, "dishes": {k: v[0] for k, v in rules.dishes.items()},
               "tastes": {t.key: t.label for t in rules.tastes}, "types": rules.types}

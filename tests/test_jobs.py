@@ -240,3 +240,27 @@ def test_quantiles_of_many_columns_equal_numpy(spark):
     assert aggregates.exact_quantiles_of(df.filter("false"), [], wanted).first()["x_mid"] is None
     plan = aggregates.exact_quantiles_of(df, ["k"], wanted)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2  # one pass for the sketch, one for the counts
+
+
+def test_search_joins_keep_entries_apart(spark):
+    """Sizes guessed from compressed files would send all postings or all entries to every machine."""
+    from catalens.plans import faceted
+
+    e = faceted.entries(spark, "/root/testdata/sf0.01")
+    q = facets.search_table(spark, faceted.SEARCHES)
+    for df in (facets.text_matches(e, facets.ready(q, faceted.PART_RULES).filter("size(tokens) > 0")), facets.examine(e, q, faceted.PART_RULES)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_and_counts_of_copies_equal_those_of_single_entries(spark):
+    from catalens.plans import faceted
+
+    part = faceted.entries(spark, "/root/testdata/sf0.001")
+    again = part.withColumn("item_id", F.col("item_id") + 100000).withColumn("shuffle", F.crc32(F.col("item_id").cast("string").cast("binary")))
+    e = part.unionByName(again)
+    q = facets.search_table(spark, faceted.SEARCHES + [faceted.grid_search(i) for i in range(20, 42)])
+    seen = facets.examine(e, q, faceted.PART_RULES).cache()
+    plain = facets.result_pages(seen, q)
+    assert rows(facets.search_pages(e, q, faceted.PART_RULES), *plain.columns) == rows(plain, *plain.columns)
+    plain = facets.facet_counts(e, seen, q, faceted.PART_RULES)
+    assert rows(facets.facet_counts(e, facets.examine_alike(e, q, faceted.PART_RULES), q, faceted.PART_RULES), *plain.columns) == rows(plain, *plain.columns)
