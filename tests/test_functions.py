@@ -120,3 +120,12 @@ def test_bit_vectors_count_the_longest_common_subsequence():
     assert lcs_lengths([], []).tolist() == []
     ratios = indel_ratios(pd.Series([*a, None]), pd.Series([*b, "x"]))
     assert [round(r, 9) for r in ratios] == [round(2 * plain(x, y) / (len(x) + len(y)), 9) if x or y else 1.0 for x, y in pairs] + [0.0]
+
+
+def test_name_ratios_hold_every_pair_of_names(spark, tmp_path):
+    from catalens.plans import load_all
+
+    names = ["blue ring", "red bolt", "blue gear", "old rod", "red bolt", "new nut"]
+    spark.createDataFrame([(10 * i, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["a"], r["b"]) for r in load_all().QUERIES["name_indel_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in names for b in names if a < b}
