@@ -1,8 +1,8 @@
 """Streaming jobs.
 
 Every job gets its folder from the caller: results in <folder>/out, progress in <folder>/checkpoint. Starting again with the
-same folder resumes where the last run stopped. State is kept per key in the state store, so a batch costs what its own rows
-cost, whatever has accumulated before.
+same folder resumes where the last run stopped. State is kept per key in the state store or as the rows that each batch writes, so a batch
+costs what its own rows cost, whatever has accumulated before.
 
 Jobs with event time take the watermark delay from the caller: rows that are older than the newest event by more than the
 delay come too late and are left out, so the delay must cover the disorder of the source. State is held that much longer.
@@ -10,12 +10,10 @@ delay come too late and are left out, so the delay must cover the disorder of th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from catalens.operators.aggregates import one
 
@@ -53,62 +51,52 @@ def current_rows(changes: DataFrame, keys: list[str], initial: DataFrame | None
 
 
 # --- keyed tables -------------------------------------------------------------------------------------
-class ChangeProcessor(StatefulProcessor):
-    """Current payload, created_at and updated_at of a key. A put inserts or (policy upsert) replaces, a delete forgets.
+def reduced_changes(changes: DataFrame, keys: list[str], payload: list[str], policy: str, sticky: tuple[str, ...] = ()) -> DataFrame:
+    """What one batch does to each of its keys: whether it deletes (`cleared`), and the puts after its last delete as one `row` with first and last time.
 
-    An upsert that leaves a `sticky` column empty keeps its value.
+    `row` is the payload that counts under the policy, null without such a put; `_s_<column>` is the last value of a sticky column.
     """
+    order = F.struct("ts", "seq")
+    marked = changes.withColumn("_gone", F.max(F.when(F.col("op") == "delete", order)).over(Window.partitionBy(*keys)))
+    live = F.when((F.col("op") == "put") & (F.col("_gone").isNull() | (order > F.col("_gone"))), order)
+    pick = F.max_by if policy == "upsert" else F.min_by
+    return marked.groupBy(*keys).agg(
+        F.max(F.col("_gone").isNotNull()).alias("cleared"), pick(F.struct(*payload), live).alias("row"), F.min_by("ts", live).alias("first"), pick("ts", live).alias("last"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), live)).alias(f"_s_{c}") for c in sticky],
+    )
+
 
-    def __init__(self, keys: list[str], payload: list[str], kinds: dict[str, str], policy: str, sticky: tuple[str, ...] = ()) -> None:
-        self.keys, self.payload, self.kinds, self.policy = keys, payload, kinds, policy
-        self.held_over = [payload.index(c) for c in sticky]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [f"{c} {self.kinds[c]}" for c in self.payload]
-        self.row = handle.getValueState("row", ", ".join([*fields, "created_at timestamp", "updated_at timestamp"]))
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        rows = initialState[[*self.payload, "created_at", "updated_at"]]
-        self.row.update(tuple(None if pd.isna(v) else v for v in rows.iloc[0]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"])
-        held = self.row.get() if self.row.exists() else None
-        for op, ts, *values in batch[["op", "ts", *self.payload]].itertuples(index=False):
-            if op == "delete":
-                held = None
-            elif held is None:
-                held = (*values, ts, ts)
-            elif self.policy == "upsert":
-                for i in self.held_over:
-                    values[i] = held[i] if pd.isna(values[i]) else values[i]
-                held = (*values, held[-2], ts)
-        if held is None:
-            self.row.clear()
-        else:
-            self.row.update(tuple(None if pd.isna(v) else v for v in held))
-        shown = held or (None,) * (len(self.payload) + 2)
-        yield pd.DataFrame([(*key, *shown, held is None)], columns=[*self.keys, *self.payload, "created_at", "updated_at", "gone"])
-
-    def close(self) -> None:
-        pass
+def folded_changes(reduced: DataFrame, initial: DataFrame, keys: list[str], payload: list[str], policy: str, sticky: tuple[str, ...] = ()) -> DataFrame:
+    """The table after all batches: an initial table (keys, payload, created_at, updated_at) and, on top of it, what each batch does to its keys."""
+    before = initial.select(
+        *keys, F.lit(False).alias("cleared"), F.struct(*payload).alias("row"), F.col("created_at").alias("first"), F.col("updated_at").alias("last"), *[F.col(c).alias(f"_s_{c}") for c in sticky], F.lit(-1).cast("long").alias("batch")
+    )
+    both = reduced.unionByName(before).withColumn("_from", F.max(F.when(F.col("cleared"), F.col("batch"))).over(Window.partitionBy(*keys)))
+    rows = both.filter(F.col("row").isNotNull() & (F.col("_from").isNull() | (F.col("batch") >= F.col("_from"))))
+    pick = F.max_by if policy == "upsert" else F.min_by
+    given = [F.max_by(f"_s_{c}", F.when(F.col(f"_s_{c}").isNotNull(), F.col("batch"))).alias(f"_s_{c}") for c in sticky]
+    table = rows.groupBy(*keys).agg(pick("row", "batch").alias("_r"), F.min_by("first", "batch").alias("created_at"), pick("last", "batch").alias("updated_at"), *given)
+    kept = [F.col(f"_s_{c}" if c in sticky and policy == "upsert" else f"_r.{c}").alias(c) for c in payload]
+    return table.select(*keys, *kept, "created_at", "updated_at")
 
 
 def change_log_stream(changes: DataFrame, initial: DataFrame, keys: list[str], payload: list[str], policy: str, folder: str, sticky: tuple[str, ...] = ()) -> DataFrame:
     """Apply a change stream (keys, payload, op, ts, seq), in the order of its batches, to a table (keys, payload, created_at, updated_at).
 
-    Policies and `sticky` columns are those of `apply_changes`.
+    Policies and `sticky` columns are those of `apply_changes`. A batch writes one row per key it touches and needs to know nothing of earlier ones; reading the
+    table puts the batches of a key together.
     """
-    spark = changes.sparkSession
-    use_rocksdb(spark)
-    kinds = dict(changes.dtypes)
-    stamped = initial.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in (*keys, *payload)], "created_at timestamp", "updated_at timestamp", "gone boolean"])
-    changed = changes.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ChangeProcessor(keys, payload, kinds, policy, sticky), outputStructType=schema, outputMode="Update", timeMode="None", initialState=stamped.groupBy(*keys)
-    )
-    out = run_changes(changed, folder)
-    return current_rows(spark.read.schema(f"{schema}, batch long").parquet(out), keys, stamped.select(*keys, *payload, "created_at", "updated_at"))
+    spark, kinds = changes.sparkSession, dict(changes.dtypes)
+    kinds |= {"ts": "timestamp", "row": f"struct<{','.join(f'{c}:{kinds[c]}' for c in payload)}>"}
+    stamped = initial.select(*keys, *[F.col(c).cast(kinds[c]).alias(c) for c in payload], *[F.col(c).cast("timestamp").alias(c) for c in ("created_at", "updated_at")])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        reduced_changes(timed, keys, payload, policy, sticky).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    out = run_available(changes, folder, step)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "cleared boolean", f"row {kinds['row']}", "first timestamp", "last timestamp", *[f"_s_{c} {kinds[c]}" for c in sticky], "batch long"])
+    return folded_changes(spark.read.schema(schema).parquet(out), stamped, keys, payload, policy, sticky)
 
 
 def latest_view_stream(history: DataFrame, folder: str) -> DataFrame:

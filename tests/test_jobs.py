@@ -165,6 +165,25 @@ def test_change_log_resumes_and_equals_batch(spark, split_events, tmp_path):
     assert len([x for x in os.listdir(tmp_path / "job" / "out") if x.startswith("batch=")]) >= len(files)
 
 
+def test_change_log_takes_many_keys_in_one_batch(spark, tmp_path):
+    """Keys are reduced by the engine: one Python call per key took minutes for as many; puts and deletes follow the batches' order, null keys count."""
+    n, schema = 200_000, "k long, v long, op string, ts timestamp, seq long"
+    made = spark.range(3 * n).select((F.col("id") % n).alias("k"), F.col("id").alias("v"), F.when(F.col("id") % 7 == 3, "delete").otherwise("put").alias("op"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    day = datetime.datetime(2020, 1, 1)
+    late = spark.createDataFrame([(None, 5, "put", day, 1), (3, 0, "delete", day, 1), (5, 8, "put", day, 2)], schema)
+    initial = spark.createDataFrame([(3, 1, day, day), (n + 1, 2, day, day)], "k long, v long, created_at timestamp, updated_at timestamp")
+    for part in (made, late):  # the second batch is older than the first and still comes after it
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        begin = time.monotonic()
+        got = jobs.change_log_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), initial, ["k"], ["v"], "upsert", str(tmp_path / "job"))
+        table = {r["k"]: (r["v"], r["created_at"], r["updated_at"]) for r in got.collect()}
+        assert time.monotonic() - begin < 60
+    assert table[None] == (5, day, day) and 3 not in table and table[n + 1] == (2, day, day) and table[5][0] == 8 and table[5][2] == day
+    assert table[0] == (2 * n, *[datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=2 * n)] * 2)  # a delete lies between its puts
+    ids = range(3 * n)
+    assert len(table) == sum(any(i % 7 != 3 for i in ids[k::n][-1:]) for k in range(n) if k != 3) + 2
+
+
 def test_latest_views_in_batches(spark, split_events, tmp_path):
     events, base = split_events
     got = jobs.latest_view_stream(viewed(batches(spark, events, base)), str(tmp_path / "views"))
