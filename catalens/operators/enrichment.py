@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from catalens.functions.text import blank_to_null, collapse_spaces, match_text, ru_to_lat
 from catalens.functions.values import CATALOG_ALCOHOL, TEMPERATURE, format_percent_range, format_temperature, plausible, uuid5
 from catalens.operators.aggregates import first_per_key, one
-from catalens.operators.dictionary import phrase_places
+from catalens.operators.dictionary import BLOCK_BYTES, chosen_phrases, phrase_places
 from catalens.session import spread
 
 # --- fixed values ----------------------------------------------------------------------------------
@@ -113,10 +113,11 @@ def pick_spans(hits: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     return picked.select(key, "x.entity", "x.phrase_id", "x.start", "x.end")
 
 
-def tag_phrases(texts: DataFrame, dictionary: DataFrame, key: str, text: str, links: DataFrame | None = None, excluded: list[str] = ()) -> DataFrame:
+def tag_phrases(texts: DataFrame, dictionary: DataFrame, key: str, text: str, links: DataFrame | None = None, excluded: list[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """New (text, entity) links found by dictionary phrases. `dictionary`: (entity, spelling); `excluded` names stay out.
 
-    Of phrases of equal length the one with the smaller MD5 of "entity:phrase" comes first.
+    Of phrases of equal length the one with the smaller MD5 of "entity:phrase" comes first. With a dictionary of one block only what is chosen leaves
+    the worker that reads the text; hits of several blocks are gathered per text.
     """
     names = dictionary.select("entity", match_text(F.col("spelling")).alias("_n")).filter(F.col("_n") != "")
     if excluded:
@@ -124,7 +125,9 @@ def tag_phrases(texts: DataFrame, dictionary: DataFrame, key: str, text: str, li
     phrases = names.select(F.md5(F.concat_ws(":", F.col("entity").cast("string"), "_n")).alias("phrase_id"), "entity", F.split("_n", " ").alias("phrase")).dropDuplicates(["phrase_id"])
     words = F.filter(F.split("_n", " "), lambda t: t != "")
     tokened = spread(texts.select(key, text)).select(key, match_text(F.col(text)).alias("_n")).select(key, words.alias("tokens"))
-    found = pick_spans(phrase_places(tokened, phrases, key), phrases, key)
+    found = chosen_phrases(tokened, phrases, key, block_bytes=block_bytes)
+    if found is None:
+        found = pick_spans(phrase_places(tokened, phrases, key, block_bytes=block_bytes), phrases, key)
     return found if links is None else found.join(links, [key, "entity"], "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.text import ENDINGS, EXACT_ONLY_TERMS, WORD_PATTERN, glossary_form, term_stems
-from catalens.operators.dictionary import term_places
+from catalens.operators.dictionary import BLOCK_BYTES, first_terms, term_places
 from catalens.session import spread
 
 def term_index(terms: DataFrame) -> DataFrame:
@@ -16,19 +16,25 @@ def term_index(terms: DataFrame) -> DataFrame:
     return rows.withColumn("letter", F.upper(F.substring("term", 1, 1)))
 
 
-def term_hits(texts: DataFrame, index: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
+def glossary_forms(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return spread(texts.select(key, text)).select(key, glossary_form(F.col(text)).alias("_form"))
+
+
+def term_hits(texts: DataFrame, index: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every place where a term may stand: (key, term_id, pos, words, start, end), see `term_places`."""
-    forms = spread(texts.select(key, text)).select(key, glossary_form(F.col(text)).alias("_form"))
-    return term_places(forms, index, key, "_form", WORD_PATTERN, endings)
+    return term_places(glossary_forms(texts, key, text), index, key, "_form", WORD_PATTERN, endings, block_bytes)
 
 
-def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
+def annotate_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, endings: tuple[str, ...] = ENDINGS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """First mention of each term per text, left to right without overlaps: (key, term_id, start, end) in characters.
 
-    Candidates are gathered per text; their number is bounded by the text, which is one row anyway.
+    With an index of one block only what is chosen leaves the worker that reads the text; candidates of several blocks are gathered per text, bounded by it.
     """
+    chosen = first_terms(glossary_forms(texts, key, text), terms, key, "_form", WORD_PATTERN, endings, block_bytes)
+    if chosen is not None:
+        return chosen
     order = terms.select("term_id", (-F.size("stems")).alias("_len"), "term")
-    ranked = term_hits(texts, terms, key, text, endings).join(order, "term_id")
+    ranked = term_hits(texts, terms, key, text, endings, block_bytes).join(order, "term_id")
     listed = ranked.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("pos", "_len", "term", "term_id", "words", "start", "end"))).alias("_c"))
     begin = F.struct(F.lit(0).alias("next"), F.filter("_c", lambda x: F.lit(False)).alias("got"))
 
