@@ -283,3 +283,20 @@ def test_pages_and_counts_of_copies_equal_those_of_single_entries(spark):
     assert rows(facets.search_pages(e, q, faceted.PART_RULES), *plain.columns) == rows(plain, *plain.columns)
     plain = facets.facet_counts(e, seen, q, faceted.PART_RULES)
     assert rows(facets.facet_counts(e, facets.examine_alike(e, q, faceted.PART_RULES), q, faceted.PART_RULES), *plain.columns) == rows(plain, *plain.columns)
+
+
+def test_badge_grid_is_opened_after_the_last_shuffle(spark):
+    """Progress by hand, and a grid of users and badges that no exchange carries: it went through five."""
+    from catalens.operators import badges as b
+
+    table = spark.createDataFrame([(1, "a", "c", 5, "items", True, "s", False), (2, "b", "c", 9, "items", False, "s", False), (3, "m", "meta", 2, "earned", False, None, True), (4, "h", "meta", 1, "hidden_earned", True, None, True)], b.BADGE_SCHEMA)
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    metrics = spark.createDataFrame([(1, "items", 7), (1, "none", 3), (2, "items", None)], "user_id long, metric string, value long")
+    earned = spark.createDataFrame([(2, "b", datetime.datetime(2020, 1, 1))], "user_id long, code string, earned_at timestamp")
+    df = b.with_visibility(b.progress(users, table, metrics, earned))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Exchange" not in above
+    got = {(r["user_id"], r["code"]): (r["progress"], r["newly_earned"], r["earned"], r["visible"]) for r in df.collect()}
+    assert got[1, "a"] == (5, True, True, True) and got[1, "b"] == (7, False, False, True) and got[1, "m"] == (1, False, False, True) and got[1, "h"] == (1, True, True, True)
+    assert got[2, "a"] == (0, False, False, False) and got[2, "b"] == (0, False, True, True) and got[2, "m"] == (1, False, False, True) and got[2, "h"] == (0, False, False, False) and len(got) == 8
