@@ -1,7 +1,8 @@
 """Achievements as a stream: metrics per user kept up by increments, badges and announcements checked whenever a user has done something.
 
 The state of a user is what the metrics need to grow: which items, attributes and days have been seen, the ends of runs of days, the items of a
-day, the current review, reaction or favourite of a pair. Each new event touches a few entries of it, however long the history. Progress, earned badges and
+day, the current review, reaction or favourite of a pair. Each new event touches a few entries of it, however long the history; entries lie together in
+parts of bounded size, each read and written at most once in a batch, as every trip to the state store costs more than the work on an event. Progress, earned badges and
 what has been announced are one bounded row per user (one entry per badge). A check sees all rows of a user in a batch; its time is that of
 the newest of them, so a replayed batch says the same again. Quiet time after an announcement is measured against it.
 """
@@ -9,25 +10,84 @@ the newest of them, so a replayed batch says the same again. Quiet time after an
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from catalens.operators.badges import FIRST_CHECK_LIMIT, HIGH_CONFIDENCE, MAX_UPDATES, MILESTONES, QUIET_MINUTES, RARE_ITEMS, SCAN_CONFIDENCE, BadgeRules
 from catalens.session import materialize
 from catalens.streaming.jobs import use_rocksdb
-from catalens.streaming.keyed import frame, micros, plain
+from catalens.streaming.keyed import micros
 
 SCAN, REVIEW, GAVE, GOT, FAVORITE = "scan", "review", "gave", "got", "favorite"
-#: Columns of the one stream of actions; each kind fills those it needs. Ids are strings, as pandas makes floats of whole numbers with nulls among them.
+#: Columns of the one stream of actions; each kind fills those it needs.
 ACTION = (
-    "user_id long, kind string, at_us long, seq long, item string, other string, gone boolean, value long, commented boolean, linked boolean, confidence double, day long, hour long, weekday long, month long, "
+    "user_id long, kind string, at_us long, seq long, item long, other long, gone boolean, value long, commented boolean, linked boolean, confidence double, day long, hour long, weekday long, month long, "
     "region string, color string, sugar string, producer string, sparkling boolean, grapes array<string>, rare boolean"
 )
-OUTPUT = "tag string, user_id long, code string, kind string, progress long, target long, notified_progress long, notified_us long, at_us long"
+DETAILS = [c.split()[0] for c in ACTION.split(", ") if not c.startswith(("user_id ", "at_us ", "seq "))]
+#: What a check says of a user's badges, one entry of each list per row. A string on its way from Python, opened after the operator.
+SAID = "tag string, code string, kind string, progress long, target long, notified_progress long, notified_us long"
+SAID_NAMES = [c.split()[0] for c in SAID.split(", ")]
+SAID_LISTS = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in SAID.split(", ")))
+OUTPUT = "user_id long, at_us long, said string"
+PART_NAMES, NOTHING_HELD = 512, (0, 0, "{}")
+
+
+class Names:
+    """Numbers of one user by name. Up to PART_NAMES of them stand in the user's row, more in parts of about that size, read when a name of theirs is asked for.
+
+    A name's part follows from its hash and the number of parts, which doubles as the names grow; `parts` is 0 as long as there are none.
+    """
+
+    def __init__(self, state, parts: int, held: int, listed: str) -> None:
+        self.state, self.parts, self.held = state, parts, held
+        self.known: dict[str, int] = json.loads(listed)
+        self.loaded, self.unread, self.changed = len(self.known), set(range(parts)), set()
+
+    def part(self, name: str) -> int:
+        return zlib.crc32(name.encode()) % self.parts
+
+    def read(self, part: int) -> None:
+        self.unread.remove(part)
+        names = json.loads(self.state.getValue((part,))[0])
+        self.loaded += len(names)
+        self.known.update(names)
+
+    def get(self, name: str) -> int:
+        if self.unread and name not in self.known and (part := self.part(name)) in self.unread:
+            self.read(part)
+        return self.known.get(name, 0)
+
+    def put(self, name: str, n: int) -> None:
+        if self.unread:
+            self.get(name)  # a part is written whole
+        self.known[name] = n
+        self.changed.add(name)
+
+    def flush(self) -> tuple[int, int, str]:
+        """Writes the parts with a changed name, all of them where their number grows; returns what the user's row keeps."""
+        held, parts = self.held - self.loaded + sum(map(bool, self.known.values())), max(self.parts, 1)
+        while held > PART_NAMES * parts:
+            parts *= 2
+        if parts == 1:
+            return 0, held, json.dumps({name: n for name, n in self.known.items() if n}, separators=(",", ":"))
+        if parts > self.parts:
+            for part in list(self.unread):
+                self.read(part)
+            self.parts, touched = parts, set(range(parts))
+        else:
+            touched = {self.part(name) for name in self.changed}
+        written: dict[int, dict[str, int]] = {part: {} for part in touched}
+        for name, n in self.known.items():
+            if n and (part := self.part(name)) in written:
+                written[part][name] = n
+        for part, numbers in written.items():
+            self.state.updateValue((part,), (json.dumps(numbers, separators=(",", ":")),))
+        return self.parts, held, "{}"
 
 
 class Metrics:
@@ -195,49 +255,29 @@ class AchievementProcessor(StatefulProcessor):
         self.badges, self.rules = badges, rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "name string", "n long")
-        self.standing = handle.getValueState("standing", "metrics string, states string")
+        self.seen = handle.getMapState("seen", "part int", "names string")
+        self.standing = handle.getValueState("standing", "metrics string, states string, parts int, held long, names string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         states = {}
-        for row in initialState[["code", "progress", "notified_progress", "notified_us", "earned_us"]].itertuples(index=False):
-            code, progress, told, told_at, earned = map(plain, row)
-            states[code] = [int(progress or 0), int(told or 0), None if told_at is None else int(told_at), None if earned is None else int(earned)]
-        self.standing.update(("{}", json.dumps(states)))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = not self.standing.exists()
-        values, states = map(json.loads, ("{}", "{}") if first else self.standing.get())
-        known: dict[str, int] = {}
-        changed: dict[str, int] = {}
-
-        def get(name: str) -> int:
-            if name not in known:
-                known[name] = self.seen.getValue((name,))[0] if self.seen.containsKey((name,)) else 0
-            return known[name]
-
-        def put(name: str, n: int) -> None:
-            known[name] = changed[name] = n
-
-        metrics, now = Metrics(values, get, put, self.rules), 0
-        batch = pd.concat(rows, ignore_index=True).sort_values(["at_us", "seq"])
-        names = list(batch.columns)
-        for row in batch.itertuples(index=False):
-            event = {n: (v if n == "grapes" else plain(v)) for n, v in zip(names, row, strict=True)}
-            event["grapes"] = None if event["grapes"] is None else list(event["grapes"])
-            for n in ("item", "other", "value", "day"):
-                event[n] = None if event[n] is None else int(event[n])
+        for b in initialState.known:
+            states[b["code"]] = [b["progress"] or 0, b["notified_progress"] or 0, b["notified_us"], b["earned_us"]]
+        self.standing.update(("{}", json.dumps(states), *NOTHING_HELD))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.standing.get()
+        values, states = map(json.loads, stored[:2] if stored else ("{}", "{}"))
+        names = Names(self.seen, *(stored[2:] if stored else NOTHING_HELD))
+        metrics, now, blank = Metrics(values, names.get, names.put, self.rules), 0, dict.fromkeys(DETAILS)
+        for at, _, details in sorted((at, seq, details) for _, at, seq, details in rows):
+            event = {**blank, **json.loads(details)}
             getattr(metrics, event["kind"])(event)
-            now = max(now, int(event["at_us"]))
-        for name, n in changed.items():
-            if n:
-                self.seen.updateValue((name,), (n,))
-            elif self.seen.containsKey((name,)):
-                self.seen.removeKey((name,))
-        out = check(self.badges, values, states, now, first)
-        self.standing.update((json.dumps(values), json.dumps(states)))
+            now = max(now, at)
+        out = check(self.badges, values, states, now, stored is None)
+        self.standing.update((json.dumps(values), json.dumps(states), *names.flush()))
         if out:
-            yield frame([(tag, int(key[0]), *rest) for tag, *rest in out], OUTPUT)
+            lists = zip(*(row[: len(SAID_NAMES)] for row in out), strict=True)
+            yield Row(user_id=key[0], at_us=now, said=json.dumps(dict(zip(SAID_NAMES, lists, strict=True))))
 
     def close(self) -> None:
         pass
@@ -295,9 +335,13 @@ def achievement_stream(actions: DataFrame, badges: DataFrame, initial: DataFrame
     """
     use_rocksdb(actions.sparkSession)
     listed = [r.asDict() for r in badges.orderBy("pos").collect()]
-    known = initial.select("user_id", "code", "progress", "notified_progress", micros("notified_at").alias("notified_us"), micros("earned_at").alias("earned_us"))
-    out = actions.filter("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(
+    entry = F.struct("code", "progress", "notified_progress", micros("notified_at").alias("notified_us"), micros("earned_at").alias("earned_us"))
+    known = initial.groupBy("user_id").agg(F.collect_list(entry).alias("known"))  # at most one entry per badge
+    # a row goes to Python as few values: what an action fills in is one string
+    packed = actions.filter("user_id IS NOT NULL").select("user_id", "at_us", "seq", F.to_json(F.struct(*DETAILS)).alias("details"))
+    out = packed.groupBy("user_id").transformWithState(
         statefulProcessor=AchievementProcessor(listed, rules), outputStructType=OUTPUT, outputMode="Update", timeMode="None", initialState=known.groupBy("user_id")
     )
+    out = out.withColumn("said", F.from_json("said", SAID_LISTS)).select("user_id", "at_us", F.inline(F.arrays_zip(*[F.col(f"said.{c}").alias(c) for c in SAID_NAMES])))
     times = {"notified_at": F.timestamp_micros("notified_us"), "at": F.timestamp_micros("at_us")}
     return out.withColumns(times).drop("notified_us", "at_us")

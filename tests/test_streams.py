@@ -2,10 +2,12 @@
 
 import collections
 import datetime
+import json
 import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalens.operators import activity, badges
@@ -285,6 +287,69 @@ def test_metrics_follow_taken_back_actions():
     assert m.values["regions"] == 0 and m.values["sugars"] == 0 and m.values["same_producer"] == m.values["items"]
 
 
+class Store:
+    """Map and value states of one key that count the trips to them."""
+
+    def __init__(self):
+        self.held, self.trips = {}, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    getValueState = getMapState  # noqa: N815
+
+    def get(self):
+        return self.getValue("row")
+
+    def update(self, value):
+        self.updateValue("row", value)
+
+    def getValue(self, key):  # noqa: N802
+        self.trips += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.trips += 1
+        self.held[key] = value
+
+
+def test_names_lie_in_parts_read_and_written_once(monkeypatch):
+    monkeypatch.setattr(achievements, "PART_NAMES", 8)
+    rng, store, wanted, kept = random.Random(3), Store(), {}, achievements.NOTHING_HELD
+    for _ in range(400):
+        names, (parts, *_) = achievements.Names(store, *kept), kept
+        store.trips, asked = 0, rng.randrange(4)
+        for _ in range(asked):
+            name, n = f"n{rng.randrange(300)}", rng.randrange(3)
+            if rng.random() < 0.5:
+                assert names.get(name) == wanted.get(name, 0)
+            names.put(name, n)
+            wanted[name] = n
+        kept = names.flush()
+        assert kept[1] == sum(map(bool, wanted.values()))
+        assert kept[0] != parts or store.trips <= 2 * asked
+    assert kept[0] >= 16
+    names = achievements.Names(store, *kept)
+    assert {name: names.get(name) for name in wanted} == wanted
+
+
+def test_a_batch_of_a_user_takes_few_trips_to_the_state_store():
+    """However many actions a batch has for a user: what is stored is read and written in bounded parts, not entry by entry."""
+    badge = {"code": "liked", "metric": "favorites", "target": 10**6, "meta": False, "hidden": False, "series": None, "pos": 1}
+    store, processor, row, held = Store(), achievements.AchievementProcessor([badge], badges.BadgeRules()), Row("user_id", "at_us", "seq", "details"), {}
+    processor.init(store)
+    for batch, n in enumerate((300, 3000, 2)):
+        rng, rows_, store.trips = random.Random(batch), [], 0
+        for seq in range(n):
+            item, gone = rng.randrange(5000) + 5000 * (n == 2), n > 2 and rng.random() < 0.2
+            held[item] = not gone
+            rows_.append(row(7, 1000 * batch, seq, json.dumps({"kind": "favorite", "item": item, "gone": gone, "linked": False})))
+        rng.shuffle(rows_)
+        (said,) = processor.handleInputRows((7,), iter(rows_), None)
+        assert said.user_id == 7 and json.loads(said.said)["progress"][-1] == sum(held.values())
+        assert store.trips <= 2 + 2 * max(1, len(held) * 2 // achievements.PART_NAMES)
+
+
 def test_badges_of_each_batch_equal_the_batch_forms(spark, tmp_path):
     """Four batches, with a stop after the second; after each one, states and announcements are those of B1 to B9 over all rows so far."""
     d = "/root/testdata/sf0.001"
