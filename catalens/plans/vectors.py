@@ -63,8 +63,12 @@ def self_matches(spark, d, k: int = K):
     return r.knn_join(all_view_queries(spark, d), photos(spark, d), k, exclude_self=True)
 
 
+def self_lists(spark, d):
+    return r.knn_lists(all_view_queries(spark, d), photos(spark, d), K, exclude_self=True)
+
+
 def self_ranking(spark, d):
-    return r.fold_to_items(self_matches(spark, d), items(spark, d))
+    return r.fold_lists(self_lists(spark, d))
 
 
 @query("vector_neighbours", "V3,J9,T3", f"WITH {match_sql(K)} SELECT query, view, id, round(score, 6) AS score, rank FROM m")
@@ -194,11 +198,8 @@ def _(spark, d):
 
 @query("ivf_recall", "V3b")
 def _(spark, d):
-    exact = self_matches(spark, d).select("query", "view", "id")
-    approx = r.ivf_search(all_view_queries(spark, d), photos(spark, d), K, centers=8, probes=4, exclude_self=True)
-    found = approx.select("query", "view", "id", F.lit(1).alias("hit"))
-    joined = exact.join(found, ["query", "view", "id"], "left")
-    return joined.groupBy("view").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), F.count(F.lit(1)).alias("pairs"))
+    exact = r.knn_lists(all_view_queries(spark, d), photos(spark, d).drop("item"), K, exclude_self=True)
+    return r.recall(exact, r.ivf_lists(all_view_queries(spark, d), photos(spark, d), K, centers=8, probes=4, exclude_self=True))
 
 
 @query("contrastive_pairs", "V10")
